@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from spandrel.llm import sharding
+from spandrel.llm import bpe, language, packing, sharding
 
 QUERIES = {
     "op2_weighted_hash_tree": sharding.op2_weighted_hash_tree,
+    "op3_sum_of_squares": packing.op3_sum_of_squares,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op9_byte_recurrent_language": language.op9_byte_recurrent_language,
 }
 
 SQL = {
