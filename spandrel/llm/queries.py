@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spandrel.llm import bpe, language, packing, sharding
+from spandrel.llm import bpe, language, packing, sharding, toxicity
 
 QUERIES = {
+    "op1_scoring_segments": toxicity.op1_scoring_segments,
     "op2_weighted_hash_tree": sharding.op2_weighted_hash_tree,
     "op3_sum_of_squares": packing.op3_sum_of_squares,
     "op6_byte_bpe": bpe.op6_byte_bpe,
