@@ -116,7 +116,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     values are minima, so a vertex of any degree is combined before the shuffle. Every round is written to
     the shared folder. The number of rounds grows with the logarithm of the longest path.
     """
+
+    def mark(df: DataFrame):
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    known = mark(now)
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -126,9 +131,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         then = durable(small, "cc")
-        same = now.count() == then.count() and now.exceptAll(then).isEmpty()
         forget(now)
-        now = then
-        if same:
+        now, before, known = then, known, mark(then)
+        if known == before:
             break
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

@@ -140,7 +140,7 @@ class Packer:
         self.open = [[] for _ in range(self.size + 1)]
         self.count[:] = 0
         self.n_open = self.tokens = 0
-        low, high, fill, now = 0, len(pieces), 0, []
+        fill, now = 0, []
         rest: list[tuple] = []  # pieces that wait, the cut one first
         bounds = np.cumsum([0] + [len(w) for w in windows])
         front, back = 0, len(windows)
@@ -168,7 +168,6 @@ class Packer:
             else:
                 break
         self._powers(now + rest[::-1])
-        del low, high
 
     def _powers(self, pieces: list[tuple]) -> None:
         """Less than a window is left: sequences of a power of two each, which need no padding."""
