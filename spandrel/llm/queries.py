@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spandrel.llm import bpe, jaccard, language, packing, sharding, suffixes, toxicity
+from spandrel.llm import bpe, fingerprints, jaccard, language, packing, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_scoring_segments": toxicity.op1_scoring_segments,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sum_of_squares": packing.op3_sum_of_squares,
     "op4_deep_shallow": suffixes.op4_deep_shallow,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_fingerprint_index": fingerprints.op8_fingerprint_index,
     "op9_byte_recurrent_language": language.op9_byte_recurrent_language,
     "op10_grouped_prefix_join": jaccard.op10_grouped_prefix_join,
 }
