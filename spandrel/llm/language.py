@@ -20,6 +20,8 @@ HIDDEN = 20
 #: A run of letters longer than this is read in windows of this many characters, all of them.
 LONGEST_RUN = 32
 UNKNOWN = "und"
+#: A document of a lower score is rejected by screen().
+LEAST = 0.5
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -245,6 +247,42 @@ def predict(pool: _Pool | None, texts: list[str | None]) -> tuple[list[str], lis
     return [UNKNOWN if u else pool.tagger.languages[k] for k, u in zip(best, none, strict=True)], np.where(none, 0.0, p[np.arange(len(p)), best]).tolist()
 
 
+def _pool(tagger: ByteTagger | None) -> _Pool | None:
+    """This worker's memo for the tagger; one at a time is kept."""
+    if tagger is None:
+        return None
+    if tagger.token not in _POOLS:
+        _POOLS.clear()
+        _POOLS[tagger.token] = _Pool(tagger)
+    return _POOLS[tagger.token]
+
+
+def screen(docs: DataFrame, tagger: ByteTagger | None, least: float = LEAST) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is told with a score of at least `least`.
+
+    A null lang, if there is such a column, becomes the predicted one. Without a tagger every row with a letter
+    stays.
+    """
+    prepare(docs.sparkSession)
+    names = docs.columns
+
+    def run(batches):
+        held = _pool(tagger)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            if held is None:
+                keep = [bool(segments(t or "")) for t in texts]
+            else:
+                lang, score = predict(held, texts)
+                keep = [k != UNKNOWN and s >= least for k, s in zip(lang, score, strict=True)]
+                if "lang" in names:
+                    known = [a if a is not None else k for a, k in zip(b.column("lang").to_pylist(), lang, strict=True)]
+                    b = b.set_column(names.index("lang"), "lang", pa.array(known, pa.string()))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, tagger: ByteTagger | None) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs (doc_id, text).
 
@@ -257,12 +295,7 @@ def identify(docs: DataFrame, tagger: ByteTagger | None) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches):
-        held = None
-        if tagger:
-            held = _POOLS.get(tagger.token)
-            if held is None:
-                _POOLS.clear()
-                held = _POOLS[tagger.token] = _Pool(tagger)
+        held = _pool(tagger)
         for b in batches:
             lang, score = predict(held, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=SCHEMA.names)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from spandrel.llm import bpe, fingerprints, jaccard, language, packing, sharding, suffixes, toxicity
+from spandrel.llm import bpe, descent, fingerprints, jaccard, language, neighbours, packing, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_scoring_segments": toxicity.op1_scoring_segments,
     "op2_weighted_hash_tree": sharding.op2_weighted_hash_tree,
     "op3_sum_of_squares": packing.op3_sum_of_squares,
     "op4_deep_shallow": suffixes.op4_deep_shallow,
+    "op5_projected_kd_tree": neighbours.op5_projected_kd_tree,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_nn_descent": descent.op7_nn_descent,
     "op8_fingerprint_index": fingerprints.op8_fingerprint_index,
     "op9_byte_recurrent_language": language.op9_byte_recurrent_language,
     "op10_grouped_prefix_join": jaccard.op10_grouped_prefix_join,

@@ -260,3 +260,15 @@ def op1_scoring_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(labelled_rows(docs, table(spark, sf_dir, "labels")))
     scored = score_documents(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+
+
+def screen(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below reject."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            keep = [model.probability(*model.summary(t)[:3]) < reject for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
