@@ -20,6 +20,8 @@ PER_CENT = 90
 SAMPLE_DOCS, SAMPLE_REPEATS, SAMPLE_LIST = 20_000, 3, 400_000
 #: A posting list is cut into this many parts for chaining, so a very long one is not one task's.
 SALTS = 64
+#: Lists with more parts of different components than LONG are compared in blocks of BLOCK, the others by pairs.
+LONG, BLOCK = 64, 512
 
 
 class Shingler:
@@ -109,6 +111,74 @@ def describe(docs: DataFrame, width: int, per_cent: int, frequent: np.ndarray) -
     return docs.mapInArrow(run, "doc_id long, n long, c long, g long, head array<long>")
 
 
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """c and s, the packed sorted hashes of its set, of the wanted class keys; made again from the texts."""
+    named = wanted.join(classes.select("c", "rep"), "c")
+
+    def sets(batches):
+        own = shingler(width)
+        for b in batches:
+            found = [own.hashes(t) for t in b.column(1).to_pylist()]
+            keep = [digest(h) == c for h, c in zip(found, b.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), pa.array([h.tobytes() for h, k in zip(found, keep, strict=True) if k], pa.binary())], names=["c", "s"])
+
+    full = docs.join(named, F.col("doc_id") == F.col("rep")).select("c", "text").mapInArrow(sets, "c long, s binary")
+    return durable(full.dropDuplicates(["c"]), "sets")
+
+
+def _long_lists(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Links between different components among the members (t, c, comp) of long posting lists.
+
+    A list is cut into blocks of about BLOCK classes by their keys, and each pair of its blocks is compared in
+    one task, in full, as a product of incidence matrices. Only links that join components leave the task, at
+    most one for each class, so neither the pairs of a list nor its links are ever rows.
+    """
+    full = _sets(members.select("c").distinct(), classes, docs, width)
+    blocks = members.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(blocks, "t").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    cut = cut.select("t", "c", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("t", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "c", "comp").join(full, "c")
+
+    def run(rows: pa.Table) -> pa.Table:
+        c, comp, own = (rows.column(k).to_numpy() for k in ("c", "comp", "own"))
+        one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("s").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        who = np.repeat(np.arange(len(sets)), sizes)
+        _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(n > 1)
+        place = np.full(len(n), -1)
+        place[shared] = np.arange(len(shared))
+        column = place[column]
+        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, len(shared), 4096):
+            pick = (column >= start) & (column < start + 4096)
+            matrix = np.zeros((len(sets), 4096), np.float32)
+            matrix[who[pick], column[pick] - start] = 1
+            both += matrix[left] @ matrix[right].T
+        both = both.astype(np.int64)
+        link = 100 * both >= per_cent * (sizes[left][:, None] + sizes[right][None] - both)
+        link &= comp[left][:, None] != comp[right][None]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(link), strict=True):
+            a, b = root(int(comp[left[i]])), root(int(comp[right[j]]))
+            if a != b:
+                parent[a] = b
+                out.append((int(c[left[i]]), int(c[right[j]])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return durable(cut.groupBy("t", "one", "two").applyInArrow(run, "a long, b long"), "links")
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
     """Those of the pairs (a, b) of class keys whose sets link.
 
@@ -129,17 +199,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in (b.column("a"), b.column("b"))], names=["a", "b"])
 
     near = durable(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(close, "a long, b long"), "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c")
-
-    def sets(batches):
-        own = shingler(width)
-        for b in batches:
-            found = [own.hashes(t) for t in b.column(1).to_pylist()]
-            keep = [digest(h) == c for h, c in zip(found, b.column(0).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), pa.array([h.tobytes() for h, k in zip(found, keep, strict=True) if k], pa.binary())], names=["c", "s"])
-
-    full = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("c", "text").mapInArrow(sets, "c long, s binary").dropDuplicates(["c"])
-    full = durable(full, "sets")
+    full = _sets(near.select(F.explode(F.array("a", "b")).alias("c")).distinct(), classes, docs, width)
 
     def exact(batches):
         for b in batches:
@@ -168,14 +228,15 @@ def _chain(rows: DataFrame, key: str, node: str) -> DataFrame:
     )
 
 
-def link_documents(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
+def link_documents(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT, long: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
     1. Rows of equal sets are one class; classes with the same prefix and size are one group.
     2. Groups that share a shingle of their prefixes and whose sizes allow it are candidates. In each posting
        list, and in each group, neighbours are verified first, which already connects most near copies.
     3. Of the group pairs, only those that hold classes of different components so far are expanded to
-       members, all of them, and verified. No pair that could join two components is left out.
+       members, all of them, and verified: pair by pair where a list is short, block by block where it is long.
+       No pair that could join two components is left out.
 
     A row without words has n_shingles 0 and is its own component, a null doc_id stays null; rows that repeat a
     doc_id are linked by their own texts. An empty table gives an empty result; other columns are not looked at.
@@ -206,13 +267,16 @@ def link_documents(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT
     of = durable(of.join(postings.select("g").union(several).distinct(), "g", "left_semi"), "of")
     parts = of.select("g", "comp").distinct()
     lists = postings.select("t", "g", "n", "pos").join(parts, "g")
-    mixed = lists.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
-    lists = durable(lists.join(mixed, "t", "left_semi"), "lists")
+    mixed = lists.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+    every = durable(lists.join(mixed.select("t", "k"), "t"), "lists")
+    lists = every.where(F.col("k") <= long)
     left = lists.select("t", *(F.col(k).alias(f"{k}_a") for k in ("g", "n", "pos", "comp")))
     right = lists.select("t", *(F.col(k).alias(f"{k}_b") for k in ("g", "n", "pos", "comp")))
     reach = F.expr(f"least(n_a - pos_a, n_b - pos_b) >= ceil({per_cent} * (n_a + n_b) / {100 + per_cent}.0d)")
     across = left.join(right, "t").where("comp_a < comp_b").where(sized).where(reach).select("g_a", "comp_a", "g_b", "comp_b")
     inside = parts.join(several, "g", "left_semi")
+    crowd = inside.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    inside = inside.join(crowd.where((F.col("k") > 1) & (F.col("k") <= long)), "g", "left_semi")
     inside = inside.select(F.col("g").alias("g_a"), F.col("comp").alias("comp_a")).join(inside.select(F.col("g").alias("g_b"), F.col("comp").alias("comp_b")), F.expr("g_a = g_b and comp_a < comp_b"))
     wide = across.union(inside.select("g_a", "comp_a", "g_b", "comp_b")).distinct()
     members = of.select("g", "comp", "c")
@@ -221,6 +285,10 @@ def link_documents(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     pairs = durable(pairs, "pairs")
     more = _verify(pairs, classes, docs, width, per_cent)
+    members = members.select("g", "comp", "c")
+    wide_lists = every.where(F.col("k") > long).select("t", "g", "comp").join(members, ["g", "comp"]).select("t", "c", "comp").distinct()
+    wide_groups = members.join(crowd.where(F.col("k") > long), "g", "left_semi").select(F.col("g").alias("t"), "c", "comp")
+    more = more.union(_long_lists(wide_lists.union(wide_groups), classes, docs, width, per_cent))
     final = known
     if not more.isEmpty():
         final = durable(components(more.union(known.select(F.col("id").alias("a"), F.col("component").alias("b")))), "known")
