@@ -1,0 +1,85 @@
+"""Queries on source code: the samples stand for a repository, since the general tables hold no code."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spandrel.operators import diff, generate, mapping, parse, score, sections
+from spandrel.plans import samples
+from spandrel.schemas import FILE_CHANGE
+from spandrel.sources import files
+
+QUERIES = {}
+
+
+def native(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _modules(spark: SparkSession) -> DataFrame:
+    return parse.analyze(files.captured(spark, samples.FILES))
+
+
+@native
+def parsed_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modules(spark).select("path", "language", F.to_json("functions").alias("functions"), F.to_json("classes").alias("classes"), F.to_json("types").alias("types"), F.to_json("imports").alias("imports"))
+
+
+@native
+def symbol_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snapshots = parse.check_snapshots(parse.require_parsed(parse.parse_snapshots(files.captured(spark, samples.FILES))))
+    return parse.symbols(snapshots).select("path", "kind", "qualified_name", "contract_fp", "implementation_fp", "documentation_fp")
+
+
+@native
+def module_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.score_modules(_modules(spark)).withColumn("undocumented", F.array_join("undocumented", ","))
+
+
+@native
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.report(score.score_modules(_modules(spark)), "markdown")
+
+
+@native
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.sections(files.captured(spark, samples.DOCUMENTS))
+    return found.withColumns({"code_spans": F.to_json("code_spans"), "link_targets": F.to_json("link_targets")})
+
+
+def sample_changes(spark: SparkSession) -> DataFrame:
+    pairs = spark.createDataFrame([samples.changed("src/prices.py", "rate: float = 1.0", "rate: float = 1.0, tax: float = 0.0"), samples.changed("src/shop.ts", "this.stock > 0", "this.stock > 1")], FILE_CHANGE)
+    sides = []
+    for side in ("before", "after"):
+        source = pairs.select(F.col(f"{side}_path").alias("path"), F.col(f"{side}_content").alias("content"))
+        sides.append(parse.symbols(parse.parse_snapshots(source)).withColumnRenamed("path", "file_id"))
+    return diff.compare_symbols(pairs, *sides)
+
+
+@native
+def code_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_changes(spark).select("id", "category", "risk", F.array_join("changed_facets", ",").alias("facets"))
+
+
+@native
+def documentation_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = mapping.map_documentation(sample_changes(spark), sections.sections(files.captured(spark, samples.DOCUMENTS)))
+    return mapped.withColumns({c: F.to_json(c) for c in ("direct_references", "recommendations")})
+
+
+@native
+def generated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modules = _modules(spark)
+    kinds = {"readme": generate.readme(modules, "shop"), "api": generate.api_docs(modules), "diagram": generate.diagram(modules)}
+    out = None
+    for kind, df in kinds.items():
+        row = df.select(F.lit(kind).alias("kind"), "content")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@native
+def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.import_edges(_modules(spark)).withColumn("names", F.array_join("names", ","))
