@@ -34,6 +34,10 @@ def coverage(symbols: DataFrame, key: str = "file") -> DataFrame:
         count(text.is_stub(F.col("doc"))).alias("low_quality"),
         F.array_sort(F.collect_list(F.when(named & ~text.is_documented(F.col("doc")), F.col("name")))).alias("undocumented"),
     )
+    zero = F.lit(0).cast("bigint")  # without any rows a rollup has no total row
+    none = symbols.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    none = none.select(F.lit(None).cast(symbols.schema[key].dataType).alias(key), F.lit(True), zero, zero, zero, F.array().cast("array<string>"))
+    out = out.union(none)
     share = text.percent(F.col("documented"), F.col("total"))
     out = out.withColumn("coverage", share).withColumn("band", text.band(F.col("coverage")))
     return out.withColumn("undocumented", F.when(F.col("is_total"), F.array().cast("array<string>")).otherwise(F.col("undocumented")))
