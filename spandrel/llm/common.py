@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
-import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,11 +56,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: they stay until both sides have collected their garbage.
+
+    The driver hears of what Python has dropped only after a while, hence twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
+
+
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
+    release(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,10 +91,6 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def crc_of_id(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values (the finaliser of splitmix64)."""
     h = h.astype(np.uint64, copy=True)

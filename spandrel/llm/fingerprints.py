@@ -147,7 +147,7 @@ def settle(answers: DataFrame, hot: int) -> DataFrame:
 class _Count:
     """Of each window the number of places where it stands, its words compared in full."""
 
-    combine = "sum"
+    combine, within = "sum", True
 
     def __init__(self, length: int):
         self.length = length

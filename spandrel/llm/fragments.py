@@ -28,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import Bounded, durable, mix64, prepare
+from spandrel.llm.common import Bounded, durable, mix64, prepare, release
 
 #: Text of a chunk, and of all chunks for each bucket, in bytes; and the least number of buckets.
-CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 24 << 20, 64
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8 << 20, 64
 #: A hash that more chunks than this hold is compared window by window.
 HOT_CHUNKS = 500
+#: Units that are hashed at a time.
+BLOCK = 1 << 15
 
 
 def to_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -123,31 +125,41 @@ class Units:
         return mix64(out)
 
     def anchors(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each anchor in order: its hash, its place, and the first and last start of the windows it owns."""
-        none = np.zeros(0, np.int64)
-        width = self.length - self.gram + 1
-        h = self.grams(codes)
+        """For each anchor in order: its hash, its place, and the first and last start of the windows it owns.
+
+        The codes are worked through in blocks that fit a processor's cache.
+        """
         n = len(codes) - self.length + 1
-        if n <= 0:
+        whole = np.ones(max(n, 0), bool)  # windows inside one document
+        for end in bounds[1:-1].tolist():
+            whole[max(0, end - self.length + 1) : max(0, min(n, end))] = False
+        parts = [self._block(codes, a, min(a + BLOCK, n), whole) for a in range(0, n, BLOCK)]
+        parts = [p for p in parts if len(p[0])]
+        if not parts:
+            none = np.zeros(0, np.int64)
             return np.zeros(0, np.uint64), none, none, none
+        h, place, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+        again = np.concatenate([[False], (place[1:] == place[:-1]) & (first[1:] == last[:-1] + 1)])  # across blocks
+        keep = np.flatnonzero(~again)
+        return h[keep], place[keep], first[keep], last[np.concatenate([keep[1:] - 1, [len(h) - 1]])]
+
+    def _block(self, codes: np.ndarray, a: int, z: int, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+        """anchors() of the windows that start from a to z."""
+        h = self.grams(codes[a : z + self.length - 1])
         low = np.uint64((1 << 32) - 1)
         least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # by hash, then by place: the leftmost of equals
-        done = 1
+        done, width = 1, self.length - self.gram + 1
         while done < width:
             step = min(done, width - done)
             least = np.minimum(least[: len(least) - step], least[step:])
             done += step
-        owner = (least[:n] & low).astype(np.int64)
-        whole = np.ones(n, bool)  # windows inside one document
-        for end in bounds[1:-1].tolist():
-            whole[max(0, end - self.length + 1) : max(0, min(n, end))] = False
-        starts = np.flatnonzero(whole)
+        starts = np.flatnonzero(whole[a:z])
+        owner = (least[starts] & low).astype(np.int64)
         if not len(starts):
-            return np.zeros(0, np.uint64), none, none, none
-        owner = owner[starts]
+            return h[:0], owner, starts, starts
         new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         last = np.concatenate([new[1:] - 1, [len(starts) - 1]])
-        return h[owner[new]], owner[new], starts[new], starts[last]
+        return h[owner[new]], owner[new] + a, starts[new] + a, starts[last] + a
 
     def content(self, own: list, bounds: np.ndarray, document: int, first: int, last: int) -> bytes:
         """The text that the windows starting from first to last cover."""
@@ -179,6 +191,8 @@ def read48(data: bytes) -> np.ndarray:
 
 def split_by(buckets: np.ndarray) -> Iterable[tuple[int, np.ndarray]]:
     """(bucket, places) for each bucket, places in their order."""
+    if not len(buckets):
+        return ()
     order = np.argsort(buckets, kind="stable")
     values, first = np.unique(buckets[order], return_index=True)
     return zip(values.tolist(), np.split(order, first[1:]), strict=True)
@@ -208,7 +222,7 @@ def own_hashes(h: np.ndarray, document: np.ndarray, twice_within: bool) -> tuple
     """Distinct hashes in order, and of each whether it is in two documents (or twice in one, if that counts)."""
     if not len(h):
         return h, np.zeros(0, np.uint8)
-    order = np.lexsort((document, h))
+    order = np.argsort(h, kind="stable")  # documents come in order, so they stay so
     h, document = h[order], document[order]
     new = np.concatenate([[True], h[1:] != h[:-1]])
     other = np.concatenate([[False], ~new[1:] & ((document[1:] != document[:-1]) | twice_within)])
@@ -252,8 +266,8 @@ def find_repeated(chunks: DataFrame, units: Units, buckets: int, text: str, twic
 def entries(chunks: DataFrame, found: DataFrame, units: Units, buckets: int, text: str, rank: Callable[[pa.Table], np.ndarray]) -> DataFrame:
     """What chunks send of anchors whose hash repeats, and what they keep.
 
-    Rows with bucket >= 0: first, number, value (packed arrays: entry numbers, numbers of windows, and the
-    least rank or the count of the entry's occurrences in this chunk) and texts. A row with bucket -1 is kept
+    Rows with bucket >= 0: entry, number, value, anchor (packed arrays: entry numbers, numbers of windows, the
+    least rank or the count of the entry's occurrences in this chunk, its anchor's hash) and texts, compressed. A row with bucket -1 is kept
     for the chunk itself: the entry number and first window of every occurrence.
     """
     per = found.groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("state").alias("state"))
@@ -275,7 +289,7 @@ def entries(chunks: DataFrame, found: DataFrame, units: Units, buckets: int, tex
                 document = np.searchsorted(bounds, place[pick], "right") - 1
                 ranks = rank(table)
                 seen: dict[tuple, int] = {}
-                target, number, value, texts, kept_entry, kept_start = [], [], [], [], [], []
+                target, number, value, anchor, texts, kept_entry, kept_start = [], [], [], [], [], [], []
                 bucket = bucket_of(h[pick], buckets).tolist()
                 for j, d, b_ in zip(pick.tolist(), document.tolist(), bucket, strict=True):
                     a, z = int(first[j]), int(last[j])
@@ -291,6 +305,7 @@ def entries(chunks: DataFrame, found: DataFrame, units: Units, buckets: int, tex
                             target.append(to)
                             number.append(e - s + 1)
                             value.append(int(ranks[d]) if ranks is not None else 1)
+                            anchor.append(key[0])
                             texts.append(body)
                         elif ranks is not None:
                             value[k] = min(value[k], int(ranks[d]))
@@ -298,24 +313,43 @@ def entries(chunks: DataFrame, found: DataFrame, units: Units, buckets: int, tex
                             value[k] += 1
                         kept_entry.append(k)
                         kept_start.append(s)
-                rows = [(-1, chunk, np.array(kept_entry, "<i4").tobytes(), np.array(kept_start, "<i4").tobytes(), np.array([len(target)], "<i8").tobytes(), [])]
-                number_, value_ = np.array(number, "<i4"), np.array(value, "<i8")
-                for k, places in split_by(np.array(target, np.int64)) if target else ():
-                    rows.append((k, chunk, places.astype("<i4").tobytes(), number_[places].tobytes(), value_[places].tobytes(), [texts[i] for i in places.tolist()]))
+                rows = [(-1, chunk, np.array(kept_entry, "<i4").tobytes(), np.array(kept_start, "<i4").tobytes(), b"", b"", b"")]
+                number_, value_, anchor_ = np.array(number, "<i4"), np.array(value, "<i8"), np.array(anchor, "<u8")
+                for k, places in split_by(np.array(target, np.int64)):
+                    rows.append((k, chunk, places.astype("<i4").tobytes(), number_[places].tobytes(), value_[places].tobytes(), write48(anchor_[places]), press([texts[i] for i in places.tolist()])))
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.list_(pa.binary()))],
-                    names=["bucket", "chunk", "entry", "number", "value", "texts"],
+                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.binary())],
+                    names=["bucket", "chunk", "entry", "number", "value", "anchor", "texts"],
                 )
 
-    return durable(joined.mapInArrow(run, "bucket long, chunk long, entry binary, number binary, value binary, texts array<binary>"), "entries")
+    return durable(joined.mapInArrow(run, "bucket long, chunk long, entry binary, number binary, value binary, anchor binary, texts binary"), "entries")
+
+
+def press(texts: list[bytes]) -> bytes:
+    """Byte strings as one compressed value."""
+    import zstandard
+
+    lengths = np.array([len(texts), *map(len, texts)], "<i4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(lengths + b"".join(texts))
+
+
+def unpress(data: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw[:4], "<i4")[0])
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw[4 : 4 + 4 * n], "<i4"), dtype=np.int64)).tolist()
+    return [raw[a:z] for a, z in zip([4 + 4 * n, *ends[:-1]], ends, strict=False)] if n else []
 
 
 def judge(sent: DataFrame, decide: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Rows (chunk, entry, number, verdict): of each window of each entry the value that decide() gives.
 
-    decide(texts, numbers, values) gets the distinct texts of a bucket, their numbers of windows and the least
-    or summed values of their entries; it returns the value of every window, in order.
+    Windows are equal only if their anchors are, so a text whose anchor no other text has gets one value for all
+    its windows (unless decide.within says that a text can repeat a window itself). decide(texts, numbers, values)
+    gets the other distinct texts of a bucket, their numbers of windows and the least or summed values of their
+    entries; it returns the value of every window, in order.
     """
     def run(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_pylist()
@@ -323,7 +357,7 @@ def judge(sent: DataFrame, decide: Callable[[list[bytes], np.ndarray, np.ndarray
         number = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("number").to_pylist()])
         value = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("value").to_pylist()])
         numbers_of: dict[bytes, int] = {}
-        which = np.fromiter((numbers_of.setdefault(t, len(numbers_of)) for own in table.column("texts").to_pylist() for t in own), np.int64, len(number))
+        which = np.fromiter((numbers_of.setdefault(t, len(numbers_of)) for own in table.column("texts").to_pylist() for t in unpress(own)), np.int64, len(number))
         texts = list(numbers_of)
         if decide.combine == "sum":
             total = np.zeros(len(texts), np.int64)
@@ -333,7 +367,13 @@ def judge(sent: DataFrame, decide: Callable[[list[bytes], np.ndarray, np.ndarray
             np.minimum.at(total, which, value)
         sizes = np.zeros(len(texts), np.int64)
         sizes[which] = number
-        verdict = decide(texts, sizes, total)
+        anchors = np.zeros(len(texts), np.uint64)
+        anchors[which] = np.concatenate([read48(x) for x in table.column("anchor").to_pylist()])
+        _, same, often = np.unique(anchors, return_inverse=True, return_counts=True)
+        verdict = np.repeat(total, sizes)
+        mixed = (often[same] > 1) | ((sizes > 1) & decide.within)
+        if mixed.any():
+            verdict[np.repeat(mixed, sizes)] = decide([texts[i] for i in np.flatnonzero(mixed).tolist()], sizes[mixed], total[mixed])
         ends = np.cumsum(sizes)
         out, at = [], 0
         for chunk, own in zip(chunks, entry, strict=True):
@@ -368,6 +408,7 @@ def _stretch(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def conclude(chunks: DataFrame, sent: DataFrame, judged: DataFrame, units: Units, text: str, rank, marked: Callable, finish: Callable, schema) -> DataFrame:
     """finish(table, units of each row, mask of each row) for every chunk; marked(verdicts, rank) tells which windows go."""
+    release(chunks.sparkSession)
     kept = sent.where("bucket = -1").select("chunk", F.col("entry").alias("occurrence"), F.col("number").alias("start"))
     told = judged.groupBy("chunk").agg(F.collect_list("answer").alias("answers"))
     joined = chunks.select("chunk", "payload").join(kept, "chunk", "left").join(told, "chunk", "left").select("payload", "occurrence", "start", "answers")
@@ -377,7 +418,7 @@ def conclude(chunks: DataFrame, sent: DataFrame, judged: DataFrame, units: Units
             for payload, occurrence, start, replies in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 table = open_chunk(payload)
                 own, codes, bounds = units.cut(table.column(text).to_pylist())
-                edges = np.zeros(len(codes) + 1, np.int32)
+                begins = np.zeros(len(codes) + 1, np.int32)
                 if occurrence and replies:
                     entry, number, verdict = (np.concatenate(x) for x in zip(*map(_stretch, replies), strict=True))
                     first = np.zeros(int(entry.max()) + 1, np.int64)
@@ -390,10 +431,11 @@ def conclude(chunks: DataFrame, sent: DataFrame, judged: DataFrame, units: Units
                     values = verdict[np.repeat(first[occurrence], n) + step]
                     ranks = rank(table)
                     mine = ranks[np.searchsorted(bounds, windows, "right") - 1] if ranks is not None else None
-                    windows = windows[marked(values, mine)]
-                    np.add.at(edges, windows, 1)
-                    np.add.at(edges, windows + units.length, -1)
-                mask = np.cumsum(edges[:-1]) > 0
+                    begins[windows[marked(values, mine)] + 1] = 1
+                count = np.cumsum(begins)  # of windows that go, by start
+                mask = count[1:].copy()
+                mask[units.length :] -= count[1 : len(mask) - units.length + 1]
+                mask = mask > 0
                 yield from finish(table, own, [mask[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
 
     return joined.mapInArrow(run, schema)

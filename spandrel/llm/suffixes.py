@@ -111,7 +111,7 @@ def deep_shallow(text: bytes, starts: np.ndarray, length: int, shallow: int = SH
 class _LeastRank:
     """Of each window the least rank of all documents that hold it."""
 
-    combine = "least"
+    combine, within = "least", False
 
     def __init__(self, length: int):
         self.length = length
