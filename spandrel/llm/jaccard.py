@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +16,9 @@ from spandrel.llm.common import Bounded, components, durable, forget, mix64, pre
 WIDTH = 3
 #: Two sets link when PER_CENT * union <= 100 * intersection.
 PER_CENT = 90
-#: Shingles that repeat in a bounded sample of documents come last in the order of shingles. The sample and
-#: its list bound what is sent to the workers; they change how many candidates there are, never the result.
-SAMPLE_DOCS, SAMPLE_REPEATS, SAMPLE_LIST = 20_000, 3, 400_000
+#: Shingles of all documents are counted in a table of 2 ** SKETCH_BITS counters, whatever the input's size; those
+#: whose counter is larger come later in the order of shingles. That makes fewer candidates and changes no result.
+SKETCH_BITS, SKETCH_BLOCKS = 22, 64
 #: A posting list is cut into this many parts for chaining, so a very long one is not one task's.
 SALTS = 64
 #: Lists with more parts of different components than LONG are compared in blocks of BLOCK, the others by pairs.
@@ -59,13 +60,10 @@ def digest(sorted_hashes: np.ndarray, more: bytes = b"") -> int:
     return int.from_bytes(hashlib.blake2b(sorted_hashes.tobytes() + more, digest_size=8).digest(), "little", signed=True)
 
 
-def ordered(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Sorted hashes with the frequent ones moved to the end: one order for all sets."""
-    if not len(frequent):
-        return hashes
-    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-    late = frequent[at] == hashes
-    return np.concatenate([hashes[~late], hashes[late]])
+def ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Sorted hashes by the level of their counter, then by hash: one order for all sets."""
+    level = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    return hashes[np.argsort(level, kind="stable")]
 
 
 def prefix_size(n: int, per_cent: int) -> int:
@@ -73,26 +71,36 @@ def prefix_size(n: int, per_cent: int) -> int:
     return n - -(-per_cent * n // 100) + 1
 
 
-def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles of at least SAMPLE_REPEATS of the SAMPLE_DOCS documents whose hashed ids are least."""
-    chosen = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id").distinct()
-    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
+    """Of each counter of the sketch the binary logarithm of its count, as one byte: 2 ** SKETCH_BITS bytes."""
+    size, per = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_BLOCKS
 
-    def run(batches):
-        own = shingler(width)
+    def count(batches):
+        own, total = shingler(width), np.zeros(size, np.uint32)
         for b in batches:
-            found = [own.hashes(t) for t in b.column(1).to_pylist()]
-            each, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n, pa.int64())], names=["t", "n"])
-
-    counts = sample.select("doc_id", "text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= SAMPLE_REPEATS).orderBy(F.desc("n"), "t").limit(SAMPLE_LIST).toPandas()
-    return np.sort(top["t"].to_numpy(np.int64).view(np.uint64))
-
-
-def describe(docs: DataFrame, width: int, per_cent: int, frequent: np.ndarray) -> DataFrame:
+            found = [own.hashes(t) for t in b.column(0).to_pylist()]
+            if found:
+                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
+        blocks = [zstandard.ZstdCompressor(level=1).compress(total[i * per : (i + 1) * per].tobytes()) for i in range(SKETCH_BLOCKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(per, np.uint64)
+        for x in rows.column("counts").to_pylist():
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32)
+        level = np.log2(total.astype(np.float64) + 1).astype(np.uint8)
+        return pa.table([rows.column("block").slice(0, 1), pa.array([level.tobytes()], pa.binary())], names=["block", "levels"])
+
+    parts = docs.select("text").mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(add, "block long, levels binary")
+    out = np.zeros(size, np.uint8)
+    for r in parts.collect():
+        out[r.block * per : (r.block + 1) * per] = np.frombuffer(r.levels, np.uint8)
+    return out
+
+
+def describe(docs: DataFrame, width: int, per_cent: int, levels: np.ndarray) -> DataFrame:
     """Of each row: doc_id, n shingles, c (key of the set), g (key of prefix and size), and twice the prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)  # SAMPLE_LIST numbers at most
+    held = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** SKETCH_BITS bytes
 
     def run(batches):
         own, late = shingler(width), held.value
@@ -243,7 +251,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT
     """
     prepare(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    rows = durable(describe(docs, width, per_cent, frequent_shingles(docs, width)), "rows")
+    rows = durable(describe(docs, width, per_cent, frequency_levels(docs, width)), "rows")
     classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("g").alias("g"), F.first("head").alias("head"))
     classes = durable(classes.where("rep is not null"), "classes")
     sized = F.expr(f"100 * least(n_a, n_b) >= {per_cent} * greatest(n_a, n_b)")
@@ -296,7 +304,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT
     named = classes.select("c", "rep").join(final.select(F.col("id").alias("c"), "component"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = named.join(least, "component").select("c", "component_id")
-    out = rows.where("n > 0").select("doc_id", "n", "c").join(by_class, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = rows.where("n > 0").select("doc_id", "n", "c").join(by_class, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
