@@ -102,6 +102,17 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_HELD: list = [None]
+
+
+def hold(memo) -> None:
+    """Make memo the one that keeps what it has in this worker: workers live on from operator to operator."""
+    if _HELD[0] is not memo:
+        if _HELD[0] is not None:
+            _HELD[0].clear()
+        _HELD[0] = memo
+
+
 class Bounded(dict):
     """A memo that empties itself when it is full; make() computes what is missing."""
 
@@ -112,6 +123,7 @@ class Bounded(dict):
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= self.longest:
+            hold(self)
             if len(self) >= self.most:
                 self.clear()
             self[key] = value

@@ -167,7 +167,7 @@ class Units:
         return b" ".join(own[document][a:b]) if self.words else own[document][a:b]
 
 
-_WORDS = Bounded(xxhash.xxh3_64_intdigest, most=500_000)
+_WORDS = Bounded(xxhash.xxh3_64_intdigest, most=250_000)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:

@@ -30,7 +30,7 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.words = Bounded(xxhash.xxh3_64_intdigest, most=500_000)
+        self.words = Bounded(xxhash.xxh3_64_intdigest, most=250_000)
 
     def hashes(self, text: str | None) -> np.ndarray:
         """Distinct hashed shingles, sorted; of a text with fewer words the whole, of one without words none."""

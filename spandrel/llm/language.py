@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import Bounded, id_crc, prepare, table
+from spandrel.llm.common import hold, id_crc, prepare, table
 
 #: The bounded sample that the network is trained on: documents, and words of each.
 TRAIN_DOCS = 3000
@@ -204,17 +204,21 @@ def train_tagger(docs: DataFrame, most_docs: int = TRAIN_DOCS, most_words: int =
 class _Pool:
     """Sums over the bytes of documents, with a bounded memo of words."""
 
-    def __init__(self, tagger: ByteTagger, most: int = 250_000):
+    def __init__(self, tagger: ByteTagger, most: int = 150_000):
         self.tagger, self.most = tagger, most
         self.at: dict[str, int] = {}
         self.sums = np.zeros((0, len(tagger.languages) + 1), "f4")
 
+    def clear(self) -> None:
+        self.at, self.sums = {}, self.sums[:0].copy()
+
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """For each text: the summed log-probabilities of its bytes, and the number of them."""
+        hold(self)
         runs = [segments(t) if t else [] for t in texts]
         missing = list({w for own in runs for w in own if w not in self.at})
         if len(self.at) + len(missing) > self.most:
-            self.at, self.sums = {}, self.sums[:0]
+            self.clear()
             missing = list({w for own in runs for w in own})
         if missing:
             coded = [w.encode("utf-8", "replace") for w in missing]

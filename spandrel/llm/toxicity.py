@@ -77,7 +77,7 @@ class Model:
     weights: tuple[float, ...] = (-3.0, 1.0, 0.0, 0.0)
 
     def __post_init__(self):
-        self.memo = Bounded(self.score, most=400_000)
+        self.memo = Bounded(self.score, most=250_000)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
