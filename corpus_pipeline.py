@@ -26,14 +26,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.screen(docs, language.train_tagger(docs.where(~language.held_out())))
 
 
-def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+#: Near copies of the pipeline share so many per cent of their shingles of so many words. (Operator 10 by itself has
+#: a contract of its own, 3 words and 90 %.)
+NEAR_WIDTH, NEAR_PER_CENT = 5, 80
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = jaccard.WIDTH, per_cent: int = jaccard.PER_CENT) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id; rows without one stay."""
-    linked = jaccard.link_documents(docs)
+    linked = jaccard.link_documents(docs, width=width, per_cent=per_cent)
     kept = linked.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.select(docs.columns).union(docs.where("doc_id is null"))
 
 
+def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """near_copy_stage with the pipeline's own width and similarity."""
+    return near_copy_stage(spark, docs, sf_dir, NEAR_WIDTH, NEAR_PER_CENT)
+
+
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that stand more than once; a text that has none is left as it is."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
@@ -53,7 +63,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("toxicity", toxicity_stage),
     ("language_id", language_stage),
-    ("ngram_jaccard", near_copy_stage),
+    ("ngram_jaccard", ngram_jaccard_stage),
     ("substring_dedup", passage_stage),
     ("packing", packing_stage),
 ]
