@@ -18,6 +18,8 @@ OFFERS = 3
 AUDIT, RECALL = 256, 0.98
 #: Vectors of a block when all pairs inside a component are compared.
 BLOCK = 1024
+#: Bytes of a block when vectors of different components are compared.
+SPAN_BYTES = 8 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -132,14 +134,60 @@ def _inside(named: DataFrame, units: DataFrame, d: int, threshold: float) -> Dat
     return cut.groupBy("component", "one", "two").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _across(named: DataFrame, units: DataFrame, n: int, d: int, threshold: float) -> DataFrame:
+    """Links (a, b) that join different components: all pairs of vectors, block by block.
+
+    Blocks hold about SPAN_BYTES; each pair of blocks is a group of its own, and only links that join what is not
+    joined yet leave it, fewer than it has vectors.
+    """
+    blocks = max(1, -(-n // max(BLOCK, SPAN_BYTES // (8 * d))))
+    cut = units.join(named.select("id", "component"), "id", "left").select("id", "unit", F.coalesce("component", "id").alias("comp"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cut = cut.select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp", "unit")
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, block, x = rows.column("id").to_numpy(), rows.column("block").to_numpy(), matrix(rows.column("unit"), d)
+        one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+        a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        names, label = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
+        parent, other, out = np.arange(len(names)), x[b], []
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = int(parent[parent[k]])
+            return k
+
+        for i in range(0, len(a), 256):
+            rows_ = a[i : i + 256]
+            link = x[rows_] @ other.T >= threshold
+            link &= label[rows_][:, None] != label[b][None]
+            at, to = np.nonzero(link)
+            if not len(at):
+                continue
+            at, to = rows_[at], b[to]
+            _, first = np.unique(label[at] * len(names) + label[to], return_index=True)
+            for p, q in zip(at[first].tolist(), to[first].tolist(), strict=True):
+                k, m = root(int(label[p])), root(int(label[q]))
+                if k != m:
+                    parent[max(k, m)] = min(k, m)
+                    out.append((ids[p], ids[q]))
+            label = np.array([root(k) for k in range(len(names))])[label]
+        left, right = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return durable(cut.groupBy("one", "two").applyInArrow(run, "a long, b long"), "across")
+
+
 def near_copies(vectors: DataFrame, threshold: float = 0.9, rounds: int = ROUNDS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
 
     1. Equal vectors are one class. 2. Every class begins with a list of neighbours from random partitions.
     3. In each round the neighbours of a vector are compared with each other and lists keep the best; a list
     that is full of links is doubled. 4. Links of the lists give components; an audit compares AUDIT vectors
-    with all others, and rounds go on until RECALL of their links lie inside components. 5. Inside components
-    all pairs are compared, so every link there counts and none below the threshold.
+    with all others, and rounds go on until RECALL of their links lie inside components. 5. All pairs of vectors
+    of different components are compared in blocks, so links that the rounds missed join components too. 6. Inside
+    components all pairs are compared, so every link counts and none below the threshold.
 
     Vectors that usable() leaves out link with nothing. Rows that repeat a vec_id are taken as one vector each;
     a null vec_id stays null and links with nothing. Empty tables give an empty result.
@@ -194,6 +242,9 @@ def near_copies(vectors: DataFrame, threshold: float = 0.9, rounds: int = ROUNDS
         sizes = full.select("a", F.when((F.col("k") >= F.col("size")) & (F.col("worst") >= threshold), 2 * F.col("size")).otherwise(F.col("size")).alias("size"))
         lists = durable(_top(lists.select("a", "b", "s").union(_descend(lists, plain, d)), sizes), "lists")
 
+    more = _across(named, plain, count, d, threshold)
+    if not more.isEmpty():
+        named = durable(components(more.union(named.select("id", "component"))), "known")
     named = named.join(units.select("id", "n"), "id")
     inside = _inside(named, plain, d, threshold)
     groups = units.select("id", "n").join(named.select("id", "component"), "id", "left").join(inside, "id", "left")
