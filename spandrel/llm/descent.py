@@ -14,8 +14,6 @@ from spandrel.llm.vectors import matrix, usable
 LIST, STARTS, PART, ROUNDS = 8, 2, 512, 6
 #: A part tells each vector of this many better neighbours at a time.
 OFFERS = 3
-#: Vectors that the audit compares with all; the rounds end when so great a share of their links is found.
-AUDIT, RECALL = 256, 0.98
 #: Vectors of a block when all pairs inside a component are compared.
 BLOCK = 1024
 #: Bytes of a block when vectors of different components are compared.
@@ -184,10 +182,10 @@ def near_copies(vectors: DataFrame, threshold: float = 0.9, rounds: int = ROUNDS
 
     1. Equal vectors are one class. 2. Every class begins with a list of neighbours from random partitions.
     3. In each round the neighbours of a vector are compared with each other and lists keep the best; a list
-    that is full of links is doubled. 4. Links of the lists give components; an audit compares AUDIT vectors
-    with all others, and rounds go on until RECALL of their links lie inside components. 5. All pairs of vectors
-    of different components are compared in blocks, so links that the rounds missed join components too. 6. Inside
-    components all pairs are compared, so every link counts and none below the threshold.
+    that is full of links is doubled. 4. Links of the lists give components; rounds go on until one joins nothing
+    more. 5. All pairs of vectors of different components are compared in blocks, so links that the rounds missed
+    join components too, however few they are; no sample decides. 6. Inside components all pairs are compared, so
+    every link counts and none below the threshold.
 
     Vectors that usable() leaves out link with nothing. Rows that repeat a vec_id are taken as one vector each;
     a null vec_id stays null and links with nothing. Empty tables give an empty result.
@@ -218,25 +216,12 @@ def near_copies(vectors: DataFrame, threshold: float = 0.9, rounds: int = ROUNDS
         more = _begin(plain, count, d, seed + 1)
         start = more if start is None else start.union(more)
     lists = durable(_top(start, None), "lists")
-    chosen = [(r.id, r.unit) for r in plain.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()]
-    asked, probe = np.array([c[0] for c in chosen]), np.array([c[1] for c in chosen])
-
-    def audit(batches):
-        for b in batches:
-            ids, x = b.column(0).to_numpy(), matrix(b.column(1), d)
-            at, to = np.nonzero(probe @ x.T >= threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(asked[at], pa.int64()), pa.array(ids[to], pa.int64())], names=["a", "b"])
-
-    truth = durable(plain.mapInArrow(audit, "a long, b long").where("a <> b"), "audit")
-    total = truth.count()
+    joined = -1
     for turn in range(rounds + 1):
         links = lists.where(F.col("s") >= threshold).select("a", "b")
         named = durable(components(links), "known")
-        lost = 0
-        if total:
-            one, two = (named.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
-            lost = truth.join(one, "a", "left").join(two, "b", "left").where("c_a is null or c_b is null or c_a <> c_b").count()
-        if (turn and lost <= (1 - RECALL) * total) or turn == rounds:
+        before, joined = joined, named.where("id <> component").count()
+        if turn == rounds or joined == before:
             break
         full = lists.groupBy("a").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("k"), F.min("s").alias("worst"))
         sizes = full.select("a", F.when((F.col("k") >= F.col("size")) & (F.col("worst") >= threshold), 2 * F.col("size")).otherwise(F.col("size")).alias("size"))

@@ -29,6 +29,10 @@ def test_isolated_pairs(spark):
     compare(spark, pairs(8000, 60))
 
 
+def test_few_links(spark):
+    compare(spark, pairs(6000, 4, seed=9))
+
+
 def test_blocks_of_the_comparison(spark, monkeypatch):
     monkeypatch.setattr(descent, "SPAN_BYTES", 0)
     compare(spark, pairs(3000, 30, seed=8), rounds=0)
