@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spandrel.llm.common import components, durable, prepare, table
-from spandrel.llm.vectors import matrix, usable
+from spandrel.llm.vectors import FINITE, matrix, usable
 
 #: Neighbours of a list at first, random partitions that the lists begin with and their size, rounds.
 LIST, STARTS, PART, ROUNDS = 8, 2, 512, 6
@@ -187,27 +187,27 @@ def near_copies(vectors: DataFrame, threshold: float = 0.9, rounds: int = ROUNDS
     join components too, however few they are; no sample decides. 6. Inside components all pairs are compared, so
     every link counts and none below the threshold.
 
-    Vectors that usable() leaves out link with nothing. Rows that repeat a vec_id are taken as one vector each;
-    a null vec_id stays null and links with nothing. Empty tables give an empty result.
+    Vectors that usable() leaves out link with nothing. Rows that repeat a vec_id are one vector each, and each row
+    has the links and the component of its own vector; a null vec_id stays null and links with nothing. Empty tables give an empty result.
     """
     prepare(vectors.sparkSession)
     clean = durable(usable(vectors), "vectors")
     first = clean.first()
     d = len(first.embedding) if first else 0
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     if not d:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
-    classes = clean.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    # a class has a key of its own, written once: several can have the same least vec_id if rows repeat it
+    classes = clean.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = durable(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     def unit(batches):
         for b in batches:
             x = _unit(matrix(b.column(2), d))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float64()))], names=["id", "n", "unit"])
 
-    # two classes can have the same least vec_id only if rows repeat it; the second then gets no list of its own
-    held = classes.select("id", "n", "embedding").mapInArrow(unit, "id long, n long, unit array<double>")
-    units = durable(held.dropDuplicates(["id"]), "units")
+    units = durable(classes.select("id", "n", "embedding").mapInArrow(unit, "id long, n long, unit array<double>"), "units")
     members = clean.join(classes.select("embedding", F.col("id").alias("class")), "embedding").select("vec_id", "class")
     count = units.count()
     plain = units.select("id", "unit")
@@ -232,12 +232,13 @@ def near_copies(vectors: DataFrame, threshold: float = 0.9, rounds: int = ROUNDS
         named = durable(components(more.union(named.select("id", "component"))), "known")
     named = named.join(units.select("id", "n"), "id")
     inside = _inside(named, plain, d, threshold)
-    groups = units.select("id", "n").join(named.select("id", "component"), "id", "left").join(inside, "id", "left")
-    groups = groups.select(F.col("id").alias("class"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    found = members.join(groups, "class").groupBy("vec_id").agg(F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
-    out = rows.join(found, "vec_id", "left")
-    own = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+    groups = classes.select("id", "least", "n").join(named.select("id", "component"), "id", "left").join(inside, "id", "left")
+    groups = groups.select(F.col("id").alias("class"), "least", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = members.join(groups.join(least, "component").select("class", "component_id", "n_links"), "class").select("vec_id", "n_links", "component_id")
+    others = rows.where(~F.coalesce(F.expr(FINITE) & (F.size("embedding") == d), F.lit(False)))
+    out = linked.union(others.select("vec_id", F.lit(0).cast("bigint"), "vec_id"))
+    return out.select("vec_id", F.col("n_links").cast("bigint").alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,12 @@ def test_few_links(spark):
 def test_blocks_of_the_comparison(spark, monkeypatch):
     monkeypatch.setattr(descent, "SPAN_BYTES", 0)
     compare(spark, pairs(3000, 30, seed=8), rounds=0)
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a), (1, b), (1, c), (2, a), (3, b), (4, [0.0, 1.0, 0.1]), (5, c), (6, None), (6, a)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in descent.near_copies(vectors(spark, rows)).collect())
+    # a: rows of 1, 2, 6; b: rows of 1, 3 and its link 4; c: rows of 1, 5
+    want = [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+    assert got == want + [(5, 1, 1, False), (6, 0, 6, True), (6, 2, 1, False)]
