@@ -104,12 +104,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, m: int = DIMENSIONS,
     """query_id, rank, vec_id, score: the k vectors of largest inner product found for each query.
 
     Both tables have vec_id and embedding; a query's own id is no candidate for it (nor are other rows of the
-    same id). Vectors that usable() leaves out take no part. Index shards and query blocks are of bounded
+    same id). Rows of equal id and vector are one candidate. Vectors that usable() leaves out take no part. Index shards and query blocks are of bounded
     size; each pair of a shard and a block is one task's. If there are fewer candidates than k, all are given; a
     query without any gives no row, empty tables give an empty result, other columns are not looked at.
     """
     prepare(vectors.sparkSession)
-    data, asked = usable(vectors), usable(queries)
+    data, asked = usable(vectors).dropDuplicates(["vec_id", "embedding"]), usable(queries).dropDuplicates(["vec_id", "embedding"])
     n, n_queries = data.count(), asked.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n_queries // block))
     first = data.first()
