@@ -2,87 +2,164 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import components, durable, prepare, table
-from spandrel.llm.vectors import FINITE, matrix, usable
-
-#: Neighbours of a list at first, random partitions that the lists begin with and their size, rounds.
-LIST, STARTS, PART, ROUNDS = 8, 2, 512, 6
-#: A part tells each vector of this many better neighbours at a time.
-OFFERS = 3
-#: Vectors of a block when all pairs inside a component are compared.
-BLOCK = 1024
-#: Bytes of a block when vectors of different components are compared.
-SPAN_BYTES = 8 << 20
+from spandrel.llm.common import components, durable, forget, prepare, table
+from spandrel.llm.vectors import FINITE, dealt, matrix, usable
+
+#: Neighbours of a list at first, and at most: a list is doubled whenever it is full of links.
+LIST, MOST_LIST = 8, 64
+#: Vectors of a part of a random partition, and partitions that a round adds to the lists.
+PART, TABLES = 512, 4
+#: The chance that all partitions together part a pair that is just at the threshold; it fixes their number.
+MISS = 1e-3
+#: Directions of one level of a partition, at most.
+DIRECTIONS = 128
+#: Vectors of the audit, the recall that ends the rounds, and the least that is ever accepted.
+AUDIT, RECALL, LEAST_RECALL = 512, 0.98, 0.9
+#: Rounds that may follow after the partitions.
+ROUNDS = 12
+#: Vectors of a block when a crowded component is counted.
+BLOCK = 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _top(candidates: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """The best candidates (a, b, s) of each a, as many as its list holds."""
-    order = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    once = candidates.groupBy("a", "b").agg(F.max("s").alias("s"))
-    if sizes is not None:
-        once = once.join(sizes, "a", "left").withColumn("size", F.coalesce("size", F.lit(LIST)))
-    else:
-        once = once.withColumn("size", F.lit(LIST))
-    return once.withColumn("at", F.row_number().over(order)).where("at <= size").select("a", "b", "s", "size")
+def _rows(out: list[tuple]) -> pa.Table:
+    a, b, s = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "s"])
+
+
+def _top(candidates: DataFrame, threshold: float) -> DataFrame:
+    """The best candidates (a, b, s, size) of each a: as many as its list holds, twice that if it is full of links."""
+    once = candidates.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("size").alias("size"))
+    held = Window.partitionBy("a")
+    ranked = once.withColumn("size", F.max("size").over(held)).withColumn("at", F.row_number().over(held.orderBy(F.desc("s"), "b")))
+    links = F.sum((F.col("s") >= threshold).cast("int")).over(held)
+    grown = F.when(links >= F.col("size"), F.least(2 * F.col("size"), F.lit(MOST_LIST))).otherwise(F.col("size"))
+    return ranked.withColumn("size", grown).where("at <= size").select("a", "b", "s", "size")
+
+
+class Partition:
+    """A random partition of the sphere: at each level a vector goes to the nearest of some random directions.
+
+    There are about `cells` cells; `fine` further directions part the vectors of a cell that holds too many.
+    """
 
+    def __init__(self, d: int, cells: int, seed: int):
+        r = np.random.default_rng([seed, 77])
+        levels = max(1, int(np.ceil(np.log(max(cells, 2)) / np.log(DIRECTIONS)))) if cells > 1 else 0
+        each = max(1, int(np.ceil(cells ** (1 / levels) / 2))) if levels else 0
+        self.levels = [r.normal(size=(d, each)) for _ in range(levels)]
+        self.fine = r.normal(size=(d, DIRECTIONS // 2))
 
-def _begin(units: DataFrame, n: int, d: int, seed: int) -> DataFrame:
-    """Candidates inside parts: cells of random hyperplanes, large cells dealt out at random."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / PART))) if n > PART else 0)
-    planes = np.random.default_rng(seed).normal(size=(d, max(bits, 1)))
+    @staticmethod
+    def nearest(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+        s = x @ directions
+        k = np.abs(s).argmax(1)
+        return 2 * k + (s[np.arange(len(s)), k] > 0)
 
-    def cell(batches):
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        for directions in self.levels:
+            out = out * (2 * directions.shape[1]) + self.nearest(x, directions)
+        return out
+
+
+def partitions(n: int, d: int, threshold: float, miss: float = MISS) -> int:
+    """So many random partitions that a pair at the threshold is in one cell of at least one, but for a chance of miss.
+
+    The chance of a single partition is measured on drawn pairs.
+    """
+    cells = -(-n // PART)
+    if cells <= 1:
+        return 1
+    r = np.random.default_rng(13)
+    same = []
+    for seed in range(8):
+        x = _unit(r.normal(size=(1000, d)))
+        off = r.normal(size=(1000, d))
+        off -= (off * x).sum(1, keepdims=True) * x
+        y = threshold * x + np.sqrt(1 - threshold**2) * off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-300)
+        cut = Partition(d, cells, 1000 + seed)
+        same.append(np.mean(cut.cell(x) == cut.cell(y)))
+    return max(1, int(np.ceil(np.log(miss) / np.log1p(-min(max(float(np.mean(same)), 1e-4), 0.999999)))))
+
+
+def _parts(units: DataFrame, d: int, cells: int, seeds: range, keep: int, threshold: float, least: float) -> DataFrame:
+    """Candidates (a, b, s) inside the cells of some random partitions.
+
+    A vector gives its LIST nearest, and up to `keep` that link; none below `least`. A cell of more than twice PART
+    is parted by further directions, and what is still too large, as copies are, is dealt out at random: other
+    partitions deal it otherwise.
+    """
+    cuts = [Partition(d, cells, s) for s in seeds]
+
+    def code(batches):
         for b in batches:
             x = matrix(b.column(1), d)
-            code = ((x @ planes)[:, :bits] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(code.astype(np.int64))], names=["id", "unit", "cell"])
-
-    celled = units.mapInArrow(cell, "id long, unit array<double>, cell long")
-    counts = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * PART)).alias("deals"))
-    dealt = celled.join(counts, "cell").withColumn("deal", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("deals")))
+            for t, cut in enumerate(cuts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(cut.cell(x)), pa.array(cut.nearest(x, cut.fine)), b.column(0), b.column(1)], names=["t", "cell", "fine", "id", "unit"])
+
+    coded = units.mapInArrow(code, "t int, cell long, fine long, id long, unit array<double>")
+    if cells > 1:
+        seen = durable(coded.groupBy("t", "cell", "fine").agg(F.count(F.lit(1)).alias("k")), "cells")
+        big = seen.groupBy("t", "cell").agg(F.sum("k").alias("k")).where(F.col("k") > 2 * PART).select("t", "cell", F.ceil(F.col("k") / PART).alias("subs"))
+        sub = F.when(F.col("subs").isNull(), F.lit(0)).otherwise(F.pmod("fine", "subs"))
+        heavy = seen.join(big, ["t", "cell"], "left").withColumn("sub", sub).groupBy("t", "cell", "sub").agg(F.sum("k").alias("k")).where(F.col("k") > 2 * PART)
+        heavy = heavy.select("t", "cell", "sub", F.ceil(F.col("k") / (2 * PART)).alias("deals"))
+        coded = coded.join(big, ["t", "cell"], "left").withColumn("sub", sub).join(heavy, ["t", "cell", "sub"], "left")
+        coded = coded.withColumn("deal", F.pmod(F.xxhash64("id", "t", F.lit(seeds.start)), F.coalesce("deals", F.lit(1))))
+    else:
+        deals = F.lit(1)
+        coded = coded.withColumn("sub", F.lit(0)).withColumn("deal", deals)
 
     def run(rows: pa.Table) -> pa.Table:
         ids, x = rows.column("id").to_numpy(), matrix(rows.column("unit"), d)
         out = []
-        for i in range(0, len(x), 512):
-            s = x[i : i + 512] @ x.T
+        for i in range(0, len(x), 256):
+            s = x[i : i + 256] @ x.T
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-            k = min(LIST, len(x) - 1)
+            k = min(keep, len(x) - 1)
             if k > 0:
                 at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                out.append((np.repeat(ids[i : i + 512], k), ids[at].ravel(), np.take_along_axis(s, at, 1).ravel()))
-        c = [np.concatenate(v) for v in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], names=["a", "b", "s"])
+                got = np.take_along_axis(s, at, 1)
+                order = np.argsort(-got, axis=1)
+                at, got = np.take_along_axis(at, order, 1), np.take_along_axis(got, order, 1)
+                good = (got >= least) & ((np.arange(k)[None] < LIST) | (got >= threshold))
+                out.append((np.broadcast_to(ids[i : i + 256, None], at.shape)[good], ids[at][good], got[good]))
+        return _rows(out)
 
-    return dealt.select("cell", "deal", "id", "unit").groupBy("cell", "deal").applyInArrow(run, "a long, b long, s double")
+    return dealt(coded.select("t", "cell", "sub", "deal", "id", "unit"), "t", "cell", "sub", "deal").applyInArrow(run, "a long, b long, s double")
 
 
-def _descend(lists: DataFrame, units: DataFrame, d: int) -> DataFrame:
-    """One round: neighbours of the same vector, in either direction, are compared with each other."""
+def _descend(lists: DataFrame, units: DataFrame, d: int, least: float) -> DataFrame:
+    """One round: neighbours of the same vector, in either direction, are compared with each other.
+
+    Twice LIST neighbours of each direction take part. A vector is offered what is better than the end of its list,
+    or anything as long as the list is not full.
+    """
     ends = lists.groupBy("a").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("k"), F.max("size").alias("size"))
-    worst = ends.select(F.col("a").alias("id"), F.when(F.col("k") >= F.col("size"), F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"))
-    back = Window.partitionBy("v").orderBy(F.desc("s"), "u")
-    reverse = lists.select(F.col("b").alias("v"), F.col("a").alias("u"), "s").withColumn("at", F.row_number().over(back)).where(F.col("at") <= 2 * LIST)
-    members = lists.select(F.col("a").alias("v"), F.col("b").alias("u")).union(reverse.select("v", "u")).distinct()
-    known = units.join(worst, "id", "left").select(F.col("id").alias("u"), F.coalesce("worst", F.lit(-2.0)).alias("worst"), "unit")
+    worst = ends.select(F.col("a").alias("id"), F.when(F.col("k") >= F.col("size"), F.col("worst")).otherwise(F.lit(least)).alias("worst"))
+    both = lists.select(F.col("a").alias("v"), F.col("b").alias("u"), "s", F.lit(0).alias("way")).union(lists.select(F.col("b"), F.col("a"), "s", F.lit(1)))
+    near = Window.partitionBy("v", "way").orderBy(F.desc("s"), "u")
+    members = both.withColumn("at", F.row_number().over(near)).where(F.col("at") <= 2 * LIST).select("v", "u").distinct()
+    known = units.join(worst, "id", "left").select(F.col("id").alias("u"), F.coalesce("worst", F.lit(least)).alias("worst"), "unit")
     around = members.join(known, "u").groupBy("v").agg(F.collect_list(F.struct("u", "worst", "unit")).alias("m"))
 
     def run(batches):
         for b in batches:
             flat = b.column(0).flatten()
             ids_, worst_, unit_ = flat.field("u").to_numpy(), flat.field("worst").to_numpy(), matrix(flat.field("unit"), d)
-            ends_ = np.cumsum(np.asarray(b.column(0).value_lengths()))
             out, start = [], 0
-            for end in ends_.tolist():
+            for end in np.cumsum(np.asarray(b.column(0).value_lengths())).tolist():
                 ids, x, w = ids_[start:end], unit_[start:end], worst_[start:end]
                 start = end
                 if len(ids) < 2:
@@ -90,19 +167,49 @@ def _descend(lists: DataFrame, units: DataFrame, d: int) -> DataFrame:
                 s = x @ x.T
                 np.fill_diagonal(s, -2)
                 s[s <= w[:, None]] = -3  # no better than what the list has
-                k = min(OFFERS, len(ids) - 1)
+                k = min(LIST, len(ids) - 1)
                 at = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 got = np.take_along_axis(s, at, 1)
                 keep = got > -2.5
                 if keep.any():
                     out.append((np.broadcast_to(ids[:, None], at.shape)[keep], ids[at][keep], got[keep]))
             if out:
-                c = [np.concatenate(v) for v in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], names=["a", "b", "s"])
+                yield from _rows(out).to_batches()
 
     return around.select("m").mapInArrow(run, "a long, b long, s double")
 
 
+def _audit(lists: DataFrame, units: DataFrame, d: int, threshold: float) -> tuple[int, int]:
+    """(found, true) links of AUDIT vectors: half of them drawn from all, half from those that link.
+
+    The vectors are compared with all rows. Those whose list cannot grow any more take no part: their links are
+    counted in full anyway.
+    """
+    ends = lists.groupBy("a").agg(F.sum((F.col("s") >= threshold).cast("long")).alias("k"), F.collect_set(F.when(F.col("s") >= threshold, F.col("b"))).alias("bs"))
+    crowded = F.coalesce(F.col("k") >= MOST_LIST, F.lit(False))
+    state = units.join(ends, F.col("id") == F.col("a"), "left").where(~crowded).select("id", "unit", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("bs", F.array().cast("array<long>")).alias("bs"))
+    order = F.xxhash64("id", F.lit(29))
+    drawn = {r.id: r for part in (state, state.where("k > 0")) for r in part.orderBy(order, "id").limit(AUDIT // 2).collect()}
+    if not drawn:
+        return 0, 0
+    ids = np.array(sorted(drawn))
+    x, known = np.array([drawn[i].unit for i in ids.tolist()]), {i: set(drawn[i].bs) for i in ids.tolist()}
+
+    def scan(batches):
+        for b in batches:
+            own = b.column(0).to_numpy()
+            rows, columns = np.nonzero(matrix(b.column(1), d) @ x.T >= threshold)
+            keep = own[rows] != ids[columns]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[columns][keep], pa.int64()), pa.array(own[rows][keep], pa.int64())], names=["a", "b"])
+
+    # a link counts as found if either end has it; a vector of the audit has fewer than MOST_LIST of those
+    true = units.select("id", "unit").mapInArrow(scan, "a long, b long")
+    links = lists.where(F.col("s") >= threshold).select("a", "b")
+    links = links.union(links.select(F.col("b"), F.col("a"))).distinct().withColumn("hit", F.lit(1))
+    hit, total = true.join(links, ["a", "b"], "left").agg(F.sum(F.coalesce("hit", F.lit(0))), F.count(F.lit(1))).first()
+    return int(hit or 0), int(total)
+
+
 def _inside(named: DataFrame, units: DataFrame, d: int, threshold: float) -> DataFrame:
     """For each vector of a component, how many rows of others in it link: all pairs, block by block.
 
@@ -129,66 +236,59 @@ def _inside(named: DataFrame, units: DataFrame, d: int, threshold: float) -> Dat
                 counts[b] += n[rows_] @ link
         return pa.table([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["id", "links"])
 
-    return cut.groupBy("component", "one", "two").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return dealt(cut, "component", "one", "two").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _across(named: DataFrame, units: DataFrame, n: int, d: int, threshold: float) -> DataFrame:
-    """Links (a, b) that join different components: all pairs of vectors, block by block.
+def descend(units: DataFrame, n: int, d: int, threshold: float = 0.9, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """Lists (a, b, s, size) of the neighbours of units (id, unit), and the recall of their links.
 
-    Blocks hold about SPAN_BYTES; each pair of blocks is a group of its own, and only links that join what is not
-    joined yet leave it, fewer than it has vectors.
+    Each round adds TABLES random partitions and joins neighbours of neighbours. After all partitions() of them,
+    rounds end when they bring no more links and the audit holds. A neighbour that is farther than two links
+    apart leads to no link, so lists leave it out. If the audit ends below LEAST_RECALL this raises an error.
     """
-    blocks = max(1, -(-n // max(BLOCK, SPAN_BYTES // (8 * d))))
-    cut = units.join(named.select("id", "component"), "id", "left").select("id", "unit", F.coalesce("component", "id").alias("comp"))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cut = cut.select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp", "unit")
-
-    def run(rows: pa.Table) -> pa.Table:
-        ids, block, x = rows.column("id").to_numpy(), rows.column("block").to_numpy(), matrix(rows.column("unit"), d)
-        one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
-        a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        names, label = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
-        parent, other, out = np.arange(len(names)), x[b], []
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = k = int(parent[parent[k]])
-            return k
-
-        for i in range(0, len(a), 256):
-            rows_ = a[i : i + 256]
-            link = x[rows_] @ other.T >= threshold
-            link &= label[rows_][:, None] != label[b][None]
-            at, to = np.nonzero(link)
-            if not len(at):
-                continue
-            at, to = rows_[at], b[to]
-            _, first = np.unique(label[at] * len(names) + label[to], return_index=True)
-            for p, q in zip(at[first].tolist(), to[first].tolist(), strict=True):
-                k, m = root(int(label[p])), root(int(label[q]))
-                if k != m:
-                    parent[max(k, m)] = min(k, m)
-                    out.append((ids[p], ids[q]))
-            label = np.array([root(k) for k in range(len(names))])[label]
-        left, right = zip(*out, strict=True) if out else ((), ())
-        return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return durable(cut.groupBy("one", "two").applyInArrow(run, "a long, b long"), "across")
+    least = 2 * threshold * threshold - 1 if threshold > 0 else -2.0  # the cosine of twice the angle
+    cells, tables = max(1, -(-n // PART)), partitions(n, d, threshold)
+    spark = units.sparkSession
+    lists = spark.createDataFrame([], "a long, b long, s double, size int")
+    made, links, keep, recall = 0, -1, LIST, 1.0
+    for turn in range(-(-tables // TABLES) + rounds + 1):
+        more = None
+        if made < tables:
+            more = _parts(units, d, cells, range(made, min(made + TABLES, tables)), keep, threshold, least)
+            made = min(made + TABLES, tables)
+        if turn:
+            joined = _descend(lists, units, d, least)
+            more = joined if more is None else more.union(joined)
+        new = durable(_top(lists.union(more.withColumn("size", F.lit(LIST))), threshold), "lists")
+        forget(lists)
+        lists, keep = new, min(2 * keep, MOST_LIST)
+        before, links = links, lists.where(F.col("s") >= threshold).count()
+        if made < tables or (links != before and turn < tables // TABLES + rounds):
+            continue
+        found, true = _audit(lists, units, d, threshold)
+        recall = found / true if true else 1.0
+        logging.getLogger(__name__).info("audit: %d of %d links of the vectors drawn, %d partitions, %d rounds", found, true, made, turn + 1)
+        if recall >= RECALL:
+            break
+        if cells > 1:
+            tables += 2 * TABLES  # fresh partitions
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"only {recall:.3f} of the links were found")
+    return lists, recall
 
 
 def near_copies(vectors: DataFrame, threshold: float = 0.9, rounds: int = ROUNDS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
 
-    1. Equal vectors are one class. 2. Every class begins with a list of neighbours from random partitions.
-    3. In each round the neighbours of a vector are compared with each other and lists keep the best; a list
-    that is full of links is doubled. 4. Links of the lists give components; rounds go on until one joins nothing
-    more. 5. All pairs of vectors of different components are compared in blocks, so links that the rounds missed
-    join components too, however few they are; no sample decides. 6. Inside components all pairs are compared, so
-    every link counts and none below the threshold.
+    1. Equal vectors are one class. 2. descend() refines lists of neighbours until an audit holds. 3. Entries of
+    at least the threshold are the links, in both directions; components are what they reach. 4. A list that holds
+    MOST_LIST links may lack more: in a component with such a list all pairs are compared in blocks and counted,
+    so every link inside it counts; pairs never leave a task.
 
-    Vectors that usable() leaves out link with nothing. Rows that repeat a vec_id are one vector each, and each row
-    has the links and the component of its own vector; a null vec_id stays null and links with nothing. Empty tables give an empty result.
+    Links below the threshold are never taken. The rounds can miss links, about MISS of isolated pairs at the
+    threshold. Vectors that usable() leaves out link with nothing. Rows that repeat a vec_id are one vector each,
+    and each row has the links and the component of its own vector; a null vec_id stays null and links with
+    nothing. Empty tables give an empty result; other columns are not looked at.
     """
     prepare(vectors.sparkSession)
     clean = durable(usable(vectors), "vectors")
@@ -209,31 +309,21 @@ def near_copies(vectors: DataFrame, threshold: float = 0.9, rounds: int = ROUNDS
 
     units = durable(classes.select("id", "n", "embedding").mapInArrow(unit, "id long, n long, unit array<double>"), "units")
     members = clean.join(classes.select("embedding", F.col("id").alias("class")), "embedding").select("vec_id", "class")
-    count = units.count()
     plain = units.select("id", "unit")
-    start = None
-    for seed in range(STARTS):
-        more = _begin(plain, count, d, seed + 1)
-        start = more if start is None else start.union(more)
-    lists = durable(_top(start, None), "lists")
-    joined = -1
-    for turn in range(rounds + 1):
-        links = lists.where(F.col("s") >= threshold).select("a", "b")
-        named = durable(components(links), "known")
-        before, joined = joined, named.where("id <> component").count()
-        if turn == rounds or joined == before:
-            break
-        full = lists.groupBy("a").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("k"), F.min("s").alias("worst"))
-        sizes = full.select("a", F.when((F.col("k") >= F.col("size")) & (F.col("worst") >= threshold), 2 * F.col("size")).otherwise(F.col("size")).alias("size"))
-        lists = durable(_top(lists.select("a", "b", "s").union(_descend(lists, plain, d)), sizes), "lists")
-
-    more = _across(named, plain, count, d, threshold)
-    if not more.isEmpty():
-        named = durable(components(more.union(named.select("id", "component"))), "known")
-    named = named.join(units.select("id", "n"), "id")
-    inside = _inside(named, plain, d, threshold)
-    groups = classes.select("id", "least", "n").join(named.select("id", "component"), "id", "left").join(inside, "id", "left")
-    groups = groups.select(F.col("id").alias("class"), "least", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    lists, _ = descend(plain, units.count(), d, threshold, rounds)
+
+    links = lists.where(F.col("s") >= threshold)
+    named = durable(components(links.select("a", "b")), "known")
+    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
+    listed = both.join(units.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
+    full = links.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MOST_LIST).select(F.col("a").alias("id"))
+    crowded = named.join(full, "id", "left_semi").select("component").distinct()
+    of_crowd = named.join(crowded, "component", "left_semi").join(units.select("id", "n"), "id")
+    counted = _inside(of_crowd, plain, d, threshold).withColumnRenamed("links", "counted")
+    groups = classes.select("id", "least", "n").join(named, "id", "left").join(listed, "id", "left").join(counted, "id", "left")
+    more = F.coalesce("counted", "links", F.lit(0))
+    groups = groups.select(F.col("id").alias("class"), "least", F.coalesce("component", "id").alias("component"), (more + F.col("n") - 1).alias("n_links"))
+    groups = durable(groups, "groups")
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = members.join(groups.join(least, "component").select("class", "component_id", "n_links"), "class").select("vec_id", "n_links", "component_id")
     others = rows.where(~F.coalesce(F.expr(FINITE) & (F.size("embedding") == d), F.lit(False)))

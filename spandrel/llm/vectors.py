@@ -26,3 +26,8 @@ def matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, d) if len(column) else np.zeros((0, d))
+
+
+def dealt(rows: DataFrame, *keys: str):
+    """Groups by the keys over as many partitions as the session asks for: little data can be much work here."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)

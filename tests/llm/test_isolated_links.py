@@ -1,6 +1,7 @@
 """Operator 7 where links are few and far between: nothing leads from one to another."""
 
 import numpy as np
+import pytest
 
 from spandrel.llm import descent
 from tests.llm.test_vectors import brute, vectors
@@ -33,9 +34,21 @@ def test_few_links(spark):
     compare(spark, pairs(6000, 4, seed=9))
 
 
-def test_blocks_of_the_comparison(spark, monkeypatch):
-    monkeypatch.setattr(descent, "SPAN_BYTES", 0)
-    compare(spark, pairs(3000, 30, seed=8), rounds=0)
+def test_many_parts_and_crowds(spark):
+    """More than ten parts of vectors: isolated pairs, groups of a few, and groups that outgrow every list."""
+    assert descent.partitions(7000, 64, 0.9) > descent.TABLES
+    rows = pairs(7000, 40, seed=8)
+    r = np.random.default_rng(4)
+    x = np.array([v for _, v in rows])
+    for first, size, wide in ((100, 12, 0.2), (300, 45, 0.2), (500, 220, 0.2), (1000, 150, 0.45)):
+        x[first : first + size] = x[first] + wide * r.normal(size=(size, 64)) / 8
+    compare(spark, list(enumerate(x.astype("f4").astype("f8").tolist())))
+
+
+def test_a_poor_audit_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(descent, "_audit", lambda *a: (8, 10))
+    with pytest.raises(RuntimeError):
+        descent.near_copies(vectors(spark, pairs(300, 5)), rounds=1)
 
 
 def test_repeated_ids_with_different_vectors(spark):

@@ -69,6 +69,47 @@ def test_stopping_test_keeps_its_promise():
     assert neighbours.chi_square(np.array([7.344]), 8)[0] == pytest.approx(0.5, abs=1e-3)
 
 
+def recall_and_share(x, step, m=neighbours.DIMENSIONS):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    index = neighbours.ProjectedIndex(x, np.arange(len(x)), neighbours.Projection(x.shape[1], 1.0, m))
+    at = np.arange(0, len(x), step)
+    found, _ = index.search(x[at], at, 20)
+    s = x[at] @ x.T
+    s[np.arange(len(at)), at] = -9
+    best = np.argsort(-s, axis=1)[:, :20]
+    return np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), best.tolist(), strict=True)]), index.verified / len(at) / len(x)
+
+
+def test_the_walk_stops_early():
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(100, 64))
+    recall, share = recall_and_share(centres[r.integers(0, 100, 16_000)] + 0.5 * r.normal(size=(16_000, 64)), 160)
+    assert recall >= 0.9 and share < 0.1
+    recall, share = recall_and_share(r.normal(size=(16_000, 24)), 160)
+    assert recall >= 0.9 and share < 0.3
+    recall, share = recall_and_share(r.normal(size=(16_000, 64)), 160)  # nothing is near anything here
+    assert recall >= 0.9 and share < 0.6
+
+
+def test_equal_vectors_are_ordered_by_id(spark):
+    x = np.random.default_rng(4).normal(size=64).astype("f4").astype("f8")
+    rows = [(i, x.tolist()) for i in range(900)] + [(1000 + i, (-x).tolist()) for i in range(40)]
+    df = vectors(spark, rows)
+    got = neighbours.nearest(df, df.where("vec_id in (0, 1000)"), 20, shard=100).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got] == [*range(1, 21), *range(1001, 1021)]
+
+
+def test_cells_and_their_boxes():
+    r = np.random.default_rng(5)
+    p = r.normal(size=(4000, 6))
+    cells, p = neighbours.Cells(p[:500], 6, 4), p[500:]
+    at = cells.of(p)
+    assert set(at) == set(range(16))
+    assert (neighbours.gaps(p, cells.low[at], cells.high[at]) == 0).all()
+    reach = np.array([neighbours.gaps(x, cells.low, cells.high) for x in p])
+    assert (reach.argmin(1) == at).all() and ((reach == 0).sum(1) == 1).all()
+
+
 def brute(rows, threshold=0.9):
     good = [(i, np.array(x, float)) for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all() and any(x)]
     groups, links = Groups(), {}
