@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import io
 import os
@@ -11,6 +12,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018 - another C library has no such function
+except (OSError, AttributeError):
+    _LIBC = None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,6 +75,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.1)
 
 
+def relax() -> None:
+    """Give freed memory back to the system: a worker lives on, and what it keeps counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and outlives executors."""
     spark = df.sparkSession

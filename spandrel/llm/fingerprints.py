@@ -16,6 +16,8 @@ from spandrel.llm.common import durable, forget, table
 LENGTH, GRAM = 35, 8
 #: The registered query adds the chunks in so many batches; runs of a level are compacted when there are FANIN.
 BATCHES, FANIN = 3, 2
+#: Windows that a bucket compares at a time, at some hundred bytes of memory each.
+WINDOWS = 1 << 17
 
 RUN = "kind int, bucket long, chunk long, hashes binary, state binary, holder binary"
 
@@ -149,8 +151,8 @@ class _Count:
 
     combine, within = "sum", True
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, most: int = WINDOWS):
+        self.length, self.most = length, most
 
     def __call__(self, texts: list[bytes], sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         ids: dict[bytes, int] = {}

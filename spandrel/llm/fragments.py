@@ -23,12 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import Bounded, durable, mix64, prepare, release
+from spandrel.llm.common import Bounded, durable, mix64, prepare, release, relax
 
 #: Text of a chunk, and of all chunks for each bucket, in bytes; and the least number of buckets.
 CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8 << 20, 64
@@ -36,6 +37,8 @@ CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8 << 20, 64
 HOT_CHUNKS = 500
 #: Units that are hashed at a time.
 BLOCK = 1 << 15
+#: Windows whose verdicts a chunk applies at a time; a bucket compares decide.most at a time.
+SLICE = 1 << 19
 
 
 def to_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -57,7 +60,7 @@ def to_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTE
             return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(held)], pa.binary())], names=["chunk", "n_bytes", "payload"])
 
         for b in batches:
-            lengths = np.array([len(x) if x is not None else 0 for x in b.column(text).to_pylist()], np.int64)
+            lengths = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
             start = 0
             for i, own in enumerate(lengths.tolist()):
                 size += own
@@ -334,57 +337,97 @@ def press(texts: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(lengths + b"".join(texts))
 
 
-def unpress(data: bytes) -> list[bytes]:
+def unpress(pressed: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All byte strings of several press() values in one buffer, with their starts and ends in it."""
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw[:4], "<i4")[0])
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw[4 : 4 + 4 * n], "<i4"), dtype=np.int64)).tolist()
-    return [raw[a:z] for a, z in zip([4 + 4 * n, *ends[:-1]], ends, strict=False)] if n else []
+    bodies, starts, ends, base = [], [], [], 0
+    for data in pressed:
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        n = int(np.frombuffer(raw[:4], "<i4")[0])
+        upto = np.cumsum(np.frombuffer(raw[4 : 4 + 4 * n], "<i4"), dtype=np.int64)
+        starts.append(base + np.concatenate([[0], upto[:-1]])[:n])
+        ends.append(base + upto)
+        bodies.append(raw[4 + 4 * n :])
+        base += len(bodies[-1])
+    return b"".join(bodies), np.concatenate(starts).astype(np.int64), np.concatenate(ends)
+
+
+def slices(weights: np.ndarray, most: int, joint: np.ndarray | None = None) -> Iterable[tuple[int, int]]:
+    """Ranges of places with weights of about `most` each; places of the same joint value stay together."""
+    upto = np.cumsum(weights)
+    a = 0
+    while a < len(weights):
+        z = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right"))
+        z = max(z, a + 1)
+        if joint is not None and z < len(weights):
+            back = int(np.searchsorted(joint[a:z], joint[z], "left")) + a  # where the value that is cut begins
+            z = back if back > a else int(np.searchsorted(joint[z:], joint[a], "right")) + z
+        yield a, z
+        a = z
 
 
 def judge(sent: DataFrame, decide: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Rows (chunk, entry, number, verdict): of each window of each entry the value that decide() gives.
+    """Rows (chunk, answer): of each window of each entry the value that decide() gives, packed.
 
-    Windows are equal only if their anchors are, so a text whose anchor no other text has gets one value for all
-    its windows (unless decide.within says that a text can repeat a window itself). decide(texts, numbers, values)
-    gets the other distinct texts of a bucket, their numbers of windows and the least or summed values of their
-    entries; it returns the value of every window, in order.
+    Windows are equal only if their anchors are, so a bucket is worked through in slices of whole anchors, of about
+    decide.most windows each, and a text whose anchor no other text has gets one value for all its windows (unless
+    decide.within says that a text can repeat a window itself). decide(texts, numbers, values) gets the other
+    distinct texts of a slice, their numbers of windows and the least or summed values of their entries; it returns
+    the value of every window, in order.
     """
-    def run(table: pa.Table) -> pa.Table:
-        chunks = table.column("chunk").to_pylist()
-        entry = [np.frombuffer(x, "<i4") for x in table.column("entry").to_pylist()]
-        number = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("number").to_pylist()])
-        value = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("value").to_pylist()])
-        numbers_of: dict[bytes, int] = {}
-        which = np.fromiter((numbers_of.setdefault(t, len(numbers_of)) for own in table.column("texts").to_pylist() for t in unpress(own)), np.int64, len(number))
-        texts = list(numbers_of)
+
+    def settle(texts: list[bytes], number: np.ndarray, value: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        known: dict[bytes, int] = {}
+        which = np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts))
         if decide.combine == "sum":
-            total = np.zeros(len(texts), np.int64)
+            total = np.zeros(len(known), np.int64)
             np.add.at(total, which, value)
         else:
-            total = np.full(len(texts), np.iinfo(np.int64).max)
+            total = np.full(len(known), np.iinfo(np.int64).max)
             np.minimum.at(total, which, value)
-        sizes = np.zeros(len(texts), np.int64)
-        sizes[which] = number
-        anchors = np.zeros(len(texts), np.uint64)
-        anchors[which] = np.concatenate([read48(x) for x in table.column("anchor").to_pylist()])
+        sizes, anchors = np.zeros(len(known), np.int64), np.zeros(len(known), np.uint64)
+        sizes[which], anchors[which] = number, anchor
         _, same, often = np.unique(anchors, return_inverse=True, return_counts=True)
         verdict = np.repeat(total, sizes)
         mixed = (often[same] > 1) | ((sizes > 1) & decide.within)
         if mixed.any():
-            verdict[np.repeat(mixed, sizes)] = decide([texts[i] for i in np.flatnonzero(mixed).tolist()], sizes[mixed], total[mixed])
-        ends = np.cumsum(sizes)
-        out, at = [], 0
+            verdict[np.repeat(mixed, sizes)] = decide([t for t, m in zip(known, mixed.tolist(), strict=True) if m], sizes[mixed], total[mixed])
+        return verdict[expand((np.cumsum(sizes) - sizes)[which], number)]
+
+    def run(table: pa.Table) -> pa.Table:
+        chunks = table.column("chunk").to_pylist()
+        entry = [np.frombuffer(x, "<i4") for x in table.column("entry").to_pylist()]
+        number = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("number").to_pylist()]).astype(np.int64)
+        value = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("value").to_pylist()])
+        anchor = np.concatenate([read48(x) for x in table.column("anchor").to_pylist()])
+        text, start, end = unpress(table.column("texts").to_pylist())
+        del table
+        order = np.argsort(anchor, kind="stable")
+        begin = np.cumsum(number) - number
+        verdict = np.empty(int(number.sum()), np.int64)
+        for a, z in slices(number[order], decide.most, anchor[order]):
+            own = order[a:z]
+            texts = [text[i:j] for i, j in zip(start[own].tolist(), end[own].tolist(), strict=True)]
+            verdict[expand(begin[own], number[own])] = settle(texts, number[own], value[own], anchor[own])
+        out, at, window = [], 0, 0
         for chunk, own in zip(chunks, entry, strict=True):
-            mine = which[at : at + len(own)]
-            at += len(own)
-            windows = np.concatenate([verdict[ends[k] - sizes[k] : ends[k]] for k in mine])
-            out.append((chunk, own.tobytes(), sizes[mine].astype("<i4").tobytes(), windows.astype("<i8").tobytes()))
+            mine = number[at : at + len(own)]
+            n = int(mine.sum())
+            out.append((chunk, own.tobytes(), mine.astype("<i4").tobytes(), verdict[window : window + n].astype("<i8").tobytes()))
+            at, window = at + len(own), window + n
         c = list(zip(*out, strict=True))
-        return pa.table([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["chunk", "entry", "number", "verdict"])
+        answer = _squeeze(pa.table([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["chunk", "entry", "number", "verdict"]))
+        del text, verdict, out, c
+        relax()
+        return answer
+
+    return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "chunk long, answer binary")
+
 
-    return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _squeeze(run(t)), "chunk long, answer binary")
+def expand(first: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each run of `number` places, one run after another."""
+    return np.arange(int(number.sum())) + np.repeat(first - (np.cumsum(number) - number), number)
 
 
 def _squeeze(table: pa.Table) -> pa.Table:
@@ -425,18 +468,22 @@ def conclude(chunks: DataFrame, sent: DataFrame, judged: DataFrame, units: Units
                     size = np.zeros(int(entry.max()) + 1, np.int64)
                     first[entry], size[entry] = np.cumsum(number) - number, number
                     occurrence, start = np.frombuffer(occurrence, "<i4"), np.frombuffer(start, "<i4").astype(np.int64)
-                    n = size[occurrence]
-                    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    windows = np.repeat(start, n) + step
-                    values = verdict[np.repeat(first[occurrence], n) + step]
-                    ranks = rank(table)
-                    mine = ranks[np.searchsorted(bounds, windows, "right") - 1] if ranks is not None else None
-                    begins[windows[marked(values, mine)] + 1] = 1
-                count = np.cumsum(begins)  # of windows that go, by start
+                    ranks, n = rank(table), size[occurrence]
+                    for a, z in slices(n, SLICE):
+                        some = occurrence[a:z]
+                        windows = expand(start[a:z], n[a:z])
+                        values = verdict[expand(first[some], n[a:z])]
+                        mine = np.repeat(ranks[np.searchsorted(bounds, start[a:z], "right") - 1], n[a:z]) if ranks is not None else None
+                        begins[windows[marked(values, mine)] + 1] = 1
+                    del entry, number, verdict, first, size, n
+                count = np.cumsum(begins, dtype=np.int32)  # of windows that go, by start
                 mask = count[1:].copy()
                 mask[units.length :] -= count[1 : len(mask) - units.length + 1]
                 mask = mask > 0
+                del begins, count, codes
                 yield from finish(table, own, [mask[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+                del table, own, mask
+                relax()
 
     return joined.mapInArrow(run, schema)
 

@@ -15,6 +15,8 @@ LENGTH, GRAM = 50, 20
 #: Suffixes are sorted by multikey quicksort to this depth, in keys of eight bytes; ties go to blind tries.
 SHALLOW = 24
 UNRANKED = np.iinfo(np.int64).max
+#: Windows that are sorted at a time, at about 100 bytes of memory each.
+WINDOWS = 1 << 19
 
 
 class BlindTrie:
@@ -109,22 +111,41 @@ def deep_shallow(text: bytes, starts: np.ndarray, length: int, shallow: int = SH
 
 
 class _LeastRank:
-    """Of each window the least rank of all documents that hold it."""
+    """Of each window the least rank of all documents that hold it.
+
+    More windows than `most`, which one anchor's very many contexts can be, are sorted class by class of their
+    hashed contents: equal windows are of one class.
+    """
 
     combine, within = "least", False
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, most: int = WINDOWS):
+        self.length, self.most = length, most
 
     def __call__(self, texts: list[bytes], sizes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         lengths = np.array([len(t) for t in texts], np.int64)
-        base = np.cumsum(lengths) - lengths
-        step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        starts = np.repeat(base, sizes) + step
-        values = np.repeat(ranks, sizes)
-        order, begins = deep_shallow(b"".join(texts), starts, self.length)
-        back = np.argsort(starts)
-        at = back[np.searchsorted(starts[back], order)]
+        starts = fragments.expand(np.cumsum(lengths) - lengths, sizes)
+        values, text = np.repeat(ranks, sizes), b"".join(texts)
+        if len(starts) <= self.most:
+            return self._least(text, starts, values)
+        classes = -(-len(starts) // self.most)
+        kind = self._classes(text, classes)[starts]
+        out = np.empty_like(values)
+        for c in range(classes):
+            own = np.flatnonzero(kind == c)
+            out[own] = self._least(text, starts[own], values[own])
+        return out
+
+    def _classes(self, text: bytes, classes: int) -> np.ndarray:
+        """Of the string that starts at each place its class."""
+        h = fragments.Units(self.length, self.length, words=False).grams(np.frombuffer(text, np.uint8))
+        return ((h >> np.uint64(32)) % np.uint64(classes)).astype(np.int32)
+
+    def _least(self, text: bytes, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return values
+        order, begins = deep_shallow(text, starts, self.length)
+        at = np.searchsorted(starts, order)  # starts rise
         least = np.minimum.reduceat(values[at], np.flatnonzero(begins))
         out = np.empty_like(values)
         out[at] = least[np.cumsum(begins) - 1]
