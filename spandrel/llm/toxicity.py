@@ -11,18 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spandrel.llm.common import Bounded, durable, id_crc, prepare, table
+from spandrel.llm.common import Bounded, durable, forget, id_crc, prepare, table
 
-#: The bounded sample of labelled documents that the word scores and the calibration are learned from.
+#: The bounded sample of labelled rows that the word scores and the calibration are learned from. It is the only
+#: bound: the lexicon has the features of its toxic documents, and the fits see every word and passage of it.
 TRAIN_DOCS = 20_000
-#: Features that the model keeps, those of the largest z; so the model's size is bounded.
-MOST_FEATURES = 20_000
 #: A feature counts as toxic if the z of its log-odds is at least this, in at least so many toxic documents.
 LEAST_Z, LEAST_DOCS = 3.2, 4
 #: The Dirichlet prior of a feature: an equal part for each, and a weight spread as the features occur.
 EQUAL, PRIOR = 0.5, 500.0
-#: Of one clean document, so many passages and hits at most enter the fit of the extreme-value law.
-FIT_PASSAGES, FIT_HITS = 50, 200
+#: Word scores are counted in bins of this width when the extreme-value law is fitted.
+BIN = 1 / 64
 #: The share of toxic words in a toxic passage: the score of any other word is log(1 - share).
 PASSAGE_SHARE = 0.08
 #: Log-odds of a feature are cut off here, so one word alone cannot make any passage significant.
@@ -90,11 +89,11 @@ class Model:
         found = [s for f in features(word) if (s := self.scores.get(f)) is not None]
         return max(found) if found else self.other
 
-    def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of words, and the maximal segments of a whole text."""
+    def passages(self, text: str) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+        """The scores of all words of a text, and its maximal segments."""
         words = WORD.findall(text.lower())
         got = np.fromiter(map(self.memo.__getitem__, words), "f4", len(words))
-        return len(words), segments(got)
+        return got, segments(got)
 
     def surprise(self, n: int, score: float) -> float:
         """-ln of the chance that clean text of n words has a segment of this score."""
@@ -103,7 +102,8 @@ class Model:
 
     def summary(self, text: str | None) -> tuple[float, float, float, list[tuple[int, int, float]]]:
         """Surprise of the best passage, of all significant ones together, their number, and they themselves."""
-        n, found = self.passages(text or "")
+        scores, found = self.passages(text or "")
+        n = len(scores)
         if not found:
             return 0.0, 0.0, 0.0, []
         limit = -np.log(SIGNIFICANT)
@@ -118,36 +118,40 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, self.inputs(best, total, number)), -30, 30))))
 
 
-def _decay(positive: np.ndarray, n_words: float, other: float) -> float:
-    """The positive root of sum p exp(lambda s) = 1 for the scores of clean words."""
+def _decay(scores: np.ndarray, counts: np.ndarray, n_words: float, other: float) -> float:
+    """The positive root of sum p exp(lambda s) = 1 for the scores of clean words: positive ones, and `other`."""
     low, high = 1e-3, 20.0
     for _ in range(80):
         x = (low + high) / 2
-        value = (np.exp(np.minimum(x * positive, 600)).sum() + (n_words - len(positive)) * np.exp(x * other)) / n_words
+        value = ((counts * np.exp(np.minimum(x * scores, 600))).sum() + (n_words - counts.sum()) * np.exp(x * other)) / n_words
         low, high = (x, high) if value < 1 else (low, x)
     return low
 
 
-def learn(labelled: DataFrame) -> Model:
-    """A model from rows (doc_id, text, toxic); at most TRAIN_DOCS of them, those of the least hashed ids.
+def _sample(labelled: DataFrame, most: int) -> DataFrame:
+    """Texts with their labels: of at most `most` distinct rows, those of the least hashed ids and texts.
 
-    Words are counted where the rows are; only features that pass LEAST_Z and LEAST_DOCS come to the driver,
-    MOST_FEATURES at most, and a bounded number of scores a document. Without toxic or clean rows nothing scores.
+    A text that stands in several of them counts once, and is toxic if one row says so.
+    """
+    usable = labelled.where("text is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h"))
+    chosen = usable.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "h").limit(most)
+    rows = usable.join(F.broadcast(chosen), [usable.doc_id.eqNullSafe(chosen.doc_id), usable.h == chosen.h], "left_semi")  # at most `most` keys
+    return durable(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
+
+
+def _lexicon(sample: DataFrame) -> dict[str, float]:
+    """Log-odds of the features that stand out in toxic texts, under an informative Dirichlet prior.
+
+    A feature's prior is EQUAL plus its share of PRIOR in proportion to its count in all texts; the prior's mass
+    is the sum of these over all features.
     """
-    prepare(labelled.sparkSession)
-    usable = labelled.where("text is not null and toxic is not null")
-    chosen = usable.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(TRAIN_DOCS).select("doc_id").distinct()
-    sample = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sample = sample.dropDuplicates(["text"])  # copies are not more evidence
 
     def count(batches):
         for b in batches:
             tally: dict[str, list[int]] = {}
-            for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = set(WORD.findall(text.lower()))
-                for f in {f for w in words for f in features(w)}:  # a text that repeats a word counts once
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for f in {f for w in set(WORD.findall(text.lower())) for f in features(w)}:  # a text that repeats a word counts once
                     tally.setdefault(f, [0, 0])[0 if toxic else 1] += 1
-                tally.setdefault("", [0, 0])[0 if toxic else 1] += len(words)
             rows = list(tally.items())
             for i in range(0, len(rows), 50_000):
                 part = rows[i : i + 50_000]
@@ -155,56 +159,73 @@ def learn(labelled: DataFrame) -> Model:
 
     counts = sample.mapInArrow(count, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = durable(counts, "toxic-counts")
-    whole = counts.where("f = ''").collect()
-    if not whole or not whole[0].toxic or not whole[0].clean:
-        return Model(weights=(-3.0, 0.0, 0.0, 0.0))
-    n1, n0 = float(whole[0].toxic), float(whole[0].clean)
-    prior = F.lit(EQUAL) + F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / F.lit(n1 + n0)
+    n1, n0, kinds = counts.agg(F.sum("toxic"), F.sum("clean"), F.count(F.lit(1))).first()
+    if not n1 or not n0:
+        return {}
+    mass = EQUAL * kinds + PRIOR
+    prior = F.lit(EQUAL) + F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / F.lit(float(n1 + n0))
     y1, y0 = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.ln(y1 / (F.lit(n1 + PRIOR) - y1)) - F.ln(y0 / (F.lit(n0 + PRIOR) - y0))
-    lexicon = (
-        counts.where(F.col("toxic") >= LEAST_DOCS)
-        .where((F.col("f") != "") & (y1 < n1 + PRIOR) & (y0 < n0 + PRIOR))
+    odds = F.ln(y1 / (F.lit(n1 + mass) - y1)) - F.ln(y0 / (F.lit(n0 + mass) - y0))
+    kept = (
+        counts.where((F.col("toxic") >= LEAST_DOCS) & (y1 < n1 + mass) & (y0 < n0 + mass))
         .select("f", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"))
-        .where(F.col("z") >= LEAST_Z)
-        .where(F.col("odds") >= 1.0)
-        .orderBy(F.desc("z"), "f")
-        .limit(MOST_FEATURES)
-        .collect()
+        .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= 1.0))
     )
-    model = Model(scores={r.f: min(MOST_SCORE, r.odds) for r in lexicon})
+    found = {r.f: min(MOST_SCORE, r.odds) for r in kept.select("f", "odds").collect()}
+    forget(counts)
+    return found
+
+
+def _calibrate(model: Model, sample: DataFrame) -> None:
+    """Fit lambda and K of the extreme-value law to the clean texts: all their words, and their best segments."""
 
     def measure(batches):
+        hits: dict[int, int] = {}
+        n_words = n_high = 0
         for b in batches:
-            rows = []
-            for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n, found = model.passages(text)
-                got = np.fromiter(map(model.memo.__getitem__, WORD.findall(text.lower())), "f4", n)
-                rows.append((toxic, n, [s for _, _, s in found], got[got > 0].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.list_(pa.float64())) for k in (2, 3))],
-                names=["toxic", "n", "found", "hits"],
-            )
-
-    seen = sample.mapInArrow(measure, "toxic int, n long, found array<double>, hits array<double>")
-    # TRAIN_DOCS documents at most, each with its label, size and a bounded number of scores
-    seen = seen.select("toxic", "n", F.slice(F.sort_array("found", False), 1, FIT_PASSAGES).alias("found"), F.slice("hits", 1, FIT_HITS).alias("hits")).limit(2 * TRAIN_DOCS).collect()
-    clean = [r for r in seen if not r.toxic]
-    hits = np.array([h for r in clean for h in r.hits])
-    n_clean = float(sum(r.n for r in clean)) or 1.0
-    model.decay = min(_decay(hits, max(n_clean, len(hits) + 1.0), model.other), 5.0)
-    best = np.array([max(r.found, default=0.0) for r in clean] or [0.0])
-    sizes_ = np.array([r.n for r in clean] or [1], float)
-    # K from clean documents: each is expected to have K n exp(-lambda s) segments beyond s = 1
-    model.rate = float(max(((best >= 1.0).sum() + 0.5) / (sizes_.sum() * np.exp(-model.decay) + 1e-9), 1e-6))
-    x, y = [], []
-    limit = -np.log(SIGNIFICANT)
-    for r in seen:
-        each = [model.surprise(r.n, s) for s in r.found]
-        kept = [e for e in each if e >= limit]
-        x.append(model.inputs(max(each, default=0.0), sum(kept), float(len(kept))))
-        y.append(float(bool(r.toxic)))
-    model.weights = tuple(_logistic(np.array(x), np.array(y)))
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not toxic:
+                    scores, found = model.passages(text)
+                    n_words += len(scores)
+                    n_high += max((s for _, _, s in found), default=0.0) >= 1.0
+                    bins, counts = np.unique(np.rint(scores[scores > 0] / BIN).astype(int), return_counts=True)
+                    for k, c in zip(bins.tolist(), counts.tolist(), strict=True):
+                        hits[k] = hits.get(k, 0) + c
+        rows = [(-1, n_words), (-2, n_high), *hits.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.int64())], names=["bin", "n"])
+
+    seen = {r.bin: r.n for r in sample.mapInArrow(measure, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    n_words, n_high = float(seen.pop(-1, 0)), seen.pop(-2, 0)
+    bins = np.array(sorted(seen), float)
+    counts = np.array([seen[int(k)] for k in bins], float)
+    model.decay = min(_decay(bins * BIN, counts, max(n_words, counts.sum() + 1.0), model.other), 5.0)
+    # each clean document is expected to have K n exp(-lambda s) segments beyond s = 1
+    model.rate = float(max((n_high + 0.5) / (max(n_words, 1.0) * np.exp(-model.decay) + 1e-9), 1e-6))
+
+
+def learn(labelled: DataFrame, most: int = TRAIN_DOCS) -> Model:
+    """A model from rows (doc_id, text, toxic); at most `most` distinct ones, those of the least hashed ids.
+
+    Words are counted where the rows are; only features that pass LEAST_Z and LEAST_DOCS, bins of scores and three
+    numbers for each text come to the driver. Without toxic or clean rows nothing scores.
+    """
+    prepare(labelled.sparkSession)
+    sample = _sample(labelled, most)
+    model = Model(scores=_lexicon(sample), weights=(-3.0, 0.0, 0.0, 0.0))
+    if not model.scores:
+        return model
+    _calibrate(model, sample)
+
+    def measure(batches):
+        for b in batches:
+            rows = [model.summary(t)[:3] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(3))], names=["toxic", "best", "total", "number"])
+
+    seen = sample.mapInArrow(measure, "toxic int, best double, total double, number double").collect()  # a row for each text of the sample
+    seen.sort()
+    x = np.array([model.inputs(r.best, r.total, r.number) for r in seen])
+    model.weights = tuple(_logistic(x, np.array([float(bool(r.toxic)) for r in seen])))
+    forget(sample)
     return model
 
 
@@ -255,15 +276,21 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_scoring_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, with the passages (words from 0) that made them."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     model = learn(labelled_rows(docs, table(spark, sf_dir, "labels")))
     scored = score_documents(docs, model)
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "passages")
 
 
 def screen(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below reject."""
+    """The rows of docs, with all their columns, whose text scores below reject.
+
+    A null, empty or wordless text scores as a clean one and stays. Rows are judged one by one by their texts, so
+    repeated rows, null ids and very long texts need nothing special; columns named like this module's own (score,
+    passages) are carried as they are. An empty table gives an empty one.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):
