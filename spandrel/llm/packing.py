@@ -16,9 +16,9 @@ from spandrel.llm.common import Bounded, prepare, table
 
 SEQ_LEN = 2048
 END_ID = 1
-#: Open windows and tokens that a task holds before it closes all windows by cutting; nothing is dropped.
+#: Windows that a task holds open, of less than SEQ_LEN tokens each. Beyond, the emptier half is dealt out to the
+#: fuller one; nothing is dropped.
 MOST_OPEN = 4096
-MOST_TOKENS = 8_000_000
 
 #: White space as the pre-tokenizer's pattern means it (the Unicode property White_Space). Fixed values.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -86,7 +86,7 @@ class Packer:
         self.size, self.next = seq_len, first_sequence
         self.count = np.zeros(seq_len + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(seq_len + 1)]  # by level: windows, each a list of pieces
-        self.n_open = self.tokens = 0
+        self.n_open = 0
         self.out: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
@@ -97,12 +97,13 @@ class Packer:
             at += self.size
         if at < total:
             self._place((doc_id, at, ids[at:], total))
-            if self.n_open > MOST_OPEN or self.tokens > MOST_TOKENS:
-                self.finish()
+            if self.n_open > MOST_OPEN:
+                self._drain(MOST_OPEN // 2)
 
-    def _place(self, piece: tuple) -> None:
-        s, n, size = len(piece[2]), self.count, self.size
-        level, best = 0, 2 * int(n[s]) + 1
+    def _level(self, s: int, opens: bool) -> int | None:
+        """The level at which s more tokens make the sum of squares least; 0 is a new window, if one may be opened."""
+        n, size = self.count, self.size
+        level, best = (0, 2 * int(n[s]) + 1) if opens else (None, 1 << 39)
         here = n[1 : size - s + 1]
         if len(here):
             rise = n[1 + s : size + 1]
@@ -112,19 +113,51 @@ class Packer:
             k = len(change) - 1 - int(change[::-1].argmin())
             if change[k] <= best:
                 level = k + 1
-        window = self.open[level].pop() if level else []
-        if level:
-            n[level] -= 1
-            self.n_open -= 1
-            self.tokens -= level
+        return level
+
+    def _take(self, level: int) -> list[tuple]:
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _put(self, window: list[tuple], level: int, piece: tuple) -> None:
         window.append(piece)
-        if level + s == size:
+        level += len(piece[2])
+        if level == self.size:
             self._close(window)
         else:
-            self.open[level + s].append(window)
-            n[level + s] += 1
+            self.open[level].append(window)
+            self.count[level] += 1
             self.n_open += 1
-            self.tokens += level + s
+
+    def _place(self, piece: tuple) -> None:
+        level = self._level(len(piece[2]), True)
+        self._put(self._take(level) if level else [], level, piece)
+
+    def _drain(self, target: int) -> None:
+        """Deal the emptiest windows out to the others until `target` are open.
+
+        Their pieces go where the sum of squares says, whole; a piece that fits nowhere is cut to fill the fullest
+        window.
+        """
+        while self.n_open > target:
+            levels = np.flatnonzero(self.count)
+            waiting = sorted(self._take(int(levels[0])), key=lambda p: len(p[2]))
+            while waiting:
+                doc_id, start, ids, total = waiting.pop()  # the longest first
+                level = self._level(len(ids), False)
+                if level is not None:
+                    self._put(self._take(level), level, (doc_id, start, ids, total))
+                    continue
+                levels = np.flatnonzero(self.count)
+                if not len(levels):  # nothing else is open
+                    self._put([], 0, (doc_id, start, ids, total))
+                    continue
+                level = int(levels[-1])
+                room = self.size - level
+                self._put(self._take(level), level, (doc_id, start, ids[:room], total))
+                waiting.append((doc_id, start + room, ids[room:], total))
+                waiting.sort(key=lambda p: len(p[2]))
 
     def _close(self, window: list[tuple]) -> None:
         offset = 0
@@ -134,40 +167,10 @@ class Packer:
         self.next += 1
 
     def finish(self) -> None:
-        """Close every open window without padding: fill the fullest from the emptiest, cutting at the end."""
-        windows = [w for level in self.open[::-1] for w in level]  # fullest first
-        pieces = [p for w in windows for p in w]
-        self.open = [[] for _ in range(self.size + 1)]
-        self.count[:] = 0
-        self.n_open = self.tokens = 0
-        fill, now = 0, []
-        rest: list[tuple] = []  # pieces that wait, the cut one first
-        bounds = np.cumsum([0] + [len(w) for w in windows])
-        front, back = 0, len(windows)
-        while front < back or rest:
-            if not now and front < back:
-                now = list(pieces[bounds[front] : bounds[front + 1]])
-                fill = sum(len(p[2]) for p in now)
-                front += 1
-            while fill < self.size:
-                if not rest:
-                    if front >= back:
-                        break
-                    back -= 1
-                    rest = list(pieces[bounds[back] : bounds[back + 1]])[::-1]
-                doc_id, start, ids, total = rest.pop()
-                room = self.size - fill
-                if len(ids) > room:
-                    rest.append((doc_id, start + room, ids[room:], total))
-                    ids = ids[:room]
-                now.append((doc_id, start, ids, total))
-                fill += len(ids)
-            if fill == self.size:
-                self._close(now)
-                now, fill = [], 0
-            else:
-                break
-        self._powers(now + rest[::-1])
+        """Close what is open without padding: all but one window are filled, the last one becomes powers of two."""
+        self._drain(1)
+        for level in np.flatnonzero(self.count).tolist():
+            self._powers(self._take(level))
 
     def _powers(self, pieces: list[tuple]) -> None:
         """Less than a window is left: sequences of a power of two each, which need no padding."""
@@ -220,8 +223,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_
 
     Every id of a document (null text: only end_id) lies in exactly one piece. Each input partition is packed
     by itself as its rows come, so nothing is shuffled; sequence ids start at partition << 33. What is open at
-    the end is closed without padding: windows are filled by cutting, and the last, partial one becomes
-    sequences whose lengths are powers of two. A task holds at most MOST_OPEN windows and MOST_TOKENS ids.
+    the end is closed without padding: the emptiest windows are dealt out to the others, piece by piece and whole
+    where one fits, and the last, partial one becomes sequences whose lengths are powers of two. A task holds at
+    most MOST_OPEN windows.
     Repeated rows and doc_ids are packed each by itself, a null doc_id stays null, an empty table gives no
     pieces, other columns of docs are not looked at. with_ids adds the ids as little-endian 32-bit integers.
     """
