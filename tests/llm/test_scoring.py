@@ -63,6 +63,52 @@ def test_toxic_documents_are_found(spark):
     assert kept.columns == docs.columns and abs(kept.count() - 720) < 15
 
 
+def test_scores_by_definition(spark):
+    """Lambda, K and the surprise of a passage against their definitions, without bins or batches."""
+    rows = texts(500, 4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs.join(labels, "doc_id"))
+    n1 = n0 = 0
+    tally = {}
+    for _, t, y in rows:
+        for f in {f for w in set(toxicity.WORD.findall(t)) for f in toxicity.features(w)}:
+            own = tally.setdefault(f, [0, 0])
+            own[0 if y else 1] += 1
+            n1, n0 = n1 + bool(y), n0 + (not y)
+    mass = toxicity.EQUAL * len(tally) + toxicity.PRIOR
+    want = {}
+    for f, (a, b) in tally.items():
+        prior = toxicity.EQUAL + toxicity.PRIOR * (a + b) / (n1 + n0)
+        y1, y0 = a + prior, b + prior
+        odds = np.log(y1 / (n1 + mass - y1)) - np.log(y0 / (n0 + mass - y0))
+        if a >= toxicity.LEAST_DOCS and odds >= 1 and odds / np.sqrt(1 / y1 + 1 / y0) >= toxicity.LEAST_Z:
+            want[f] = min(toxicity.MOST_SCORE, odds)
+    assert model.scores == pytest.approx(want)
+    clean = [np.array([model.score(w) for w in toxicity.WORD.findall(t)]) for _, t, y in rows if not y]
+    every = np.concatenate(clean)
+    assert model.decay == 5.0 or np.exp(model.decay * every).mean() == pytest.approx(1, abs=0.02)
+    high = sum(any(sum(s[a:z]) >= 1 for a, z in maximal(s.tolist())) for s in clean if (s > 0).any())
+    assert model.rate == pytest.approx(max((high + 0.5) / (len(every) * np.exp(-model.decay)), 1e-6), rel=1e-3)
+    for n, s in ((30, 2.0), (200, 9.0)):
+        assert model.surprise(n, s) == pytest.approx(-np.log(-np.expm1(-model.rate * n * np.exp(-model.decay * s))), rel=1e-6)
+    text = rows[0][1]
+    n = len(toxicity.WORD.findall(text))
+    each = [model.surprise(n, s) for _, _, s in model.passages(text)[1]]
+    good = [e for e in each if e >= -np.log(toxicity.SIGNIFICANT)]
+    x = [1.0, np.log1p(max(each)), np.log1p(sum(good)), np.log1p(len(good))]
+    want = 1 / (1 + np.exp(-np.dot(model.weights, x)))
+    assert toxicity.score_documents(docs.where("doc_id = 0"), model).first().score == pytest.approx(want)
+
+
+def test_repeated_rows_teach_once(spark):
+    rows = texts(300, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    often = docs.union(docs.limit(40)).union(spark.createDataFrame([(7, rows[7][1], rows[7][2])] * 500, docs.schema))
+    a, b = toxicity.learn(docs), toxicity.learn(often)
+    assert a.scores == b.scores and a.weights == pytest.approx(b.weights)
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
@@ -84,23 +130,72 @@ def test_gradients_match_differences():
         x = x - np.log(np.exp(x).sum(2, keepdims=True))
         return -(x[:, np.arange(3), labels] * live.T).sum() / live.sum()
 
-    real = language.ByteTagger._pass
-
-    def exact(self, d, codes, live, keep):
-        return real(self, d, codes, live, keep)
-
     grads = tagger._gradients(words, labels)
     for name, value in tagger.p.items():
         for _ in range(6):
-            at = tuple(r.integers(0, s) for s in value.shape) if not name.startswith("x") else (int(words[0][int(r.integers(0, 5))]), int(r.integers(0, value.shape[1])))
+            at = tuple(r.integers(0, s) for s in value.shape)
+            if name == "x":
+                at = (at[0], int(words[0][int(r.integers(0, 5))]), at[2])
             kept = value[at]
-            value[at] = kept + 1e-2
+            value[at] = kept + 1e-5
             up = loss()
-            value[at] = kept - 1e-2
+            value[at] = kept - 1e-5
             down = loss()
             value[at] = kept
-            assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=2e-3), name
-    assert exact is not None
+            assert grads[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6), name
+
+
+def test_windows_label_every_byte_once():
+    texts = ["a", "é" * 300, "x y " * 500, "Ab" * 104, ""]
+    held, own, first, last = language.windows(texts)
+    for i, t in enumerate(texts):
+        parts = [w[a:z] for w, o, a, z in zip(held, own, first, last, strict=True) if o == i]
+        assert b"".join(parts) == t.lower().encode()
+    assert max(map(len, held)) == language.CORE + 2 * language.CONTEXT
+
+
+def plain_pass(p, d, data):
+    """States of one direction, one byte at a time."""
+    hid = p["u"].shape[1]
+    state, out = np.zeros(hid), []
+    for byte in data:
+        given = p["x"][d, byte] + p["c"][d]
+        gate = np.clip((given[: 2 * hid] + state @ p["u"][d][:, : 2 * hid]) / 4 + 0.5, 0, 1)
+        z, r = gate[:hid], gate[hid:]
+        new = np.clip(given[2 * hid :] + (r * state) @ p["u"][d][:, 2 * hid :], -1, 1)
+        state = (1 - z) * state + z * new
+        out.append(state)
+    return out
+
+
+def test_pooled_scores_by_a_plain_pass():
+    r = random.Random(2)
+    tagger = language.ByteTagger(["a", "b", "c"], hidden=5, seed=3)
+    texts = ["Go", "".join(r.choices("abc éx1", k=700)), None, "12", "".join(r.choices("xyz ", k=208)), "ß" * 130]
+    lang, score = language.predict(tagger, texts)
+    assert lang[2] == lang[3] == "und" and score[2] == score[3] == 0.0
+    p = {k: v.astype("f8") for k, v in tagger.p.items()}
+    for i in (0, 1, 4, 5):
+        sums = np.zeros(3)
+        data = texts[i].lower().encode()
+        for a in range(0, len(data), language.CORE):
+            start = max(0, a - language.CONTEXT)
+            part = data[start : a + language.CORE + language.CONTEXT]
+            ahead, back = plain_pass(p, 0, part), plain_pass(p, 1, part[::-1])[::-1]
+            for k in range(a - start, min(a + language.CORE, len(data)) - start):
+                x = ahead[k] @ p["w"][0] + back[k] @ p["w"][1] + p["o"]
+                sums += x - np.log(np.exp(x).sum())
+        share = np.exp((sums - sums.max()) / language.TEMPERATURE)
+        assert lang[i] == "abc"[int(sums.argmax())] and score[i] == pytest.approx(share.max() / share.sum(), abs=1e-4)
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(1, "aa " * 50, "aa")] * 40 + [(i, "bb " * 50, "bb") for i in range(2, 30)] + [(99, "cc " * 5000, "cc"), (None, "dd dd", "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tagger = language.train_tagger(docs, most_bytes=6000)
+    assert tagger.languages == ["aa", "bb", "dd"]
+    pred, _ = language.predict(tagger, ["aa aa aa", "bb bb bb"])
+    assert pred == ["aa", "bb"]
 
 
 def test_languages_of_held_out_documents(spark):
