@@ -54,11 +54,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. In local mode one of our own will do where it is unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = getattr(spark.sparkContext, "_spandrel_shared", None)
         if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="spandrel-")
             spark.sparkContext._spandrel_shared = at
     return at.rstrip("/")
@@ -150,7 +152,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds: each round is two aggregations whose keys are vertices and whose
     values are minima, so a vertex of any degree is combined before the shuffle. Every round is written to
-    the shared folder. The number of rounds grows with the logarithm of the longest path.
+    the shared folder. The number of rounds grows with the logarithm of the longest path; most_rounds is far beyond
+    what any table needs, and an unfinished labelling is an error.
     """
 
     def mark(df: DataFrame):
@@ -171,4 +174,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now, before, known = then, known, mark(then)
         if known == before:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
