@@ -64,29 +64,31 @@ def shard_documents(docs: DataFrame, tree=TREE, slot_buckets: int = SLOT_BUCKETS
     key; a null text has size 1 and the crc32 of no bytes; rows that repeat a doc_id share its shard and take
     slots of their own. An empty table gives an empty result. Other columns of docs are not looked at.
 
-    Slots: rows are numbered inside (shard, bucket) blocks, of which there are slot_buckets for each shard,
-    and the offsets of the blocks come from counts that are summed before the shuffle. So no task sees a
-    whole shard, and the joined table has len(tree) * slot_buckets rows whatever the input.
+    Slots: equal rows are counted first, so a row that is repeated very often is one row here. Those are numbered
+    inside (shard, bucket) blocks by hashed id and text, of which there are slot_buckets for each shard, and the
+    offsets of the blocks come from sums. So no task sees a whole shard or one id's rows, and the joined table has
+    len(tree) * slot_buckets rows whatever the input.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    bucket = F.pmod(F.conv(F.substring(F.md5(F.concat(key, F.lit(":slot")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(slot_buckets)).cast("int")
-    placed = docs.select("doc_id", place(key, tree).alias("shard"), bucket.alias("bucket"))
-    blocks = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), crc.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(slot_buckets)).cast("int")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
+        crc.alias("text_crc32"),
         place(key, tree).alias("shard"),
         bucket.alias("bucket"),
         place(key, grow(tree)).alias("grown_shard"),
     )
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
-    numbered = rows.withColumn("at", F.row_number().over(within) - 1)
+    same = rows.groupBy("shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard").agg(F.count(F.lit(1)).alias("n"))
+    blocks = same.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = same.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0)))
     joined = numbered.join(F.broadcast(offsets), ["shard", "bucket"])  # at most len(tree) * slot_buckets rows
-    return joined.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("base") + F.col("at")).cast("bigint").alias("slot"), "grown_shard")
+    slots = F.sequence(F.col("base") + F.col("at"), F.col("base") + F.col("at") + F.col("n") - 1)
+    return joined.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(slots).alias("slot"), "grown_shard")
 
 
 def op2_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,11 +127,12 @@ WITH crc AS ({SQL_CRC}), keyed AS (
 ), placed AS (
   SELECT doc_id, size, key,
          xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(words[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)::BIGINT AS text_crc32,
-         ({_sql_place(TREE)})::INT AS shard, ({_sql_place(grow(TREE))})::INT AS grown_shard,
-         ('0x' || substr(md5(key || ':slot'), 1, 8))::BIGINT % {SLOT_BUCKETS} AS bucket
+         ({_sql_place(TREE)})::INT AS shard, ({_sql_place(grow(TREE))})::INT AS grown_shard
   FROM keyed, crc
+), bucketed AS (
+  SELECT *, ('0x' || substr(md5(key || ':' || text_crc32::VARCHAR), 1, 8))::BIGINT % {SLOT_BUCKETS} AS bucket FROM placed
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
        (row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1)::BIGINT AS slot, grown_shard
-FROM placed
+FROM bucketed
 """
