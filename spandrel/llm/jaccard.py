@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,11 @@ from spandrel.llm.common import Bounded, components, durable, forget, mix64, pre
 WIDTH = 3
 #: Two sets link when PER_CENT * union <= 100 * intersection.
 PER_CENT = 90
-#: Shingles of all documents are counted in a table of 2 ** SKETCH_BITS counters, whatever the input's size; those
-#: whose counter is larger come later in the order of shingles. That makes fewer candidates and changes no result.
-SKETCH_BITS, SKETCH_BLOCKS = 22, 64
+#: Shingles of all documents are counted in a table of 2 ** SKETCH_BITS counters, words in one of 2 ** WORD_BITS. The
+#: order of shingles is by the counter of the shingle, then by those of its words: in a large input all but the very
+#: frequent shingles share counters of one size, while words, which are far fewer, are still told apart. The order
+#: makes fewer candidates and changes no result.
+SKETCH_BITS, WORD_BITS, BLOCK_BITS = 22, 20, 16
 #: A posting list is cut into this many parts for chaining, so a very long one is not one task's.
 SALTS = 64
 #: Lists with more parts of different components than LONG are compared in blocks of BLOCK, the others by pairs.
@@ -32,18 +35,45 @@ class Shingler:
         self.width = width
         self.words = Bounded(xxhash.xxh3_64_intdigest, most=250_000)
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        """Distinct hashed shingles, sorted; of a text with fewer words the whole, of one without words none."""
+    def codes(self, text: str | None) -> np.ndarray:
+        """The hashed words of a text, in order."""
         words = (text or "").encode().lower().split()
-        n = len(words)
+        return mix64(np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words)))
+
+    def shingles(self, codes: np.ndarray) -> np.ndarray:
+        """The hashed shingle that starts at each place; of fewer words the whole, of none none."""
+        n = len(codes)
         if not n:
-            return np.zeros(0, np.uint64)
-        codes = mix64(np.fromiter(map(self.words.__getitem__, words), np.uint64, n))
+            return codes
         k = min(self.width, n)
         out = np.full(n - k + 1, k, np.uint64)
         for i in range(k):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + codes[i : n - k + 1 + i])
-        return np.unique(out)
+        return out
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        """Distinct hashed shingles, sorted."""
+        return np.unique(self.shingles(self.codes(text)))
+
+    def ordered(self, text: str | None, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashed shingles, sorted; and once more in the one order of all sets, the rarest first."""
+        codes = self.codes(text)
+        h, first = np.unique(self.shingles(codes), return_index=True)
+        if not len(h):
+            return h, h
+        word, k = levels.words[(codes >> np.uint64(64 - WORD_BITS)).astype(np.int64)].astype(np.int32), min(self.width, len(codes))
+        total = np.concatenate([[0], np.cumsum(word)])
+        of_words = np.minimum(total[first + k] - total[first], 255)
+        level = levels.shingles[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int32)
+        return h, h[np.argsort(level << 8 | of_words, kind="stable")]
+
+
+@dataclass(frozen=True)
+class Levels:
+    """Of each counter the binary logarithm of its count, as one byte."""
+
+    shingles: np.ndarray
+    words: np.ndarray
 
 
 _SHINGLERS: dict[int, Shingler] = {}
@@ -55,15 +85,9 @@ def shingler(width: int) -> Shingler:
     return _SHINGLERS[width]
 
 
-def digest(sorted_hashes: np.ndarray, more: bytes = b"") -> int:
-    """A signed 64-bit key of a set."""
-    return int.from_bytes(hashlib.blake2b(sorted_hashes.tobytes() + more, digest_size=8).digest(), "little", signed=True)
-
-
-def ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Sorted hashes by the level of their counter, then by hash: one order for all sets."""
-    level = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return hashes[np.argsort(level, kind="stable")]
+def digest(sorted_hashes: np.ndarray, more: bytes = b"", salt: int = 0, size: int = 8) -> int:
+    """A signed key of a set."""
+    return int.from_bytes(hashlib.blake2b(sorted_hashes.tobytes() + more, digest_size=size, key=salt.to_bytes(4, "little") if salt else b"").digest(), "little", signed=True)
 
 
 def prefix_size(n: int, per_cent: int) -> int:
@@ -71,18 +95,22 @@ def prefix_size(n: int, per_cent: int) -> int:
     return n - -(-per_cent * n // 100) + 1
 
 
-def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """Of each counter of the sketch the binary logarithm of its count, as one byte: 2 ** SKETCH_BITS bytes."""
-    size, per = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_BLOCKS
+def frequency_levels(docs: DataFrame, width: int) -> Levels:
+    """Counters of all shingles and words, 2 ** SKETCH_BITS + 2 ** WORD_BITS bytes whatever the input."""
+    sizes, per = (1 << SKETCH_BITS, 1 << WORD_BITS), 1 << BLOCK_BITS
+    n = [size // per for size in sizes]
 
     def count(batches):
-        own, total = shingler(width), np.zeros(size, np.uint32)
+        own, totals = shingler(width), [np.zeros(size, np.uint32) for size in sizes]
         for b in batches:
-            found = [own.hashes(t) for t in b.column(0).to_pylist()]
-            if found:
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
-        blocks = [zstandard.ZstdCompressor(level=1).compress(total[i * per : (i + 1) * per].tobytes()) for i in range(SKETCH_BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "counts"])
+            codes = [own.codes(t) for t in b.column(0).to_pylist()]
+            for total, found, bits in ((totals[0], [np.unique(own.shingles(c)) for c in codes], SKETCH_BITS), (totals[1], codes, WORD_BITS)):
+                if found:
+                    total += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+        total = np.concatenate(totals)
+        for a in range(0, sum(n), 8):
+            blocks = [zstandard.ZstdCompressor(level=1).compress(total[i * per : (i + 1) * per].tobytes()) for i in range(a, min(a + 8, sum(n)))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(blocks)), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(per, np.uint64)
@@ -92,34 +120,52 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
         return pa.table([rows.column("block").slice(0, 1), pa.array([level.tobytes()], pa.binary())], names=["block", "levels"])
 
     parts = docs.select("text").mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(add, "block long, levels binary")
-    out = np.zeros(size, np.uint8)
+    out = np.zeros(sum(sizes), np.uint8)
     for r in parts.collect():
         out[r.block * per : (r.block + 1) * per] = np.frombuffer(r.levels, np.uint8)
-    return out
+    return Levels(out[: sizes[0]], out[sizes[0] :])
 
 
-def describe(docs: DataFrame, width: int, per_cent: int, levels: np.ndarray) -> DataFrame:
-    """Of each row: doc_id, n shingles, c (key of the set), g (key of prefix and size), and twice the prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** SKETCH_BITS bytes
+def describe(docs: DataFrame, width: int, per_cent: int, levels: Levels, salt: int = 0) -> DataFrame:
+    """Of each row: doc_id, n shingles, c (key of the set), c2 (another), g (key of prefix and size), and twice the prefix."""
+    held = docs.sparkSession.sparkContext.broadcast(levels)  # of a fixed size
 
     def run(batches):
         own, late = shingler(width), held.value
         for b in batches:
-            n, c, g, p = [], [], [], []
+            n, c, c2, g, p = [], [], [], [], []
             for text in b.column(1).to_pylist():
-                h = own.hashes(text)
+                h, head = own.ordered(text, late)
                 size = prefix_size(len(h), per_cent) if len(h) else 0
-                head = ordered(h, late)[: 2 * size]
+                head = head[: 2 * size]
                 n.append(len(h))
-                c.append(digest(h))
-                g.append(digest(head[:size], len(h).to_bytes(8, "little")))
+                c.append(digest(h, salt=salt))
+                c2.append(digest(h, b"2", salt))
+                g.append(digest(head[:size], len(h).to_bytes(8, "little"), salt))
                 p.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(g, pa.int64()), pa.array(p, pa.list_(pa.int64()))], names=["doc_id", "n", "c", "g", "head"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, c, c2, g)), pa.array(p, pa.list_(pa.int64()))], names=["doc_id", "n", "c", "c2", "g", "head"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, c long, c2 long, g long, head array<long>")
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, g long, head array<long>")
 
+def _classes(docs: DataFrame, width: int, per_cent: int, most: int = 5) -> tuple[DataFrame, DataFrame, int]:
+    """(rows, classes, salt): describe() of all rows, and one row for each distinct set.
 
-def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    A set's key has 64 bits. Two sets of one key would differ in the other key: then all keys are made anew.
+    """
+    levels = frequency_levels(docs, width)
+    for salt in range(most):
+        rows = durable(describe(docs, width, per_cent, levels, salt), "rows")
+        classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("g").alias("g"), F.first("head").alias("head"), F.min("c2").alias("lo"), F.max("c2").alias("hi"))
+        classes = durable(classes, "classes")
+        if classes.where("lo <> hi").isEmpty():
+            return rows.drop("c2"), classes.where("rep is not null").drop("lo", "hi"), salt
+        for old in (rows, classes):
+            forget(old)
+    raise RuntimeError("sets keep sharing keys")
+
+
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int, salt: int) -> DataFrame:
     """c and s, the packed sorted hashes of its set, of the wanted class keys; made again from the texts."""
     named = wanted.join(classes.select("c", "rep"), "c")
 
@@ -127,21 +173,21 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
         own = shingler(width)
         for b in batches:
             found = [own.hashes(t) for t in b.column(1).to_pylist()]
-            keep = [digest(h) == c for h, c in zip(found, b.column(0).to_pylist(), strict=True)]
+            keep = [digest(h, salt=salt) == c for h, c in zip(found, b.column(0).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), pa.array([h.tobytes() for h, k in zip(found, keep, strict=True) if k], pa.binary())], names=["c", "s"])
 
     full = docs.join(named, F.col("doc_id") == F.col("rep")).select("c", "text").mapInArrow(sets, "c long, s binary")
     return durable(full.dropDuplicates(["c"]), "sets")
 
 
-def _long_lists(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+def _long_lists(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int, salt: int) -> DataFrame:
     """Links between different components among the members (t, c, comp) of long posting lists.
 
     A list is cut into blocks of about BLOCK classes by their keys, and each pair of its blocks is compared in
     one task, in full, as a product of incidence matrices. Only links that join components leave the task, at
     most one for each class, so neither the pairs of a list nor its links are ever rows.
     """
-    full = _sets(members.select("c").distinct(), classes, docs, width)
+    full = _sets(members.select("c").distinct(), classes, docs, width, salt)
     blocks = members.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     cut = members.join(blocks, "t").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     cut = cut.select("t", "c", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -187,7 +233,7 @@ def _long_lists(members: DataFrame, classes: DataFrame, docs: DataFrame, width:
     return durable(cut.groupBy("t", "one", "two").applyInArrow(run, "a long, b long"), "links")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int, salt: int) -> DataFrame:
     """Those of the pairs (a, b) of class keys whose sets link.
 
     First by the heads: sets that link share at least as many of twice the prefix as it is longer than the
@@ -207,7 +253,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in (b.column("a"), b.column("b"))], names=["a", "b"])
 
     near = durable(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(close, "a long, b long"), "near")
-    full = _sets(near.select(F.explode(F.array("a", "b")).alias("c")).distinct(), classes, docs, width)
+    full = _sets(near.select(F.explode(F.array("a", "b")).alias("c")).distinct(), classes, docs, width, salt)
 
     def exact(batches):
         for b in batches:
@@ -251,9 +297,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT
     """
     prepare(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    rows = durable(describe(docs, width, per_cent, frequency_levels(docs, width)), "rows")
-    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("g").alias("g"), F.first("head").alias("head"))
-    classes = durable(classes.where("rep is not null"), "classes")
+    rows, classes, salt = _classes(docs, width, per_cent)
     sized = F.expr(f"100 * least(n_a, n_b) >= {per_cent} * greatest(n_a, n_b)")
 
     groups = classes.groupBy("g").agg(F.min(F.struct("c", "n", "head")).alias("x"), F.count(F.lit(1)).alias("members"))
@@ -267,7 +311,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT
     alike = classes.select("g", "c", "n").join(several, "g", "left_semi")
     first = _chain(alike, "g", "c").union(_chain(postings, "t", "c")).where(sized).where("a <> b")
     first = durable(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = _verify(first, classes, docs, width, per_cent)
+    links = _verify(first, classes, docs, width, per_cent, salt)
     known = durable(components(links), "known")
 
     # candidates between different components: of lists, then of groups
@@ -292,11 +336,11 @@ def link_documents(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT
     pairs = pairs.join(members.select(F.col("g").alias("g_b"), F.col("comp").alias("comp_b"), F.col("c").alias("b")), ["g_b", "comp_b"])
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     pairs = durable(pairs, "pairs")
-    more = _verify(pairs, classes, docs, width, per_cent)
+    more = _verify(pairs, classes, docs, width, per_cent, salt)
     members = members.select("g", "comp", "c")
     wide_lists = every.where(F.col("k") > long).select("t", "g", "comp").join(members, ["g", "comp"]).select("t", "c", "comp").distinct()
     wide_groups = members.join(crowd.where(F.col("k") > long), "g", "left_semi").select(F.col("g").alias("t"), "c", "comp")
-    more = more.union(_long_lists(wide_lists.union(wide_groups), classes, docs, width, per_cent))
+    more = more.union(_long_lists(wide_lists.union(wide_groups), classes, docs, width, per_cent, salt))
     final = known
     if not more.isEmpty():
         final = durable(components(more.union(known.select(F.col("id").alias("a"), F.col("component").alias("b")))), "known")
