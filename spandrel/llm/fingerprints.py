@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,139 +13,262 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spandrel.llm import fragments
-from spandrel.llm.common import durable, forget, table
+from spandrel.llm.common import durable, forget, prepare, release, shared_dir, table
 
 LENGTH, GRAM = 35, 8
 #: The registered query adds the chunks in so many batches; runs of a level are compacted when there are FANIN.
 BATCHES, FANIN = 3, 2
+#: Files of a run, at most: each holds the buckets of one hash class.
+FILES = 4096
 #: Windows that a bucket compares at a time, at some hundred bytes of memory each.
 WINDOWS = 1 << 17
 
-RUN = "kind int, bucket long, chunk long, hashes binary, state binary, holder binary"
+RUN = "bucket long, hashes binary, state binary, holder binary"
+MERGED = "kind int, bucket long, chunk long, hashes binary, state binary, holder binary"
 
 
-def merge(rows: pa.Table) -> pa.Table:
-    """Merge-join a bucket's runs (kind 0) with the hashes of a new batch (kind 1).
+def merge(bucket: int, chunks: list[int], hashes: list[bytes], twice: list[bytes], runs: list[tuple[bytes, bytes, bytes]]) -> list[tuple]:
+    """Merge-join the hashes that a batch has in a bucket with the bucket's part of each run; all are sorted.
 
-    Gives the batch's own run (kind 2: distinct hashes, sorted, with one chunk that holds each and whether it
-    is repeated) and answers (kind 3): to chunks of the batch, their hashes that stand elsewhere in it or in the
+    Gives the batch's own run (kind 0: distinct hashes, sorted, with one chunk that holds each and whether it is
+    repeated) and answers (kind 1): to chunks of the batch, their hashes that stand elsewhere in it or in the
     history; to the holder of a hash that stood alone in the history, that it does no more.
     """
-    kind = np.array(rows.column("kind").to_pylist())
-    each = [fragments.read48(x) for x in rows.column("hashes").to_pylist()]
-    states = [np.frombuffer(x, np.uint8) for x in rows.column("state").to_pylist()]
-    bucket = rows.column("bucket")[0].as_py()
-    chunks = rows.column("chunk").to_pylist()
-    holders = [np.frombuffer(x, "<i8") if x else np.full(len(e), c, np.int64) for x, e, c in zip(rows.column("holder").to_pylist(), each, chunks, strict=True)]
-
-    def gather(k: int):
-        at = np.flatnonzero(kind == k)
-        join = lambda x, t: np.concatenate([x[i] for i in at]) if len(at) else np.zeros(0, t)
-        return at, join(each, np.uint64), join(states, np.uint8), join(holders, np.int64)
-
-    _, old, old_state, old_holder = gather(0)
-    at, new, new_state, new_holder = gather(1)
-    out = []
-    if len(new):
-        order = np.argsort(new, kind="stable")
-        sorted_new, first = np.unique(new, return_index=True)
-        counts = np.diff(np.concatenate([np.searchsorted(new[order], sorted_new), [len(new)]]))
-        twice = np.zeros(len(sorted_new), bool)
-        np.logical_or.at(twice, np.searchsorted(sorted_new, new), new_state.astype(bool))
-        in_history = np.zeros(len(sorted_new), bool)
-        if len(old):
-            sorted_old = np.sort(old)
-            spot = np.minimum(np.searchsorted(sorted_old, sorted_new), len(sorted_old) - 1)
-            in_history = sorted_old[spot] == sorted_new
-        repeated = twice | (counts > 1) | in_history
-        out.append((2, bucket, -1, fragments.write48(sorted_new), repeated.astype(np.uint8).tobytes(), new_holder[first].astype("<i8").tobytes()))
-        for i in at.tolist():
-            mine = repeated[np.searchsorted(sorted_new, each[i])]
-            if mine.any():
-                out.append((3, bucket, chunks[i], fragments.write48(each[i][mine]), b"", b""))
-        if len(old):
-            known = np.unique(old[old_state > 0])
-            alone = (old_state == 0) & np.isin(old, sorted_new) & ~np.isin(old, known)
-            for chunk in np.unique(old_holder[alone]).tolist():
-                out.append((3, bucket, chunk, fragments.write48(old[alone & (old_holder == chunk)]), b"", b""))
-    return _rows(out)
-
-
-def compact(rows: pa.Table) -> pa.Table:
+    each = [fragments.read48(x) for x in hashes]
+    new, first, place, n = np.unique(np.concatenate(each), return_index=True, return_inverse=True, return_counts=True)
+    holder = np.repeat(np.array(chunks, np.int64), [len(e) for e in each])[first]
+    repeated = n > 1
+    np.logical_or.at(repeated, place, np.frombuffer(b"".join(twice), np.uint8) > 0)
+    known, alone = np.zeros(len(new), bool), np.full(len(new), -1, np.int64)
+    for old, state, owner in runs:
+        old, state, owner = fragments.read48(old), np.frombuffer(state, np.uint8), np.frombuffer(owner, "<i8")
+        spot = np.minimum(np.searchsorted(old, new), len(old) - 1)
+        hit = old[spot] == new
+        single = hit & (state[spot] == 0)
+        repeated |= hit
+        known |= hit & ~single
+        alone[single] = owner[spot][single]
+    out = [(0, bucket, -1, fragments.write48(new), repeated.astype(np.uint8).tobytes(), holder.astype("<i8").tobytes())]
+    at = 0
+    for chunk, own in zip(chunks, each, strict=True):
+        mine = repeated[place[at : at + len(own)]]
+        at += len(own)
+        if mine.any():
+            out.append((1, bucket, chunk, fragments.write48(own[mine]), b"", b""))
+    alone[known] = -1
+    for chunk in np.unique(alone[alone != -1]).tolist():
+        out.append((1, bucket, chunk, fragments.write48(new[alone == chunk]), b"", b""))
+    return out
+
+
+def compact(runs: list[tuple[bytes, bytes, bytes]]) -> tuple[bytes, bytes, bytes]:
     """One run of several: a hash that is in two of them, or repeated in one, is repeated."""
-    each = np.concatenate([fragments.read48(x) for x in rows.column("hashes").to_pylist()])
-    state = np.frombuffer(b"".join(rows.column("state").to_pylist()), np.uint8)
-    holder = np.frombuffer(b"".join(rows.column("holder").to_pylist()), "<i8")
+    each = np.concatenate([fragments.read48(h) for h, _, _ in runs])
+    state = np.frombuffer(b"".join(s for _, s, _ in runs), np.uint8)
+    holder = np.frombuffer(b"".join(o for _, _, o in runs), "<i8")
     values, first, inverse, n = np.unique(each, return_index=True, return_inverse=True, return_counts=True)
     again = n > 1
-    np.logical_or.at(again, inverse, state.astype(bool))
-    return _rows([(0, rows.column("bucket")[0].as_py(), -1, fragments.write48(values), again.astype(np.uint8).tobytes(), holder[first].astype("<i8").tobytes())])
+    np.logical_or.at(again, inverse, state > 0)
+    return fragments.write48(values), again.astype(np.uint8).tobytes(), holder[first].astype("<i8").tobytes()
 
 
-def _rows(out: list[tuple]) -> pa.Table:
-    c = list(zip(*out, strict=True)) or [()] * 6
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["kind", "bucket", "chunk", "hashes", "state", "holder"])
+def beside(spine: DataFrame, runs: list[DataFrame]) -> DataFrame:
+    """spine (bucket, ...) with the columns h0, s0, o0, h1, ... of the runs' rows of its bucket.
+
+    A left join keeps the spine's partitions, so the bucketed runs are read where they lie. (A union of bucketed
+    tables does not do: it may claim partitions that it has not.)
+    """
+    for i, run in enumerate(runs):
+        named = run.select(F.col("bucket").alias(f"b{i}"), F.col("hashes").alias(f"h{i}"), F.col("state").alias(f"s{i}"), F.col("holder").alias(f"o{i}"))
+        spine = spine.join(named, spine.bucket == named[f"b{i}"], "left").drop(f"b{i}")
+    return spine
+
+
+def _runs(row: dict, n: int) -> list[tuple[bytes, bytes, bytes]]:
+    return [(row[f"h{i}"], row[f"s{i}"], row[f"o{i}"]) for i in range(n) if row[f"h{i}"] is not None]
 
 
 class FingerprintIndex:
-    """Hashes of all anchors so far, in sorted immutable runs; append() tells what a batch repeats.
+    """Hashes of all anchors so far, in sorted immutable runs on disk; append() tells what a batch repeats.
+
+    A run is a bucketed table: each distinct hash of its batches once, by bucket, so a passage that is everywhere is
+    one entry, and runs meet a batch file by file without being shuffled again. When FANIN runs are of one level,
+    they are compacted into a run of the next level and deleted, so there are about log(batches) runs at any time.
+    Chunks and answers of every batch stay too: a later batch is compared in full with what it meets.
 
-    A run holds each distinct hash of its batches once for a bucket, so a passage that is everywhere is one
-    entry. Runs are files in the shared folder. When FANIN runs are of one level, they are compacted into a
-    run of the next level and deleted, so there are about log(batches) runs at any time.
+    The index is the folder `path`: a manifest, the runs, the chunks and the answers. FingerprintIndex(spark, path)
+    opens it again, in any session. A batch counts once its manifest is written; what a lost append left behind is
+    not named there and is never read.
     """
 
-    def __init__(self, units: fragments.Units, buckets: int, text: str = "text", fanin: int = FANIN):
-        self.units, self.buckets, self.text, self.fanin = units, buckets, text, fanin
-        self.runs: list[tuple[int, DataFrame]] = []
+    def __init__(self, spark: SparkSession, path: str | None = None, units: fragments.Units | None = None, buckets: int = fragments.LEAST_BUCKETS, text: str = "text", fanin: int = FANIN):
+        prepare(spark)
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        units = units or fragments.Units(LENGTH, GRAM, words=True)
+        fresh = {"version": 0, "length": units.length, "gram": units.gram, "buckets": buckets, "files": min(buckets, FILES), "text": text, "fanin": fanin, "runs": [], "chunks": [], "answers": []}
+        self.state = self._read() or fresh
+        self.units = fragments.Units(self.state["length"], self.state["gram"], words=True)
+        self.buckets, self.text = self.state["buckets"], self.state["text"]
+        self.held: dict[str, str] = {}
+
+    @property
+    def runs(self) -> list[tuple[int, DataFrame]]:
+        return [(level, self._run(name)) for level, name in self.state["runs"]]
+
+    def chunks(self) -> DataFrame:
+        return self._all("chunks", "chunk long, n_bytes long, payload binary")
+
+    def answers(self) -> DataFrame:
+        """Rows (bucket, chunk, hashes) of all batches: what is repeated, of chunks of any batch."""
+        return self._all("answers", MERGED).where("kind = 1").select("bucket", "chunk", "hashes")
 
     def append(self, chunks: DataFrame) -> DataFrame:
         """Rows (bucket, chunk, hashes): what is repeated since this batch, of its chunks and of earlier ones."""
         sent = fragments.hashes_by_bucket(chunks, self.units, self.buckets, self.text, twice_within=True)
-        batch = sent.select(F.lit(1).alias("kind"), "bucket", "chunk", "hashes", F.col("twice").alias("state"), F.lit(b"").alias("holder"))
-        rows = batch
-        for _, run in self.runs:
-            rows = rows.union(run)
-        merged = durable(rows.groupBy("bucket").applyInArrow(merge, RUN), "merged")
-        run = merged.where("kind = 2").select(F.lit(0).alias("kind"), "bucket", "chunk", "hashes", "state", "holder")
-        self.runs.append((0, run))
-        self._compact()
-        return merged.where("kind = 3").select("bucket", "chunk", "hashes")
-
-    def _compact(self) -> None:
+        batch = sent.groupBy("bucket").agg(F.collect_list(F.struct("chunk", "hashes", "twice")).alias("batch"))
+        own = [run for _, run in self.runs]
+        n = len(own)
+
+        def meet(batches):
+            for b in batches:
+                for row in b.to_pylist():
+                    held = [[x[k] for x in row["batch"]] for k in ("chunk", "hashes", "twice")]
+                    c = list(zip(*merge(row["bucket"], *held, _runs(row, n)), strict=True))
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["kind", "bucket", "chunk", "hashes", "state", "holder"])
+
+        merged = beside(batch, own).mapInArrow(meet, MERGED)
+        answers = self._name("answers")
+        release(self.spark)
+        merged.write.option("compression", "zstd").parquet(f"{self.path}/{answers}")
+        merged = self.spark.read.schema(MERGED).parquet(f"{self.path}/{answers}")
+        run = self._store(merged.where("kind = 0").select("bucket", "hashes", "state", "holder"))
+        self.state["answers"].append(answers)
+        self.state["runs"].append([0, run])
+        self._write()
+        self.compact()
+        return merged.where("kind = 1").select("bucket", "chunk", "hashes")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Store docs as chunks of this index and append them: the rows (bucket, chunk, hashes) of append()."""
+        salt = uuid.uuid4().int >> 66  # chunks of all batches have numbers of their own
+        chunks = fragments.to_chunks(docs, self.text, salt=salt)
+        name = self._name("chunks")
+        chunks.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        forget(chunks)
+        self.state["chunks"].append(name)
+        return self.append(self._batch(name))
+
+    def last_chunks(self) -> DataFrame:
+        return self._batch(self.state["chunks"][-1])
+
+    def compact(self) -> None:
         while True:
-            levels = [level for level, _ in self.runs]
-            full = [level for level in sorted(set(levels)) if levels.count(level) >= self.fanin]
+            levels = [level for level, _ in self.state["runs"]]
+            full = [level for level in sorted(set(levels)) if levels.count(level) >= self.state["fanin"]]
             if not full:
                 return
-            own = [run for level, run in self.runs if level == full[0]]
-            rows = own[0]
-            for run in own[1:]:
-                rows = rows.union(run)
-            new = durable(rows.groupBy("bucket").applyInArrow(compact, RUN), "run")
-            for run in own if full[0] else ():  # runs of level 0 lie beside answers that are still read
-                forget(run)
-            self.runs = [x for x in self.runs if x[0] != full[0]] + [(full[0] + 1, new)]
-
-
-def settle(answers: DataFrame, hot: int) -> DataFrame:
-    """Rows (chunk, hashes, state) of all answers, with the same state for a hash wherever it is."""
+            own = [name for level, name in self.state["runs"] if level == full[0]]
+            new = self._store(self._compacted(own))
+            self.state["runs"] = [x for x in self.state["runs"] if x[0] != full[0]] + [[full[0] + 1, new]]
+            self._write()
+            for name in own:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.held.pop(name)}")
+                self._files().delete(self._at(name), True)
+
+    def _compacted(self, names: list[str]) -> DataFrame:
+        def join(batches):
+            for b in batches:
+                rows = [(row["id"], *compact(own)) for row in b.to_pylist() if (own := _runs(row, len(names)))]
+                c = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "hashes", "state", "holder"])
+
+        spine = self.spark.range(self.buckets).withColumn("bucket", F.col("id"))
+        return beside(spine, [self._run(name) for name in names]).drop("bucket").mapInArrow(join, RUN)
+
+    def delete(self) -> None:
+        """Remove the whole folder."""
+        for held in self.held.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {held}")
+        self._files().delete(self._at(""), True)
+
+    def _name(self, kind: str) -> str:
+        return f"{kind}-{uuid.uuid4().hex}"
+
+    def _batch(self, name: str) -> DataFrame:
+        return self.spark.read.schema("chunk long, n_bytes long, payload binary").parquet(f"{self.path}/{name}")
+
+    def _all(self, kind: str, schema: str) -> DataFrame:
+        names = [f"{self.path}/{n}" for n in self.state[kind]]
+        return self.spark.read.schema(schema).parquet(*names) if names else self.spark.createDataFrame([], schema)
+
+    def _store(self, rows: DataFrame) -> str:
+        name, files = self._name("run"), self.state["files"]
+        self.held[name] = f"spandrel_{uuid.uuid4().hex}"
+        rows = rows.repartition(files, "bucket").write.bucketBy(files, "bucket").sortBy("bucket").option("compression", "zstd")
+        rows.option("path", f"{self.path}/{name}").format("parquet").saveAsTable(self.held[name])
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        if name not in self.held:  # written by another session
+            self.held[name] = f"spandrel_{uuid.uuid4().hex}"
+            columns = "bucket BIGINT, hashes BINARY, state BINARY, holder BINARY"
+            self.spark.sql(f"CREATE TABLE {self.held[name]} ({columns}) USING parquet CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.state['files']} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(self.held[name])
+
+    def _at(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _files(self):
+        return self._at("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read(self) -> dict | None:
+        files = self._files()
+        if not files.exists(self._at("manifest.json")):
+            return None
+        jvm, stream = self.spark.sparkContext._jvm, files.open(self._at("manifest.json"))
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+
+    def _write(self) -> None:
+        """Replace the manifest: written beside it, then renamed."""
+        files = self._files()
+        self.state["version"] += 1
+        out = files.create(self._at("manifest.new"), True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        files.delete(self._at("manifest.json"), False)
+        if not files.rename(self._at("manifest.new"), self._at("manifest.json")):
+            raise OSError(f"the manifest of {self.path} could not be written")
+
+
+def settle(answers: DataFrame, hot: int, met: DataFrame | None = None) -> DataFrame:
+    """Rows (chunk, hashes, state) of all answers, with the same state for a hash wherever it is.
+
+    met: rows (bucket, hashes); other hashes are left out.
+    """
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, wanted: pa.Table | None = None) -> pa.Table:
         chunk = np.array(rows.column("chunk").to_pylist(), np.int64)
         each = [fragments.read48(x) for x in rows.column("hashes").to_pylist()]
+        if wanted is not None:
+            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(fragments.read48(x) for x in wanted.column("hashes").to_pylist())]))
+            each = [e[np.isin(e, keys)] for e in each]
         owners = np.repeat(chunk, [len(e) for e in each])
-        flat = np.concatenate(each)
+        flat = np.concatenate([np.zeros(0, np.uint64), *each])
         order = np.lexsort((flat, owners))
         owners, flat = owners[order], flat[order]
-        new = np.concatenate([[True], (owners[1:] != owners[:-1]) | (flat[1:] != flat[:-1])])
+        new = np.concatenate([[True], (owners[1:] != owners[:-1]) | (flat[1:] != flat[:-1])])[: len(flat)]
         owners, flat = owners[new], flat[new]
         held, first = np.unique(owners, return_index=True)
         parts = np.split(flat, first[1:])
-        return fragments.answers(held.tolist(), parts, np.ones(len(flat), np.uint8), hot)
+        return fragments.answers(held.tolist(), parts if len(held) else [], np.ones(len(flat), np.uint8), hot)
 
-    return answers.groupBy("bucket").applyInArrow(run, "chunk long, hashes binary, state binary")
+    schema = "chunk long, hashes binary, state binary"
+    if met is None:
+        return answers.groupBy("bucket").applyInArrow(lambda t: run(t), schema)
+    return answers.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(lambda a, b: run(a, b), schema)
 
 
 class _Count:
@@ -169,27 +294,33 @@ class _Count:
         return total[which]
 
 
-def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, hot: int = fragments.HOT_CHUNKS, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, hot: int = fragments.HOT_CHUNKS, keep: tuple[str, ...] = (), index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256, carried of every row of docs (doc_id, text).
 
     A word (ASCII white space parts words) goes if a window of `length` words over it stands anywhere else, in
-    the same document or another; all is judged on the input. What is kept is joined by single spaces. A null
-    or empty text has no words. carried is a struct of the columns named in keep (null without any). Rows are
-    taken each by itself, so the windows of a repeated row are repeated; a null doc_id is like any other. An
-    empty table gives an empty result; other columns are not looked at.
+    the same document or another; all is judged on the input. With an index that has earlier documents, docs are
+    added to it, and what stands in any of those counts too; earlier documents are not judged anew. What is kept is
+    joined by single spaces. A null or empty text has no words. carried is a struct of the columns named in keep
+    (null without any). Rows are taken each by itself, so the windows of a repeated row are repeated; a null doc_id
+    is like any other. An empty table gives an empty result; other columns are not looked at.
     """
-    units = fragments.Units(length, gram, words=True)
-    carried = F.struct(*keep) if keep else F.lit(None).cast("int")
+    spark = docs.sparkSession
+    carried = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("int")
     held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", carried.alias("carried"))
-    chunks = fragments.to_chunks(held)
-    buckets = fragments.n_buckets(chunks)
-    index = FingerprintIndex(units, buckets)
-    answers = None
-    for i in range(batches):
-        more = index.append(chunks.where(F.pmod("chunk", F.lit(batches)) == i) if batches > 1 else chunks)
-        answers = more if answers is None else answers.union(more)
     none = lambda t: None
-    sent = fragments.entries(chunks, settle(answers, hot), units, buckets, "text", none)
+    if index is None:
+        units = fragments.Units(length, gram, words=True)
+        chunks = every = fragments.to_chunks(held)
+        index = FingerprintIndex(spark, None, units, fragments.n_buckets(chunks))
+        for i in range(batches):
+            index.append(chunks.where(F.pmod("chunk", F.lit(batches)) == i) if batches > 1 else chunks)
+        found = settle(index.answers(), hot)
+    else:
+        units, length = index.units, index.units.length
+        told = index.add(held)
+        chunks, every = index.last_chunks(), index.chunks()
+        found = settle(index.answers(), hot, told.select("bucket", "hashes"))
+    sent = fragments.entries(every, found, units, index.buckets, "text", none)
     judged = durable(fragments.judge(sent, _Count(length)), "judged")
 
     def finish(t: pa.Table, own: list[list[bytes]], masks: list[np.ndarray]):

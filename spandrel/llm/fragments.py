@@ -41,8 +41,11 @@ BLOCK = 1 << 15
 SLICE = 1 << 19
 
 
-def to_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (chunk, n_bytes, payload): the rows of docs as compressed Arrow batches, written to the shared folder."""
+def to_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES, salt: int = 0) -> DataFrame:
+    """Rows (chunk, n_bytes, payload): the rows of docs as compressed Arrow batches, written to the shared folder.
+
+    Chunks are numbered by partition; a salt scrambles the numbers, so that those of several tables differ.
+    """
     prepare(docs.sparkSession)
 
     def pack(batches: list[pa.RecordBatch]) -> bytes:
@@ -57,7 +60,8 @@ def to_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTE
         base, n, held, size = (context.partitionId() if context else 0) << 32, 0, [], 0
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(held)], pa.binary())], names=["chunk", "n_bytes", "payload"])
+            number = base + n if not salt else int(mix64(np.array([(base + n) ^ salt], np.uint64))[0] >> np.uint64(1))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(held)], pa.binary())], names=["chunk", "n_bytes", "payload"])
 
         for b in batches:
             lengths = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -478,7 +482,8 @@ def conclude(chunks: DataFrame, sent: DataFrame, judged: DataFrame, units: Units
                     del entry, number, verdict, first, size, n
                 count = np.cumsum(begins, dtype=np.int32)  # of windows that go, by start
                 mask = count[1:].copy()
-                mask[units.length :] -= count[1 : len(mask) - units.length + 1]
+                if len(mask) > units.length:
+                    mask[units.length :] -= count[1 : len(mask) - units.length + 1]
                 mask = mask > 0
                 del begins, count, codes
                 yield from finish(table, own, [mask[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from spandrel.llm import fingerprints, fragments, jaccard, suffixes
@@ -36,7 +37,7 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize(("hot", "chunk"), [(500, 4 << 20), (0, 4 << 20), (500, 3000), (1, 3000)])
 def test_bytes_of_smaller_documents(spark, monkeypatch, hot, chunk):
-    monkeypatch.setattr(fragments.to_chunks, "__defaults__", ("text", chunk))
+    monkeypatch.setattr(fragments.to_chunks, "__defaults__", ("text", chunk, 0))
     rows = corpus(1)
     got = suffixes.remove_repeats(frame(spark, rows), hot=hot).collect()
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=repr) == sorted(brute.removed_bytes(rows, 50), key=repr)
@@ -44,7 +45,7 @@ def test_bytes_of_smaller_documents(spark, monkeypatch, hot, chunk):
 
 @pytest.mark.parametrize(("hot", "chunk", "batches"), [(500, 4 << 20, 1), (500, 3000, 3), (0, 3000, 2), (500, 3000, 5)])
 def test_passages_that_repeat(spark, monkeypatch, hot, chunk, batches):
-    monkeypatch.setattr(fragments.to_chunks, "__defaults__", ("text", chunk))
+    monkeypatch.setattr(fragments.to_chunks, "__defaults__", ("text", chunk, 0))
     rows = corpus(2)
     got = fingerprints.remove_passages(frame(spark, rows), hot=hot, batches=batches, keep=("chunk", "n_words")).collect()
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=repr) == sorted(brute.removed_words(rows, 35), key=repr)
@@ -81,7 +82,7 @@ def test_deep_shallow_orders_like_sorting():
 
 def test_index_is_compacted(spark):
     chunks = fragments.to_chunks(frame(spark, corpus(5)), chunk_bytes=2000)
-    index = fingerprints.FingerprintIndex(fragments.Units(35, 8, True), 4)
+    index = fingerprints.FingerprintIndex(spark, None, fragments.Units(35, 8, True), 4)
     for i in range(4):
         index.append(chunks.where(f"pmod(chunk, 4) = {i}"))
     assert [level for level, _ in index.runs] == [2]
@@ -90,3 +91,67 @@ def test_index_is_compacted(spark):
     for r in run:
         h = fragments.read48(r.hashes).tolist()
         assert h == sorted(set(h))
+    index.delete()
+
+
+def test_index_is_opened_again(spark, tmp_path, monkeypatch):
+    """Three batches, each by an index of its own over the same folder, against all rows at once."""
+    monkeypatch.setattr(fragments.to_chunks, "__defaults__", ("text", 3000, 0))
+    rows = corpus(8)
+    path, seen = f"file://{tmp_path}/index", []
+    for i in range(3):
+        batch = rows[i::3]
+        seen += batch
+        index = fingerprints.FingerprintIndex(spark.newSession(), path, buckets=8, fanin=3 if i == 0 else 2)
+        assert len(index.state["chunks"]) == i
+        got = fingerprints.remove_passages(frame(spark, batch), index=index, keep=("chunk",)).collect()
+        want = brute.removed_words(seen, 35)[-len(batch) :]
+        assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=repr) == sorted(want, key=repr)
+    assert [level for level, _ in index.state["runs"]] == [1]  # the manifest's fan-in holds
+    none = fingerprints.remove_passages(frame(spark, rows[:1]).limit(0), index=fingerprints.FingerprintIndex(spark, path))
+    assert none.collect() == []
+
+
+def test_runs_meet_a_batch_without_a_shuffle(spark):
+    index = fingerprints.FingerprintIndex(spark, None, buckets=4, fanin=9)
+    for seed in (1, 2):
+        index.append(fragments.to_chunks(frame(spark, corpus(seed)), salt=seed))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = fingerprints.beside(spark.range(4).withColumnRenamed("id", "bucket"), [run for _, run in index.runs])
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        plan = plan[plan.index("== Initial Plan") :] if "== Initial Plan" in plan else plan
+        assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2
+        assert rows.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_anchors_of_many_chunks(spark, monkeypatch):
+    """More chunks than HOT_CHUNKS, so that what most of them hold is compared window by window."""
+    monkeypatch.setattr(fragments.to_chunks, "__defaults__", ("text", 1, 0))
+    r = random.Random(9)
+    shared = " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 6))) for _ in range(45))
+    rows = [(i, f"{r.random()} {shared} {r.random()}" if i % 20 else f"only {r.random()}") for i in range(560)]
+    df = frame(spark, rows).coalesce(2)
+    assert fragments.to_chunks(df).count() > fragments.HOT_CHUNKS
+    got = suffixes.remove_repeats(df).collect()
+    assert sorted([(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got]) == sorted(brute.removed_bytes(rows, 50))
+    got = fingerprints.remove_passages(df).collect()
+    assert sorted([(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got]) == sorted(brute.removed_words(rows, 35))
+
+
+def test_slices_of_windows(monkeypatch):
+    weights, keys = np.array([3, 1, 1, 9, 1, 2, 2, 2, 1]), np.array([1, 1, 2, 3, 3, 4, 4, 4, 5])
+    for most in range(1, 30):
+        for joint in (None, keys):
+            got = list(fragments.slices(weights, most, joint))
+            assert [a for a, _ in got] + [9] == [0] + [z for _, z in got]
+            for a, z in got:
+                assert joint is None or z == 9 or joint[z - 1] != joint[z]
+                assert weights[a:z].sum() <= most or z == a + 1 or len(set(keys[a:z])) == 1
+    r = random.Random(3)
+    texts = sorted({"".join(r.choices("ab", k=r.randint(50, 90))).encode() for _ in range(40)} | {b"a" * 60 + b"b" * 30})
+    sizes, ranks = np.array([len(t) - 49 for t in texts]), np.arange(len(texts))[::-1].copy()
+    whole = suffixes._LeastRank(50)(texts, sizes, ranks)
+    assert (suffixes._LeastRank(50, most=37)(texts, sizes, ranks) == whole).all()
