@@ -37,18 +37,59 @@ class Token:
         return bool(re.match(r"[#A-Za-z_$\u0080-￿]", self.text))
 
 
+#: Words after which an expression begins, so that a slash opens a pattern and "<" an element.
+_BEFORE_VALUE = frozenset("return typeof case in of instanceof new delete void throw do else yield await default extends".split())
+_PATTERN = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
+_TAG = re.compile(r"<([A-Za-z_$][\w$.:-]*)?")
+_ATTRIBUTE = re.compile(r"\s+|/\*[\s\S]*?\*/|//[^\n]*|[A-Za-z_$][\w$:.-]*|=")
+
+
+def _value_begins(out: list[Token], opened: list[int]) -> bool:
+    """Whether an expression, not an operator, comes after the tokens. opened: places whose brackets closed last."""
+    if not out:
+        return True
+    last = out[-1]
+    before = out[-2].text if len(out) > 1 else ""
+    if last.is_name:
+        return last.text in _BEFORE_VALUE and before not in (".", "?.")
+    if last.text[0] in "\"'`" or last.text[0].isdigit() or last.text[0] == "<" and len(last.text) > 1 and last.text[-1] == ">":
+        return False
+    if last.text == ")":  # of if (...) and the like, or of a call
+        head = opened[-1] - 1 if opened else -1
+        return head >= 0 and out[head].text in ("if", "while", "for", "with") and (head == 0 or out[head - 1].text not in (".", "?."))
+    if last.text in ("]", "}"):
+        return False
+    if last.text in "+-" and before == last.text and out[-2].end == last.start:  # i++ and i--
+        return False
+    if last.text == "!" and len(out) > 1 and out[-2].end == last.start:  # a value that is said not to be null
+        return not (out[-2].is_name and before not in _BEFORE_VALUE or before in (")", "]"))
+    return True
+
+
 def tokenize(source: str) -> list[Token]:
+    return _scan(source, 0, False)[0]
+
+
+def _scan(source: str, at: int, nested: bool) -> tuple[list[Token], int]:
+    """Tokens from a place on, and where they end: at the end of the text, or after the brace that closes a nested part."""
     out: list[Token] = []
     docs: list[str] = []
-    at = 0
+    stack: list[int] = []
+    closed: list[int] = []  # where the bracket that closed last was opened
     while at < len(source):
-        if source[at] == "`":
+        c = source[at]
+        if nested and c == "}" and not any(out[k].text == "{" for k in stack):
+            return out, at + 1
+        text = None
+        if c == "`":
             end = _template_end(source, at)
-        elif source[at] == "/" and source[at + 1 : at + 2] not in ("/", "*") and (not out or out[-1].text in "(,=:[!&|?{};=>return" or out[-1].text == "=>"):
-            m = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*").match(source, at)
+        elif c == "/" and source[at + 1 : at + 2] not in ("/", "*") and (_value_begins(out, closed) or out[-1].text == "}" and _on_new_line(source, out[-1].end, at)):
+            m = _PATTERN.match(source, at)
             if not m:
                 raise SyntaxProblem("a pattern is not closed")
             end = m.end()
+        elif c == "<" and source[at + 1 : at + 2] not in ("", "<", "=", " ", "\n") and (_value_begins(out, closed) or out[-1].text == "}" and _on_new_line(source, out[-1].end, at)) and (end := _element_or_none(source, at)):
+            text = re.sub(r"\s+", " ", source[at:end])  # an element is one token, with its white space as one
         else:
             m = _TOKEN.match(source, at)
             if not m or source.startswith("/*", at) and m.lastgroup != "comment":
@@ -62,9 +103,19 @@ def tokenize(source: str) -> list[Token]:
             if m.lastgroup == "space":
                 at = end
                 continue
-        out.append(Token(source[at:end], at, end, docs))
+            if m[0] in _PAIRS:
+                stack.append(len(out))
+            elif m[0] in _PAIRS.values() and stack:
+                closed = [stack.pop()]
+        out.append(Token(source[at:end] if text is None else text, at, end, docs))
         docs, at = [], end
-    return out
+    if nested:
+        raise SyntaxProblem("a brace is not closed")
+    return out, at
+
+
+def _on_new_line(source: str, end: int, at: int) -> bool:
+    return "\n" in source[end:at]
 
 
 def _template_end(source: str, at: int) -> int:
@@ -75,18 +126,64 @@ def _template_end(source: str, at: int) -> int:
         elif source[i] == "`":
             return i + 1
         elif source.startswith("${", i):
-            depth, i = 1, i + 2
-            while i < len(source) and depth:
-                if source[i] == "`":
-                    i = _template_end(source, i)
-                    continue
-                depth += {"{": 1, "}": -1}.get(source[i], 0)
-                i += 1
+            i = _scan(source, i + 2, True)[1]
         else:
             i += 1
     raise SyntaxProblem("a template is not closed")
 
 
+def _element_or_none(source: str, at: int) -> int | None:
+    """The end of an element (<a>...</a>, <a/>, <>...</>), or None if there is none, as in <T>(x: T) => x."""
+    try:
+        return _element_end(source, at)
+    except (SyntaxProblem, RecursionError):
+        return None
+
+
+def _element_end(source: str, at: int) -> int:
+    m = _TAG.match(source, at)
+    name, i = m[1] or "", m.end()
+    while True:  # the opening tag
+        if source.startswith("/>", i) and name:
+            return i + 2
+        c = source[i : i + 1]
+        if c == ">":
+            i += 1
+            break
+        if not name or not c:
+            raise SyntaxProblem("a tag is not closed")
+        if c == "{":
+            i = _scan(source, i + 1, True)[1]
+        elif c in "\"'":
+            i = source.find(c, i + 1) + 1
+            if not i:
+                raise SyntaxProblem("an attribute is not closed")
+        elif c == "<":
+            i = _element_end(source, i) if source[i - 1] == "=" else _type_arguments_end(source, i)
+        elif found := _ATTRIBUTE.match(source, i):
+            i = found.end()
+        else:
+            raise SyntaxProblem("not a tag")
+    while True:  # text, elements and values in braces
+        while i < len(source) and source[i] not in "<{":
+            i += 1
+        if source.startswith("{", i):
+            i = _scan(source, i + 1, True)[1]
+        elif found := re.compile(rf"</\s*{re.escape(name)}\s*>").match(source, i):
+            return found.end()
+        elif source.startswith("<", i) and not source.startswith("</", i):
+            i = _element_end(source, i)
+        else:
+            raise SyntaxProblem("an element is not closed")
+
+
+def _type_arguments_end(source: str, at: int) -> int:
+    m = re.compile(r"<[\w$.,\s|&\[\]<\"']*>").match(source, at)
+    if not m or m[0].count("<") != 1:
+        raise SyntaxProblem("not a tag")
+    return m.end()
+
+
 def doc_text(comment: str) -> str:
     lines = [re.sub(r"^\s*\* ?", "", line).rstrip() for line in comment[3:-2].split("\n")]
     return "\n".join(lines).strip()
@@ -108,6 +205,36 @@ class Cursor:
                 self.close[stack.pop()] = i
         if stack:
             raise SyntaxProblem("a bracket is not closed")
+        self.angle = {i: k for i, t in enumerate(self.tokens) if t.text == "<" and (k := self._angle(i)) is not None}
+
+    def _angle(self, i: int) -> int | None:
+        """The ">" that closes the "<" at i if both hold type parameters or arguments, else None."""
+        before = self.text(i - 1) if i else ""
+        after_name = bool(before) and (self.tokens[i - 1].is_name or before in ("]", ")")) and before not in _BEFORE_VALUE - {"extends", "new"}
+        depth, k = 0, i
+        while k < len(self.tokens):
+            t = self.text(k)
+            if t == "<":
+                depth += 1
+            elif t == ">":
+                depth -= 1
+                if not depth:
+                    after = self.text(k + 1)
+                    if after == "(" or not after:
+                        return k
+                    apart = "\n" in self.source[self.tokens[k].end : self.tokens[k + 1].start]
+                    ends = after in (")", "]", "}", ",", ";", ":", "=", "{", "[", ">", "|", "&", "?", ".", "?.", "=>", "extends", "implements", "is", "as", "satisfies", "in") or after[0] == "`"
+                    return k if after_name and (ends or apart) else None
+            elif t in _PAIRS:
+                k = self.close[k]
+            elif t in (";", ")", "]", "}") or t in ("&&", "||", "??", "==", "===", "!=", "!==", "+", "*", "/", "%", "^", "!", "**", "<=", ">=") or len(t) > 1 and t[0] == "<":
+                return None
+            k += 1
+        return None
+
+    def after(self, i: int) -> int:
+        """The place after the token at i, or after what it opens."""
+        return self.close.get(i, self.angle.get(i, i)) + 1
 
     def text(self, i: int | None = None) -> str:
         i = self.at if i is None else i
@@ -133,18 +260,10 @@ class Cursor:
 
     def find(self, stops: str | tuple, i: int, end: int) -> int:
         """The first token of stops outside brackets and type arguments, or end."""
-        angle = 0
         while i < end:
-            t = self.text(i)
-            if t in stops and angle <= 0:
+            if self.text(i) in stops:
                 return i
-            if i in self.close:
-                i = self.close[i]
-            elif t == "<":
-                angle += 1
-            elif t == ">":
-                angle -= 1
-            i += 1
+            i = self.after(i)
         return end
 
 
@@ -202,13 +321,8 @@ def _callable(c: Cursor, first: int, name_at: int, modifiers: list[str], end: in
         modifiers = [*modifiers, c.text(i)]
         i += 1
     if c.text(i) == "<":
-        depth, start = 0, i
-        while i < end:
-            depth += {"<": 1, ">": -1}.get(c.text(i), 0)
-            i += 1
-            if depth == 0:
-                break
-        generics = c.words(start, i)
+        generics = c.words(i, c.after(i))
+        i = c.after(i)
     if c.text(i) != "(":
         raise SyntaxProblem("a parameter list is missing")
     params, i = _parameters(c, i + 1, c.close[i]), c.close[i] + 1
@@ -221,7 +335,7 @@ def _callable(c: Cursor, first: int, name_at: int, modifiers: list[str], end: in
             line_break = "\n" in c.source[c.tokens[stop - 1].end : c.tokens[stop].start]
             if line_break and c.text(stop) not in ("|", "&", ".", "[", "=>") and c.text(stop - 1) not in ("|", "&", "=>", ".", ","):
                 break
-            stop = c.close.get(stop, stop) + 1
+            stop = c.after(stop)
         returns, i = (c.slice(start, stop), c.words(start, stop)), stop
     body, last = None, i - 1
     if c.text(i) == "{":
@@ -315,7 +429,7 @@ def _members(c: Cursor, a: int, z: int) -> tuple[list[Callable_], list[Member]]:
         while stop < z and c.text(stop) not in (";", ","):
             if stop > i and "\n" in c.source[c.tokens[stop - 1].end : c.tokens[stop].start] and c.text(stop) not in ("|", "&", "?", ":", ".", "=>", "=") and c.text(stop - 1) not in ("|", "&", "=", "=>", ":", "?", "+", "-", "*", "/"):
                 break
-            stop = c.close.get(stop, stop) + 1
+            stop = c.after(stop)
         equal = min(equal, stop) if c.text(equal) == "=" else stop
         colon = c.find((":",), i, equal)
         docs = [d for k in range(first, name_at + 1) for d in c.tokens[k].doc]
@@ -379,7 +493,7 @@ def scan(source: str) -> Source:
                 if c.text(k) == ";" or k > i + 3 and "\n" in c.source[c.tokens[k - 1].end : c.tokens[k].start] and c.text(k) not in ("|", "&", "?", ":", "=", "=>") and c.text(k - 1) not in ("|", "&", "=", "=>", "?", ":", "<", ","):
                     end = k
                     break
-                k = c.close.get(k, k) + 1
+                k = c.after(k)
             end = min(end, n)
             docs = [d for k in range(first, i + 1) for d in c.tokens[k].doc]
             held.append((exported, Container("type", c.text(i + 1), modifiers, [], [], [], [], [], c.words(i + 2, end), [c.line(first), c.line(max(first, end - 1))], docs)))
@@ -387,7 +501,7 @@ def scan(source: str) -> Source:
         else:
             if t == "require" and c.text(i + 1) == "(":
                 pass
-            i = c.close.get(i, i) + 1
+            i = c.after(i)
     for exported, own in held:
         if exported or own.name in later:
             (out.functions if isinstance(own, Callable_) else out.containers).append(own)
@@ -419,7 +533,7 @@ def _container(c: Cursor, first: int, i: int, modifiers: list[str]) -> tuple[Con
     kind, name = c.text(i), c.text(i + 1)
     opening = i
     while c.text(opening) != "{":
-        opening = c.close.get(opening, opening) + 1
+        opening = c.after(opening)
         if opening >= len(c.tokens):
             raise SyntaxProblem("a declaration has no body")
     if name in ("{", "extends", "implements"):
