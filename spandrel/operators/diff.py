@@ -157,5 +157,11 @@ def summarize(changes: DataFrame, unmapped: DataFrame | None = None) -> DataFram
 
 
 def payload_digest(changes: DataFrame, column: str = "digest") -> DataFrame:
-    """One row: a digest over the digests of all changes, in their order."""
-    return changes.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(column))), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    """One row (digest, n): a digest over the digests of all changes, whatever their order.
+
+    Digests are sorted and hashed within the 4096 classes of their first three digits, then the classes in order; so
+    no row holds more than a class.
+    """
+    classes = changes.groupBy(F.substring(column, 1, 3).alias("c")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(column)), ","), 256).alias("d"), F.count(F.lit(1)).alias("k"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "d"))), lambda x: x["d"]), ",")
+    return classes.agg(F.sha2(whole, 256).alias("digest"), F.coalesce(F.sum("k"), F.lit(0)).alias("n"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spandrel.functions import paths, text
-from spandrel.operators.sections import make_slug
 
 #: Reasons in a fixed order.
 REASONS = ("direct-reference", "recommendation", "explicit", "unmapped-public-change-fallback")
@@ -15,7 +18,7 @@ API_CATEGORIES = ("added", "removed", "contract-changed")
 
 
 def topics() -> dict[str, Column]:
-    """How well a section stands for each topic: the least score, then file and place. Null: not at all."""
+    """How well a section stands for each topic: the least score, then file, slug and heading. Null: not at all."""
     name, heading = F.lower(paths.basename(F.col("file"))), F.col("heading")
     word = lambda w: heading.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{w})(?![A-Za-z0-9_])")
     return {
@@ -27,9 +30,9 @@ def topics() -> dict[str, Column]:
 
 
 def select_sections(sections: DataFrame) -> DataFrame:
-    """One row (topic, file, heading, slug) for each topic that has a section."""
+    """One row (topic, file, heading, slug) for each topic that has a section: the least score, ties by file, slug, heading."""
     row = F.struct("file", "heading", "slug")
-    best = [F.min_by(row, F.when(score.isNotNull(), F.struct(score, F.col("file"), F.col("ordinal")))).alias(t) for t, score in topics().items()]
+    best = [F.min_by(row, F.when(score.isNotNull(), F.struct(score, F.col("file"), F.col("slug"), F.col("heading")))).alias(t) for t, score in topics().items()]
     wide = sections.agg(*best)
     return wide.select(F.explode(F.array(*(F.struct(F.lit(t).alias("topic"), F.col(t).alias("s")) for t in topics()))).alias("x")).where("x.s is not null").select("x.topic", "x.s.*")
 
@@ -37,24 +40,33 @@ def select_sections(sections: DataFrame) -> DataFrame:
 def direct_references(changes: DataFrame, sections: DataFrame) -> DataFrame:
     """(id, file, heading, slug, reason) where a section names a symbol in code, links its file, or is headed by it.
 
-    Code spans are cut into names first, so that arm is an equi-join on (name); links are one on the path. Only
-    headings, which are short and few, are compared with names by containment, by their words' equality first.
+    A name stands in a text only between other characters than those of words, so the words that it consists of are
+    words of the text too. Texts are cut into words, names are joined on their longest one, and only names of
+    several parts are looked for in what they met; a name without any such character is found nowhere. The arms
+    are equi-joins, of which Catalyst broadcasts a side where it is small.
     """
-    named = changes.where("qualified_name is not null").select("id", "qualified_name")
+    named = changes.where("qualified_name is not null").select("id", "qualified_name", _key(F.col("qualified_name")).alias("key"))
     place = ("file", "heading", "slug")
-    words = lambda column: F.array_distinct(F.regexp_extract_all(column, F.lit(r"([\p{L}\p{M}\p{N}_$.]+)"), 1))
-    spans = sections.select(*place, F.explode("code_spans").alias("span"))
-    span_names = spans.select(*place, F.explode(words(F.col("span"))).alias("name")).distinct()
-    by_span = named.join(span_names, named.qualified_name == span_names.name).select("id", *place, F.lit("code-span").alias("reason"))
-    # names with other characters than those of words can only be found by containment
-    odd = named.where(~F.col("qualified_name").rlike(r"^[\p{L}\p{M}\p{N}_$.]+\z"))
-    by_odd = odd.join(spans, text.contains_name(F.col("span"), F.col("qualified_name"))).select("id", *place, F.lit("code-span").alias("reason"))
+
+    def arm(names: DataFrame, texts: DataFrame, reason: str) -> DataFrame:
+        met = names.join(texts.select(*place, "text", F.explode(_words(F.col("text"))).alias("key")), "key")
+        whole = (F.col("key") == F.col("qualified_name")) | text.contains_name(F.col("text"), F.col("qualified_name"))
+        return met.where(whole).select("id", *place, F.lit(reason).alias("reason"))
+
+    by_span = arm(named, sections.select(*place, F.explode("code_spans").alias("text")), "code-span")
+    by_head = arm(named.where(text.is_heading_name(F.col("qualified_name"))), sections.select(*place, F.col("heading").alias("text")), "heading")
     linked = sections.select(*place, F.explode("link_targets").alias("path"))
     by_link = changes.select("id", "path").join(linked, "path").select("id", *place, F.lit("source-link").alias("reason"))
-    heads = sections.select(*place, F.explode(words(F.col("heading"))).alias("name"))
-    eligible = named.where(text.is_heading_name(F.col("qualified_name")))
-    by_head = eligible.join(heads, eligible.qualified_name == heads.name).select("id", *place, F.lit("heading").alias("reason"))
-    return by_span.union(by_odd).union(by_link).union(by_head)
+    return by_span.union(by_link).union(by_head)
+
+
+def _words(x: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"([\p{L}\p{M}\p{N}_$.]+)"), 1))
+
+
+def _key(name: Column) -> Column:
+    """The longest word of a name; of several the last in order."""
+    return F.array_max(F.transform(_words(name), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("word")))).getField("word")
 
 
 def recommendations(changes: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -92,18 +104,20 @@ def map_documentation(changes: DataFrame, sections: DataFrame) -> DataFrame:
     return out.withColumn("unmapped", (F.size("direct_references") == 0) & (F.size("recommendations") == 0))
 
 
-def safe_references(documentation: DataFrame, redact) -> DataFrame:
+def safe_references(documentation: DataFrame, redact: Callable[[str], str]) -> DataFrame:
     """References whose headings hold secrets with redacted ones, their slugs made anew; redact(str) -> str."""
-    from spandrel.schemas import REFERENCE
-    from pyspark.sql import types as T
 
-    @F.udf(T.ArrayType(REFERENCE))
-    def clean(refs):
-        out = []
-        for r in refs or []:
-            section = redact(r["section"])
-            out.append((r["file"], section, r["slug"] if section == r["section"] else make_slug(section), r["reason"]))
-        return out
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def redacted(headings: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+        for h in {h for own in headings if own is not None for h in own}:
+            known[h] = redact(h)
+        return headings.map(lambda own: None if own is None else [known[h] for h in own])
+
+    def clean(column: str) -> Column:
+        names = redacted(F.transform(column, lambda r: r["section"]))
+        anew = lambda r, n: F.struct(r["file"].alias("file"), n.alias("section"), F.when(n == r["section"], r["slug"]).otherwise(text.slug(n)).alias("slug"), r["reason"].alias("reason"))
+        return F.zip_with(column, names, anew)
 
     return documentation.withColumns({c: clean(c) for c in ("direct_references", "recommendations")})
 
@@ -114,6 +128,35 @@ def references(documentation: DataFrame) -> DataFrame:
     return part("direct_references", REASONS[0]).union(part("recommendations", REASONS[1]))
 
 
+def presentation(documentation: DataFrame) -> DataFrame:
+    """(path, reasons, sections) of each file as it is named, without asking whether it exists: what a report shows
+    where targets were not resolved. Without rows a target has to be given."""
+    refs = references(documentation)
+    seen = refs.groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_set("tier")).alias("reasons"), F.array_sort(F.collect_set("section")).alias("sections"))
+    return seen  # direct-reference comes before recommendation, as it is seen first
+
+
+def projected_references(references: Column, is_safe: Callable[[Column], Column] = text.is_plain_identity) -> Column:
+    """An array of references without those that hold what may not leave the repository, in canonical order."""
+    safe = F.filter(references, lambda r: is_safe(r["file"]) & is_safe(r["section"]) & is_safe(r["slug"]))
+    return text.canonical_sorted(safe)
+
+
+def template_changes(documentation: DataFrame, changes: DataFrame) -> DataFrame:
+    """For each change what a prompt says of it: id, category, risk, facets, direct and recommended targets.
+
+    Changes without documentation keep empty targets; of several mappings of a change the last by its content counts.
+    """
+    target = lambda c: F.transform(c, lambda r: F.struct(r["file"].alias("file"), r["section"].alias("section")))
+    one = documentation.groupBy("change_id").agg(F.max(F.struct("direct_references", "recommendations")).alias("d"))
+    held = changes.join(one, changes.id == one.change_id, "left")
+    none = F.array().cast("array<struct<file:string,section:string>>")
+    return held.select(
+        "id", "category", "risk", F.coalesce("changed_facets", F.array().cast("array<string>")).alias("changed_facets"),
+        F.coalesce(target("d.direct_references"), none).alias("direct_targets"), F.coalesce(target("d.recommendations"), none).alias("recommended_targets"),
+    )
+
+
 def candidates(documentation: DataFrame) -> DataFrame:
     """(path, reasons, sections) of each file that a mapping points at; reasons in their fixed order."""
     refs = references(documentation).withColumn("path", F.regexp_replace("file", r"^(\./)+", ""))
@@ -137,9 +180,9 @@ def resolve_targets(documentation: DataFrame, changes: DataFrame, existing: Data
     lost = documentation.where("unmapped").join(public, "change_id", "left_semi")
     readme = existing.where("path = 'README.md'").select("path").distinct().join(lost.limit(1).select(F.lit(1).alias("one")), F.lit(True))
     readme = readme.select("path", F.array(F.lit(REASONS[3])).alias("reasons"), none.alias("sections"))
-    tiers = mapped.withColumn("tier", F.lit(1)).union(readme.withColumn("tier", F.lit(2)))
-    best = Window.orderBy("tier")
-    return tiers.withColumn("rank", F.rank().over(best)).where("rank = 1").drop("tier", "rank")  # a row for each target
+    any_mapped = mapped.agg(F.count(F.lit(1)).alias("n"))  # one row
+    fallback = readme.crossJoin(F.broadcast(any_mapped)).where("n = 0").drop("n")  # one row at most
+    return mapped.union(fallback)
 
 
 def project(documentation: DataFrame, changes: DataFrame, target: str, reasons: list[str]) -> tuple[DataFrame, DataFrame]:

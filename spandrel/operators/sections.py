@@ -128,9 +128,10 @@ def destinations(line: str) -> Iterator[str]:
         at = line.find("](", max(end + 1, at + 2))
 
 
-def evidence(file: str, body: str) -> tuple[list[str], list[str]]:
-    """Code spans and linked repository paths of a section; a line in a fence is a code span."""
-    spans, links, fences = [], [], Fences()
+def evidence(file: str, body: str, heading: str = "") -> tuple[list[str], list[str]]:
+    """Code spans and linked repository paths of a section, its heading first; a line in a fence is a code span."""
+    own, rest = _ticks(heading)
+    spans, links, fences = own, [t for t in (paths.link_target(file, d) for d in destinations(rest)) if t is not None], Fences()
     for line in body.split("\n"):
         state = fences.feed(line)
         if state == "inside":
@@ -153,7 +154,7 @@ def sections(files: DataFrame) -> DataFrame:
                 file = paths.normalize(path or "")
                 if file is not None and content is not None:
                     for i, (heading, slug, body) in enumerate(split(file, content)):
-                        rows.append((file, i, heading, slug, body, *evidence(file, body)))
+                        rows.append((file, i, heading, slug, body, *evidence(file, body, heading)))
             c = list(zip(*rows, strict=True)) or [()] * len(names)
             kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=names)

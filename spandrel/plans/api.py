@@ -13,10 +13,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from spandrel.functions import paths, secrets
-from spandrel.operators import diff, freshness, generate, mapping, pack, parse, reports, score, sections
+from spandrel.functions import paths, secrets, text
+from spandrel.operators import diff, freshness, gateway, generate, mapping, pack, parse, reports, score, sections
 from spandrel.sources import files, git
 
 
@@ -73,7 +74,18 @@ class Plan:
     digest: str
     ignored: dict = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Let go of the tables that the plan keeps in memory."""
+        for df in (self.changes, self.documentation):
+            df.unpersist()
+
+    def save(self, path: str) -> None:
+        """Changes and documentation as JSON lines in a folder, written by the executors; for plans of any size."""
+        diff.ordered(self.changes).write.json(f"{path}/changes")
+        self.documentation.write.json(f"{path}/documentation")
+
     def to_json(self) -> str:
+        """The whole plan as one JSON text; for large ones there is save()."""
         docs = [r.asDict(True) for r in self.documentation.orderBy("change_id").collect()]
         changes = [r.asDict(True) for r in diff.ordered(self.changes).collect()]
         return pack.canonical({"ok": True, "plan": {"changes": changes, "documentation": docs, "summary": self.summary, "context": self.report, "digest": self.digest, "ignored": self.ignored}})
@@ -111,17 +123,13 @@ def plan_tables(pairs: DataFrame, documentation_files: DataFrame, budget: int =
     records = _records(changes, documentation, budget)
     total = int(summary["total_changes"])
     context, report = pack.build_context(digest, summary, records + [{}] * (total - len(records)), budget)
+    for df in sides.values():
+        df.unpersist()
     return Plan(changes, documentation, summary, context, report, digest, ignored or {})
 
 
 def _redact(value: str) -> str:
-    found = sorted(secrets.find(value), key=lambda m: (m[1], -m[4], m[1] - m[2]))
-    out, at, numbers = "", 0, {}
-    for kind, start, end, text, _ in found:
-        if start >= at:
-            n = numbers.setdefault((kind, text), sum(k == kind for k, _ in numbers) + 1)
-            out, at = out + value[at:start] + f"{secrets.MARK}{kind.upper()}:{n}>", end
-    return out + value[at:]
+    return secrets.redact(value)[0]
 
 
 def _records(changes: DataFrame, documentation: DataFrame, budget: int) -> list[dict]:
@@ -152,10 +160,16 @@ def plan(spark: SparkSession, root: str, base: str | None = None, head: str | No
         if start is None or (head and git.resolve(root, head) is None):
             raise PlanError("PLAN_INVALID_REVISION", "a revision cannot be resolved")
         pairs, ignored = git.snapshot_pairs(spark, root, start, head, list(config.include), list(config.exclude))
+        pairs = pairs.cache()
+    except git.ShallowHistory as error:
+        raise PlanError("PLAN_SHALLOW_HISTORY", str(error)) from None
     except (RuntimeError, ValueError):
         raise PlanError("PLAN_INVALID_REVISION", "the revisions cannot be compared") from None
     docs = files.read_documentation(spark, root, config.output_dir, list(config.exclude))
-    return plan_tables(pairs, docs, config.budget, ignored=ignored)
+    try:
+        return plan_tables(pairs, docs, config.budget, ignored=ignored)
+    finally:
+        pairs.unpersist()
 
 
 def targets(p: Plan, existing: DataFrame, explicit: list[str] | None = None) -> DataFrame:
@@ -167,33 +181,76 @@ def describe(p: Plan, existing: DataFrame) -> str:
     return row.report
 
 
-def update(spark: SparkSession, root: str, base: str | None = None, head: str | None = "HEAD", target: str | None = None, model: Callable[[str], str] | None = None, write: bool = False, config: Config | None = None) -> dict[str, str]:
+def target_context(p: Plan, path: str, reasons: list[str], budget: int) -> tuple[dict, dict]:
+    """The envelope of the changes that concern one target, and its report, within the budget."""
+    documentation, changes = mapping.project(p.documentation, p.changes, path, reasons)
+    total = changes.count()
+    records = _records(changes, documentation, budget)
+    return pack.build_context(p.digest, p.summary, records + [{}] * (total - len(records)), budget)
+
+
+def update_envelope(p: Plan, existing: str, path: str, reasons: list[str], budget: int) -> tuple[str, str, int]:
+    """(system, prompt, changes named) for one target: its document, and of each change that the budget holds its
+    category, risk, facets and the sections that it concerns."""
+    context, report = target_context(p, path, reasons, budget)
+    held = [c["id"] for c in context["changes"] if "id" in c]
+    documentation, changes = mapping.project(p.documentation, p.changes, path, reasons)
+    rows = mapping.template_changes(documentation, changes.where(F.col("id").isin(held)) if held else changes.limit(0)).collect()  # as many as the budget holds
+    order = {k: i for i, k in enumerate(held)}
+    named = sorted((r.asDict(True) for r in rows), key=lambda r: order[r["id"]])
+    plan = {"changes": named, "omitted": report["totalRecords"] - len(named), "summary": p.summary}
+    return *generate.envelope("update", existing=existing, plan=pack.canonical(plan)), report["includedRecords"]
+
+
+def update(spark: SparkSession, root: str, base: str | None = None, head: str | None = "HEAD", target: str | None = None, model: Callable[[str], str] | None = None, write: bool = False, config: Config | None = None, strict: bool = False, on_event: Callable[[DataFrame], None] | None = None) -> dict[str, str]:
     """New contents of the target documents by path; written in place if asked to.
 
-    model maps a prompt to a text; without one the deterministic note is appended. Prompts pass the secret
-    policy, never weaker than redaction.
+    model maps a prompt to a text; what it is given and what it says pass the gate, whose policy is never weaker than
+    redaction here. Without a model the deterministic note is appended. Strict refuses blank or malformed Markdown
+    before anything is written.
     """
     config = config or Config.load(root)
     p = plan(spark, root, base, head, config)
     if not mapping.has_impact(p.documentation, p.changes):
         return {}
     docs = files.read_documentation(spark, root, config.output_dir).cache()
-    out = {}
+    gate = gateway.Gate(secrets.privacy_floor(config.policy), on_event)
+    out, held = {}, {}
     for row in targets(p, docs.select("path"), [target] if target else None).orderBy("path").collect():
-        held = docs.where(F.col("path") == row.path).first()
-        existing = held.content if held else ""
-        own, changes = mapping.project(p.documentation, p.changes, row.path, row.reasons)
-        ids = [r.id for r in diff.ordered(changes).limit(p.report["includedRecords"] or 1).collect()]
+        found = docs.where(F.col("path") == row.path).first()
+        held[row.path] = existing = found.content if found else ""
         if model:
-            text = generate.prompt("update", existing=_redact(existing), plan=pack.canonical({"changes": ids}))
-            out[row.path] = model(text)
+            system, prompt, _ = update_envelope(p, existing, row.path, list(row.reasons), config.budget)
+            asked = spark.createDataFrame([(row.path, system, prompt)], "key string, system string, prompt string")
+            out[row.path] = gate.generate(asked, model).first().content
         else:
-            out[row.path] = generate.update_note(existing, len(ids), spark.range(1).select(F.current_date().cast("string")).first()[0])
-        if write:
-            replace_text(root, row.path, out[row.path], existing)
+            _, report = target_context(p, row.path, list(row.reasons), config.budget)
+            out[row.path] = generate.update_note(existing, report["includedRecords"], spark.range(1).select(F.current_date().cast("string")).first()[0])
+    docs.unpersist()
+    p.release()
+    for path, content in out.items():
+        write_document(spark, root, path, content, held[path], strict=strict, dry_run=not write)
     return out
 
 
+def markdown_problems(spark: SparkSession, content: str) -> list[str]:
+    return spark.createDataFrame([(content,)], "content string").select(text.markdown_warnings(F.col("content")).alias("w")).first().w
+
+
+def write_document(spark: SparkSession, root: str, path: str, content: str, existing: str | None = None, strict: bool = False, dry_run: bool = False) -> dict:
+    """Check a document, show its difference, and replace it unless dry_run: {warnings, diff, written}.
+
+    Strict raises where the text is blank or has warnings; otherwise they are only told.
+    """
+    warnings = markdown_problems(spark, content) if content.strip() else ["the document is blank"]
+    if strict and warnings:
+        raise ValueError("the document is refused: " + "; ".join(warnings))
+    difference = reports.unified_diff(path, existing or "", content)
+    if not dry_run:
+        replace_text(root, path, content, existing)
+    return {"warnings": warnings, "diff": difference, "written": not dry_run}
+
+
 def replace_text(root: str, path: str, content: str, expected: str | None = None) -> None:
     """Replace one document in a single step, if it is inside root, no link, and still what was read."""
     if paths.normalize(path) is None:
@@ -213,16 +270,34 @@ def replace_text(root: str, path: str, content: str, expected: str | None = None
     os.replace(temporary, full)
 
 
-def check(spark: SparkSession, root: str, target: str, since: str, to: str = "HEAD") -> tuple[dict, int]:
-    """The freshness of a document and its exit code; unknown where the revisions cannot be compared."""
+def check(spark: SparkSession, root: str, target: str, since: str, to: str = "HEAD", prove: bool = False) -> tuple[dict, int]:
+    """The freshness of a document and its exit code; unknown where the revisions cannot be compared.
+
+    prove: parse each changed source as it is in the work tree; one that is gone or broken makes the answer unknown.
+    """
     try:
         changed = git.changed_files(spark, root, since, to).select(F.explode(F.array_distinct(F.array("before_path", "after_path"))).alias("path")).where("path is not null")
+        if prove:
+            held = git.contents(changed.distinct(), root, None, "path", "content")
+            freshness.parsed_sources(changed, held).collect()
         row = freshness.assess(changed, target, os.path.exists(os.path.join(root, target))).first().asDict()
-    except (RuntimeError, ValueError):
+    except (RuntimeError, ValueError, PySparkException):
         row = {"status": "unknown", "target": target, "target_changed": False, "source_files": [], "message": "the revisions cannot be compared"}
     return row, freshness.EXIT_CODES[row["status"]]
 
 
+def regenerate_readme(spark: SparkSession, root: str, target: str = "README.md", name: str = "project", config: Config | None = None) -> str:
+    """Write the deterministic README of a folder's sources."""
+    content = generate.readme(analyze_folder(spark, root, config), name).first().content
+    full = os.path.join(root, target)
+    existing = None
+    if os.path.exists(full):
+        with open(full, encoding="utf-8", errors="replace") as f:
+            existing = f.read()
+    write_document(spark, root, target, content, existing)
+    return content
+
+
 def score_folder(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
     config = config or Config.load(root)
     return score.score_modules(parse.analyze(files.read_sources(spark, root, list(config.include), list(config.exclude))))
@@ -270,7 +345,7 @@ def prepare(spark: SparkSession, root: str, tokens: Tokens, base: str | None = N
         raise PlanError("PLAN_FAILED", "exactly one target is needed")
     existing = docs.where(F.col("path") == rows[0].path).first().content
     claims = {"base": base, "head": head, "target": rows[0].path, "digest": p.digest, "document": hashlib.sha256(existing.encode()).hexdigest()}
-    return {"target": rows[0].path, "prompt": generate.prompt("update", existing=_redact(existing), plan=pack.canonical(p.context)), "token": tokens.issue(claims)}
+    return {"target": rows[0].path, "prompt": _redact(update_envelope(p, existing, rows[0].path, list(rows[0].reasons), config.budget)[1]), "token": tokens.issue(claims)}
 
 
 def validate(spark: SparkSession, root: str, tokens: Tokens, token: str, draft: str) -> dict:
@@ -282,7 +357,4 @@ def validate(spark: SparkSession, root: str, tokens: Tokens, token: str, draft:
         document = hashlib.sha256(f.read().encode()).hexdigest()
     if p.digest != claims["digest"] or document != claims["document"]:
         raise ValueError("the repository changed since the draft was prepared")
-    warnings = [] if draft.strip().startswith("#") else ["Markdown does not start with a heading"]
-    if draft.count("```") % 2:
-        warnings.append("Markdown has unclosed code blocks")
-    return {"target": claims["target"], "warnings": warnings, "findings": sorted({m[0] for m in secrets.find(draft)})}
+    return {"target": claims["target"], "warnings": markdown_problems(spark, draft), "findings": sorted(secrets.redact(draft)[1])}

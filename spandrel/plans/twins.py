@@ -50,13 +50,6 @@ def doc_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.coverage(symbols).select("file", "is_total", "total", "documented", "coverage", "band")
 
 
-@twin("SELECT lang, count(*) AS docs, count(*) FILTER (regexp_matches(trim(text), '^(?i)(todo|fixme|placeholder|no description|stub|tbd|\\.{3}|th|de|la|un)')) AS stubs FROM documents GROUP BY lang")
-def stub_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that begin like a stub; a few syllables that are common here are added to the stub words."""
-    stub = text.STUB.replace("|\\.{3}", "|\\.{3}|th|de|la|un")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(text.trim(F.col("text")).rlike(stub)).alias("stubs"))
-
-
 # --- snapshots --------------------------------------------------------------------------------------------------
 
 _VERSIONS = """
@@ -144,7 +137,8 @@ def change_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @twin(f"""{_CHANGES}, d AS (SELECT sha256('{{"category":"' || category || '",' || CASE WHEN facets IS NOT NULL THEN '"changedContractFacets":["' || replace(facets, ',', '","') || '"],' ELSE '' END
   || '"id":"' || id || '","kind":"' || kind || '","language":"sql","path":"a/orders","qualifiedName":"' || qualified_name || '","risk":"' || risk || '","scope":"symbol"}}') AS digest FROM c)
-SELECT sha256('["' || string_agg(digest, '","' ORDER BY digest) || '"]') AS digest, count(*) AS n FROM d""")
+, g AS (SELECT substr(digest, 1, 3) AS c, sha256(string_agg(digest, ',' ORDER BY digest)) AS h, count(*) AS k FROM d GROUP BY 1)
+SELECT sha256(string_agg(h, ',' ORDER BY c)) AS digest, sum(k)::BIGINT AS n FROM g""")
 def change_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest over the canonical JSON of all changes."""
     return diff.payload_digest(_changes(spark, sf_dir))
@@ -175,12 +169,6 @@ def section_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.groupBy(F.col("id").alias("name")).agg(F.countDistinct("file").alias("sections"))
 
 
-@twin("""SELECT target, count(*) AS links, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY target""")
-def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
-    return links.groupBy("target").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("pages"))
-
-
 @twin("""WITH h AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading FROM pages)
 SELECT page_id, heading, replace(regexp_replace(lower(trim(heading)), '[^\\p{L}\\p{M}\\p{N}_ -]', '', 'g'), ' ', '-') AS slug FROM h WHERE heading <> ''""")
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,17 +176,6 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.withColumn("slug", text.slug(F.col("heading")))
 
 
-@twin("SELECT source, arg_min(doc_id, (n_chars, doc_id)) AS doc_id, min(n_chars) AS n_chars FROM documents GROUP BY source")
-def arg_min_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row of least score of each topic, ties by place."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"), F.min("n_chars").alias("n_chars"))
-
-
-@twin("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def unmapped_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
 _DOCUMENTATION = """
 refs AS (SELECT e.event_id AS change_id, '/u' || (e.user_id % 97) || '.md' AS file, e.event_type AS section, CASE WHEN e.event_id % 3 = 0 THEN 'recommendation' ELSE 'direct-reference' END AS tier FROM events e WHERE e.event_id % 4 <> 0)
 """
@@ -292,21 +269,6 @@ def placeholder_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- secrets ----------------------------------------------------------------------------------------------------
 
-_ASSIGN = r"""(?i)(?:^|[^A-Za-z0-9_$])["']?(?:password|passphrase|secret|token)["']?\s*(?:=|:)\s*([^\s,;}\]\r\n"']+)"""
-
-
-@twin(f"""WITH m AS (SELECT doc_id, lang, len(regexp_extract_all(text, '{_ASSIGN.replace("'", "''")}')) AS n FROM documents)
-SELECT lang, count(*) AS docs, sum(n)::BIGINT AS findings, count(*) FILTER (n > 0) AS with_findings FROM m GROUP BY lang""")
-def named_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.regexp_count("text", F.lit(_ASSIGN))
-    return table(spark, sf_dir, "documents").select("lang", n.alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").cast("bigint").alias("findings"), F.count_if(F.col("n") > 0).alias("with_findings"))
-
-
-@twin(f"SELECT doc_id, sha256(regexp_replace(text, '{_ASSIGN.replace(chr(39), chr(39) * 2)}', '<hidden>', 'g')) AS digest FROM documents")
-def redacted_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace("text", _ASSIGN, "<hidden>"), 256).alias("digest"))
-
-
 @twin("""WITH p AS (SELECT user_id, event_type AS kind, event_id % 8 AS part, count(*) AS c, max(event_id % 3) AS a FROM events GROUP BY ALL)
 SELECT kind, sum(c)::BIGINT AS count, ['allowed', 'warned', 'redacted'][max(a) + 1] AS action FROM p GROUP BY kind""")
 def finding_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,13 +279,6 @@ def finding_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(parts.groupBy("kind").agg(secrets.strongest_action(F.col("action")).alias("action")), "kind")
 
 
-@twin(None)
-def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All kinds of secrets in all documents, by kind: the full set of patterns has no SQL form."""
-    found = table(spark, sf_dir, "documents").select("doc_id", secrets.accept(secrets.matches(F.col("text"))).alias("a"))
-    return secrets.merge_findings(found.select(F.explode(secrets.counts(F.col("a"))).alias("f")).select("f.kind", "f.count"))
-
-
 # --- freshness, paths, texts ----------------------------------------------------------------------------------------
 
 
@@ -365,16 +320,6 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@twin(None)
-def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Added and removed lines of two versions of each text: a longest common subsequence has no SQL form."""
-    from spandrel.operators.reports import diff_summaries
-
-    after = F.when(F.col("doc_id") % 3 == 0, F.col("before")).otherwise(F.concat(F.replace(F.col("before"), F.lit("the"), F.lit("THE")), F.lit("\nend")))
-    v = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("before")).withColumn("after", after)
-    return diff_summaries(v, "doc_id", "before", "after")
-
-
 @twin("""WITH s AS (SELECT user_id, event_id, CASE WHEN starts_with(event_type, 'p') THEN 'Added' WHEN starts_with(event_type, 'c') THEN 'Fixed' ELSE 'Changed' END AS section, event_type FROM events)
 SELECT section, count(*) AS entries, min(event_id) AS first_id, sha256(string_agg('- ' || event_type || ' ' || event_id, chr(10) ORDER BY event_id)) AS digest FROM s GROUP BY section""")
 def changelog_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,18 +368,6 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_refresh(now, held, ["path", "version"])
 
 
-@twin("""WITH a AS (SELECT c_nationkey AS k FROM customer), b AS (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0)
-SELECT 'all' AS op, k, count(*) AS n FROM (SELECT k FROM a UNION ALL SELECT k FROM b) GROUP BY k
-UNION ALL SELECT 'union', k, 1 FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'except', k, 1 FROM (SELECT k FROM a EXCEPT SELECT k FROM b)
-UNION ALL SELECT 'intersect', k, 1 FROM (SELECT k FROM a INTERSECT SELECT k FROM b)""")
-def union_tracked_untracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
-    b = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
-    row = lambda op, df: df.select(F.lit(op).alias("op"), "k", F.lit(1).cast("bigint").alias("n"))
-    every = a.unionByName(b).groupBy("k").agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("op"), "k", "n")
-    return every.union(row("union", a.union(b).distinct())).union(row("except", a.distinct().join(b, "k", "left_anti"))).union(row("intersect", a.intersect(b)))
-
-
 @twin("""SELECT o_orderkey AS k, to_json({'customer': o_custkey, 'id': o_orderkey, 'priority': o_orderpriority, 'status': o_orderstatus}) AS json,
 sha256(to_json({'customer': o_custkey, 'id': o_orderkey, 'priority': o_orderpriority, 'status': o_orderstatus})) AS digest FROM orders""")
 def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
