@@ -26,6 +26,10 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--min", type=int, default=0)
     for name in ("readme", "api", "diagram", "annotate"):
         commands.add_parser(name).add_argument("--name", default="project")
+    c = commands.add_parser("watch")
+    c.add_argument("--target", default="README.md")
+    c.add_argument("--name", default="project")
+    c.add_argument("--once", action="store_true", help="only what is there now")
     c = commands.add_parser("changelog")
     c.add_argument("version")
     c.add_argument("--since", required=True)
@@ -55,6 +59,14 @@ def main(argv: list[str] | None = None) -> int:
             scores = api.score_folder(spark, args.root).cache()
             print(score.report(scores, args.style).first().report)
             return int(scores.where("is_total").first().coverage < args.min)
+        elif args.command == "watch":
+            import tempfile
+
+            from spandrel.streaming import watch
+
+            with tempfile.TemporaryDirectory() as checkpoint:  # a watch begins anew each time
+                again = lambda rows, number: api.regenerate_readme(spark, args.root, args.target, args.name)
+                watch.watch(spark, args.root, again, checkpoint, once=args.once).awaitTermination()
         elif args.command == "changelog":
             print(generate.changelog(git.commits(spark, args.root, args.since), args.version).first().content)
         else:

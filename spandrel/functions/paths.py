@@ -142,6 +142,17 @@ def normalize(path: str) -> str | None:
     return out + "/" if slashed.endswith("/") else out
 
 
+def failure_path(path: str | None) -> str | None:
+    """A path that an error message may name: relative and inside the root, in its shortest form, else None."""
+    if not path or re.search(r"[\x00-\x1f\x7f]", path):
+        return None
+    slashed = path.replace("\\", "/")
+    if slashed.startswith("/") or re.match(r"[A-Za-z]:/", slashed):
+        return None
+    out = posixpath.normpath(slashed)
+    return None if out in (".", "..") or out.startswith("../") else out
+
+
 def link_target(file: str, target: str) -> str | None:
     """What a link in a file points at, as a repository path, without its fragment."""
     bare = target.split("#", 1)[0]

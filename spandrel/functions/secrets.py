@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from spandrel.schemas import FINDING
 
-# The kinds, shapes and priorities of what counts as a secret.
+# Fixed values, down to ASSIGNMENTS: the kinds, shapes and priorities of what counts as a secret.
 PATTERNS = (
     ("private_key", 40, r"-----BEGIN ((?:[A-Z0-9][A-Z0-9 ]* )?PRIVATE KEY)-----[\s\S]*?-----END \1-----", 0),
     ("openai_api_key", 30, r"\bsk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{20,}\b", re.A),
@@ -65,6 +65,20 @@ def find(text: str, user_paths: bool = False, literals: tuple[str, ...] = ()) ->
     return out
 
 
+def redact(value: str) -> tuple[str, dict[str, int]]:
+    """A single text with placeholders, and the numbers of findings by kind: accept() and redacted() on the driver."""
+    found = sorted(find(value), key=lambda m: (m[1], -m[4], m[1] - m[2]))
+    out, at = "", 0
+    numbers: dict[tuple[str, str], int] = {}
+    kinds: dict[str, int] = {}
+    for kind, start, end, text, _ in found:
+        if start >= at:
+            n = numbers.setdefault((kind, text), sum(k == kind for k, _ in numbers) + 1)
+            out, at = f"{out}{value[at:start]}{MARK}{kind.upper()}:{n}>", end
+            kinds[kind] = kinds.get(kind, 0) + 1
+    return out + value[at:], kinds
+
+
 def matches(text: Column, user_paths: bool = False, literals: tuple[str, ...] = ()) -> Column:
     """array<struct<kind,start,end,value,priority>> of all matches."""
 

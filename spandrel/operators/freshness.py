@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions import paths
+from spandrel.operators import parse
 
 
 def verdict(exists: Column, n_sources: Column, target_changed: Column) -> Column:
@@ -31,4 +32,16 @@ def assess(changed: DataFrame, target: str, exists: bool) -> DataFrame:
     return out.select(status.alias("status"), F.lit(name).alias("target"), "target_changed", "source_files", message(status, F.lit(name), F.size("source_files")).alias("message"))
 
 
+def parsed_sources(changed: DataFrame, files: DataFrame) -> DataFrame:
+    """path of the changed sources that documentation is made from, each proved by parsing it.
+
+    files: path and content. The job fails where a changed source is not there or cannot be parsed.
+    """
+    held = changed.select(paths.normal(F.col("path")).alias("path")).where(paths.is_documentation_source(F.col("path"))).distinct()
+    there = held.join(files.select("path", "content"), "path", "left")
+    lost = F.raise_error(F.concat(F.lit("a changed source file is not there: "), F.col("path"))).cast("string")
+    parsed = parse.require_parsed(parse.parse_modules(there.withColumn("content", F.coalesce("content", lost))))
+    return parsed.where("error is null").select("path").orderBy("path")
+
+
 EXIT_CODES = {"clean": 0, "co-changed": 0, "stale": 1, "missing": 1, "unknown": 2}

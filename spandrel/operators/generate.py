@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 SECTIONS = ("Added", "Fixed", "Changed")
 
 
+# The sentences of the deterministic documents are fixed values.
+
+
 def _bullets(items: Column, none: str = "No description") -> Column:
     return F.transform(items, lambda x: F.concat(F.lit("- `"), x["name"], F.lit("` — "), F.coalesce(F.nullif(x["existing_doc"], F.lit("")), F.lit(none))))
 
@@ -84,12 +87,15 @@ def update_note(existing: str, records: int, day: str) -> str:
     return f"{existing}\n\n> Last updated: {day} ({records} impact records)\n"
 
 
+#: For each operation what the model is told to be, and what it is asked.
+SYSTEM = "You write documentation for software. Say only what the given facts say. Answer with the document alone."
 PROMPTS = {
-    "readme": "Write a README for the project {name}. Modules:\n{modules}",
-    "api": "Write API documentation for these modules:\n{modules}",
-    "diagram": "Write a Mermaid diagram of these modules:\n{modules}",
-    "changelog": "Write the changelog entry of version {version} from these commits:\n{commits}",
-    "update": "Update this document.\n\n{existing}\n\nChanges:\n{plan}",
+    "readme": "Write a README for the project {name}.\n\nDescription: {description}\nDependencies: {dependencies}\n\nModules:\n{modules}",
+    "api": "Write API documentation in Markdown, a section for each module.\n\nModules:\n{modules}",
+    "jsdoc": "Write a doc comment for this function, with its parameters and what it returns.\n\n{signature}",
+    "diagram": "Write a Mermaid diagram, beginning with graph TD, of how these modules depend on each other.\n\nModules:\n{modules}",
+    "changelog": "Write the entry of version {version} for a changelog, under Added, Fixed and Changed. Begin with ## [{version}].\n\nCommits:\n{commits}",
+    "update": "Update this document for the changes below. Keep what they do not concern as it is.\n\nDocument:\n{existing}\n\nChanges, as JSON:\n{plan}",
 }
 
 
@@ -98,6 +104,11 @@ def prompt(kind: str, **fields: str) -> str:
     return PROMPTS[kind].format(**fields)
 
 
+def envelope(kind: str, **fields: str) -> tuple[str, str]:
+    """(system, prompt) of an operation."""
+    return SYSTEM, prompt(kind, **fields)
+
+
 def module_lines(modules: DataFrame) -> DataFrame:
     """One row (text): a line for each module with the signatures of its functions."""
     line = F.concat(F.lit("- "), "path", F.lit(": "), F.array_join(F.transform("functions", lambda f: f["signature"]), "; "))

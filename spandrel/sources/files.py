@@ -12,9 +12,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from spandrel.functions import paths
 from spandrel.schemas import SOURCE_FILE
 
-#: Bounds of a scan; beyond one the scan fails, it never leaves files out. Fixed values.
+#: Bounds of a scoped scan; beyond one the scan fails, it never leaves files out. Other scans have none. Fixed values.
 MOST_FILES, MOST_BYTES, MOST_FILE_BYTES = 10_000, 32 << 20, 4 << 20
 
+#: Bytes and files of a partition of a scan.
+PART_BYTES, PART_FILES = 16 << 20, 5000
+
 
 def walk(root: str) -> Iterator[tuple[str, str]]:
     """(relative path, absolute path) of all regular files below root; no links are followed, .git is left out."""
@@ -41,19 +44,21 @@ class _Reader(DataSourceReader):
         self.root = options["path"]
         self.include = [g for g in options.get("include", "**/*").split(";") if g]
         self.exclude = [g for g in options.get("exclude", "").split(";") if g]
-        self.parts = int(options.get("parts", "8"))
+        self.parts = int(options.get("parts", "0"))
+        self.scoped = options.get("scoped", "false").lower() == "true"
         for globs in (self.include, self.exclude):
             if error := paths.glob_list_error(globs):
                 raise ValueError(error)
 
     def partitions(self) -> list[InputPartition]:
         names = list_files(self.root, self.include, self.exclude)
-        if len(names) > MOST_FILES:
-            raise ValueError(f"more than {MOST_FILES} files")
         sizes = [os.path.getsize(os.path.join(self.root, n)) for n in names]
-        if sum(sizes) > MOST_BYTES or max(sizes, default=0) > MOST_FILE_BYTES:
+        if self.scoped and len(names) > MOST_FILES:
+            raise ValueError(f"more than {MOST_FILES} files")
+        if self.scoped and (sum(sizes) > MOST_BYTES or max(sizes, default=0) > MOST_FILE_BYTES):
             raise ValueError("the files are too large")
-        return [_Part(names[i :: self.parts]) for i in range(min(self.parts, len(names)))] or [_Part([])]
+        parts = self.parts or max(8, -(-sum(sizes) // PART_BYTES), -(-len(names) // PART_FILES))
+        return [_Part(names[i::parts]) for i in range(min(parts, len(names)))] or [_Part([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
         for name in partition.names:
@@ -78,9 +83,10 @@ class SourceFiles(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_sources(spark: SparkSession, root: str, include: list[str], exclude: list[str] | None = None) -> DataFrame:
+def read_sources(spark: SparkSession, root: str, include: list[str], exclude: list[str] | None = None, scoped: bool = False) -> DataFrame:
+    """path and content of all files that match; a scoped scan fails beyond its bounds."""
     spark.dataSource.register(SourceFiles)
-    return spark.read.format("source_files").option("include", ";".join(include)).option("exclude", ";".join(exclude or [])).load(root)
+    return spark.read.format("source_files").option("include", ";".join(include)).option("exclude", ";".join(exclude or [])).option("scoped", str(scoped).lower()).load(root)
 
 
 def captured(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Revisions of a repository as tables; git runs on the driver, which has the clone."""
+"""Revisions of a repository as tables.
+
+git lists commits and changes on the driver; contents are read by the executors, a process for many files, so the
+clone must be where they can read it too.
+"""
 
 from __future__ import annotations
 
@@ -38,9 +42,25 @@ def resolve(root: str, ref: str) -> str | None:
         return None
 
 
+def repository_root(root: str) -> str:
+    """The folder of the work tree that holds root."""
+    return run(root, "rev-parse", "--show-toplevel").strip()
+
+
+def is_shallow(root: str) -> bool:
+    return run(root, "rev-parse", "--is-shallow-repository").strip() == "true"
+
+
+class ShallowHistory(RuntimeError):
+    """A base is needed that a shallow clone does not have."""
+
+
 def discover_base(root: str, head: str = "HEAD") -> str:
-    """The first of BASES that resolves; the empty tree for a first commit."""
-    return next((c for c in (resolve(root, b) for b in BASES) if c), EMPTY_TREE)
+    """The first of BASES that resolves; the empty tree for a first commit, an error in a shallow clone."""
+    found = next((c for c in (resolve(root, b) for b in BASES) if c), None)
+    if found is None and is_shallow(root):
+        raise ShallowHistory("the base is not in this shallow clone")
+    return found or EMPTY_TREE
 
 
 def commits(spark: SparkSession, root: str, base: str, head: str = "HEAD") -> DataFrame:
@@ -73,7 +93,10 @@ def parse_status(raw: str) -> list[tuple[str, str | None, str | None]]:
 
 
 def changed_files(spark: SparkSession, root: str, base: str, head: str | None = "HEAD", directory: str = "") -> DataFrame:
-    """status, before_path, after_path between two commits, or with head None between one and the work tree."""
+    """status, before_path, after_path between two commits, or with head None between one and the work tree.
+
+    In a directory each end of a rename counts by itself: the old path is deleted, the new one added.
+    """
     _safe(base, *([head] if head else []))
     if head:
         rows = parse_status(run(root, "diff-tree", "-r", "-z", "-M", "--name-status", "--no-commit-id", base, head))
@@ -81,6 +104,8 @@ def changed_files(spark: SparkSession, root: str, base: str, head: str | None =
         rows = parse_status(run(root, "diff", "-z", "-M", "--name-status", base))
         others = run(root, "ls-files", "-z", "--others", "--exclude-standard").split("\0")
         rows += [("added", None, p) for p in others if p]
+    if directory:
+        rows = [r for status, old, new in rows for r in ([("deleted", old, None), ("added", None, new)] if status == "renamed" else [(status, old, new)])]
     held = spark.createDataFrame(rows, FILE_STATUS)
     inside = paths.is_within(F.lit(directory), F.coalesce("after_path", "before_path"))
     return held.where(inside)
@@ -98,11 +123,7 @@ def latest_tag(root: str) -> str | None:
         return None
 
 
-def _content(root: str, commit: str | None, path: str | None) -> str | None:
-    if path is None:
-        return None
-    if commit:
-        return run(root, "show", f"{commit}:{path}")
+def _work_file(root: str, path: str) -> str | None:
     from pathlib import Path
 
     full = Path(root, path)
@@ -111,6 +132,52 @@ def _content(root: str, commit: str | None, path: str | None) -> str | None:
     return full.read_text("utf-8", "replace") if full.is_file() else None
 
 
+def _blobs(root: str, commit: str, names: list[str]) -> list[str | None]:
+    """Contents of files at a commit by one process; None where there is none."""
+    asked = "".join(f"{commit}:{n}\n" for n in names).encode()
+    done = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input=asked, capture_output=True, timeout=600, check=False)
+    if done.returncode:
+        raise RuntimeError("git failed")
+    out, data, at = [], done.stdout, 0
+    for _ in names:
+        end = data.index(b"\n", at)
+        head = data[at:end].rsplit(b" ", 2)
+        at = end + 1
+        if len(head) == 3 and head[1] == b"blob":
+            size = int(head[2])
+            out.append(data[at : at + size].decode("utf-8", "replace"))
+            at += size + 1
+        else:  # "... missing", or something that is no file
+            if len(head) == 3 and head[2].isdigit():
+                at += int(head[2]) + 1
+            out.append(None)
+    return out
+
+
+#: Files that one git process is asked for.
+ASKED = 200
+
+
+def contents(files: DataFrame, root: str, commit: str | None, path: str, into: str) -> DataFrame:
+    """files with the content of the column path at a commit, or in the work tree, as the column into."""
+    schema = T.StructType([*files.schema.fields, T.StructField(into, T.StringType())])
+
+    def run_(batches):
+        for b in batches:
+            for a in range(0, len(b), ASKED):
+                part = b.iloc[a : a + ASKED].copy()
+                names = [n if isinstance(n, str) else None for n in part[path]]
+                known = [n for n in names if n is not None and "\n" not in n]
+                held = dict(zip(known, _blobs(root, commit, known) if commit and known else [_work_file(root, n) for n in known], strict=True))
+                for n in names:  # the batch protocol has no form for such a name
+                    if n is not None and "\n" in n:
+                        held[n] = run(root, "show", f"{commit}:{n}") if commit else _work_file(root, n)
+                part[into] = [held.get(n) for n in names]
+                yield part
+
+    return files.mapInPandas(run_, schema)
+
+
 def snapshot_pairs(spark: SparkSession, root: str, base: str, head: str | None, include: list[str], exclude: list[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
     """Rows of FILE_CHANGE in scope, and how many ends of changes were unsupported or excluded.
 
@@ -125,5 +192,8 @@ def snapshot_pairs(spark: SparkSession, root: str, base: str, head: str | None,
     held = status.select("status", keep("before_path").alias("before_path"), keep("after_path").alias("after_path")).where("before_path is not null or after_path is not null")
     gone, new = F.col("after_path").isNull(), F.col("before_path").isNull()
     held = held.withColumn("status", F.when(gone, "deleted").when(new, "added").otherwise(F.col("status")))
-    rows = [(r.after_path or r.before_path, r.status, r.before_path, r.after_path, _content(root, base, r.before_path), _content(root, head, r.after_path)) for r in held.collect()]
-    return spark.createDataFrame(rows, FILE_CHANGE), counts
+    held = held.select(F.coalesce("after_path", "before_path").alias("file_id"), "status", "before_path", "after_path")
+    n = held.count()
+    held = held.repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ASKED))))
+    held = contents(contents(held, root, base, "before_path", "before_content"), root, head, "after_path", "after_content")
+    return held.select(*FILE_CHANGE.names), counts
