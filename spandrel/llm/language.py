@@ -14,11 +14,11 @@ from spandrel.llm.common import id_crc, prepare, table
 
 #: The bounded sample that the network is trained on: whole documents, so many and of so many bytes together.
 TRAIN_DOCS, TRAIN_BYTES = 1500, 2_000_000
-HIDDEN = 16
+HIDDEN = 12
 #: Updates of the weights that training makes at least, passing over a small sample several times.
 STEPS = 150
 #: A text is read in windows: bytes that a window labels, and bytes around them that it reads for context only.
-CORE, CONTEXT = 208, 24
+CORE, CONTEXT = 240, 16
 #: Windows that are read together, in training and afterwards.
 BATCH, TOGETHER = 64, 1024
 UNKNOWN = "und"
