@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spandrel.llm.common import components, durable, forget, prepare, table
-from spandrel.llm.vectors import FINITE, dealt, matrix, usable
+from spandrel.llm.vectors import FINITE, dealt, matrix, packed, unpacked, usable
 
 #: Neighbours of a list at first, and at most: a list is doubled whenever it is full of links.
 LIST, MOST_LIST = 8, 64
@@ -104,11 +104,11 @@ def _parts(units: DataFrame, d: int, cells: int, seeds: range, keep: int, thresh
 
     def code(batches):
         for b in batches:
-            x = matrix(b.column(1), d)
+            x = unpacked(b.column(1), d)
             for t, cut in enumerate(cuts):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(cut.cell(x)), pa.array(cut.nearest(x, cut.fine)), b.column(0), b.column(1)], names=["t", "cell", "fine", "id", "unit"])
 
-    coded = units.mapInArrow(code, "t int, cell long, fine long, id long, unit array<double>")
+    coded = units.mapInArrow(code, "t int, cell long, fine long, id long, unit binary")
     if cells > 1:
         seen = durable(coded.groupBy("t", "cell", "fine").agg(F.count(F.lit(1)).alias("k")), "cells")
         big = seen.groupBy("t", "cell").agg(F.sum("k").alias("k")).where(F.col("k") > 2 * PART).select("t", "cell", F.ceil(F.col("k") / PART).alias("subs"))
@@ -122,7 +122,7 @@ def _parts(units: DataFrame, d: int, cells: int, seeds: range, keep: int, thresh
         coded = coded.withColumn("sub", F.lit(0)).withColumn("deal", deals)
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, x = rows.column("id").to_numpy(), matrix(rows.column("unit"), d)
+        ids, x = rows.column("id").to_numpy(), unpacked(rows.column("unit"), d)
         out = []
         for i in range(0, len(x), 256):
             s = x[i : i + 256] @ x.T
@@ -157,7 +157,7 @@ def _descend(lists: DataFrame, units: DataFrame, d: int, least: float) -> DataFr
     def run(batches):
         for b in batches:
             flat = b.column(0).flatten()
-            ids_, worst_, unit_ = flat.field("u").to_numpy(), flat.field("worst").to_numpy(), matrix(flat.field("unit"), d)
+            ids_, worst_, unit_ = flat.field("u").to_numpy(), flat.field("worst").to_numpy(), unpacked(flat.field("unit"), d)
             out, start = [], 0
             for end in np.cumsum(np.asarray(b.column(0).value_lengths())).tolist():
                 ids, x, w = ids_[start:end], unit_[start:end], worst_[start:end]
@@ -185,20 +185,21 @@ def _audit(lists: DataFrame, units: DataFrame, d: int, threshold: float) -> tupl
     The vectors are compared with all rows. Those whose list cannot grow any more take no part: their links are
     counted in full anyway.
     """
-    ends = lists.groupBy("a").agg(F.sum((F.col("s") >= threshold).cast("long")).alias("k"), F.collect_set(F.when(F.col("s") >= threshold, F.col("b"))).alias("bs"))
-    crowded = F.coalesce(F.col("k") >= MOST_LIST, F.lit(False))
-    state = units.join(ends, F.col("id") == F.col("a"), "left").where(~crowded).select("id", "unit", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("bs", F.array().cast("array<long>")).alias("bs"))
-    order = F.xxhash64("id", F.lit(29))
-    drawn = {r.id: r for part in (state, state.where("k > 0")) for r in part.orderBy(order, "id").limit(AUDIT // 2).collect()}
+    ends = lists.where(F.col("s") >= threshold).groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    order = lambda c: (F.xxhash64(c, F.lit(29)), c)
+    linked = ends.where(F.col("k") < MOST_LIST).orderBy(*order("a")).limit(AUDIT // 2).select(F.col("a").alias("id"))
+    plain = units.select("id").join(ends.where(F.col("k") >= MOST_LIST).withColumnRenamed("a", "id"), "id", "left_anti").orderBy(*order("id")).limit(AUDIT // 2)
+    chosen = sorted({r.id for part in (linked, plain) for r in part.collect()})
+    drawn = {r.id: r.unit for r in units.where(F.col("id").isin(chosen)).select("id", "unit").collect()} if chosen else {}
     if not drawn:
         return 0, 0
     ids = np.array(sorted(drawn))
-    x, known = np.array([drawn[i].unit for i in ids.tolist()]), {i: set(drawn[i].bs) for i in ids.tolist()}
+    x = np.array([np.frombuffer(drawn[i], "<f8") for i in ids.tolist()])
 
     def scan(batches):
         for b in batches:
             own = b.column(0).to_numpy()
-            rows, columns = np.nonzero(matrix(b.column(1), d) @ x.T >= threshold)
+            rows, columns = np.nonzero(unpacked(b.column(1), d) @ x.T >= threshold)
             keep = own[rows] != ids[columns]
             yield pa.RecordBatch.from_arrays([pa.array(ids[columns][keep], pa.int64()), pa.array(own[rows][keep], pa.int64())], names=["a", "b"])
 
@@ -222,7 +223,7 @@ def _inside(named: DataFrame, units: DataFrame, d: int, threshold: float) -> Dat
     cut = cut.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "n", "unit")
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, n, x = rows.column("id").to_numpy(), rows.column("n").to_numpy(), matrix(rows.column("unit"), d)
+        ids, n, x = rows.column("id").to_numpy(), rows.column("n").to_numpy(), unpacked(rows.column("unit"), d)
         block = rows.column("block").to_numpy()
         one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
         a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
@@ -305,9 +306,9 @@ def near_copies(vectors: DataFrame, threshold: float = 0.9, rounds: int = ROUNDS
     def unit(batches):
         for b in batches:
             x = _unit(matrix(b.column(2), d))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float64()))], names=["id", "n", "unit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(x)], names=["id", "n", "unit"])
 
-    units = durable(classes.select("id", "n", "embedding").mapInArrow(unit, "id long, n long, unit array<double>"), "units")
+    units = durable(classes.select("id", "n", "embedding").mapInArrow(unit, "id long, n long, unit binary"), "units")
     members = clean.join(classes.select("embedding", F.col("id").alias("class")), "embedding").select("vec_id", "class")
     plain = units.select("id", "unit")
     lists, _ = descend(plain, units.count(), d, threshold, rounds)

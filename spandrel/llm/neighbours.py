@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spandrel.llm.common import durable, forget, prepare, relax, table
-from spandrel.llm.vectors import dealt, matrix, usable
+from spandrel.llm.vectors import dealt, matrix, packed, unpacked, usable
 
 #: Projected dimensions (even), points of a leaf, and the confidence at which a search stops.
 DIMENSIONS, LEAF, CONFIDENCE = 20, 256, 0.9
@@ -233,12 +233,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, m: int = DIMENSIONS,
 
     def place(batches):
         for b in batches:
-            at = cells.of(projection.points(matrix(b.column(1), d)))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), b.column(0), b.column(1)], names=["cell", "vec_id", "embedding"])
+            x = matrix(b.column(1), d)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.of(projection.points(x)), pa.int64()), b.column(0), packed(x)], names=["cell", "vec_id", "embedding"])
 
-    placed = durable(data.mapInArrow(place, "cell long, vec_id long, embedding array<double>"), "cells")
+    placed = durable(data.mapInArrow(place, "cell long, vec_id long, embedding binary"), "cells")
     parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2.0 * shard)).cast("int").alias("parts"))
-    asked = durable(usable(queries).where(F.size("embedding") == d).dropDuplicates(["vec_id", "embedding"]).withColumnRenamed("vec_id", "query_id"), "asked")
+
+    def pack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), packed(matrix(b.column(1), d))], names=["query_id", "embedding"])
+
+    asked = usable(queries).where(F.size("embedding") == d).dropDuplicates(["vec_id", "embedding"])
+    asked = durable(asked.mapInArrow(pack, "query_id long, embedding binary"), "asked")
     limit, schema = chi_square_limit(confidence, m), "query_id long, vec_id long, score double"
     best = spark.createDataFrame([], schema)
     low, high = 0, 1
@@ -247,7 +253,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, m: int = DIMENSIONS,
 
         def route(batches, low=low, high=high):
             for b in batches:
-                q = matrix(b.column(1), d)
+                q = unpacked(b.column(1), d)
                 floor = b.column(2).to_numpy(zero_copy_only=False).astype(float)
                 reach = np.array([gaps(p, cells.low, cells.high) for p in projection.queries(q)]).reshape(len(q), -1)
                 order = np.argsort(reach, axis=1, kind="stable")[:, low:high]
@@ -258,7 +264,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, m: int = DIMENSIONS,
                 yield pa.RecordBatch.from_arrays([pa.array(order[rows, column], pa.int64()), *(b.column(i).take(pick) for i in range(3))], names=["cell", "query_id", "embedding", "floor"])
 
         routed = asked.join(floors, "query_id", "left").select("query_id", "embedding", "floor")
-        routed = durable(routed.mapInArrow(route, "cell long, query_id long, embedding array<double>, floor double"), "routed")
+        routed = durable(routed.mapInArrow(route, "cell long, query_id long, embedding binary, floor double"), "routed")
         sizes = parts.join(routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / float(block)).cast("int").alias("blocks")), "cell")
         deal = lambda column, count: F.pmod(F.xxhash64(column), F.col(count)).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -266,7 +272,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, m: int = DIMENSIONS,
         right = routed.join(sizes, "cell").select("cell", every("parts").alias("part"), deal("query_id", "blocks").alias("block"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "embedding", "floor")
 
         def run(rows: pa.Table) -> pa.Table:
-            kind, ids, x = rows.column("kind").to_numpy(), rows.column("id").to_numpy(), matrix(rows.column("embedding"), d)
+            kind, ids, x = rows.column("kind").to_numpy(), rows.column("id").to_numpy(), unpacked(rows.column("embedding"), d)
             floor = rows.column("floor").to_numpy()[kind == 1].astype(float)
             index, own = ProjectedIndex(x[kind == 0], ids[kind == 0], projection), ids[kind == 1]
             found, score = index.search(x[kind == 1], own, k, confidence, np.where(np.isnan(floor), -np.inf, floor))

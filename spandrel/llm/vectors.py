@@ -28,6 +28,16 @@ def matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, d) if len(column) else np.zeros((0, d))
 
 
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows of doubles as byte strings: Spark carries those as they are, arrays one element at a time."""
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(x, dtype="<f8")], pa.binary())
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
+    """Rows of a packed() column of d doubles each."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, d) if len(column) else np.zeros((0, d))
+
+
 def dealt(rows: DataFrame, *keys: str):
     """Groups by the keys over as many partitions as the session asks for: little data can be much work here."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
