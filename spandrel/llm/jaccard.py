@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import Bounded, components, durable, forget, mix64, prepare, table
+from spandrel.llm.common import Bounded, components, durable, forget, mix64, prepare, relax, table
 
 WIDTH = 3
 #: Two sets link when PER_CENT * union <= 100 * intersection.
@@ -103,14 +103,16 @@ def frequency_levels(docs: DataFrame, width: int) -> Levels:
     def count(batches):
         own, totals = shingler(width), [np.zeros(size, np.uint32) for size in sizes]
         for b in batches:
-            codes = [own.codes(t) for t in b.column(0).to_pylist()]
-            for total, found, bits in ((totals[0], [np.unique(own.shingles(c)) for c in codes], SKETCH_BITS), (totals[1], codes, WORD_BITS)):
-                if found:
-                    total += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+            for text in b.column(0).to_pylist():
+                codes = own.codes(text)
+                for total, found, bits in ((totals[0], np.unique(own.shingles(codes)), SKETCH_BITS), (totals[1], codes, WORD_BITS)):
+                    np.add.at(total, (found >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         total = np.concatenate(totals)
         for a in range(0, sum(n), 8):
             blocks = [zstandard.ZstdCompressor(level=1).compress(total[i * per : (i + 1) * per].tobytes()) for i in range(a, min(a + 8, sum(n)))]
             yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(blocks)), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "counts"])
+        del total, totals
+        relax()
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(per, np.uint64)
@@ -144,6 +146,8 @@ def describe(docs: DataFrame, width: int, per_cent: int, levels: Levels, salt: i
                 g.append(digest(head[:size], len(h).to_bytes(8, "little"), salt))
                 p.append(head.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, c, c2, g)), pa.array(p, pa.list_(pa.int64()))], names=["doc_id", "n", "c", "c2", "g", "head"])
+            del n, c, c2, g, p, b
+            relax()
 
     return docs.mapInArrow(run, "doc_id long, n long, c long, c2 long, g long, head array<long>")
 
