@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import Bounded, components, durable, forget, mix64, prepare, relax, table
+from spandrel.llm.common import components, durable, forget, mix64, prepare, relax, table
 
 WIDTH = 3
 #: Two sets link when PER_CENT * union <= 100 * intersection.
@@ -33,12 +33,11 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.words = Bounded(xxhash.xxh3_64_intdigest, most=250_000)
 
     def codes(self, text: str | None) -> np.ndarray:
         """The hashed words of a text, in order."""
         words = (text or "").encode().lower().split()
-        return mix64(np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words)))
+        return mix64(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
 
     def shingles(self, codes: np.ndarray) -> np.ndarray:
         """The hashed shingle that starts at each place; of fewer words the whole, of none none."""
