@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import Bounded, durable, mix64, prepare, release, relax
+from spandrel.llm.common import durable, mix64, prepare, release, relax
 
 #: Text of a chunk, and of all chunks for each bucket, in bytes; and the least number of buckets.
 CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 8 << 20, 64
@@ -97,9 +97,8 @@ class Units:
         """The units of each text (a bytes object, or a list of words), all codes in one array, and the bounds."""
         if self.words:
             own = [(t or "").encode().split() for t in texts]
-            memo = _WORDS
             flat = [w for o in own for w in o]
-            codes = mix64(np.fromiter(map(memo.__getitem__, flat), np.uint64, len(flat)))
+            codes = mix64(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)))
         else:
             own = [(t or "").encode() for t in texts]
             codes = np.frombuffer(b"".join(own), np.uint8)
@@ -174,9 +173,6 @@ class Units:
         return b" ".join(own[document][a:b]) if self.words else own[document][a:b]
 
 
-_WORDS = Bounded(xxhash.xxh3_64_intdigest, most=250_000)
-
-
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
