@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spandrel.llm import bpe, descent, fingerprints, jaccard, language, neighbours, packing, sharding, suffixes, toxicity
+from spandrel.llm import bpe, descent, fingerprints, jaccard, language, neighbours, packing, sharding, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_scoring_segments": toxicity.op1_scoring_segments,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprint_index": fingerprints.op8_fingerprint_index,
     "op9_byte_recurrent_language": language.op9_byte_recurrent_language,
     "op10_grouped_prefix_join": jaccard.op10_grouped_prefix_join,
+    "op13_digit_slice_whitening": whitening.op13_digit_slice_whitening,
 }
 
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
