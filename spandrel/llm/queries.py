@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spandrel.llm import bpe, descent, fingerprints, jaccard, language, neighbours, packing, prefixes, sharding, suffixes, toxicity, whitening
+from spandrel.llm import bpe, descent, fingerprints, jaccard, language, neighbours, packing, prefixes, sanitise, sharding, suffixes, toxicity, whitening
 
 QUERIES = {
     "op1_scoring_segments": toxicity.op1_scoring_segments,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprint_index": fingerprints.op8_fingerprint_index,
     "op9_byte_recurrent_language": language.op9_byte_recurrent_language,
     "op10_grouped_prefix_join": jaccard.op10_grouped_prefix_join,
+    "op11_disclosure_sanitiser": sanitise.op11_disclosure_sanitiser,
     "op12_level_order_tries": prefixes.op12_level_order_tries,
     "op13_digit_slice_whitening": whitening.op13_digit_slice_whitening,
 }
