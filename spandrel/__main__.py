@@ -66,7 +66,9 @@ def main(argv: list[str] | None = None) -> int:
 
             with tempfile.TemporaryDirectory() as checkpoint:  # a watch begins anew each time
                 again = lambda rows, number: api.regenerate_readme(spark, args.root, args.target, args.name)
-                watch.watch(spark, args.root, again, checkpoint, once=args.once).awaitTermination()
+                config = api.Config.load(args.root)
+                # what is there at the start is no change, unless that is all that is asked for
+                watch.watch(spark, args.root, again, checkpoint, once=args.once, existing=args.once, include=list(config.include), exclude=list(config.exclude)).awaitTermination()
         elif args.command == "changelog":
             print(generate.changelog(git.commits(spark, args.root, args.since), args.version).first().content)
         else:

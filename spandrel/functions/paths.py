@@ -14,6 +14,12 @@ _TEST_DIR = r"(^|/)(tests?|__tests__)/"
 _TEST_NAME = r"\.(test|spec)\.[^.]+\z"
 
 
+def language(path: str) -> str | None:
+    """What language_of() says, of one path."""
+    name = path.rsplit("/", 1)[-1]
+    return LANGUAGES.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
+
+
 def language_of(path: Column) -> Column:
     """typescript, python, or null: by the last suffix, without regard to case."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)\z", 1))

@@ -44,6 +44,11 @@ def _attempt(parse, source: str | None, language: str | None):
         return None, "syntax"
 
 
+def attempt_module(source: str | None, language: str | None) -> tuple[dict | None, str | None]:
+    """(what the file declares, None), or (None, why it could not be parsed)."""
+    return _attempt(_MODULE, source, language)
+
+
 def parse_modules(files: DataFrame) -> DataFrame:
     """Rows of MODULE for the supported rows of files (path, content); error is set where parsing failed."""
     parsers = dict(_MODULE)
