@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spandrel.functions import literals as _literals
 from spandrel.schemas import FINDING
 
 # Fixed values, down to ASSIGNMENTS: the kinds, shapes and priorities of what counts as a secret.
@@ -42,8 +43,11 @@ _USER = [(k, p, re.compile(x, f)) for k, p, x, f in USER_PATHS]
 _ASSIGNED = [(p, re.compile(x, re.I)) for p, x in ASSIGNMENTS]
 
 
-def find(text: str, user_paths: bool = False, literals: tuple[str, ...] = ()) -> list[tuple[str, int, int, str, int]]:
-    """Every match of every pattern as (kind, start, end, value, priority), overlaps included."""
+def find(text: str, user_paths: bool = False, literals: tuple[str, ...] = (), automaton=None) -> list[tuple[str, int, int, str, int]]:
+    """Every match of every pattern as (kind, start, end, value, priority), overlaps included.
+
+    automaton: that of the literals, if the caller has it already.
+    """
     out = []
     for kind, priority, pattern in _COMPILED + (_USER if user_paths else []):
         for m in pattern.finditer(text):
@@ -57,12 +61,9 @@ def find(text: str, user_paths: bool = False, literals: tuple[str, ...] = ()) ->
             if value and not _PLACEHOLDER.match(value):
                 at = m.start() + m[0].rindex(value)
                 out.append(("named_secret", at, at + len(value), value, priority))
-    for literal in literals:
-        at = text.find(literal) if literal else -1
-        while at >= 0:
-            out.append(("sensitive_path", at, at + len(literal), literal, 20))
-            at = text.find(literal, at + len(literal))
-    return out
+    if automaton is None and literals:
+        automaton = _literals.automaton(list(literals))
+    return out + [("sensitive_path", start, end, literal, 20) for start, end, literal in _literals.spans(text, automaton)]
 
 
 def redact(value: str) -> tuple[str, dict[str, int]]:
@@ -84,8 +85,8 @@ def matches(text: Column, user_paths: bool = False, literals: tuple[str, ...] =
 
     @F.pandas_udf(T.ArrayType(FINDING))
     def run(texts: pd.Series) -> pd.Series:
-        names = FINDING.names
-        return texts.map(lambda t: None if t is None else [dict(zip(names, m, strict=True)) for m in find(t, user_paths, literals)])
+        names, held = FINDING.names, _literals.automaton(list(literals))  # once for all texts of a batch
+        return texts.map(lambda t: None if t is None else [dict(zip(names, m, strict=True)) for m in find(t, user_paths, automaton=held)])
 
     return run(text)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions.text import canonical_json
+from spandrel.operators import order
 from spandrel.schemas import FACETS
 
 #: Categories in the order of their weight, and the risk of each. Fixed values.
@@ -126,18 +127,18 @@ def compare_modules(files: DataFrame) -> DataFrame:
     return finish(out)
 
 
-ORDER = ("path", "kind", "qualified_name", "category", "id")
+def order_of() -> list[Column | str]:
+    """By weight of category, then path, kind, name and id."""
+    return [priority(F.col("category")), "path", "kind", F.coalesce("qualified_name", F.lit("")), "category", "id"]
 
 
 def ordered(changes: DataFrame) -> DataFrame:
-    """By weight of category, then path, kind, name and id."""
-    return changes.orderBy(priority(F.col("category")), F.col("path"), F.col("kind"), F.coalesce("qualified_name", F.lit("")), "category", "id")
+    return changes.orderBy(*order_of())
 
 
 def ranked(changes: DataFrame, *within: str) -> DataFrame:
     """The same order as a column, position, counted from 1 (within the given columns)."""
-    w = Window.partitionBy(*within).orderBy(priority(F.col("category")), F.col("path"), F.col("kind"), F.coalesce("qualified_name", F.lit("")), "id")
-    return changes.withColumn("position", F.row_number().over(w))
+    return order.numbered(changes, order_of(), "position", within)
 
 
 def summarize(changes: DataFrame, unmapped: DataFrame | None = None) -> DataFrame:

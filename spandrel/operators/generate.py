@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.operators import order
+
 SECTIONS = ("Added", "Fixed", "Changed")
 
 
-# The sentences of the deterministic documents are fixed values.
+# The sentences of the deterministic documents are our own.
 
 
 def _bullets(items: Column, none: str = "No description") -> Column:
@@ -32,15 +35,19 @@ def readme(modules: DataFrame, name: str, description: str = "") -> DataFrame:
     return held.select(F.array_join(body, "\n").alias("content"))
 
 
-def api_docs(modules: DataFrame) -> DataFrame:
-    """One row (content): a section for each module, by path, divided by rules."""
+def _section(m: Column) -> Column:
+    """What the API documentation says of one module."""
     doc = lambda x: F.coalesce(F.nullif(x["existing_doc"], F.lit("")), F.lit("No description available."))
     function = lambda f: F.concat(
         F.lit("### `"), f["name"], F.lit("("), F.array_join(F.transform(f["parameters"], lambda p: p["name"]), ", "), F.lit(")`\n\n"), doc(f), F.lit("\n\n**Returns:** `"), F.coalesce(f["return_type"], F.lit("unknown")), F.lit("`\n")
     )
     klass = lambda c: F.concat(F.lit("### Class: `"), c["name"], F.lit("`\n\n"), doc(c), F.lit("\n"))
-    section = lambda m: F.concat(F.lit("## "), F.element_at(F.split(m["path"], "/"), -1), F.lit("\n\n"), F.array_join(F.concat(F.transform(m["functions"], function), F.transform(m["classes"], klass)), "\n"))
-    return modules.agg(_modules(modules).alias("m")).select(F.concat(F.lit("# API Documentation\n\n"), F.array_join(F.transform("m", section), "\n---\n\n")).alias("content"))
+    return F.concat(F.lit("## "), F.element_at(F.split(m["path"], "/"), -1), F.lit("\n\n"), F.array_join(F.concat(F.transform(m["functions"], function), F.transform(m["classes"], klass)), "\n"))
+
+
+def api_docs(modules: DataFrame) -> DataFrame:
+    """One row (content): a section for each module, by path, divided by rules."""
+    return modules.agg(_modules(modules).alias("m")).select(F.concat(F.lit("# API Documentation\n\n"), F.array_join(F.transform("m", _section), "\n---\n\n")).alias("content"))
 
 
 def diagram(modules: DataFrame) -> DataFrame:
@@ -59,6 +66,59 @@ def jsdoc(functions: DataFrame) -> DataFrame:
     return functions.select("path", F.element_at("line_range", 1).alias("ordinal"), "name", comment.alias("jsdoc"))
 
 
+# --- documents of any size: fragments (part, path, place, text) that stand one below the other in this order ---------
+
+
+def _fragment(df: DataFrame, part: int, text: Column, path: Column | None = None, place: Column | None = None) -> DataFrame:
+    return df.select(F.lit(part).alias("part"), (path if path is not None else F.lit("")).alias("path"), (place if place is not None else F.lit(0)).cast("int").alias("place"), text.alias("text"))
+
+
+def readme_fragments(modules: DataFrame, name: str, description: str = "") -> DataFrame:
+    """readme(), a fragment for each function and class."""
+    one = modules.sparkSession.range(1)
+    out = _fragment(one, 0, F.lit(f"# {name}\n\n> {description or 'A project'}\n\n## API\n"))
+    for at, title, column, mark in ((1, "Functions", "functions", "()"), (4, "Classes", "classes", "")):
+        some = modules.agg(F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("n")).where("n > 0")  # one row or none
+        own = modules.select("path", F.posexplode(column).alias("place", "x"))
+        bullet = F.concat(F.lit("- `"), F.col("x.name"), F.lit(f"{mark}` — "), F.coalesce(F.nullif(F.col("x.existing_doc"), F.lit("")), F.lit("No description")))
+        out = out.union(_fragment(some, at, F.lit(f"### {title}\n"))).union(_fragment(own, at + 1, bullet, F.col("path"), F.col("place"))).union(_fragment(some, at + 2, F.lit("")))
+    return out
+
+
+def api_fragments(modules: DataFrame) -> DataFrame:
+    """api_docs(), a fragment for each module; rules stand between them, so all but the first begin with one."""
+    numbered = order.numbered(modules.select("path", "functions", "classes"), ["path"])
+    section = F.when(F.col("position") > 1, F.concat(F.lit("---\n\n"), _section(F.struct("path", "functions", "classes")))).otherwise(_section(F.struct("path", "functions", "classes")))
+    head = _fragment(modules.sparkSession.range(1), 0, F.lit("# API Documentation\n"))
+    return head.union(_fragment(numbered, 1, section, F.col("path")))
+
+
+def diagram_fragments(modules: DataFrame) -> DataFrame:
+    """diagram(), a fragment for each node and edge."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+\z", "")
+    numbered = order.numbered(modules.select("path"), ["path"]).withColumn("i", (F.col("position") - 1).cast("string"))
+    nodes = _fragment(numbered, 1, F.concat(F.lit("    N"), F.col("i"), F.lit('["'), name, F.lit('"]')), F.col("path"))
+    edges = _fragment(numbered.where("position > 1"), 2, F.concat(F.lit("    N0 --> N"), F.col("i")), F.col("path"))
+    return _fragment(modules.sparkSession.range(1), 0, F.lit("graph TD")).union(nodes).union(edges)
+
+
+def changelog_fragments(commits: DataFrame, version: str, day: str | None = None) -> DataFrame:
+    """changelog(), a fragment for each commit (position, message)."""
+    date = F.lit(day) if day else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd")
+    one = commits.sparkSession.range(1)
+    out = _fragment(one, 0, F.concat(F.lit(f"## [{version}] - "), date))
+    kind = F.array_position(F.array(*map(F.lit, SECTIONS)), changelog_section(F.col("message"))).cast("int")
+    for k, title in enumerate(SECTIONS):
+        out = out.union(_fragment(one, 2 * k + 1, F.lit(f"\n### {title}")))
+    at = F.format_string("%020d", F.col("position").cast("bigint"))
+    return out.union(commits.select((2 * kind).alias("part"), at.alias("path"), F.lit(0).alias("place"), F.concat(F.lit("- "), F.col("message")).alias("text")))
+
+
+def placed(fragments: DataFrame) -> DataFrame:
+    """position (from 1) and text of each fragment; the document is the texts with a line break between each two."""
+    return order.numbered(fragments, ["part", "path", "place", "text"]).select("position", "text")
+
+
 def changelog_section(message: Column, added: str = "feat", fixed: str = "fix") -> Column:
     return F.when(message.startswith(added), SECTIONS[0]).when(message.startswith(fixed), SECTIONS[1]).otherwise(SECTIONS[2])
 
@@ -100,7 +160,10 @@ PROMPTS = {
 
 
 def prompt(kind: str, **fields: str) -> str:
-    """The prompt of an operation; fields that it does not name are refused."""
+    """The prompt of an operation; fields that it does not name are refused, and so are missing ones."""
+    named = {name for _, name, _, _ in string.Formatter().parse(PROMPTS[kind]) if name}
+    if named != fields.keys():
+        raise ValueError(f"the prompt {kind} takes {', '.join(sorted(named))}")
     return PROMPTS[kind].format(**fields)
 
 

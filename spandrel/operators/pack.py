@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST_BUDGET, MOST_BUDGET, USUAL_BUDGET = 1024, 1_048_576, 12_000
 
@@ -16,30 +19,57 @@ def check_budget(budget: int) -> int:
     return budget
 
 
-def first_fit(items: Column, budget: Column) -> Column:
-    """Which of array<struct<order, full, compact>> are taken, in order: array<struct<order, form>>.
+def contenders(items: DataFrame, keys: list[str], order: str, least: Column, budget: int) -> DataFrame:
+    """The items that first fit may take, for groups of any size.
 
-    Each is taken in full if that fits what is left, else compact if that fits, else passed over; later ones
-    can still fit. full and compact are sizes, null where there is no such form.
+    What is left never grows. So when an item of least size s is taken, each item before it of that size or less was
+    taken too; of the items of one size only the first budget / s can be, and no group keeps more than budget times the
+    logarithm of budget. Sizes are 1 or more, anything else is an error. They are counted in two steps, so that a hot
+    group or size is many small groups first.
     """
-    chosen = "array<struct<order:bigint,form:string>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(chosen).alias("out"))
+    size = F.coalesce(least, F.lit(budget + 1)).cast("bigint")
+    checked = F.when(size < 1, F.raise_error(F.lit("a size is below 1")).cast("bigint")).otherwise(size)
+    held = items.withColumn("_size", checked).where(F.col("_size") <= budget).withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+    for within in ([*keys, "_size", "_salt"], [*keys, "_size"]):
+        place = F.row_number().over(Window.partitionBy(*within).orderBy(order))
+        held = held.withColumn("_place", place).where(F.col("_place") * F.col("_size") <= budget)
+    return held.drop("_size", "_salt", "_place")
 
-    def step(state: Column, item: Column) -> Column:
-        fits = lambda size: F.coalesce(state["used"] + size <= budget, F.lit(False))
-        form = F.when(fits(item["full"]), "full").when(fits(item["compact"]), "compact")
-        size = F.when(form == "full", item["full"]).when(form == "compact", item["compact"]).otherwise(F.lit(0))
-        one = F.array(F.struct(item["order"].cast("bigint").alias("order"), form.alias("form")))
-        return F.struct((state["used"] + size.cast("bigint")).alias("used"), F.when(form.isNull(), state["out"]).otherwise(F.concat(state["out"], one)).alias("out"))
 
-    return F.aggregate(F.array_sort(items), start, step)
+SALTS = 32
 
 
 def pack_groups(items: DataFrame, key: str, order: str, full: str, compact: str | None, budget: int) -> DataFrame:
-    """(key, order, form) of what first_fit() takes of each group."""
-    size = F.struct(F.col(order).cast("bigint").alias("order"), F.col(full).cast("bigint").alias("full"), (F.col(compact) if compact else F.lit(None)).cast("bigint").alias("compact"))
-    packed = items.groupBy(key).agg(first_fit(F.collect_list(size), F.lit(budget).cast("bigint")).alias("x"))
-    return packed.select(key, F.explode("x.out").alias("o")).select(key, "o.*")
+    """(key, order, form) of what is taken of each group, in order.
+
+    Each item is taken in full if that fits what is left, else compact if that fits, else passed over; later ones can
+    still fit. full and compact are sizes, null where there is no such form. The contenders of each group pass through
+    one task in order, which holds what is used so far and nothing else.
+    """
+    size = lambda c: F.col(c).cast("bigint") if c else F.lit(None).cast("bigint")
+    rows = items.select(F.col(key), F.col(order).cast("bigint").alias("order"), size(full).alias("full"), size(compact).alias("compact"))
+    held = contenders(rows, [key], "order", F.least("full", "compact"), budget)
+    kind = items.schema[key].dataType
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = object(), 0
+        for b in batches:
+            at, forms = [], []
+            for i, (k, whole, small) in enumerate(zip(*(b.column(c).to_pylist() for c in (key, "full", "compact")), strict=True)):
+                if k != now:
+                    now, used = k, 0
+                for form, n in (("full", whole), ("compact", small)):
+                    if n is not None and used + n <= budget:
+                        used += n
+                        at.append(i)
+                        forms.append(form)
+                        break
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(key).take(taken), b.column("order").take(taken), pa.array(forms, pa.string())], names=[key, "order", "form"])
+
+    by = [key, "order", "full", "compact"]
+    schema = T.StructType([T.StructField(key, kind), T.StructField("order", T.LongType()), T.StructField("form", T.StringType())])
+    return held.repartition(key).sortWithinPartitions(*by).mapInArrow(scan, schema)
 
 
 def canonical(value) -> str:
@@ -53,25 +83,56 @@ def canonical(value) -> str:
     return json.dumps(clean(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
-def build_context(digest: str, summary: dict, records: list[dict], budget: int = USUAL_BUDGET) -> tuple[dict, dict]:
+class Budget:
+    """Bytes of an envelope's canonical JSON, kept up while records are added: nothing is serialised twice.
+
+    The envelope holds two lists and the number of records that it leaves out, whose digits count too.
+    """
+
+    def __init__(self, digest: str, summary: dict, records: int, budget: int):
+        self.budget, self.left, self.taken, self.lists = budget, records, 0, {"changes": [0, 0], "documentation": [0, 0]}
+        empty = {"schemaVersion": "impact-context.v1", "impactDigest": digest, "summary": summary, "changes": [], "documentation": [], "omittedRecords": 0}
+        self.frame = len(canonical(empty).encode()) - 1
+        if self.used() > budget:
+            raise ValueError("the budget cannot hold the envelope")
+
+    def used(self, left: int | None = None, **added: tuple[int, int]) -> int:
+        total = self.frame + len(str(self.left if left is None else left))
+        for name, (n, size) in self.lists.items():
+            more, bytes_ = added.get(name, (0, 0))
+            total += size + bytes_ + max(n + more - 1, 0)  # commas
+        return total
+
+    def take(self, change: int, documentation: list[int]) -> bool:
+        """Whether a record of a change and its documentation, in bytes, fits; then it is counted."""
+        added = {"changes": (1, change), "documentation": (len(documentation), sum(documentation))}
+        if self.used(self.left - 1, **added) > self.budget:
+            return False
+        for name, (n, size) in added.items():
+            self.lists[name][0] += n
+            self.lists[name][1] += size
+        self.left -= 1
+        self.taken += 1
+        return True
+
+
+def build_context(digest: str, summary: dict, records: Iterable[dict], budget: int = USUAL_BUDGET, total: int | None = None) -> tuple[dict, dict]:
     """A bounded envelope and its report.
 
-    records, in order: {full, full_docs, compact, compact_docs}; either form can be None. The envelope holds the
-    number of records it leaves out, so it is measured whole, in bytes of its canonical JSON, whenever one is
-    tried.
+    records, in order: {full, full_docs, compact, compact_docs}; either form can be None. total is the number of all
+    records, if those that cannot fit are not among them.
     """
     check_budget(budget)
-    size = lambda e: len(canonical(e).encode())
-    envelope = {"schemaVersion": "impact-context.v1", "impactDigest": digest, "summary": summary, "changes": [], "documentation": [], "omittedRecords": len(records)}
-    if size(envelope) > budget:
-        raise ValueError("the budget cannot hold the envelope")
+    records = list(records) if total is None else records
+    total = len(records) if total is None else total
+    count, changes, documentation = Budget(digest, summary, total, budget), [], []
+    size = lambda v: len(canonical(v).encode())
     for r in records:
         for form in ("full", "compact"):
-            if r.get(form) is None:
-                continue
-            tried = {**envelope, "changes": [*envelope["changes"], r[form]], "documentation": [*envelope["documentation"], *r.get(f"{form}_docs", [])], "omittedRecords": envelope["omittedRecords"] - 1}
-            if size(tried) <= budget:
-                envelope = tried
+            docs = r.get(f"{form}_docs") or []
+            if r.get(form) is not None and count.take(size(r[form]), [size(d) for d in docs]):
+                changes.append(r[form])
+                documentation += docs
                 break
-    taken = len(envelope["changes"])
-    return envelope, {"maxBytes": budget, "usedBytes": size(envelope), "totalRecords": len(records), "includedRecords": taken, "omittedRecords": len(records) - taken, "impactDigest": digest}
+    envelope = {"schemaVersion": "impact-context.v1", "impactDigest": digest, "summary": summary, "changes": changes, "documentation": documentation, "omittedRecords": count.left}
+    return envelope, {"maxBytes": budget, "usedBytes": count.used(), "totalRecords": total, "includedRecords": count.taken, "omittedRecords": count.left, "impactDigest": digest}

@@ -27,26 +27,36 @@ def coverage(symbols: DataFrame, key: str = "file") -> DataFrame:
     """
     named = F.col("name").isNotNull()
     count = lambda c: F.count_if(named & c)
-    out = symbols.rollup(key).agg(
-        F.grouping(key).cast("boolean").alias("is_total"),
+    counted = symbols.groupBy(key).agg(
         F.count_if(named).alias("total"),
         count(text.is_documented(F.col("doc"))).alias("documented"),
         count(text.is_stub(F.col("doc"))).alias("low_quality"),
         F.array_sort(F.collect_list(F.when(named & ~text.is_documented(F.col("doc")), F.col("name")))).alias("undocumented"),
     )
-    zero = F.lit(0).cast("bigint")  # without any rows a rollup has no total row
-    none = symbols.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    none = none.select(F.lit(None).cast(symbols.schema[key].dataType).alias(key), F.lit(True), zero, zero, zero, F.array().cast("array<string>"))
-    out = out.union(none)
+    per = counted.select(key, F.lit(False).alias("is_total"), "total", "documented", "low_quality", "undocumented")
+    numbers = ("total", "documented", "low_quality")
+    whole = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers))  # names stay with their keys
+    whole = whole.select(F.lit(None).cast(symbols.schema[key].dataType).alias(key), F.lit(True).alias("is_total"), *numbers, F.array().cast("array<string>").alias("undocumented"))
     share = text.percent(F.col("documented"), F.col("total"))
-    out = out.withColumn("coverage", share).withColumn("band", text.band(F.col("coverage")))
-    return out.withColumn("undocumented", F.when(F.col("is_total"), F.array().cast("array<string>")).otherwise(F.col("undocumented")))
+    return per.union(whole).withColumn("coverage", share).withColumn("band", text.band(F.col("coverage")))
 
 
 def score_modules(modules: DataFrame) -> DataFrame:
     return coverage(documented_symbols(modules))
 
 
+def report_fragments(scores: DataFrame, style: str = "text") -> DataFrame:
+    """The report in fragments (part, path, place, text): its head, then a line for each file."""
+    part = F.concat(F.col("documented").cast("string"), F.lit("/"), F.col("total").cast("string"))
+    head = F.concat(F.lit("Documentation score: "), F.col("coverage").cast("string"), F.lit("/100 ("), F.col("band"), F.lit(")"))
+    if style == "markdown":
+        head = F.concat(F.lit("# "), head, F.lit("\n\n| Module | Coverage | Documented |\n| --- | --- | --- |"))
+        line = F.concat(F.lit("| "), F.col("file"), F.lit(" | "), F.col("coverage").cast("string"), F.lit("% | "), part, F.lit(" |"))
+    else:
+        line = F.concat(F.lit("  "), F.col("file"), F.lit(": "), F.col("coverage").cast("string"), F.lit("% ("), part, F.lit(")"))
+    return scores.select(F.when(F.col("is_total"), 0).otherwise(1).alias("part"), F.coalesce("file", F.lit("")).alias("path"), F.lit(0).alias("place"), F.when(F.col("is_total"), head).otherwise(line).alias("text"))
+
+
 def report(scores: DataFrame, style: str = "text") -> DataFrame:
     """One row with the report: text, markdown or json."""
     files = F.array_sort(F.collect_list(F.when(~F.col("is_total"), F.struct("file", "coverage", "documented", "total", "undocumented"))))

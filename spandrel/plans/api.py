@@ -9,16 +9,16 @@ import json
 import os
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from spandrel.functions import paths, secrets, text
+from spandrel.functions import canonical, paths, secrets, text
 from spandrel.operators import diff, freshness, gateway, generate, mapping, pack, parse, reports, score, sections
-from spandrel.sources import files, git
+from spandrel.sources import files, git, lines, shared
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ class Config:
 class PlanError(Exception):
     """A plan that could not be made; code is one of a fixed list, the text holds nothing of the repository."""
 
-    CODES = ("PLAN_INVALID_BUDGET", "PLAN_INVALID_REVISION", "PLAN_PARSE_FAILED", "PLAN_FAILED")
+    CODES = ("PLAN_INVALID_BUDGET", "PLAN_INVALID_REVISION", "PLAN_SHALLOW_HISTORY", "PLAN_PARSE_FAILED", "PLAN_FAILED")
 
     def __init__(self, code: str, message: str):
         super().__init__(message)
@@ -66,6 +66,8 @@ class PlanError(Exception):
 
 @dataclass
 class Plan:
+    """Tables of the plan, written to the shared folder, and what of them has a bound: summary, context and digest."""
+
     changes: DataFrame
     documentation: DataFrame
     summary: dict
@@ -75,20 +77,39 @@ class Plan:
     ignored: dict = field(default_factory=dict)
 
     def release(self) -> None:
-        """Let go of the tables that the plan keeps in memory."""
-        for df in (self.changes, self.documentation):
-            df.unpersist()
-
-    def save(self, path: str) -> None:
-        """Changes and documentation as JSON lines in a folder, written by the executors; for plans of any size."""
-        diff.ordered(self.changes).write.json(f"{path}/changes")
-        self.documentation.write.json(f"{path}/documentation")
+        """Delete the tables of the plan."""
+        shared.drop(self.changes, self.documentation)
+
+    def head(self) -> dict:
+        return {"summary": self.summary, "context": self.report, "digest": self.digest, "ignored": self.ignored}
+
+    def save(self, path: str, overwrite: bool = False) -> None:
+        """Changes, in their order, and documentation, by change, as ordered canonical JSON lines in a folder, written by
+        the executors; for plans of any size."""
+        for name, df, by in (("changes", self.changes, diff.order_of()), ("documentation", self.documentation, ["change_id"])):
+            lines.write(df.withColumn("line", canonical.rows(df)), "line", by, f"{path}/{name}", overwrite)
+
+    def json_parts(self) -> Iterator[str]:
+        """The whole plan as pieces of one canonical JSON text; the driver holds a partition of lines at a time."""
+
+        def array(df: DataFrame) -> Iterator[str]:
+            yield "["
+            for k, row in enumerate(df.select(canonical.rows(df).alias("json")).toLocalIterator()):
+                yield ("," if k else "") + row.json
+            yield "]"
+
+        head = pack.canonical(self.head())[1:-1]
+        at = head.index('"digest":')
+        cut = head.index(',"ignored":', at)
+        yield '{"ok":true,"plan":{"changes":'
+        yield from array(diff.ordered(self.changes))
+        yield "," + head[:cut] + ',"documentation":'
+        yield from array(self.documentation.orderBy("change_id"))
+        yield head[cut:] + "}}"
 
     def to_json(self) -> str:
-        """The whole plan as one JSON text; for large ones there is save()."""
-        docs = [r.asDict(True) for r in self.documentation.orderBy("change_id").collect()]
-        changes = [r.asDict(True) for r in diff.ordered(self.changes).collect()]
-        return pack.canonical({"ok": True, "plan": {"changes": changes, "documentation": docs, "summary": self.summary, "context": self.report, "digest": self.digest, "ignored": self.ignored}})
+        """json_parts() in one; for large plans there is save()."""
+        return "".join(self.json_parts())
 
 
 def plan_tables(pairs: DataFrame, documentation_files: DataFrame, budget: int = pack.USUAL_BUDGET, strict: bool = True, ignored: dict | None = None) -> Plan:
@@ -102,49 +123,56 @@ def plan_tables(pairs: DataFrame, documentation_files: DataFrame, budget: int =
         pack.check_budget(budget)
     except ValueError as error:
         raise PlanError("PLAN_INVALID_BUDGET", str(error)) from None
-    sides = {}
-    for side in ("before", "after"):
-        source = pairs.where(F.col(f"{side}_path").isNotNull()).select(F.col(f"{side}_path").alias("path"), F.col(f"{side}_content").alias("content"))
-        sides[side] = parse.parse_snapshots(source).cache()
-    if strict:
-        bad = sides["before"].union(sides["after"]).where("error is not null").select("path").orderBy("path").first()
-        if bad:
-            raise PlanError("PLAN_PARSE_FAILED", f"a source file cannot be parsed: {bad.path}")
-    keys = {side: pairs.select("file_id", F.col(f"{side}_path").alias("path")) for side in sides}
-    rows = {side: keys[side].join(parse.symbols(df.where("error is null")), "path").drop("path") for side, df in sides.items()}
-    modules = {side: keys[side].join(df.where("error is null"), "path").select("file_id", F.col("language").alias(f"{side}_language"), F.col("dependency_fp").alias(f"{side}_dependency_fp")) for side, df in sides.items()}
-    status = pairs.select("file_id", "status", "before_path", "after_path").join(modules["before"], "file_id", "left").join(modules["after"], "file_id", "left")
-    status = status.withColumn("language", F.coalesce("after_language", "before_language"))
-    changes = diff.compare_symbols(pairs, rows["before"], rows["after"]).unionByName(diff.compare_modules(status)).cache()
-    found = sections.sections(documentation_files)
-    documentation = mapping.safe_references(mapping.map_documentation(changes, found), _redact).cache()
+    sides: dict[str, DataFrame] = {}
+    try:
+        for side in ("before", "after"):
+            source = pairs.where(F.col(f"{side}_path").isNotNull()).select(F.col(f"{side}_path").alias("path"), F.col(f"{side}_content").alias("content"))
+            sides[side] = shared.written(parse.parse_snapshots(source), side)  # each version is parsed once
+        if strict:
+            bad = sides["before"].union(sides["after"]).where("error is not null").select("path").orderBy("path").first()
+            if bad:
+                raise PlanError("PLAN_PARSE_FAILED", f"a source file cannot be parsed: {bad.path}")
+        changes = shared.written(compare_versions(pairs, {n: df.where("error is null") for n, df in sides.items()}), "changes")
+    finally:
+        shared.drop(*sides.values())
+    found = shared.written(sections.sections(documentation_files), "sections")
+    documentation = shared.written(mapping.safe_references(mapping.map_documentation(changes, found), _redact), "documentation")
+    shared.drop(found)
     summary = diff.summarize(changes, documentation).first().asDict()
     digest = diff.payload_digest(changes).first().digest
-    records = _records(changes, documentation, budget)
-    total = int(summary["total_changes"])
-    context, report = pack.build_context(digest, summary, records + [{}] * (total - len(records)), budget)
-    for df in sides.values():
-        df.unpersist()
+    context, report = pack.build_context(digest, summary, _records(changes, documentation, budget), budget, int(summary["total_changes"]))
     return Plan(changes, documentation, summary, context, report, digest, ignored or {})
 
 
+def compare_versions(pairs: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
+    """Changes of symbols and modules between two sides of parsed snapshots."""
+    keys = {side: pairs.select("file_id", F.col(f"{side}_path").alias("path")) for side in sides}
+    rows = {side: keys[side].join(parse.symbols(df), "path").drop("path") for side, df in sides.items()}
+    modules = {side: keys[side].join(df, "path").select("file_id", F.col("language").alias(f"{side}_language"), F.col("dependency_fp").alias(f"{side}_dependency_fp")) for side, df in sides.items()}
+    status = pairs.select("file_id", "status", "before_path", "after_path").join(modules["before"], "file_id", "left").join(modules["after"], "file_id", "left")
+    status = status.withColumn("language", F.coalesce("after_language", "before_language"))
+    return diff.compare_symbols(pairs, rows["before"], rows["after"]).unionByName(diff.compare_modules(status))
+
+
 def _redact(value: str) -> str:
     return secrets.redact(value)[0]
 
 
 def _records(changes: DataFrame, documentation: DataFrame, budget: int) -> list[dict]:
-    """Changes in order of weight with full and compact forms; as many as could fit if each were smallest."""
-    least = 120  # bytes of the smallest compact record
-    top = diff.ordered(changes).limit(budget // least + 1)
-    docs = {r.change_id: r.asDict(True) for r in documentation.join(top.select(F.col("id").alias("change_id")), "change_id", "left_semi").collect()}
-    out = []
-    for row in diff.ordered(top).collect():
-        full = {k: v for k, v in row.asDict(True).items() if v is not None}
-        safe = all(is_safe_identity(v) for v in (row.id, row.path, row.qualified_name or "") if v)
-        compact = {"compacted": True, "digest": row.digest, "category": row.category, "risk": row.risk}
-        doc = docs.get(row.id)
-        out.append({"full": full if safe else None, "full_docs": [doc] if doc and safe else [], "compact": compact, "compact_docs": []})
-    return out
+    """Changes in order of weight with full and compact forms: those that first fit may take, whatever their number.
+
+    Forms are written, measured and checked by the executors; pack.contenders() bounds what comes here.
+    """
+    ids = F.array("id", "path", F.coalesce("qualified_name", F.lit("")))
+    safe = F.forall(ids, text.is_plain_identity) & (F.size(secrets.matches(F.array_join(ids, "\n"), user_paths=True)) == 0)
+    own = diff.ranked(changes).withColumn("full", F.when(safe, canonical.rows(changes)))
+    short = F.concat(F.lit('{"category":'), canonical.quoted(F.col("category")), F.lit(',"compacted":true,"digest":'), canonical.quoted(F.col("digest")), F.lit(',"risk":'), canonical.quoted(F.col("risk")), F.lit("}"))
+    docs = documentation.select(F.col("change_id").alias("id"), canonical.rows(documentation).alias("docs"))
+    rows = own.withColumn("compact", short).join(docs, "id", "left").withColumn("docs", F.when(F.col("full").isNotNull(), F.col("docs")))
+    whole = F.octet_length("full") + F.coalesce(F.octet_length("docs"), F.lit(0))
+    held = pack.contenders(rows, [], "position", F.least(whole, F.octet_length("compact")), budget).select("position", "full", "compact", "docs")
+    load = lambda x: None if x is None else json.loads(x)
+    return [{"full": load(r.full), "full_docs": [load(r.docs)] if r.docs else [], "compact": load(r.compact), "compact_docs": []} for r in held.orderBy("position").collect()]
 
 
 def is_safe_identity(value: str) -> bool:
@@ -184,9 +212,7 @@ def describe(p: Plan, existing: DataFrame) -> str:
 def target_context(p: Plan, path: str, reasons: list[str], budget: int) -> tuple[dict, dict]:
     """The envelope of the changes that concern one target, and its report, within the budget."""
     documentation, changes = mapping.project(p.documentation, p.changes, path, reasons)
-    total = changes.count()
-    records = _records(changes, documentation, budget)
-    return pack.build_context(p.digest, p.summary, records + [{}] * (total - len(records)), budget)
+    return pack.build_context(p.digest, p.summary, _records(changes, documentation, budget), budget, changes.count())
 
 
 def update_envelope(p: Plan, existing: str, path: str, reasons: list[str], budget: int) -> tuple[str, str, int]:

@@ -14,6 +14,7 @@ from spandrel.functions import secrets, text
 from spandrel.operators import annotate, diff, freshness, generate, mapping, parse, reports, score, sections
 from spandrel.plans import api
 from spandrel.plans.twins import QUERIES, SQL, table, twin  # noqa: F401 - the registry of both modules
+from spandrel.sources import shared
 
 # --- source files from parts --------------------------------------------------------------------------------------
 
@@ -172,15 +173,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of symbols and modules between the two versions."""
+    """Changes of symbols and modules between the two versions, each parsed once."""
     pairs = _pairs(spark, sf_dir)
-    sides = {n: parse.check_snapshots(parse.require_parsed(parse.parse_snapshots(pairs.select(F.col(f"{n}_path").alias("path"), F.col(f"{n}_content").alias("content"))))) for n in ("before", "after")}
-    before, after = (parse.symbols(sides[n]).withColumnRenamed("path", "file_id") for n in ("before", "after"))
-    status = pairs.select("file_id", "before_path", "after_path")
-    for n, df in sides.items():
-        status = status.join(df.select(F.col("path").alias("file_id"), F.col("language").alias(f"{n}_language"), F.col("dependency_fp").alias(f"{n}_dependency_fp")), "file_id", "left")
-    status = status.withColumn("language", F.coalesce("after_language", "before_language"))
-    return diff.compare_symbols(pairs, before, after).unionByName(diff.compare_modules(status))
+    checked = lambda n: parse.check_snapshots(parse.require_parsed(parse.parse_snapshots(pairs.select(F.col(f"{n}_path").alias("path"), F.col(f"{n}_content").alias("content")))))
+    return shared.written(api.compare_versions(pairs, {n: shared.written(checked(n), n) for n in ("before", "after")}), "changes")
 
 
 @twin(f"WITH {_CHANGES} SELECT id, category, risk, facets FROM changes")
@@ -237,7 +233,7 @@ _IMPACT = f"""{_SECTIONS}, refs AS (
 @twin(f"WITH {_IMPACT} SELECT id AS change_id, tier, file, slug, reason FROM refs UNION ALL SELECT id, 'unmapped', '', '', '' FROM changes c WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.id = c.id)")
 def documentation_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sections each change concerns, and which changes concern none."""
-    mapped = mapping.map_documentation(_changes(spark, sf_dir), sections.sections(_documents(spark, sf_dir)))
+    mapped = mapping.map_documentation(_changes(spark, sf_dir), shared.written(sections.sections(_documents(spark, sf_dir)), "sections"))
     refs = mapping.references(mapped).select("change_id", "tier", "file", "slug", "reason")
     return refs.union(mapped.where("unmapped").select("change_id", F.lit("unmapped"), F.lit(""), F.lit(""), F.lit("")))
 
@@ -248,9 +244,9 @@ def impact_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan of the two versions: its summary and its target documents."""
     docs = _documents(spark, sf_dir)
     plan = api.plan_tables(_pairs(spark, sf_dir), docs)
-    found = api.targets(plan, docs.select("path")).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("targets"))
+    found = api.targets(plan, docs.select("path")).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("targets"))  # a few documents
     names = ("total_changes", "public_api_changes", "potentially_breaking", "review_required", "unmapped")
-    return found.select(*(F.lit(plan.summary[n]).cast("bigint").alias(n) for n in names), "targets")
+    return diff.summarize(plan.changes, plan.documentation).select(*names).crossJoin(found)  # one row each
 
 
 _TOPICS = """

@@ -132,7 +132,7 @@ _WEIGHT = "CASE category WHEN 'removed' THEN 1 WHEN 'contract-changed' THEN 2 WH
 @twin(f"{_CHANGES} SELECT id, kind, category, row_number() OVER (PARTITION BY kind ORDER BY {_WEIGHT}, qualified_name, id) AS position FROM c")
 def change_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each change within its kind."""
-    return diff.ranked(_changes(spark, sf_dir), "kind").select("id", "kind", "category", F.col("position").cast("bigint").alias("position"))
+    return diff.ranked(_changes(spark, sf_dir), "kind").select("id", "kind", "category", "position")
 
 
 @twin(f"""{_CHANGES}, d AS (SELECT sha256('{{"category":"' || category || '",' || CASE WHEN facets IS NOT NULL THEN '"changedContractFacets":["' || replace(facets, ',', '","') || '"],' ELSE '' END

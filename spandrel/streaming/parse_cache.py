@@ -116,6 +116,7 @@ def outcomes(changes: DataFrame, shards: int = SHARDS, capacity: int = CAPACITY,
     """
     spark = changes.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _ = spark.streams  # starts what keeps track of state, which a session without a stream lacks
     rows = changes.select(F.pmod(F.xxhash64("path"), F.lit(shards)).alias("shard"), "path", "event", "version", F.col("order").cast("bigint").alias("order"), "content")
     cache = ParseCache(max(1, capacity // shards), idle_ms, most_chars)
     return rows.groupBy("shard").transformWithStateInPandas(statefulProcessor=cache, outputStructType=OUTCOME, outputMode="append", timeMode="ProcessingTime" if changes.isStreaming else "None")
