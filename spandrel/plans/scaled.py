@@ -3,13 +3,14 @@ in fragments, keyed parse state, networks, literals and nearest settings; each w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.functions import canonical, literals
-from spandrel.operators import diff, generate, networks, order, pack, score, settings
-from spandrel.plans import sourced, twins
+from spandrel.operators import diff, generate, networks, order, pack, parse, score, settings
+from spandrel.plans import api, sourced, twins
 from spandrel.plans.twins import table, twin
+from spandrel.sources import shared
 from spandrel.streaming import parse_cache
 
 # --- order and choice ---------------------------------------------------------------------------------------------
@@ -99,6 +100,92 @@ def document_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+# --- members of all kinds -----------------------------------------------------------------------------------------
+
+_MEMBERS = """p AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS py, 'lib/' || lower(replace(p_brand, '#', '_')) || '/m' || p_size % 4 || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.ts' END AS path FROM part),
+c AS (SELECT path, 'method' AS kind, 'P' || k || '.v' AS name, 'contract-changed' AS category, 'parameters' AS facets FROM p WHERE py AND k % 7 = 1
+  UNION ALL SELECT path, 'method', 'P' || k || '.s', 'implementation-changed', '' FROM p WHERE py AND k % 11 = 2
+  UNION ALL SELECT path, 'class', 'P' || k, CASE WHEN k % 7 = 1 THEN 'contract-changed' ELSE 'implementation-changed' END, CASE WHEN k % 7 = 1 THEN 'members' ELSE '' END FROM p WHERE py AND (k % 7 = 1 OR k % 11 = 2)
+  UNION ALL SELECT path, 'function', 'f' || k, 'contract-changed', 'return' FROM p WHERE py AND k % 13 = 3
+  UNION ALL SELECT path, 'method', 'I' || k || '.get', 'contract-changed', 'parameters' FROM p WHERE NOT py AND k % 7 = 1
+  UNION ALL SELECT path, 'interface', 'I' || k, 'contract-changed', 'members' FROM p WHERE NOT py AND (k % 7 = 1 OR k % 17 = 5)
+  UNION ALL SELECT path, 'type', 'A' || k, 'contract-changed', 'members' FROM p WHERE NOT py AND k % 11 = 2
+  UNION ALL SELECT path, 'enum', 'E' || k, 'contract-changed', 'members' FROM p WHERE NOT py AND k % 13 = 3
+  UNION ALL SELECT path, 'method', 'C' || k || '.[computed]', 'contract-changed', 'return' FROM p WHERE NOT py AND k % 19 = 4
+  UNION ALL SELECT path, 'class', 'C' || k, 'contract-changed', 'members' FROM p WHERE NOT py AND k % 19 = 4)"""
+
+_PYTHON = """class P{k}:
+    @property
+    def v(self) -> int:
+        return self._v
+    @v.setter
+    def v(self, x: {value}) -> None:
+        self._v = x
+    @staticmethod
+    def s(a: int) -> int:
+        return a {sign} 1
+    def r({receiver}, a: int) -> int:
+        return a
+    def w(self):
+        return {lost}
+    def w(self, b: int):
+        return 2
+@overload
+def f{k}(a: int) -> int: ...
+@overload
+def f{k}(a: str) -> {result}: ...
+def f{k}(a):
+    return a
+"""
+_SCRIPT = """export interface I{k} {{ a: string; get(n: {value}): string }}
+export interface I{k} {{ b?: {merged} }}
+export type A{k} = {{ x: {sign} }} | null;
+export enum E{k} {{ One = {result}, Two }}
+export class C{k} {{ ["run" + 1](n: number): {computed} {{ return undefined as never }} }}
+"""
+
+
+def _member_files(spark: SparkSession, sf_dir: str, after: bool) -> DataFrame:
+    """Files of both languages with a property, a static, a rebound and an overloaded function, or a merged interface,
+    an alias, an enum and a computed method for each part; what is changed later goes by the key."""
+    k = F.col("k")
+    turned = lambda when, new, old: F.when(when & F.lit(after), new).otherwise(old)
+
+    def filled(template: str, **fields) -> Column:
+        pieces = template.replace("{{", "\0").replace("}}", "\1")
+        out = []
+        for i, piece in enumerate(pieces.replace("}", "{").split("{")):
+            out.append(fields[piece] if i % 2 else F.lit(piece.replace("\0", "{").replace("\1", "}")))
+        return F.concat(*out)
+
+    own = k.cast("string")
+    python = filled(_PYTHON, k=own, value=turned(k % 7 == 1, "str", "int"), sign=turned(k % 11 == 2, "-", "+"), receiver=turned(k % 5 == 0, "this", "self"), lost=turned(k % 3 == 0, "3", "1"), result=turned(k % 13 == 3, "bytes", "str"))
+    script = filled(_SCRIPT, k=own, value=turned(k % 7 == 1, "bigint", "number"), merged=turned(k % 17 == 5, "boolean", "number"), sign=turned(k % 11 == 2, "string", "number"), result=turned(k % 13 == 3, "10", "1"), computed=turned(k % 19 == 4, "string", "void"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("lib/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/m"), (F.col("p_size") % 4).cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".py").otherwise(".ts")).alias("path"))
+    texts = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", F.when(k % 2 == 0, python).otherwise(script).alias("t")))).alias("xs"))  # of one file
+    return texts.select("path", F.array_join(F.transform("xs", lambda x: x["t"]), "").alias("content"))
+
+
+@twin(f"WITH {_MEMBERS} SELECT path, kind, name, category, facets FROM c")
+def member_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of properties, overloads, merged interfaces, aliases, enums and computed methods; a receiver's name
+    and a definition that is bound again change nothing."""
+    side = lambda n, after: _member_files(spark, sf_dir, after).select(F.col("path").alias("file_id"), F.col("path").alias(f"{n}_path"), F.col("content").alias(f"{n}_content"))
+    pairs = side("before", False).join(side("after", True), "file_id").withColumn("status", F.lit("modified"))
+    parsed = lambda n: shared.written(parse.require_parsed(parse.parse_snapshots(pairs.select(F.col(f"{n}_path").alias("path"), F.col(f"{n}_content").alias("content")))), n)
+    found = api.compare_versions(pairs, {n: parsed(n) for n in ("before", "after")})
+    name = F.regexp_replace("qualified_name", r"\[computed:[0-9a-f]+\]", "[computed]")
+    return found.select("path", "kind", name.alias("name"), "category", F.coalesce(F.array_join("changed_facets", ","), F.lit("")).alias("facets"))
+
+
+@twin(f"WITH {_MEMBERS} SELECT path, 'I' || k AS name, 'interface' AS kind, 'a:string' AS properties FROM p WHERE NOT py UNION ALL SELECT path, 'I' || k, 'interface', 'b?:number' FROM p WHERE NOT py UNION ALL SELECT path, 'A' || k, 'type', '' FROM p WHERE NOT py UNION ALL SELECT path, 'E' || k, 'enum', 'One:1,Two:' FROM p WHERE NOT py")
+def parsed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interfaces, aliases and enums of all files with their properties."""
+    types = parse.analyze(_member_files(spark, sf_dir, False)).select("path", F.explode("types").alias("t")).select("path", "t.name", "t.kind", "t.properties")
+    one = lambda p: F.concat(p["name"], F.when(p["optional"], "?").otherwise(""), F.lit(":"), F.coalesce(p["type"], F.lit("")))
+    return types.withColumn("properties", F.array_join(F.transform("properties", one), ","))
+
+
 # --- state, networks, literals, settings --------------------------------------------------------------------------
 
 
