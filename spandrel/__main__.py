@@ -3,9 +3,27 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 
+def _function(name: str):
+    """What package.module:function names."""
+    module, _, attribute = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), attribute)
+    except (ImportError, AttributeError) as error:
+        raise argparse.ArgumentTypeError(f"no such function: {name}") from error
+
+
+def _ask(candidates: list) -> list[str]:
+    """The targets that the user names, by number."""
+    for k, (path, reasons) in enumerate(candidates, 1):
+        print(f"{k}. {path} ({', '.join(reasons)})")
+    picked = {int(x) for x in input("Which (numbers)? ").replace(",", " ").split() if x.isdigit()}
+    return [path for k, (path, _) in enumerate(candidates, 1) if k in picked]
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="spandrel")
     parser.add_argument("--root", default=".")
@@ -18,14 +36,22 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--json", action="store_true")
         c.add_argument("--target")
         c.add_argument("--write", action="store_true")
+        c.add_argument("--strict", action="store_true", help="refuse a document that has warnings")
+        c.add_argument("--all", action="store_true", help="every target, where there are several")
+        c.add_argument("--model", type=_function, help="package.module:function, from a prompt to a text")
     c = commands.add_parser("check")
     c.add_argument("target")
     c.add_argument("--since", default="HEAD~5")
+    c.add_argument("--prove", action="store_true", help="parse each changed source")
+    c.add_argument("--directory", default="", help="only what changed below it counts")
     c = commands.add_parser("score")
     c.add_argument("--style", choices=("text", "markdown", "json"), default="text")
     c.add_argument("--min", type=int, default=0)
     for name in ("readme", "api", "diagram", "annotate"):
-        commands.add_parser(name).add_argument("--name", default="project")
+        c = commands.add_parser(name)
+        c.add_argument("--name", default="project")
+        c.add_argument("--model", type=_function)
+        c.add_argument("--strict", action="store_true")
     c = commands.add_parser("watch")
     c.add_argument("--target", default="README.md")
     c.add_argument("--name", default="project")
@@ -33,26 +59,33 @@ def main(argv: list[str] | None = None) -> int:
     c = commands.add_parser("changelog")
     c.add_argument("version")
     c.add_argument("--since", required=True)
+    c.add_argument("--model", type=_function)
+    c.add_argument("--strict", action="store_true")
     args = parser.parse_args(argv)
 
     from pyspark.sql import SparkSession
 
-    from spandrel.operators import annotate, generate, parse, score
+    from spandrel.operators import annotate, parse, score
     from spandrel.plans import api
-    from spandrel.sources import files, git
+    from spandrel.sources import files
 
     spark = SparkSession.builder.appName("spandrel").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if args.command in ("plan", "update"):
             config = api.Config.load(args.root, budget=args.budget)
             if args.command == "update":
-                for path, content in api.update(spark, args.root, args.base, args.head, args.target, write=args.write, config=config).items():
+                for path, content in api.update(spark, args.root, args.base, args.head, args.target, args.model, args.write, config, args.strict, every=args.all, choose=_ask if sys.stdin.isatty() else None).items():
                     print(path if args.write else content)
                 return 0
             plan = api.plan(spark, args.root, args.base, args.head, config)
-            print(plan.to_json() if args.json else api.describe(plan, files.read_documentation(spark, args.root, config.output_dir).select("path")))
+            if args.json:
+                for piece in plan.json_parts():
+                    sys.stdout.write(piece)
+                print()
+                return 0
+            print(api.describe(plan, files.read_documentation(spark, args.root, config.output_dir).select("path")))
         elif args.command == "check":
-            row, code = api.check(spark, args.root, args.target, args.since)
+            row, code = api.check(spark, args.root, args.target, args.since, prove=args.prove, directory=args.directory)
             print(row["message"])
             return code
         elif args.command == "score":
@@ -69,22 +102,22 @@ def main(argv: list[str] | None = None) -> int:
                 config = api.Config.load(args.root)
                 # what is there at the start is no change, unless that is all that is asked for
                 watch.watch(spark, args.root, again, checkpoint, once=args.once, existing=args.once, include=list(config.include), exclude=list(config.exclude)).awaitTermination()
-        elif args.command == "changelog":
-            print(generate.changelog(git.commits(spark, args.root, args.since), args.version).first().content)
+        elif args.command == "annotate":
+            lost = parse.undocumented_functions(api.analyze_folder(spark, args.root))
+            config = api.Config.load(args.root)
+            sources = files.read_sources(spark, args.root, list(config.include), list(config.exclude))
+            out = annotate.annotate(sources, lost, api.generate_comments(spark, args.root, args.model, config))
+            for row in out.join(lost.select("path").distinct(), "path", "left_semi").toLocalIterator():
+                print(row.content)
         else:
-            modules = api.analyze_folder(spark, args.root)
-            if args.command == "annotate":
-                lost = parse.undocumented_functions(modules)
-                config = api.Config.load(args.root)
-                sources = files.read_sources(spark, args.root, list(config.include), list(config.exclude))
-                for row in annotate.annotate(sources, lost, generate.jsdoc(lost)).join(lost.select("path").distinct(), "path", "left_semi").collect():
-                    print(row.content)
-            else:
-                made = {"readme": lambda: generate.readme(modules, args.name), "api": lambda: generate.api_docs(modules), "diagram": lambda: generate.diagram(modules)}
-                print(made[args.command]().first().content)
+            more = {"version": args.version, "since": args.since} if args.command == "changelog" else {"name": args.name}
+            print(api.generate_document(spark, args.root, args.command, args.model, strict=args.strict, **more))
     except api.PlanError as error:
         print(f"{error.code}: {error}", file=sys.stderr)
         return 1
+    except ValueError as error:
+        print(error, file=sys.stderr)
+        return 1
     return 0
 
 

@@ -6,9 +6,9 @@ import base64
 import hashlib
 import hmac
 import json
+import logging
 import os
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -17,8 +17,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from spandrel.functions import canonical, paths, secrets, text
-from spandrel.operators import diff, freshness, gateway, generate, mapping, pack, parse, reports, score, sections
-from spandrel.sources import files, git, lines, shared
+from spandrel.operators import diff, freshness, gateway, generate, mapping, order, pack, parse, reports, score, sections
+from spandrel.sources import documents, files, git, lines, shared
 
 
 @dataclass(frozen=True)
@@ -228,9 +228,24 @@ def update_envelope(p: Plan, existing: str, path: str, reasons: list[str], budge
     return *generate.envelope("update", existing=existing, plan=pack.canonical(plan)), report["includedRecords"]
 
 
-def update(spark: SparkSession, root: str, base: str | None = None, head: str | None = "HEAD", target: str | None = None, model: Callable[[str], str] | None = None, write: bool = False, config: Config | None = None, strict: bool = False, on_event: Callable[[DataFrame], None] | None = None) -> dict[str, str]:
+def chosen(candidates: list, explicit: bool, every: bool, choose: Callable[[list], list[str]] | None) -> list:
+    """Of several targets those that are named, all if asked for, or what choose() says of (path, reasons)."""
+    if explicit and every:
+        raise ValueError("one target and all targets exclude each other")
+    rows = sorted(candidates, key=lambda r: r.path)
+    if explicit or every or len(rows) <= 1:
+        return rows
+    if choose is None:
+        raise ValueError("there are several targets: name one, or ask for all")
+    picked = set(choose([(r.path, list(r.reasons)) for r in rows]))
+    return [r for r in rows if r.path in picked]
+
+
+def update(spark: SparkSession, root: str, base: str | None = None, head: str | None = "HEAD", target: str | None = None, model: Callable[[str], str] | None = None, write: bool = False, config: Config | None = None, strict: bool = False, on_event: Callable[[DataFrame], None] | None = None, every: bool = False, choose: Callable[[list], list[str]] | None = None) -> dict[str, str]:
     """New contents of the target documents by path; written in place if asked to.
 
+    Of several targets one has to be named, or every one asked for, or choose() picks.
+
     model maps a prompt to a text; what it is given and what it says pass the gate, whose policy is never weaker than
     redaction here. Without a model the deterministic note is appended. Strict refuses blank or malformed Markdown
     before anything is written.
@@ -242,7 +257,7 @@ def update(spark: SparkSession, root: str, base: str | None = None, head: str |
     docs = files.read_documentation(spark, root, config.output_dir).cache()
     gate = gateway.Gate(secrets.privacy_floor(config.policy), on_event)
     out, held = {}, {}
-    for row in targets(p, docs.select("path"), [target] if target else None).orderBy("path").collect():
+    for row in chosen(targets(p, docs.select("path"), [target] if target else None).collect(), target is not None, every, choose):
         found = docs.where(F.col("path") == row.path).first()
         held[row.path] = existing = found.content if found else ""
         if model:
@@ -279,30 +294,19 @@ def write_document(spark: SparkSession, root: str, path: str, content: str, exis
 
 def replace_text(root: str, path: str, content: str, expected: str | None = None) -> None:
     """Replace one document in a single step, if it is inside root, no link, and still what was read."""
-    if paths.normalize(path) is None:
-        raise ValueError("the target leaves the repository")
-    full = os.path.join(root, path)
-    if os.path.islink(full) or not os.path.realpath(full).startswith(os.path.realpath(root) + os.sep):
-        raise ValueError("the target is a link")
-    if expected is not None and os.path.exists(full):
-        with open(full, encoding="utf-8", errors="replace") as f:
-            if f.read() != expected:
-                raise ValueError("the target changed meanwhile")
-    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(full) or root)
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        f.write(content)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(temporary, full)
+    text, identity = documents.read(root, path)
+    if expected is not None and text is not None and text != expected:
+        raise ValueError("the target changed meanwhile")
+    documents.replace(root, path, content, identity)
 
 
-def check(spark: SparkSession, root: str, target: str, since: str, to: str = "HEAD", prove: bool = False) -> tuple[dict, int]:
+def check(spark: SparkSession, root: str, target: str, since: str, to: str = "HEAD", prove: bool = False, directory: str = "") -> tuple[dict, int]:
     """The freshness of a document and its exit code; unknown where the revisions cannot be compared.
 
-    prove: parse each changed source as it is in the work tree; one that is gone or broken makes the answer unknown.
+    directory: only what changed below it counts. prove: parse each changed source as it is in the work tree; one that is gone or broken makes the answer unknown.
     """
     try:
-        changed = git.changed_files(spark, root, since, to).select(F.explode(F.array_distinct(F.array("before_path", "after_path"))).alias("path")).where("path is not null")
+        changed = git.changed_files(spark, root, since, to, directory=directory).select(F.explode(F.array_distinct(F.array("before_path", "after_path"))).alias("path")).where("path is not null")
         if prove:
             held = git.contents(changed.distinct(), root, None, "path", "content")
             freshness.parsed_sources(changed, held).collect()
@@ -312,6 +316,71 @@ def check(spark: SparkSession, root: str, target: str, since: str, to: str = "HE
     return row, freshness.EXIT_CODES[row["status"]]
 
 
+def output_problems(spark: SparkSession, kind: str, content: str, version: str = "") -> list[str]:
+    """Warnings of the gate for a kind of document: a blank answer, a diagram that is none, a changelog of another version."""
+    c = F.col("content")
+    rules = {"changelog": text.changelog_warnings(c, F.lit(version)), "diagram": text.mermaid_warnings(c)}
+    blank = F.when(text.is_blank(c), F.array(F.lit("Generated provider output is blank"))).otherwise(text.markdown_warnings(c))
+    return spark.createDataFrame([(content,)], "content string").select(rules.get(kind, blank).alias("w")).first().w
+
+
+def module_facts(modules: DataFrame, budget: int) -> str:
+    """A line for each module, by path, as many whole lines as the budget of bytes holds, and how many it does not."""
+    line = F.concat(F.lit("- "), "path", F.lit(": "), F.array_join(F.transform("functions", lambda f: f["signature"]), "; "))
+    rows = modules.select("path", line.alias("line")).withColumn("size", F.octet_length("line") + 1)
+    summed = order.running(rows, ["path", "line"], {"upto": "size"})
+    held = [r.line for r in summed.where(F.col("upto") <= budget).orderBy("path", "line").collect()]
+    lost = summed.where(F.col("upto") > budget).count()
+    return "\n".join([*held, f"({lost} more modules)"] if lost else held)
+
+
+def generate_document(spark: SparkSession, root: str, kind: str, model: Callable[[str], str] | None = None, name: str = "project", version: str = "", since: str = "", strict: bool = False, config: Config | None = None, deliver: Callable[[str], None] | None = None) -> str:
+    """A readme, api document, diagram or changelog of a folder: from the model through the gate, or deterministic.
+
+    With deliver the model gives its answer in pieces, and it is delivered once, whole and approved. Strict refuses an
+    answer that has warnings; otherwise they are logged.
+    """
+    config = config or Config.load(root)
+    if model is None:
+        made = {"readme": lambda m: generate.readme_fragments(m, name), "api": generate.api_fragments, "diagram": generate.diagram_fragments}
+        fragments = generate.changelog_fragments(git.commits(spark, root, since), version) if kind == "changelog" else made[kind](analyze_folder(spark, root, config))
+        return "\n".join(r.text for r in generate.placed(fragments).orderBy("position").toLocalIterator())
+    if kind == "changelog":
+        rows = order.running(git.commits(spark, root, since).withColumn("size", F.octet_length("message") + 3), ["position"], {"upto": "size"})
+        fields = {"version": version, "commits": "\n".join(f"- {r.message}" for r in rows.where(F.col("upto") <= config.budget).orderBy("position").collect())}
+    else:
+        fields = {"modules": module_facts(analyze_folder(spark, root, config), config.budget)}
+        if kind == "readme":
+            info = files.project_info(files.read_sources(spark, root, ["package.json"])).first()
+            fields |= {"name": name, "description": info.description if info else "", "dependencies": ", ".join(info.dependencies) if info else ""}
+    system, prompt = generate.envelope(kind, **fields)
+    gate = gateway.Gate(secrets.privacy_floor(config.policy))
+    pieces: list[str] = []
+    answer = gate.stream(system, prompt, model if deliver else lambda p: [model(p)], pieces.append)
+    if kind == "diagram":
+        answer = spark.createDataFrame([(answer,)], "c string").select(text.strip_fence(F.col("c"))).first()[0]
+    warnings = output_problems(spark, kind, answer, version)
+    if warnings and strict:
+        raise ValueError("the answer is refused: " + "; ".join(warnings))
+    for w in warnings:
+        logging.getLogger("spandrel").warning("%s: %s", kind, w)
+    if deliver:
+        deliver(answer)
+    return answer
+
+
+def generate_comments(spark: SparkSession, root: str, model: Callable[[str], str] | None = None, config: Config | None = None) -> DataFrame:
+    """path, ordinal, name and comment of each function without one; a model is asked on the executors, row by row."""
+    lost = parse.undocumented_functions(analyze_folder(spark, root, config))
+    plain = generate.jsdoc(lost)
+    if model is None:
+        return plain
+    at = F.element_at("line_range", 1)
+    asked = lost.select(F.to_json(F.struct("path", at.alias("ordinal"), "name")).alias("key"), F.lit(generate.SYSTEM).alias("system"), F.replace(F.lit(generate.PROMPTS["jsdoc"]), F.lit("{signature}"), F.col("signature")).alias("prompt"))
+    out = gateway.Gate(secrets.privacy_floor((config or Config.load(root)).policy)).generate(asked, model)
+    return out.select(F.from_json("key", "path string, ordinal int, name string").alias("k"), "content").select("k.*", F.col("content").alias("jsdoc"))
+
+
 def regenerate_readme(spark: SparkSession, root: str, target: str = "README.md", name: str = "project", config: Config | None = None) -> str:
     """Write the deterministic README of a folder's sources."""
     content = generate.readme(analyze_folder(spark, root, config), name).first().content
