@@ -1,7 +1,7 @@
 """Finding and redacting secrets.
 
-Matches of all patterns are collected by an Arrow UDF; what is accepted, counted and replaced are higher-order
-functions on the array of matches, so a text is sent to Python once. Offsets count code points.
+All patterns are looked for by an Arrow UDF, which also chooses among what overlaps and rewrites the text, so a text is
+sent to Python once. Offsets count code points.
 """
 
 from __future__ import annotations
@@ -66,18 +66,32 @@ def find(text: str, user_paths: bool = False, literals: tuple[str, ...] = (), au
     return out + [("sensitive_path", start, end, literal, 20) for start, end, literal in _literals.spans(text, automaton)]
 
 
-def redact(value: str) -> tuple[str, dict[str, int]]:
-    """A single text with placeholders, and the numbers of findings by kind: accept() and redacted() on the driver."""
-    found = sorted(find(value), key=lambda m: (m[1], -m[4], m[1] - m[2]))
-    out, at = "", 0
-    numbers: dict[tuple[str, str], int] = {}
+def choose(found: list[tuple]) -> list[tuple]:
+    """Greedy choice: by start, then higher priority, then greater length; what overlaps a chosen one is left.
+
+    The chosen ones come in order and do not overlap, so comparing with the last end is enough.
+    """
+    out, at = [], 0
+    for m in sorted(found, key=lambda m: (m[1], -m[4], m[1] - m[2], m[0], m[3])):
+        if m[1] >= at:
+            out.append(m)
+            at = m[2]
+    return out
+
+
+def redact(value: str, user_paths: bool = False, automaton=None) -> tuple[str, dict[str, int]]:
+    """A text with placeholders that number distinct values within their kind, and the numbers of findings by kind, in
+    order of appearance."""
+    pieces, at = [], 0
+    numbers: dict[str, dict[str, int]] = {}
     kinds: dict[str, int] = {}
-    for kind, start, end, text, _ in found:
-        if start >= at:
-            n = numbers.setdefault((kind, text), sum(k == kind for k, _ in numbers) + 1)
-            out, at = f"{out}{value[at:start]}{MARK}{kind.upper()}:{n}>", end
-            kinds[kind] = kinds.get(kind, 0) + 1
-    return out + value[at:], kinds
+    for kind, start, end, text, _ in choose(find(value, user_paths, automaton=automaton)):
+        own = numbers.setdefault(kind, {})
+        n = own.setdefault(text, len(own) + 1)
+        pieces += [value[at:start], f"{MARK}{kind.upper()}:{n}>"]
+        at = end
+        kinds[kind] = kinds.get(kind, 0) + 1
+    return "".join([*pieces, value[at:]]), kinds
 
 
 def matches(text: Column, user_paths: bool = False, literals: tuple[str, ...] = ()) -> Column:
@@ -91,21 +105,19 @@ def matches(text: Column, user_paths: bool = False, literals: tuple[str, ...] =
     return run(text)
 
 
-def accept(found: Column) -> Column:
-    """Greedy choice: by start, then higher priority, then greater length; what overlaps a chosen one is left.
+_ACCEPTED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())])
 
-    The chosen ones come in order and do not overlap, so comparing with the last end is enough.
-    """
-    keyed = F.transform(found, lambda m: F.struct(m["start"].alias("s"), (-m["priority"]).alias("p"), (m["start"] - m["end"]).alias("l"), m["kind"].alias("kind"), m["value"].alias("value"), m["end"].alias("end")))
-    kind = "array<struct<kind:string,start:int,end:int,value:string>>"
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(state: Column, m: Column) -> Column:
-        free = m["s"] >= state["at"]
-        one = F.array(F.struct(m["kind"].alias("kind"), m["s"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-        return F.struct(F.when(free, m["end"]).otherwise(state["at"]).alias("at"), F.when(free, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+def accept(found: Column) -> Column:
+    """choose() of an array of matches, as array<struct<kind,start,end,value>>; for rows of a table there is
+    pack.non_overlapping()."""
+
+    @F.pandas_udf(T.ArrayType(_ACCEPTED))
+    def run(arrays: pd.Series) -> pd.Series:
+        one = lambda a: [dict(zip(_ACCEPTED.names, m[:4], strict=True)) for m in choose([(m["kind"], m["start"], m["end"], m["value"], m["priority"]) for m in a])]
+        return arrays.map(lambda a: None if a is None else one(a))
 
-    return F.aggregate(F.array_sort(keyed), start, step, lambda s: s["out"])
+    return run(found)
 
 
 def counts(accepted: Column) -> Column:
@@ -114,38 +126,33 @@ def counts(accepted: Column) -> Column:
     return F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.size(F.filter(accepted, lambda m: m["kind"] == k)).alias("count")))
 
 
-def redacted(text: Column, accepted: Column) -> Column:
-    """The text with each accepted span replaced by a placeholder that numbers distinct values within its kind."""
-
-    def number(m: Column) -> Column:
-        own = F.array_distinct(F.transform(F.filter(accepted, lambda o: o["kind"] == m["kind"]), lambda o: o["value"]))
-        return F.array_position(own, m["value"])
-
-    def step(state: Column, m: Column) -> Column:
-        mark = F.concat(F.lit(MARK), F.upper(m["kind"]), F.lit(":"), number(m).cast("string"), F.lit(">"))
-        between = F.substr(text, state["at"] + 1, m["start"] - state["at"])
-        return F.struct(m["end"].alias("at"), F.concat(state["out"], between, mark).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(accepted, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+_POLICED = T.StructType([T.StructField("text", T.StringType()), T.StructField("findings", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("count", T.IntegerType())])))])
 
 
 def apply_policy(df: DataFrame, column: str, policy: str = "redact", user_paths: bool = False, literals: tuple[str, ...] = ()) -> DataFrame:
     """df with column as the policy leaves it, and action and findings beside it.
 
-    redact replaces, warn keeps the text, strict fails the job where something is found.
+    redact replaces, warn keeps the text, strict fails the job where something is found. A text passes through Python
+    once: it is scanned, chosen from and rewritten there in linear time.
     """
     if policy not in ("redact", "warn", "strict"):
         raise ValueError(f"unknown policy {policy}")
-    df = df.withColumn("_found", matches(F.col(column), user_paths, literals)).withColumn("_accepted", accept(F.col("_found")))
-    text, accepted = F.col(column), F.col("_accepted")
-    none = F.coalesce(F.size(accepted), F.lit(0)) <= 0
+
+    @F.pandas_udf(_POLICED)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        held = _literals.automaton(list(literals))
+        rows = [(None, None) if t is None else redact(t, user_paths, held) for t in texts]
+        return pd.DataFrame({"text": [r[0] for r in rows], "findings": [None if r[1] is None else [{"kind": k, "count": n} for k, n in r[1].items()] for r in rows]})
+
+    df = df.withColumn("_policed", run(F.col(column)))
+    none = F.coalesce(F.size("_policed.findings"), F.lit(0)) <= 0
+    text = F.col(column)
     if policy == "strict":
-        new = F.when(none, text).otherwise(F.raise_error(F.lit("a secret was found")).cast("string"))
-    else:
-        new = F.when(none, text).otherwise(redacted(text, accepted)) if policy == "redact" else text
+        text = F.when(none, text).otherwise(F.raise_error(F.lit("a secret was found")).cast("string"))
+    elif policy == "redact":
+        text = F.when(none, text).otherwise(F.col("_policed.text"))
     action = F.when(none, "allowed").otherwise("redacted" if policy == "redact" else "warned")
-    return df.withColumns({column: new, "action": action, "findings": counts(accepted)}).drop("_found", "_accepted")
+    return df.withColumns({column: text, "action": action, "findings": F.col("_policed.findings")}).drop("_policed")
 
 
 def privacy_floor(policy: str) -> str:

@@ -19,17 +19,21 @@ def splice(sources: DataFrame, notes: DataFrame, key: str, indent: bool = True)
     name is last comes first. With indent, a comment is indented like its line. CRLF texts stay so.
     """
     newline = F.when(F.col("text").contains("\r\n"), F.lit("\r\n")).otherwise(F.lit("\n"))
-    grouped = notes.groupBy(key).agg(F.collect_list(F.struct("line", "name", "comment")).alias("notes"))
+    by_line = notes.groupBy(key, "line").agg(F.reverse(F.array_sort(F.collect_list(F.struct("name", "comment")))).alias("own"))
+    grouped = by_line.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "own"))).alias("notes"))
     held = sources.join(grouped, key, "left").withColumns({"newline": newline, "lines": F.split("text", "\r?\n")})
-
-    def put(line, index):
-        own = F.filter(F.coalesce("notes", F.array().cast(grouped.schema["notes"].dataType)), lambda n: n["line"] == index + 1)
-        ordered = F.reverse(F.array_sort(F.transform(own, lambda n: F.struct(n["name"].alias("name"), n["comment"].alias("comment")))))
-        lead = F.regexp_extract(line, r"^(\s*)", 1) if indent else F.lit("")
-        shifted = F.transform(ordered, lambda n: F.array_join(F.transform(F.split(n["comment"], "\r?\n"), lambda c: F.concat(lead, c)), "\n"))
-        return F.concat(shifted, F.array(line))
-
-    text = F.array_join(F.flatten(F.transform("lines", put)), "\n")
+    none = F.array().cast(grouped.schema["notes"].dataType)
+    held = held.withColumn("notes", F.filter(F.coalesce("notes", none), lambda n: (n["line"] >= 1) & (n["line"] <= F.size("lines"))))
+
+    def put(note, index):
+        """The comments of one line, and the lines from it up to the next that has some: each line is copied once."""
+        lead = F.regexp_extract(F.get("lines", note["line"] - 1), r"^(\s*)", 1) if indent else F.lit("")
+        shifted = F.transform(note["own"], lambda n: F.array_join(F.transform(F.split(n["comment"], "\r?\n"), lambda c: F.concat(lead, c)), "\n"))
+        after = F.coalesce(F.get("notes", index + 1)["line"], F.size("lines") + 1)
+        return F.concat(shifted, F.slice("lines", note["line"], after - note["line"]))
+
+    first = F.coalesce(F.get("notes", F.lit(0))["line"], F.size("lines") + 1)
+    text = F.array_join(F.concat(F.slice("lines", F.lit(1), first - 1), F.flatten(F.transform("notes", put))), "\n")
     out = F.when(F.col("newline") == "\r\n", F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
     return held.select(key, out.alias("text"))
 

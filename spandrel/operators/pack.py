@@ -72,6 +72,25 @@ def pack_groups(items: DataFrame, key: str, order: str, full: str, compact: str
     return held.repartition(key).sortWithinPartitions(*by).mapInArrow(scan, schema)
 
 
+def non_overlapping(items: DataFrame, key: str, start: str, end: str, ties: list[Column | str]) -> DataFrame:
+    """The intervals of each key that are accepted: by start, then by ties; none that begins before the end of one
+    accepted earlier. A key's rows pass through one task in order, which holds their last end and nothing else."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), None
+        for b in batches:
+            at = []
+            for i, (k, s, e) in enumerate(zip(*(b.column(c).to_pylist() for c in (key, start, end)), strict=True)):
+                if k != now:
+                    now, last = k, None
+                if last is None or s >= last:
+                    last = e
+                    at.append(i)
+            yield b.take(pa.array(at, pa.int64()))
+
+    return items.repartition(key).sortWithinPartitions(key, start, *ties).mapInArrow(scan, items.schema)
+
+
 def canonical(value) -> str:
     """JSON with sorted keys and no spaces; None is left out of objects, non-finite numbers are refused."""
 

@@ -254,9 +254,9 @@ SELECT k AS user_id, s AS start_min, e AS end_min FROM f WHERE s IS NOT NULL""")
 def greedy_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of each user that are accepted: by start, priority, length; none that overlaps an accepted one."""
     minute = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60).cast("int")
-    match = F.struct(F.lit("x").alias("kind"), minute.alias("start"), (minute + 30 + (F.col("event_id") % 600).cast("int")).alias("end"), F.lit("").alias("value"), (F.col("event_id") % 4).cast("int").alias("priority"))
-    held = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(match).alias("m"))
-    return held.select("user_id", F.explode(secrets.accept(F.col("m"))).alias("a")).select("user_id", F.col("a.start").cast("bigint").alias("start_min"), F.col("a.end").cast("bigint").alias("end_min"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", minute.cast("bigint").alias("start_min"), (minute + 30 + F.col("event_id") % 600).cast("bigint").alias("end_min"), (F.col("event_id") % 4).alias("priority"))
+    kept = pack.non_overlapping(rows, "user_id", "start_min", "end_min", [F.desc("priority"), F.desc("end_min"), "event_id"])
+    return kept.select("user_id", "start_min", "end_min")
 
 
 @twin("""WITH f AS (SELECT user_id, event_type, value, min(event_id) AS first FROM (SELECT user_id, event_type, floor(value)::BIGINT AS value, event_id FROM events) GROUP BY ALL)
