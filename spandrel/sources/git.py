@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,7 +134,12 @@ def _work_file(root: str, path: str) -> str | None:
 
 def _blobs(root: str, commit: str, names: list[str]) -> list[str | None]:
     """Contents of files at a commit by one process; None where there is none."""
-    asked = "".join(f"{commit}:{n}\n" for n in names).encode()
+    return objects(root, [f"{commit}:{n}" for n in names])
+
+
+def objects(root: str, names: list[str]) -> list[str | None]:
+    """Contents of the objects that are named, by one process; None for what is no file."""
+    asked = "".join(f"{n}\n" for n in names).encode()
     done = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input=asked, capture_output=True, timeout=600, check=False)
     if done.returncode:
         raise RuntimeError("git failed")
@@ -184,16 +189,18 @@ def snapshot_pairs(spark: SparkSession, root: str, base: str, head: str | None,
     Each end of a rename is judged by itself: if one is out of scope, the other is an addition or a deletion.
     """
     status = changed_files(spark, root, base, head)
-    ends = status.select(F.explode(F.array_distinct(F.array("before_path", "after_path"))).alias("path")).where("path is not null")
-    known = paths.language_of(F.col("path")).isNotNull()
-    inside = paths.matches_any(F.col("path"), include) & ~paths.matches_any(F.col("path"), exclude or [])
-    counts = ends.agg(F.count_if(~known).alias("unsupported"), F.count_if(known & ~inside).alias("excluded")).first().asDict()
+    ends = F.array_distinct(F.filter(F.array("before_path", "after_path"), lambda p: p.isNotNull()))
+    known = lambda p: paths.language_of(p).isNotNull()
+    inside = lambda p: paths.matches_any(p, include) & ~paths.matches_any(p, exclude or [])
+    n = lambda test: F.coalesce(F.sum(F.size(F.filter(ends, test))), F.lit(0))
+    seen = Observation()  # the counters come with the job that counts what is left
+    status = status.observe(seen, n(lambda p: ~known(p)).alias("unsupported"), n(lambda p: known(p) & ~inside(p)).alias("excluded"))
     keep = lambda c: F.when(paths.in_scope(F.col(c), include, exclude or []), F.col(c))
     held = status.select("status", keep("before_path").alias("before_path"), keep("after_path").alias("after_path")).where("before_path is not null or after_path is not null")
     gone, new = F.col("after_path").isNull(), F.col("before_path").isNull()
     held = held.withColumn("status", F.when(gone, "deleted").when(new, "added").otherwise(F.col("status")))
     held = held.select(F.coalesce("after_path", "before_path").alias("file_id"), "status", "before_path", "after_path")
-    n = held.count()
-    held = held.repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ASKED))))
+    count = held.count()
+    held = held.repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ASKED))))
     held = contents(contents(held, root, base, "before_path", "before_content"), root, head, "after_path", "after_content")
-    return held.select(*FILE_CHANGE.names), counts
+    return held.select(*FILE_CHANGE.names), seen.get

@@ -135,6 +135,12 @@ def modules(found: DataFrame) -> DataFrame:
     return held.select("path", "language", *arrays, "error")
 
 
+def observed(found: DataFrame, name: str = "parse_cache") -> DataFrame:
+    """outcomes() whose counts of hits, misses, removals and expiries come with each batch's progress, without a job."""
+    n = lambda *o: F.count_if(F.col("outcome").isin(*o))
+    return found.observe(name, n("hit").alias("hits"), n("miss", "refused").alias("misses"), n("removed").alias("removed"), n("expired").alias("expired"))
+
+
 def statistics(found: DataFrame) -> DataFrame:
     """One row of totals over outcomes: hits, misses, evicted, expired, removed."""
     n = lambda o, name: F.count_if(F.col("outcome").isin(*o)).alias(name)

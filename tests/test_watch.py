@@ -139,16 +139,18 @@ def test_stream_and_table_give_the_same_modules(spark, tmp_path):
     held = tmp_path / "out"
 
     def run():
-        stream = parse_cache.outcomes(parse_cache.of_files(changes.read_changes(spark, str(root), ["**/*"], pause=0)), shards=3)
+        stream = parse_cache.observed(parse_cache.outcomes(parse_cache.of_files(changes.read_changes(spark, str(root), ["**/*"], pause=0)), shards=3))
         q = stream.writeStream.format("parquet").option("path", str(held)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert q.exception() is None
+        told = [p["observedMetrics"]["parse_cache"] for p in q.recentProgress if p["observedMetrics"]]
+        return sum(m["misses"] for m in told), sum(m["removed"] for m in told)
 
-    run()
+    assert run() == (7, 0)
     put(root, "p0/m0.py", SOURCE.format("changed"))
     os.remove(root / "p1/m1.py")
     os.utime(root / "p0/m2.py")  # another time is another version
-    run()
+    assert run() == (2, 1)
     rows = spark.read.schema(parse_cache.OUTCOME).parquet(str(held))
     assert parse_cache.statistics(rows).first().asDict() == {"hits": 0, "misses": 9, "expired": 0, "removed": 1}
     latest = rows.where("outcome in ('miss', 'removed')").groupBy("path").agg(F.max_by(F.struct(*rows.columns), F.col("misses") * 1000 + F.col("held")).alias("r")).select("r.*")
