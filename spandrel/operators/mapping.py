@@ -13,6 +13,7 @@ from spandrel.functions import paths, text
 
 #: Reasons in a fixed order.
 REASONS = ("direct-reference", "recommendation", "explicit", "unmapped-public-change-fallback")
+# Categories that call for API documentation, and below the names and words of topics. Fixed values.
 API_CATEGORIES = ("added", "removed", "contract-changed")
 
 

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import paths, secrets, text
 from spandrel.operators import annotate, diff, freshness, generate, mapping, pack, parse, reports, score, sections
-from spandrel.plans import api, samples
+from spandrel.plans import api
 from spandrel.schemas import FILE_CHANGE
 from spandrel.sources import files, git
+from tests import samples
 
 
 def column(spark, values, f, kind="string"):

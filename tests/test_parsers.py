@@ -3,7 +3,7 @@
 import pytest
 
 from spandrel.operators import python_source, typescript_source
-from spandrel.plans import samples
+from tests import samples
 
 PRINTS = ("contract_fp", "implementation_fp", "documentation_fp")
 
@@ -129,3 +129,53 @@ def test_typescript_merges_interfaces():
 def test_typescript_refuses_broken_text(text):
     with pytest.raises(ValueError):
         typescript_source.scan(text)
+
+
+PROPERTY = """class A:
+    @property
+    def v(self) -> int:
+        "Of v."
+        return self._v
+    @v.setter
+    def v(self, x: int) -> None:
+        self._v = x
+    @staticmethod
+    def s(a, b=1):
+        return a
+    def m(self, /, a, *rest, k=2, **more):
+        return a
+"""
+MEMBER_CASES = [
+    ("x: int", "x: str", {"A": "contract", "A.v": "contract"}),  # any accessor of the property
+    ("self._v = x", "self._v = x + 1", {"A": "implementation", "A.v": "implementation"}),
+    ("Of v.", "Of w.", {"A.v": "documentation"}),
+    ("    @staticmethod", "    @v.deleter\n    def v(self): del self._v\n    @staticmethod", {"A": "contract,implementation", "A.v": "contract,implementation"}),
+    ("    @staticmethod", "    def v(self): return 0\n    @staticmethod", {"A": "contract,implementation", "A.v": "contract,implementation,documentation"}),  # no longer a property
+    ("@v.setter", "@w.setter", {"A": "contract,implementation", "A.v": "contract,implementation,documentation"}),  # of another: the last definition alone is in force
+    ("def s(a,", "def s(c,", {"A": "contract", "A.s": "contract"}),  # no receiver
+    ("def m(self, /, a,", "def m(this, /, a,", {}),
+    ("def m(self, /, a,", "def m(self, a, /,", {"A": "contract", "A.m": "contract"}),
+    ("*rest", "*others", {"A": "contract", "A.m": "contract"}),
+    ("k=2", "k=3", {"A": "contract", "A.m": "contract"}),
+    ("**more", "**most", {"A": "contract", "A.m": "contract"}),
+    ("@property", "@abc.property", {"A": "contract", "A.v": "contract"}),  # still a property, by its last name
+    ("@staticmethod", "@staticmethod_like", {"A": "contract", "A.s": "contract"}),
+]
+
+
+@pytest.mark.parametrize(("old", "new", "expected"), MEMBER_CASES)
+def test_python_members(old, new, expected):
+    assert old in PROPERTY
+    assert changes(python_source, PROPERTY, PROPERTY.replace(old, new))[1] == expected
+
+
+def test_python_overloads_within_classes():
+    base = "class A:\n  @overload\n  def f(self, a: int): ...\n  @typing.overload\n  def f(self, a: str): ...\n  def f(self, a): return a\n"
+    one = lambda text: {s["qualified_name"]: s for s in python_source.snapshot(text)[1]}
+    assert changes(python_source, base, base.replace("a: str", "a: bytes"))[1] == {"A": "contract", "A.f": "contract"}
+    assert changes(python_source, base, base.replace("return a", "return 1"))[1] == {"A": "implementation", "A.f": "implementation"}
+    replaced = base + "  def f(self): return 2\n"  # a finished callable that is defined again
+    plain = "class A:\n  def f(self): return 2\n"
+    assert one(replaced)["A.f"] == one(plain)["A.f"]
+    fresh = plain + "  @overload\n  def f(self, a: int): ...\n"
+    assert one(fresh)["A.f"] != one(plain)["A.f"] and one(fresh)["A.f"]["implementation_fp"] == python_source.digest([])

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from spandrel.operators import parse
-from spandrel.plans import samples
+from tests import samples
 from spandrel.sources import files
 from spandrel.streaming import watch
 
