@@ -155,6 +155,26 @@ def apply_policy(df: DataFrame, column: str, policy: str = "redact", user_paths:
     return df.withColumns({column: text, "action": action, "findings": F.col("_policed.findings")}).drop("_policed")
 
 
+def protect_paths(df: DataFrame, column: str, places: tuple[str, ...]) -> DataFrame:
+    """df with every place, a literal path, in a column replaced by its placeholder, whatever the policy; what the policy
+    says of the rest comes after. Of places that overlap the one that begins first counts, and of those the longest."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        held, order = _literals.automaton(list(places)), {p: k for k, p in enumerate(dict.fromkeys(places), 1)}
+
+        def one(value: str) -> str:
+            pieces, at = [], 0
+            for _, start, end, place, _ in choose([("sensitive_path", s, e, x, 20) for s, e, x in _literals.spans(value, held)]):
+                pieces += [value[at:start], f"{MARK}SENSITIVE_PATH:{order[place]}>"]
+                at = end
+            return "".join([*pieces, value[at:]])
+
+        return texts.map(lambda t: None if t is None else one(t))
+
+    return df.withColumn(column, run(F.col(column)))
+
+
 def privacy_floor(policy: str) -> str:
     """warn becomes redact where text leaves the repository."""
     return "redact" if policy == "warn" else policy

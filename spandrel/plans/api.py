@@ -17,7 +17,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from spandrel.functions import canonical, paths, secrets, text
-from spandrel.operators import diff, freshness, gateway, generate, mapping, order, pack, parse, reports, score, sections
+from spandrel.operators import diff, freshness, gateway, generate, mapping, order, pack, parse, projection, reports, score, sections
 from spandrel.sources import documents, files, git, lines, shared
 
 
@@ -138,7 +138,7 @@ def plan_tables(pairs: DataFrame, documentation_files: DataFrame, budget: int =
     found = shared.written(sections.sections(documentation_files), "sections")
     documentation = shared.written(mapping.safe_references(mapping.map_documentation(changes, found), _redact), "documentation")
     shared.drop(found)
-    summary = diff.summarize(changes, documentation).first().asDict()
+    summary = projection.summary(diff.summarize(changes, documentation)).first().asDict()
     digest = diff.payload_digest(changes).first().digest
     context, report = pack.build_context(digest, summary, _records(changes, documentation, budget), budget, int(summary["total_changes"]))
     return Plan(changes, documentation, summary, context, report, digest, ignored or {})
@@ -163,16 +163,11 @@ def _records(changes: DataFrame, documentation: DataFrame, budget: int) -> list[
 
     Forms are written, measured and checked by the executors; pack.contenders() bounds what comes here.
     """
-    ids = F.array("id", "path", F.coalesce("qualified_name", F.lit("")))
-    safe = F.forall(ids, text.is_plain_identity) & (F.size(secrets.matches(F.array_join(ids, "\n"), user_paths=True)) == 0)
-    own = diff.ranked(changes).withColumn("full", F.when(safe, canonical.rows(changes)))
-    short = F.concat(F.lit('{"category":'), canonical.quoted(F.col("category")), F.lit(',"compacted":true,"digest":'), canonical.quoted(F.col("digest")), F.lit(',"risk":'), canonical.quoted(F.col("risk")), F.lit("}"))
-    docs = documentation.select(F.col("change_id").alias("id"), canonical.rows(documentation).alias("docs"))
-    rows = own.withColumn("compact", short).join(docs, "id", "left").withColumn("docs", F.when(F.col("full").isNotNull(), F.col("docs")))
-    whole = F.octet_length("full") + F.coalesce(F.octet_length("docs"), F.lit(0))
+    rows = projection.with_documentation(diff.ranked(projection.candidates(changes)), documentation)
+    whole = F.octet_length("full") + F.aggregate("docs", F.lit(0), lambda n, d: n + F.octet_length(d))
     held = pack.contenders(rows, [], "position", F.least(whole, F.octet_length("compact")), budget).select("position", "full", "compact", "docs")
     load = lambda x: None if x is None else json.loads(x)
-    return [{"full": load(r.full), "full_docs": [load(r.docs)] if r.docs else [], "compact": load(r.compact), "compact_docs": []} for r in held.orderBy("position").collect()]
+    return [{"full": load(r.full), "full_docs": [load(d) for d in r.docs] if r.full else [], "compact": load(r.compact), "compact_docs": []} for r in held.orderBy("position").collect()]
 
 
 def is_safe_identity(value: str) -> bool:
@@ -252,14 +247,24 @@ def update(spark: SparkSession, root: str, base: str | None = None, head: str |
     """
     config = config or Config.load(root)
     p = plan(spark, root, base, head, config)
+    try:
+        out, held = _drafts(spark, root, p, target, model, config, on_event, every, choose)
+    finally:
+        p.release()
+    for path, content in out.items():
+        write_document(spark, root, path, content, held[path], strict=strict, dry_run=not write)
+    return out
+
+
+def _drafts(spark: SparkSession, root: str, p: Plan, target: str | None, model, config: Config, on_event, every: bool, choose) -> tuple[dict[str, str], dict[str, str]]:
+    """New and present contents by path of the targets of update()."""
     if not mapping.has_impact(p.documentation, p.changes):
-        return {}
-    docs = files.read_documentation(spark, root, config.output_dir).cache()
+        return {}, {}
+    docs = files.read_documentation(spark, root, config.output_dir)
     gate = gateway.Gate(secrets.privacy_floor(config.policy), on_event)
     out, held = {}, {}
     for row in chosen(targets(p, docs.select("path"), [target] if target else None).collect(), target is not None, every, choose):
-        found = docs.where(F.col("path") == row.path).first()
-        held[row.path] = existing = found.content if found else ""
+        held[row.path] = existing = documents.read(root, row.path)[0] or ""
         if model:
             system, prompt, _ = update_envelope(p, existing, row.path, list(row.reasons), config.budget)
             asked = spark.createDataFrame([(row.path, system, prompt)], "key string, system string, prompt string")
@@ -267,11 +272,7 @@ def update(spark: SparkSession, root: str, base: str | None = None, head: str |
         else:
             _, report = target_context(p, row.path, list(row.reasons), config.budget)
             out[row.path] = generate.update_note(existing, report["includedRecords"], spark.range(1).select(F.current_date().cast("string")).first()[0])
-    docs.unpersist()
-    p.release()
-    for path, content in out.items():
-        write_document(spark, root, path, content, held[path], strict=strict, dry_run=not write)
-    return out
+    return out, held
 
 
 def markdown_problems(spark: SparkSession, content: str) -> list[str]:
@@ -431,16 +432,32 @@ class Tokens:
 
 
 def prepare(spark: SparkSession, root: str, tokens: Tokens, base: str | None = None, head: str | None = "HEAD", target: str | None = None) -> dict:
-    """The prompt for exactly one target, and a token that validate() checks a draft against."""
+    """The prompt for exactly one target, what was found in it, and a token that validate() checks a draft against.
+
+    The prompt has passed the gate, whose policy is never weaker than redaction here.
+    """
     config = Config.load(root)
     p = plan(spark, root, base, head, config)
-    docs = files.read_documentation(spark, root, config.output_dir).cache()
-    rows = targets(p, docs.select("path"), [target] if target else None).collect()
-    if len(rows) != 1:
-        raise PlanError("PLAN_FAILED", "exactly one target is needed")
-    existing = docs.where(F.col("path") == rows[0].path).first().content
+    try:
+        docs = files.read_documentation(spark, root, config.output_dir)
+        rows = targets(p, docs.select("path"), [target] if target else None).collect()
+        if len(rows) != 1:
+            raise PlanError("PLAN_FAILED", "exactly one target is needed")
+        existing, _ = documents.read(root, rows[0].path)
+        existing = existing or ""
+        prompt, found = inspected(update_envelope(p, existing, rows[0].path, list(rows[0].reasons), config.budget)[1], config.policy)
+    finally:
+        p.release()
     claims = {"base": base, "head": head, "target": rows[0].path, "digest": p.digest, "document": hashlib.sha256(existing.encode()).hexdigest()}
-    return {"target": rows[0].path, "prompt": _redact(update_envelope(p, existing, rows[0].path, list(rows[0].reasons), config.budget)[1]), "token": tokens.issue(claims)}
+    return {"target": rows[0].path, "prompt": prompt, "findings": found, "token": tokens.issue(claims)}
+
+
+def inspected(value: str, policy: str) -> tuple[str, dict]:
+    """A text after the policy, which is redaction at least, and what was found: {action, kinds}."""
+    new, kinds = secrets.redact(value)
+    if kinds and secrets.privacy_floor(policy) == "strict":
+        raise ValueError("a secret was found")
+    return new, {"action": "redacted" if kinds else "allowed", "kinds": dict(sorted(kinds.items()))}
 
 
 def validate(spark: SparkSession, root: str, tokens: Tokens, token: str, draft: str) -> dict:
@@ -448,8 +465,9 @@ def validate(spark: SparkSession, root: str, tokens: Tokens, token: str, draft:
     claims = tokens.verify(token)
     config = Config.load(root)
     p = plan(spark, root, claims.get("base"), claims.get("head"), config)
-    with open(os.path.join(root, claims["target"]), encoding="utf-8", errors="replace") as f:
-        document = hashlib.sha256(f.read().encode()).hexdigest()
+    p.release()
+    document = hashlib.sha256((documents.read(root, claims["target"])[0] or "").encode()).hexdigest()
     if p.digest != claims["digest"] or document != claims["document"]:
         raise ValueError("the repository changed since the draft was prepared")
-    return {"target": claims["target"], "warnings": markdown_problems(spark, draft), "findings": sorted(secrets.redact(draft)[1])}
+    _, found = inspected(draft, config.policy)
+    return {"target": claims["target"], "warnings": markdown_problems(spark, draft), "findings": sorted(found["kinds"]), "action": found["action"]}

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.functions import canonical, literals
-from spandrel.operators import diff, generate, networks, order, pack, parse, score, settings
+from spandrel.functions import canonical, literals, secrets
+from spandrel.operators import diff, generate, networks, order, pack, parse, projection, score, settings
 from spandrel.plans import api, sourced, twins
 from spandrel.plans.twins import table, twin
 from spandrel.sources import shared
@@ -186,6 +186,36 @@ def parsed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.withColumn("properties", F.array_join(F.transform("properties", one), ","))
 
 
+# --- what may leave -----------------------------------------------------------------------------------------------
+
+
+@twin("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE o_orderkey % 10 WHEN 0 THEN '/abs/o.py' WHEN 1 THEN 'src/../../o.py' ELSE 'src/o.py' END AS path,
+  CASE o_orderkey % 12 WHEN 5 THEN 'ghp_' || repeat('A1b2', 9) WHEN 6 THEN 'see /home/me/x' ELSE 'f' || o_orderkey END AS name, o_orderkey % 4 = 0 AS undigested, CASE WHEN o_orderkey % 9 = 8 THEN 'macro' ELSE 'function' END AS kind FROM orders),
+p AS (SELECT k, starts_with(path, 'src/o') AND starts_with(name, 'f') AS whole, NOT undigested AS short FROM o WHERE kind <> 'macro'),
+d AS (SELECT l_orderkey AS k, count(DISTINCT l_partkey % 3) AS n FROM lineitem GROUP BY 1)
+SELECT k, whole AS has_full, short AS has_compact, coalesce(n, 0) AS docs FROM p LEFT JOIN d USING (k) WHERE whole OR short""")
+def projected_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes made from orders, some with unsafe identities, bad digests or unknown kinds: which forms may leave, and how
+    many mappings go with each."""
+    k = F.col("o_orderkey")
+    path = F.when(k % 10 == 0, "/abs/o.py").when(k % 10 == 1, "src/../../o.py").otherwise("src/o.py")
+    name = F.when(k % 12 == 5, F.concat(F.lit("ghp_"), F.repeat(F.lit("A1b2"), F.lit(9)))).when(k % 12 == 6, "see /home/me/x").otherwise(F.concat(F.lit("f"), k.cast("string")))
+    changes = table(spark, sf_dir, "orders").select(k.alias("k"), k.cast("string").alias("id"), path.alias("path"), name.alias("qualified_name"), F.when(k % 4 == 0, "none").otherwise(F.sha2(k.cast("string"), 256)).alias("digest"), F.when(k % 9 == 8, "macro").otherwise("function").alias("kind"), F.lit("added").alias("category"), F.lit("informational").alias("risk"))
+    mapped = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("change_id"), (F.col("l_partkey") % 3).alias("section")).distinct()
+    out = projection.with_documentation(projection.candidates(changes), mapped)
+    return out.select("k", F.col("full").isNotNull().alias("has_full"), F.col("compact").isNotNull().alias("has_compact"), F.size("docs").cast("bigint").alias("docs"))
+
+
+@twin("""SELECT o_orderkey AS k, sha256('at ' || CASE o_orderkey % 3 WHEN 0 THEN '<REDACTED:SENSITIVE_PATH:1>/x' WHEN 1 THEN '<REDACTED:SENSITIVE_PATH:2> and <REDACTED:SENSITIVE_PATH:1>' ELSE '/srv/other' END || ', token: ' || 'ghp_' || repeat('A1b2', 9)) AS digest, 'warned' AS action FROM orders""")
+def protected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two places that no policy lets out, and a token that the policy only warns of."""
+    k = F.col("o_orderkey")
+    where = F.when(k % 3 == 0, "/srv/clone/x").when(k % 3 == 1, "/srv/clone/deep and /srv/clone").otherwise("/srv/other")
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.concat(F.lit("at "), where, F.lit(", token: "), F.lit("ghp_"), F.repeat(F.lit("A1b2"), F.lit(9))).alias("t"))
+    out = secrets.apply_policy(secrets.protect_paths(rows, "t", ("/srv/clone", "/srv/clone/deep")), "t", "warn")
+    return out.select("k", F.sha2("t", 256).alias("digest"), "action")
+
+
 # --- state, networks, literals, settings --------------------------------------------------------------------------
 
 
