@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 
 import numpy as np
@@ -23,6 +24,7 @@ FILES = 4096
 #: Windows that a bucket compares at a time, at some hundred bytes of memory each.
 WINDOWS = 1 << 17
 
+MANIFEST = re.compile(r"manifest-([0-9]+)\.json")
 RUN = "bucket long, hashes binary, state binary, holder binary"
 MERGED = "kind int, bucket long, chunk long, hashes binary, state binary, holder binary"
 
@@ -186,12 +188,18 @@ class FingerprintIndex:
         spine = self.spark.range(self.buckets).withColumn("bucket", F.col("id"))
         return beside(spine, [self._run(name) for name in names]).drop("bucket").mapInArrow(join, RUN)
 
-    def delete(self) -> None:
-        """Remove the whole folder."""
+    def close(self) -> None:
+        """Take the runs out of this session's catalog; the folder stays and can be opened again."""
         for held in self.held.values():
             self.spark.sql(f"DROP TABLE IF EXISTS {held}")
+        self.held.clear()
+
+    def delete(self) -> None:
+        """Remove the whole folder."""
+        self.close()
         self._files().delete(self._at(""), True)
 
+
     def _name(self, kind: str) -> str:
         return f"{kind}-{uuid.uuid4().hex}"
 
@@ -222,25 +230,39 @@ class FingerprintIndex:
     def _files(self):
         return self._at("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self) -> dict | None:
+    def _manifests(self) -> list[tuple[int, str]]:
+        """(version, name) of the manifests in the folder, the newest first."""
         files = self._files()
-        if not files.exists(self._at("manifest.json")):
+        names = [s.getPath().getName() for s in files.listStatus(self._at(""))] if files.exists(self._at("")) else []
+        return sorted(((int(m[1]), m[0]) for m in map(MANIFEST.fullmatch, names) if m), reverse=True)
+
+    def _read(self) -> dict | None:
+        """The newest state; None where there is none. A folder with runs but no manifest is no index."""
+        found, files = self._manifests(), self._files()
+        if not found:
+            if files.exists(self._at("")) and any(s.getPath().getName().startswith("run-") for s in files.listStatus(self._at(""))):
+                raise OSError(f"{self.path} holds runs, but no manifest")
             return None
-        jvm, stream = self.spark.sparkContext._jvm, files.open(self._at("manifest.json"))
+        jvm, stream = self.spark.sparkContext._jvm, files.open(self._at(found[0][1]))
         text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
         return json.loads(text)
 
     def _write(self) -> None:
-        """Replace the manifest: written beside it, then renamed."""
-        files = self._files()
+        """A new version of the manifest: written beside, renamed to its number, and only then are older ones deleted. At
+        any moment the newest whole one says what counts."""
+        files, older = self._files(), self._manifests()
         self.state["version"] += 1
-        out = files.create(self._at("manifest.new"), True)
+        draft = self._at(f"draft-{uuid.uuid4().hex}")
+        out = files.create(draft, True)
         out.write(bytearray(json.dumps(self.state).encode()))
         out.close()
-        files.delete(self._at("manifest.json"), False)
-        if not files.rename(self._at("manifest.new"), self._at("manifest.json")):
-            raise OSError(f"the manifest of {self.path} could not be written")
+        name = f"manifest-{self.state['version']}.json"
+        if not files.rename(draft, self._at(name)):  # another session has written this version
+            files.delete(draft, False)
+            raise OSError(f"{name} of {self.path} could not be written")
+        for _, old in older:
+            files.delete(self._at(old), False)
 
 
 def settle(answers: DataFrame, hot: int, met: DataFrame | None = None) -> DataFrame:
@@ -314,6 +336,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
         index = FingerprintIndex(spark, None, units, fragments.n_buckets(chunks))
         for i in range(batches):
             index.append(chunks.where(F.pmod("chunk", F.lit(batches)) == i) if batches > 1 else chunks)
+        index.close()  # answers are files; the runs are not read again
         found = settle(index.answers(), hot)
     else:
         units, length = index.units, index.units.length

@@ -112,6 +112,31 @@ def test_index_is_opened_again(spark, tmp_path, monkeypatch):
     assert none.collect() == []
 
 
+def test_manifests_outlive_a_crash(spark, tmp_path):
+    path, folder = f"file://{tmp_path}/index", tmp_path / "index"
+    index = fingerprints.FingerprintIndex(spark, path, buckets=4, fanin=9)
+    index.append(fragments.to_chunks(frame(spark, corpus(1)), salt=1))
+    (before,) = [p for p in folder.iterdir() if p.name.startswith("manifest-")]
+    held = before.read_bytes()
+    index.append(fragments.to_chunks(frame(spark, corpus(2)), salt=2))
+    after = [p.name for p in folder.iterdir() if p.name.startswith("manifest-")]
+    assert after == ["manifest-2.json"] and not list(folder.glob("draft-*"))
+    before.write_bytes(held)  # as if the writer had gone before it deleted the older one
+    (folder / "draft-x").write_text("{")
+    again = fingerprints.FingerprintIndex(spark, path)
+    assert len(again.state["runs"]) == 2 and again.state["version"] == 2
+    names = list(again.held.values()) + [again._run(again.state["runs"][0][1]) and again.held[again.state["runs"][0][1]]]
+    assert spark.catalog.tableExists(names[-1])
+    again.close()
+    assert not spark.catalog.tableExists(names[-1]) and folder.exists()
+    for p in folder.glob("manifest-*"):
+        p.unlink()
+    with pytest.raises(OSError, match="no manifest"):
+        fingerprints.FingerprintIndex(spark, path)
+    index.delete()
+    assert not folder.exists()
+
+
 def test_runs_meet_a_batch_without_a_shuffle(spark):
     index = fingerprints.FingerprintIndex(spark, None, buckets=4, fanin=9)
     for seed in (1, 2):
