@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from spandrel.operators import annotate, parse, score
+    from spandrel.operators import annotate, generate, parse, score
     from spandrel.plans import api
     from spandrel.sources import files
 
@@ -90,18 +90,23 @@ def main(argv: list[str] | None = None) -> int:
             return code
         elif args.command == "score":
             scores = api.score_folder(spark, args.root).cache()
-            print(score.report(scores, args.style).first().report)
+            if args.style == "json":
+                print(score.report(scores, args.style).first().report)
+            else:
+                for row in generate.placed(score.report_fragments(scores, args.style)).orderBy("position").toLocalIterator():
+                    print(row.text)
             return int(scores.where("is_total").first().coverage < args.min)
         elif args.command == "watch":
-            import tempfile
+            import uuid
 
+            from spandrel.sources import shared
             from spandrel.streaming import watch
 
-            with tempfile.TemporaryDirectory() as checkpoint:  # a watch begins anew each time
-                again = lambda rows, number: api.regenerate_readme(spark, args.root, args.target, args.name)
-                config = api.Config.load(args.root)
-                # what is there at the start is no change, unless that is all that is asked for
-                watch.watch(spark, args.root, again, checkpoint, once=args.once, existing=args.once, include=list(config.include), exclude=list(config.exclude)).awaitTermination()
+            config = api.Config.load(args.root)
+            again = lambda rows, number: api.regenerate_readme(spark, args.root, args.target, args.name)
+            # a watch begins anew each time; what is there at the start is no change, unless that is all that is asked for
+            state = f"{shared.folder(spark)}/watch-{uuid.uuid4().hex}"
+            watch.watch(spark, args.root, again, state, once=args.once, existing=args.once, include=list(config.include), exclude=list(config.exclude)).awaitTermination()
         elif args.command == "annotate":
             lost = parse.undocumented_functions(api.analyze_folder(spark, args.root))
             config = api.Config.load(args.root)

@@ -50,6 +50,8 @@ def test_documents_from_a_model(spark, repository, capsys):  # noqa: F811
     assert pieces == [got] and TOKEN not in got
     assert main(["--root", root, "api"]) == 0
     assert "# API Documentation\n\n## a.py" in capsys.readouterr().out
+    assert main(["--root", root, "score", "--style", "markdown", "--min", "90"]) == 1
+    assert capsys.readouterr().out.splitlines()[0].startswith("# Documentation score: 50/100")
     rows = api.generate_comments(spark, root, lambda p: "/** " + p.rsplit("\n", 1)[-1] + " */").collect()
     assert [(r.name, r.jsdoc) for r in rows] == [("other", "/** def other() */")]
 
