@@ -85,7 +85,7 @@ t AS (SELECT 'diagram' AS kind, 0 AS part, '' AS path, 0 AS place, 'graph TD' AS
 @twin(f"""WITH {_PIECES} SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY part, path, place, text) AS position, sha256(text) AS digest FROM t""")
 def document_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """README, API documentation, diagram, score and changelog in their fragments; no row holds a document."""
-    modules = sourced._modules(spark, sf_dir)
+    modules = shared.written(sourced._modules(spark, sf_dir), "modules")  # parsed once for all branches
     k = F.col("p_partkey")
     message = F.concat(F.when(k % 3 == 0, "feat").when(k % 3 == 1, "fix").otherwise("docs"), F.lit(": "), "p_name")
     commits = table(spark, sf_dir, "part").select(k.alias("position"), message.alias("message"))
