@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +15,9 @@ from spandrel.schemas import MODULE, SNAPSHOT
 #: A file of more bytes is not parsed; it gets an error like one that cannot be parsed.
 MOST_BYTES = 10 << 20
 
+#: Rows leave a task when their sources come to so many characters, so that it holds one large file or some small ones.
+BATCH_CHARS = 1 << 20
+
 _MODULE: dict[str, Callable[[str], dict]] = {"python": python_source.module, "typescript": typescript_source.module}
 _SNAPSHOT: dict[str, Callable[[str], tuple[str, list[dict]]]] = {"python": python_source.snapshot, "typescript": typescript_source.snapshot}
 
@@ -49,38 +52,55 @@ def attempt_module(source: str | None, language: str | None) -> tuple[dict | Non
     return _attempt(_MODULE, source, language)
 
 
+def _supported(files: DataFrame) -> DataFrame:
+    """path, language and content of the files that have a parser, dealt to tasks by path: parsing costs far more than
+    the bytes say by which Spark would put many files into one task. The key is a hash, so that a table that was grouped
+    by path is dealt out again."""
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = files.select("path", paths.language_of(F.col("path")).alias("language"), "content").where("language is not null")
+    return held.repartition(parts, F.xxhash64("path"))
+
+
+def _in_batches(one: Callable[[str, str, str | None], dict], names: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for mapInPandas: one(path, language, source) gives a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, size = [], 0
+            for path, language, source in zip(b["path"], b["language"], b["content"], strict=True):
+                rows.append(one(path, language, source))
+                size += len(source or "")
+                if size >= BATCH_CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    return run
+
+
 def parse_modules(files: DataFrame) -> DataFrame:
     """Rows of MODULE for the supported rows of files (path, content); error is set where parsing failed."""
     parsers = dict(_MODULE)
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, language, source in zip(b["path"], b["language"], b["content"], strict=True):
-                found, error = _attempt(parsers, source, language)
-                found = found or {"functions": [], "classes": [], "types": [], "imports": []}
-                rows.append({"path": path, "language": language, **found, "error": error})
-            yield pd.DataFrame(rows, columns=MODULE.names)
+    def one(path: str, language: str, source: str | None) -> dict:
+        found, error = _attempt(parsers, source, language)
+        found = found or {"functions": [], "classes": [], "types": [], "imports": []}
+        return {"path": path, "language": language, **found, "error": error}
 
-    held = files.select("path", paths.language_of(F.col("path")).alias("language"), "content").where("language is not null")
-    return held.mapInPandas(run, MODULE)
+    return _supported(files).mapInPandas(_in_batches(one, MODULE.names), MODULE)
 
 
 def parse_snapshots(files: DataFrame) -> DataFrame:
     """Rows of SNAPSHOT for the supported rows of files (path, content)."""
     parsers = dict(_SNAPSHOT)
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, language, source in zip(b["path"], b["language"], b["content"], strict=True):
-                found, error = _attempt(parsers, source, language)
-                dependency, symbols = found or (None, [])
-                rows.append({"path": path, "language": language, "dependency_fp": dependency, "symbols": symbols, "error": error})
-            yield pd.DataFrame(rows, columns=SNAPSHOT.names)
+    def one(path: str, language: str, source: str | None) -> dict:
+        found, error = _attempt(parsers, source, language)
+        dependency, symbols = found or (None, [])
+        return {"path": path, "language": language, "dependency_fp": dependency, "symbols": symbols, "error": error}
 
-    held = files.select("path", paths.language_of(F.col("path")).alias("language"), "content").where("language is not null")
-    return held.mapInPandas(run, SNAPSHOT)
+    return _supported(files).mapInPandas(_in_batches(one, SNAPSHOT.names), SNAPSHOT)
 
 
 def analyze(files: DataFrame) -> DataFrame:
@@ -103,7 +123,8 @@ def check_snapshots(snapshots: DataFrame) -> DataFrame:
     digests = F.transform("symbols", lambda s: F.concat_ws(",", s["contract_fp"], s["implementation_fp"], F.coalesce(s["documentation_fp"], s["contract_fp"])))
     good = F.forall(digests, lambda d: d.rlike(r"^[0-9a-f]{64},[0-9a-f]{64},[0-9a-f]{64}\z"))
     keys = F.transform("symbols", lambda s: F.struct(s["kind"], s["qualified_name"]))
-    rising = F.forall(F.transform(F.sequence(F.lit(1), F.greatest(F.size(keys) - 1, F.lit(1))), lambda i: F.coalesce(F.get(keys, i - 1) < F.get(keys, i), F.lit(True))), lambda x: x)
+    n = F.greatest(F.size("symbols") - 1, F.lit(0))
+    rising = F.forall(F.zip_with(F.slice(keys, F.lit(1), n), F.slice(keys, F.lit(2), n), lambda a, b: F.coalesce(a < b, F.lit(True))), lambda x: x)
     return snapshots.withColumn("symbols", F.when(good & rising, F.col("symbols")).otherwise(F.raise_error(F.lit("a snapshot is malformed")).cast(snapshots.schema["symbols"].dataType)))
 
 
