@@ -21,6 +21,7 @@ from spandrel.operators import parse
 from spandrel.schemas import MODULE
 
 SHARDS, CAPACITY, IDLE_MS, MOST_CHARS = 64, 1000, 3_600_000, 4 << 20
+ROWS = 10_000  # of one frame that leaves
 OUTCOME = "path string, outcome string, version string, language string, module string, error string, hits long, misses long, evicted long, held long"
 
 _ENTRY = T.StructType([T.StructField(n, t) for n, t in (("version", T.StringType()), ("used", T.LongType()), ("language", T.StringType()), ("module", T.StringType()), ("error", T.StringType()))])
@@ -55,9 +56,11 @@ class ParseCache(StatefulProcessor):
         hits, misses, evicted, clock = self._counts()
         held = {k[0]: v for k, v in self.entries.iterator()}  # at most the capacity
         before = dict(held)
-        for frame in rows:
+        frames = list(rows)  # they come in no order, so all rows of the shard that arrive together are sorted as one
+        arrived = pd.concat(frames).sort_values(["order", "path"], kind="stable") if frames else pd.DataFrame()
+        for start in range(0, len(arrived), ROWS):
             out = []
-            for r in frame.sort_values(["order", "path"], kind="stable").itertuples(index=False):
+            for r in arrived.iloc[start : start + ROWS].itertuples(index=False):
                 clock += 1
                 if r.event == "deleted" or r.content is None:
                     known = held.pop(r.path, None)

@@ -64,3 +64,34 @@ def test_lines_of_a_large_script_are_counted_once():
     source = Counted("".join(f"export interface I{k} {{ a: string; get(n: number): string }}\n" for k in range(50)))
     found = typescript_source.scan(source)
     assert Counted.passes == 0 and [x.lines for x in found.containers][:3] == [[1, 1], [2, 2], [3, 3]]
+
+
+def test_rows_of_a_shard_are_taken_in_order_over_all_frames(spark):
+    from spandrel.streaming import parse_cache
+
+    rows = [("a.py", "changed", "xy"[k // 20], k, f"def {'fg'[k // 20]}(): pass\n") for k in range(40)]
+    saves = spark.createDataFrame(rows[::2][::-1] + rows[1::2], "path string, event string, version string, order long, content string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = parse_cache.outcomes(saves, shards=1).groupBy("outcome").count().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.outcome: r["count"] for r in found} == {"miss": 2, "hit": 38}
+
+
+def test_impact_says_what_the_mapping_says(spark):
+    from spandrel.operators import diff, mapping
+
+    changes = [("symbol", f"python:{p}#function:{n}", "python", p, "function", n, c) for p in ("a.py", "b.py", "c.py") for n, c in (("alpha", "added"), ("beta", "implementation-changed"))]
+    held = diff.finish(spark.createDataFrame(changes, "scope string, id string, language string, path string, kind string, qualified_name string, category string").selectExpr("*", "cast(null as string) before_id", "cast(null as string) after_id", "cast(null as array<string>) changed_facets"))
+    files = [("docs/api.md", "# API\n## Of `beta`\n[a](../a.py)\n## alpha\nSee [a](../a.py) and [a](../a.py)\n"), ("x.md", "# One\n[b](b.py)\n")]
+    for some in (files, files[1:], []):
+        found = sections.sections(spark.createDataFrame(some, "path string, content string"))
+        documentation, impact = mapping.map_documentation(held, found), mapping.Impact(held, found)
+        names = ("change_id", "file", "section", "slug", "reason", "tier")
+        assert sorted(impact.rows().select(*names).collect()) == sorted(mapping.references(documentation).select(*names).collect())
+        assert sorted(r.id for r in impact.unmapped().collect()) == sorted(r.change_id for r in documentation.where("unmapped").collect())
+        existing = spark.createDataFrame([("README.md",), ("docs/api.md",), ("x.md",)], "path string")
+        targets = lambda df: sorted((r.path, r.reasons, sorted(r.sections)) for r in df.collect())
+        assert targets(impact.targets(existing)) == targets(mapping.resolve_targets(documentation, held, existing))
