@@ -46,6 +46,13 @@ def direct_references(changes: DataFrame, sections: DataFrame) -> DataFrame:
     several parts are looked for in what they met; a name without any such character is found nowhere. The arms
     are equi-joins, of which Catalyst broadcasts a side where it is small.
     """
+    linked = sections.select("file", "heading", "slug", F.explode("link_targets").alias("path"))
+    by_link = changes.select("id", "path").join(linked, "path").select("id", "file", "heading", "slug", F.lit("source-link").alias("reason"))
+    return named_references(changes, sections).union(by_link)
+
+
+def named_references(changes: DataFrame, sections: DataFrame) -> DataFrame:
+    """direct_references() of the sections that name a symbol in code or are headed by it."""
     named = changes.where("qualified_name is not null").select("id", "qualified_name", _key(F.col("qualified_name")).alias("key"))
     place = ("file", "heading", "slug")
 
@@ -56,9 +63,12 @@ def direct_references(changes: DataFrame, sections: DataFrame) -> DataFrame:
 
     by_span = arm(named, sections.select(*place, F.explode("code_spans").alias("text")), "code-span")
     by_head = arm(named.where(text.is_heading_name(F.col("qualified_name"))), sections.select(*place, F.col("heading").alias("text")), "heading")
-    linked = sections.select(*place, F.explode("link_targets").alias("path"))
-    by_link = changes.select("id", "path").join(linked, "path").select("id", *place, F.lit("source-link").alias("reason"))
-    return by_span.union(by_link).union(by_head)
+    return by_span.union(by_head)
+
+
+def source_links(sections: DataFrame) -> DataFrame:
+    """(path, file, slug, heading) of the sections that link a file: of one file and slug the first heading."""
+    return sections.select("file", "slug", "heading", F.explode("link_targets").alias("path")).groupBy("path", "file", "slug").agg(F.min("heading").alias("heading"))
 
 
 def _words(x: Column) -> Column:
@@ -105,6 +115,44 @@ def map_documentation(changes: DataFrame, sections: DataFrame) -> DataFrame:
     return out.withColumn("unmapped", (F.size("direct_references") == 0) & (F.size("recommendations") == 0))
 
 
+class Impact:
+    """What map_documentation() says, without a row that holds all references of a change.
+
+    Every change of a file meets every section that links the file, so these pairs are as many as the product of both.
+    They are kept as two tables, and joined only by rows(), whose pairs are made by as many tasks as a shuffle has and
+    go nowhere but to the reader.
+    """
+
+    def __init__(self, changes: DataFrame, sections: DataFrame):
+        self.changes = changes
+        self.named = first_wins(named_references(changes, sections))
+        self.advised = first_wins(recommendations(changes, select_sections(sections)))
+        self.links = source_links(sections)
+
+    def rows(self) -> DataFrame:
+        """references() of all changes, in no order."""
+        parts = int(self.changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        by_link = self.changes.select("id", "path").distinct().repartition(parts, "path").join(self.links.repartition(parts, "path"), "path")
+        shown = lambda df, reason, tier: df.select(F.col("id").alias("change_id"), "file", F.col("heading").alias("section"), "slug", reason.alias("reason"), F.lit(tier).alias("tier"))
+        direct = shown(self.named, F.col("reason"), REASONS[0]).union(shown(by_link, F.lit("source-link"), REASONS[0]))
+        return direct.union(shown(self.advised, F.col("reason"), REASONS[1]))
+
+    def unmapped(self) -> DataFrame:
+        """The changes that have no reference."""
+        ids = self.named.select("id").union(self.advised.select("id"))
+        return self.changes.join(ids, "id", "left_anti").join(self.links.select("path"), "path", "left_anti")
+
+    def candidates(self) -> DataFrame:
+        """candidates() of rows()."""
+        met = self.links.join(self.changes.select("path"), "path", "left_semi")
+        shown = lambda df, tier: df.select("file", F.col("heading").alias("section"), F.lit(tier).alias("tier")).distinct()
+        return _candidates(shown(self.named, REASONS[0]).union(shown(met, REASONS[0])).union(shown(self.advised, REASONS[1])))
+
+    def targets(self, existing: DataFrame) -> DataFrame:
+        """resolve_targets() without explicit ones."""
+        return _existing_targets(self.candidates(), self.unmapped().where("scope = 'symbol'"), existing)
+
+
 def safe_references(documentation: DataFrame, redact: Callable[[str], str]) -> DataFrame:
     """References whose headings hold secrets with redacted ones, their slugs made anew; redact(str) -> str."""
 
@@ -160,7 +208,11 @@ def template_changes(documentation: DataFrame, changes: DataFrame) -> DataFrame:
 
 def candidates(documentation: DataFrame) -> DataFrame:
     """(path, reasons, sections) of each file that a mapping points at; reasons in their fixed order."""
-    refs = references(documentation).withColumn("path", F.regexp_replace("file", r"^(\./)+", ""))
+    return _candidates(references(documentation))
+
+
+def _candidates(refs: DataFrame) -> DataFrame:
+    refs = refs.withColumn("path", F.regexp_replace("file", r"^(\./)+", ""))
     seen = refs.groupBy("path").agg(F.collect_set("tier").alias("tiers"), F.array_sort(F.collect_set("section")).alias("sections"))
     return seen.select("path", F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains("tiers", r)).alias("reasons"), "sections")
 
@@ -169,18 +221,25 @@ def resolve_targets(documentation: DataFrame, changes: DataFrame, existing: Data
     """Target documents (path, reasons, sections): explicit ones, else mapped ones that exist, else the README
     if a public change is mapped nowhere. existing: path of every file. A target must be a Markdown file."""
     spark = documentation.sparkSession
-    markdown = lambda p: F.when(paths.is_markdown(p), p).otherwise(F.raise_error(F.concat(F.lit("not a Markdown file: "), p)).cast("string"))
-    none = F.array().cast("array<string>")
     if explicit:
+        none = F.array().cast("array<string>")
         asked = spark.createDataFrame([(p,) for p in sorted(set(explicit))], "path string")
         found = asked.join(existing.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
         missing = F.when(F.col("there"), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("no such target: "), "path")).cast("string"))
-        return found.select(markdown(missing).alias("path"), F.array(F.lit("explicit")).alias("reasons"), none.alias("sections"))
-    mapped = candidates(documentation).join(existing.select("path").distinct(), "path", "left_semi").withColumn("path", markdown(F.col("path")))
+        return found.select(_markdown(missing).alias("path"), F.array(F.lit("explicit")).alias("reasons"), none.alias("sections"))
     public = changes.where("scope = 'symbol'").select(F.col("id").alias("change_id"))
-    lost = documentation.where("unmapped").join(public, "change_id", "left_semi")
+    return _existing_targets(candidates(documentation), documentation.where("unmapped").join(public, "change_id", "left_semi"), existing)
+
+
+def _markdown(p: Column) -> Column:
+    return F.when(paths.is_markdown(p), p).otherwise(F.raise_error(F.concat(F.lit("not a Markdown file: "), p)).cast("string"))
+
+
+def _existing_targets(found: DataFrame, lost: DataFrame, existing: DataFrame) -> DataFrame:
+    """The candidates that exist, else the README if there are lost changes."""
+    mapped = found.join(existing.select("path").distinct(), "path", "left_semi").withColumn("path", _markdown(F.col("path")))
     readme = existing.where("path = 'README.md'").select("path").distinct().join(lost.limit(1).select(F.lit(1).alias("one")), F.lit(True))
-    readme = readme.select("path", F.array(F.lit(REASONS[3])).alias("reasons"), none.alias("sections"))
+    readme = readme.select("path", F.array(F.lit(REASONS[3])).alias("reasons"), F.array().cast("array<string>").alias("sections"))
     any_mapped = mapped.agg(F.count(F.lit(1)).alias("n"))  # one row
     fallback = readme.crossJoin(F.broadcast(any_mapped)).where("n = 0").drop("n")  # one row at most
     return mapped.union(fallback)
