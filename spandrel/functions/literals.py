@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -11,13 +12,15 @@ from pyspark.sql import functions as F
 
 #: Characters of the literals of one automaton; more of them take another pass over the texts.
 BLOCK_CHARS = 8 << 20
+#: Occurrences that a task holds before they leave it; those of one text stay together.
+MOST_FOUND = 20_000
 
 
-def automaton(literals: list[str]) -> ahocorasick.Automaton | None:
-    out = ahocorasick.Automaton()
+def automaton(literals: Iterable[str]) -> ahocorasick.Automaton | None:
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)  # the text has the literal
     for x in literals:
         if x:
-            out.add_word(x, x)
+            out.add_word(x)
     if not len(out):
         return None
     out.make_automaton()
@@ -27,8 +30,9 @@ def automaton(literals: list[str]) -> ahocorasick.Automaton | None:
 def spans(text: str, held: ahocorasick.Automaton | None) -> list[tuple[int, int, str]]:
     """(start, end, literal), by end; of one literal only those that do not overlap, from the left."""
     out, upto = [], {}
-    for last, x in held.iter(text) if held is not None else ():
-        start = last + 1 - len(x)
+    for last, length in held.iter(text) if held is not None else ():
+        start = last + 1 - length
+        x = text[start : last + 1]
         if start >= upto.get(x, 0):
             upto[x] = last + 1
             out.append((start, last + 1, x))
@@ -48,6 +52,33 @@ def blocks(literals: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[str]]:
         yield held
 
 
+def _cut(joined: str, lengths: Iterable[int]) -> Iterator[str]:
+    at = 0
+    for n in lengths:
+        yield joined[at : at + n]
+        at += n
+
+
+def _found(batches: Iterable[pa.RecordBatch], held: ahocorasick.Automaton | None, names: list[str], most: int = MOST_FOUND) -> Iterator[pa.RecordBatch]:
+    """The occurrences in the texts (second column) of batches, with the first column."""
+    for b in batches:
+        at, found = [], []
+
+        def out(keys: pa.Array, at: list[int], found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array([x for _, _, x in found], pa.string()), *(pa.array([f[i] for f in found], pa.int32()) for i in (0, 1))], names=names)
+
+        for k in range(b.num_rows):
+            t = b.column(1)[k].as_py()
+            own = spans(t, held) if t else []
+            at += [k] * len(own)
+            found += own
+            if len(found) >= most:
+                yield out(b.column(0), at, found)
+                at, found = [], []
+        if found:
+            yield out(b.column(0), at, found)
+
+
 def occurrences(texts: DataFrame, literals: DataFrame, key: str, text: str, most: int = BLOCK_CHARS) -> DataFrame:
     """(key, literal, start, end) of every literal in every text, offsets in code points.
 
@@ -58,17 +89,10 @@ def occurrences(texts: DataFrame, literals: DataFrame, key: str, text: str, most
     schema = f"`{key}` {kind}, literal string, start int, end int"
     out = None
     for block in blocks(literals, most):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(("".join(block), array("I", map(len, block))))  # far less than so many strings
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = automaton(shared.value)
-            for b in batches:
-                at, found = [], []
-                for k, t in enumerate(b.column(1).to_pylist()):
-                    own = spans(t, held) if t else []
-                    at += [k] * len(own)
-                    found += own
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([x for _, _, x in found], pa.string()), *(pa.array([f[i] for f in found], pa.int32()) for i in (0, 1))], names=[key, "literal", "start", "end"])
+            yield from _found(batches, automaton(_cut(*shared.value)), [key, "literal", "start", "end"])
 
         one = texts.select(key, text).mapInArrow(run, schema)
         out = one if out is None else out.union(one)

@@ -95,3 +95,15 @@ def test_impact_says_what_the_mapping_says(spark):
         existing = spark.createDataFrame([("README.md",), ("docs/api.md",), ("x.md",)], "path string")
         targets = lambda df: sorted((r.path, r.reasons, sorted(r.sections)) for r in df.collect())
         assert targets(impact.targets(existing)) == targets(mapping.resolve_targets(documentation, held, existing))
+
+
+def test_occurrences_leave_a_task_in_bounded_batches():
+    import pyarrow as pa
+
+    from spandrel.functions import literals
+
+    held = literals.automaton(literals._cut("abbéab", [2, 1, 2, 1]))  # ab, b, éa, b
+    texts = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["ab éa" * 3, None] * 50)], names=["k", "text"])
+    out = list(literals._found([texts], held, ["k", "literal", "start", "end"], most=50))
+    assert max(b.num_rows for b in out) < 50 + 9 and sum(b.num_rows for b in out) == 50 * 9
+    assert sorted(tuple(r.values()) for r in out[0].slice(0, 9).to_pylist())[:2] == [(0, "ab", 0, 2), (0, "ab", 5, 7)]
