@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.sources import shared
+
 _V4 = 0xFFFF << 32
 _KEY = "hi long, lo long"
 
@@ -64,6 +66,19 @@ def prefixes(ranges: DataFrame) -> DataFrame:
     return ranges.select("low", "high", "label").mapInPandas(run, "length int, hi long, lo long, width string, label string")
 
 
+def _narrowest(ranges: DataFrame) -> DataFrame:
+    """prefixes() with one row for each prefix, that of its narrowest range, the first by label; written.
+
+    Ranges of equal ends come to one before they are cut, and they are dealt to tasks by their ends: cutting costs far
+    more than the bytes say by which Spark would put all of them into one task.
+    """
+    parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.min(F.struct("label")).alias("r")  # a null label is the first
+    different = ranges.repartition(parts, "low", "high").groupBy("low", "high").agg(first).select("low", "high", "r.label")
+    best = prefixes(different).groupBy("length", "hi", "lo").agg(F.min(F.struct("width", "label")).alias("r"))
+    return shared.written(best.select("length", "hi", "lo", "r.*"), "prefixes")
+
+
 def _first_bits(hi: Column, lo: Column, length: int) -> tuple[Column, Column]:
     mask = lambda bits: F.lit(_signed(((1 << 64) - 1) ^ ((1 << (64 - bits)) - 1)))
     return hi.bitwiseAND(mask(min(length, 64))), lo.bitwiseAND(mask(max(length - 64, 0)))
@@ -75,7 +90,7 @@ def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     Of ranges of one size the first by label. Repeated addresses are looked up once and keep their rows; a text that is
     no address has no range.
     """
-    table = prefixes(ranges)
+    table = _narrowest(ranges)
     lengths = sorted(r.length for r in table.select("length").distinct().collect())  # 129 at most
     distinct = addresses.select("address").where("address is not null").distinct().withColumn("key", key(F.col("address"))).where("key.hi is not null")
     keys = [F.struct(F.lit(n).alias("length"), *(c.alias(name) for c, name in zip(_first_bits(F.col("key.hi"), F.col("key.lo"), n), ("hi", "lo"), strict=True))) for n in lengths]

@@ -76,3 +76,12 @@ def test_settings_of_the_nearest_folder(spark):
     with pytest.raises(Exception, match="too deep"):
         settings.nearest(df.select(F.lit("../x").alias("path")), own).collect()
     assert settings.nearest(df, own.limit(0)).first().settings is None
+
+
+def test_repeated_ranges_come_to_one_row_of_a_prefix(spark):
+    ranges = [("10.0.0.0", "10.0.0.76", f"n{i:02}") for i in range(50)] + [("10.0.0.0", "10.0.0.255", "wide"), ("10.0.0.64", "10.0.0.64", "z"), ("10.0.0.64", "10.0.0.64", None)]
+    held = networks._narrowest(spark.createDataFrame(ranges, "low string, high string, label string")).collect()
+    assert len(held) == len({(r.length, r.hi, r.lo) for r in held}) == 6  # 77 addresses are four prefixes
+    asked = spark.createDataFrame([("10.0.0.1",), ("10.0.0.200",), ("10.0.0.64",)], "address string")
+    found = networks.locate(asked, spark.createDataFrame(ranges, "low string, high string, label string")).collect()
+    assert {r.address: r.label for r in found} == {"10.0.0.1": "n00", "10.0.0.200": "wide", "10.0.0.64": None}
