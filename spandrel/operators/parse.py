@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spandrel.functions import paths
 from spandrel.operators import python_source, typescript_source
@@ -15,10 +18,12 @@ from spandrel.schemas import MODULE, SNAPSHOT
 #: A file of more bytes is not parsed; it gets an error like one that cannot be parsed.
 MOST_BYTES = 10 << 20
 
-#: Rows leave a task when their sources come to so many characters, so that it holds one large file or some small ones.
+#: Rows leave a task when their sources come to so many characters, where they are sent as pandas rows.
 BATCH_CHARS = 1 << 20
 
 _MODULE: dict[str, Callable[[str], dict]] = {"python": python_source.module, "typescript": typescript_source.module}
+#: The same, piece by piece, for languages whose files are read so.
+_PIECES: dict[str, Callable[[str], Iterator[dict]]] = {"python": python_source.module_pieces, "typescript": typescript_source.module_pieces}
 _SNAPSHOT: dict[str, Callable[[str], tuple[str, list[dict]]]] = {"python": python_source.snapshot, "typescript": typescript_source.snapshot}
 
 
@@ -26,6 +31,7 @@ def register_parser(language: str, suffixes: tuple[str, ...], module: Callable[[
     """Add a language: module(source) gives functions, classes, types and imports; snapshot is optional."""
     paths.LANGUAGES.update(dict.fromkeys(suffixes, language))
     _MODULE[language] = module
+    _PIECES[language] = lambda source: iter([module(source)])
     if snapshot:
         _SNAPSHOT[language] = snapshot
 
@@ -79,28 +85,72 @@ def _in_batches(one: Callable[[str, str, str | None], dict], names: list[str]) -
     return run
 
 
-def parse_modules(files: DataFrame) -> DataFrame:
-    """Rows of MODULE for the supported rows of files (path, content); error is set where parsing failed."""
-    parsers = dict(_MODULE)
+#: So many entries of a list become Arrow's at a time.
+_ENTRIES = 1000
 
-    def one(path: str, language: str, source: str | None) -> dict:
-        found, error = _attempt(parsers, source, language)
-        found = found or {"functions": [], "classes": [], "types": [], "imports": []}
-        return {"path": path, "language": language, **found, "error": error}
 
-    return _supported(files).mapInPandas(_in_batches(one, MODULE.names), MODULE)
+def _arrow(values: list, kind: pa.DataType) -> list[pa.Array]:
+    return [pa.array(values[k : k + _ENTRIES], kind) for k in range(0, len(values), _ENTRIES)]
 
 
-def parse_snapshots(files: DataFrame) -> DataFrame:
-    """Rows of SNAPSHOT for the supported rows of files (path, content)."""
-    parsers = dict(_SNAPSHOT)
+def _list(arrays: list[pa.Array], kind: pa.ListType) -> pa.Array:
+    """One value, the list of all entries of arrays."""
+    entries = pa.concat_arrays(arrays) if arrays else pa.array([], kind.value_type)
+    return pa.ListArray.from_arrays(pa.array([0, len(entries)], pa.int32()), entries, type=kind)
+
+
+def _module_row(pieces: Iterator[dict] | list[dict], schema: pa.Schema) -> dict[str, pa.Array]:
+    """The lists of a module from its pieces; what a piece says is Arrow's before the next one is read."""
+    kinds = ("functions", "classes", "types", "imports")
+    held: dict[str, list[pa.Array]] = {k: [] for k in kinds}
+    unsaid: dict[str, list] = {k: [] for k in kinds}
+    later: set[str] = set()
+    for piece in pieces:
+        for k in kinds:
+            held[k] += _arrow(piece[k], schema.field(k).type.value_type)
+            unsaid[k] += piece.get("unsaid", {}).get(k) or [None] * len(piece[k])
+        later |= piece.get("later", set())
+    out = {}
+    for k in kinds:
+        whole, kind = _list(held[k], schema.field(k).type), schema.field(k).type
+        if any(unsaid[k]):
+            whole = _list([whole.flatten().filter(pa.array([n is None or n in later for n in unsaid[k]], pa.bool_()))], kind)
+        out[k] = whole
+    return out
+
+
+def _snapshot_row(found: tuple[str | None, list[dict]], schema: pa.Schema) -> dict[str, pa.Array]:
+    kind = schema.field("symbols").type
+    entries = [s | {"contract_facets": list(s["contract_facets"].items())} for s in found[1]]
+    return {"dependency_fp": pa.array([found[0]], pa.string()), "symbols": _list(_arrow(entries, kind.value_type), kind)}
+
+
+def _file_by_file(parsers: dict[str, Callable], row: Callable, none, schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: a batch of one row for each (path, language, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = to_arrow_schema(schema)
+        columns = {language: lambda source, parser=parser: row(parser(source), made) for language, parser in parsers.items()}
+        for b in batches:
+            at = {name: b.column(name) for name in ("path", "language", "content")}
+            for k in range(b.num_rows):
+                language = at["language"][k].as_py()
+                found, error = _attempt(columns, at["content"][k].as_py(), language)
+                out = (row(none, made) if found is None else found) | {"path": pa.array([at["path"][k].as_py()], pa.string()), "language": pa.array([language], pa.string()), "error": pa.array([error], pa.string())}
+                yield pa.RecordBatch.from_arrays([out[name] for name in made.names], schema=made)
+
+    return run
+
+
+def parse_modules(files: DataFrame) -> DataFrame:
+    """Rows of MODULE for the supported rows of files (path, content); error is set where parsing failed."""
+    none = [{"functions": [], "classes": [], "types": [], "imports": []}]
+    return _supported(files).mapInArrow(_file_by_file(dict(_PIECES), _module_row, none, MODULE), MODULE)
 
-    def one(path: str, language: str, source: str | None) -> dict:
-        found, error = _attempt(parsers, source, language)
-        dependency, symbols = found or (None, [])
-        return {"path": path, "language": language, "dependency_fp": dependency, "symbols": symbols, "error": error}
 
-    return _supported(files).mapInPandas(_in_batches(one, SNAPSHOT.names), SNAPSHOT)
+def parse_snapshots(files: DataFrame) -> DataFrame:
+    """Rows of SNAPSHOT for the supported rows of files (path, content)."""
+    return _supported(files).mapInArrow(_file_by_file(dict(_SNAPSHOT), _snapshot_row, (None, []), SNAPSHOT), SNAPSHOT)
 
 
 def analyze(files: DataFrame) -> DataFrame:
