@@ -171,7 +171,7 @@ def member_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of properties, overloads, merged interfaces, aliases, enums and computed methods; a receiver's name
     and a definition that is bound again change nothing."""
     side = lambda n, after: _member_files(spark, sf_dir, after).select(F.col("path").alias("file_id"), F.col("path").alias(f"{n}_path"), F.col("content").alias(f"{n}_content"))
-    pairs = side("before", False).join(side("after", True), "file_id").withColumn("status", F.lit("modified"))
+    pairs = shared.written(side("before", False).join(side("after", True), "file_id").withColumn("status", F.lit("modified")), "pairs")
     parsed = lambda n: shared.written(parse.require_parsed(parse.parse_snapshots(pairs.select(F.col(f"{n}_path").alias("path"), F.col(f"{n}_content").alias("content")))), n)
     found = api.compare_versions(pairs, {n: parsed(n) for n in ("before", "after")})
     name = F.regexp_replace("qualified_name", r"\[computed:[0-9a-f]+\]", "[computed]")
