@@ -16,23 +16,26 @@ SECTIONS = ("Added", "Fixed", "Changed")
 # The sentences of the deterministic documents are our own.
 
 
-def _bullets(items: Column, none: str = "No description") -> Column:
-    return F.transform(items, lambda x: F.concat(F.lit("- `"), x["name"], F.lit("` — "), F.coalesce(F.nullif(x["existing_doc"], F.lit("")), F.lit(none))))
+def _bullets(items: Column, mark: str = "") -> Column:
+    return F.transform(items, lambda x: F.concat(F.lit("- `"), x["name"], F.lit(f"{mark}` — "), F.coalesce(F.nullif(x["existing_doc"], F.lit("")), F.lit("No description"))))
 
 
-def _modules(modules: DataFrame) -> Column:
-    return F.array_sort(F.collect_list(F.struct("path", "functions", "classes")))
+def _by_path(*texts: str) -> Column:
+    """The texts of all modules, which are made where the modules are: one row holds no more than what is written."""
+    return F.array_sort(F.collect_list(F.struct("path", *texts)))
 
 
 def readme(modules: DataFrame, name: str, description: str = "") -> DataFrame:
     """One row (content): a README with lists of functions and classes, modules by path."""
-    held = modules.agg(_modules(modules).alias("m"))
-    functions = _bullets(F.flatten(F.transform("m", lambda m: F.transform(m["functions"], lambda f: F.struct(F.concat(f["name"], F.lit("()")).alias("name"), f["existing_doc"].alias("existing_doc"))))))
-    classes = _bullets(F.flatten(F.transform("m", lambda m: F.transform(m["classes"], lambda c: F.struct(c["name"].alias("name"), c["existing_doc"].alias("existing_doc"))))))
-    lines = lambda *x: F.array(*map(F.lit, x))
-    part = lambda title, rows: F.when(F.size(rows) > 0, F.concat(lines(f"### {title}", ""), rows, lines(""))).otherwise(F.array().cast("array<string>"))
-    body = F.concat(lines(f"# {name}", "", f"> {description or 'A project'}", "", "## API", ""), part("Functions", functions), part("Classes", classes))
-    return held.select(F.array_join(body, "\n").alias("content"))
+    own = lambda rows: F.when(F.size(rows) > 0, F.array_join(rows, "\n"))
+    held = modules.select("path", own(_bullets(F.col("functions"), "()")).alias("f"), own(_bullets(F.col("classes"))).alias("c")).agg(_by_path("f", "c").alias("m"))
+
+    def part(title: str, field: str) -> Column:
+        rows = F.filter(F.transform("m", lambda m: m[field]), lambda x: x.isNotNull())
+        return F.when(F.size(rows) > 0, F.concat(F.array(F.lit(f"### {title}"), F.lit("")), rows, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+
+    head = F.array(*map(F.lit, (f"# {name}", "", f"> {description or 'A project'}", "", "## API", "")))
+    return held.select(F.array_join(F.concat(head, part("Functions", "f"), part("Classes", "c")), "\n").alias("content"))
 
 
 def _section(m: Column) -> Column:
@@ -47,7 +50,8 @@ def _section(m: Column) -> Column:
 
 def api_docs(modules: DataFrame) -> DataFrame:
     """One row (content): a section for each module, by path, divided by rules."""
-    return modules.agg(_modules(modules).alias("m")).select(F.concat(F.lit("# API Documentation\n\n"), F.array_join(F.transform("m", _section), "\n---\n\n")).alias("content"))
+    held = modules.select("path", _section(F.struct("path", "functions", "classes")).alias("s")).agg(_by_path("s").alias("m"))
+    return held.select(F.concat(F.lit("# API Documentation\n\n"), F.array_join(F.transform("m", lambda m: m["s"]), "\n---\n\n")).alias("content"))
 
 
 def diagram(modules: DataFrame) -> DataFrame:
