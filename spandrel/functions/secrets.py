@@ -38,22 +38,40 @@ ASSIGNMENTS = tuple((p, rf"(?<![A-Za-z0-9_$])[\"']?(?:{names}){_VALUE}") for p,
 
 MARK = "<REDACTED:"
 _PLACEHOLDER = re.compile(rf"{MARK}[A-Z_]+:\d+>\Z")
-_COMPILED = [(k, p, re.compile(x, f)) for k, p, x, f in PATTERNS]
-_USER = [(k, p, re.compile(x, f)) for k, p, x, f in USER_PATHS]
+#: What each pattern needs in a text, one of the words of each group: a text without it is not searched for that pattern.
+_NEEDS = (
+    (("PRIVATE KEY-----",),), (("sk-",),), (("sk-ant-",),), (("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),), (("://",), ("@",)),
+    ((".env", ".npmrc", ".pypirc", ".netrc", "id_"),), ((".aws",),),
+)
+_USER_NEEDS = ((("/Users", "/home"),), (("Users", "home"), (":",)))
+_ASSIGNED_NEEDS = (("=", ":"), ("secret", "token", "key", "pass"))  # in the lower case of an ASCII text
+_COMPILED = [(k, p, re.compile(x, f), n) for (k, p, x, f), n in zip(PATTERNS, _NEEDS, strict=True)]
+_USER = [(k, p, re.compile(x, f), n) for (k, p, x, f), n in zip(USER_PATHS, _USER_NEEDS, strict=True)]
 _ASSIGNED = [(p, re.compile(x, re.I)) for p, x in ASSIGNMENTS]
 
 
+def _has(text: str, needs: tuple[tuple[str, ...], ...]) -> bool:
+    for words in needs:
+        for word in words:
+            if word in text:
+                break
+        else:
+            return False
+    return True
+
+
 def find(text: str, user_paths: bool = False, literals: tuple[str, ...] = (), automaton=None) -> list[tuple[str, int, int, str, int]]:
     """Every match of every pattern as (kind, start, end, value, priority), overlaps included.
 
     automaton: that of the literals, if the caller has it already.
     """
     out = []
-    for kind, priority, pattern in _COMPILED + (_USER if user_paths else []):
-        for m in pattern.finditer(text):
+    for kind, priority, pattern, needs in _COMPILED + _USER if user_paths else _COMPILED:
+        for m in pattern.finditer(text) if _has(text, needs) else ():
             if not (kind == "openai_api_key" and m[0].startswith("sk-ant-")):
                 out.append((kind, m.start(), m.end(), m[0], priority))
-    for priority, pattern in _ASSIGNED:
+    assigned = not text.isascii() or _has(text.lower(), _ASSIGNED_NEEDS)  # other letters have cases of their own
+    for priority, pattern in _ASSIGNED if assigned else ():
         for m in pattern.finditer(text):
             if text[max(0, m.start() - len(MARK)) : m.start()] == MARK and _PLACEHOLDER.match(MARK + m[0]):
                 continue

@@ -211,7 +211,8 @@ def protected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two places that no policy lets out, and a token that the policy only warns of."""
     k = F.col("o_orderkey")
     where = F.when(k % 3 == 0, "/srv/clone/x").when(k % 3 == 1, "/srv/clone/deep and /srv/clone").otherwise("/srv/other")
-    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.concat(F.lit("at "), where, F.lit(", token: "), F.lit("ghp_"), F.repeat(F.lit("A1b2"), F.lit(9))).alias("t"))
+    dealt = table(spark, sf_dir, "orders").select("o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")  # a search costs more than a key's bytes say
+    rows = dealt.select(k.alias("k"), F.concat(F.lit("at "), where, F.lit(", token: "), F.lit("ghp_"), F.repeat(F.lit("A1b2"), F.lit(9))).alias("t"))
     out = secrets.apply_policy(secrets.protect_paths(rows, "t", ("/srv/clone", "/srv/clone/deep")), "t", "warn")
     return out.select("k", F.sha2("t", 256).alias("digest"), "action")
 
