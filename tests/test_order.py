@@ -1,6 +1,7 @@
 """Places and running sums are what a window over all rows gives."""
 
 import random
+from decimal import Decimal
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -51,3 +52,17 @@ def test_nothing_and_equal_rows(spark):
     assert order.numbered(df.limit(0), ["x"]).collect() == [] and order.running(df.limit(0), ["x"], {"s": "v"}).collect() == []
     same = spark.createDataFrame([(1, 2)] * 50, "a int, b int")
     assert sorted(r.position for r in order.numbered(same, ["a"]).collect()) == list(range(1, 51))
+
+
+def test_no_range_is_shuffled_again(spark):
+    df = table(spark)
+    for within in ([], ["k"]):
+        text = plan(order.running(df, ["x", "i"], {"running": "v"}, within=within))
+        physical = text[text.index("== Physical Plan ==") :]
+        assert "Window" not in physical and "hashpartitioning" not in physical and "SortMergeJoin" not in physical
+
+
+def test_sums_beyond_a_long(spark):
+    rows = [(k, Decimal(10**19 + k)) for k in range(40)]
+    got = order.running(spark.createDataFrame(rows, "i long, v decimal(20,0)"), ["i"], {"s": "v"}).collect()
+    assert {r.i: int(r.s) for r in got} == {k: int(sum(v for _, v in rows[: k + 1])) for k in range(40)}
