@@ -13,6 +13,7 @@ size for any input, and a join with the exact terms follows it.
 
 from __future__ import annotations
 
+import functools
 import re
 import string
 from collections import Counter
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import durable, prepare, relax, table
+from spandrel.llm.common import durable, mix64, prepare, relax, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -32,6 +34,8 @@ TERM = "term"
 WINDOW, DISCLOSURE, CONTEXTS = 8, 0.9, 3.0
 #: Bits of the filter of terms, and how many each term sets.
 BITS, PROBES = 1 << 23, 4
+#: The base of a form's polynomial, and the characters of the words that the filter is asked for at once.
+BASE, SLICE = 0x9E3779B97F4A7C15, 1 << 19
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -145,28 +149,46 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     relax()
 
 
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the power 0, 1, 2 ... and its inverse likewise, modulo 2^64."""
+    n = 2 * size + 2  # one character becomes two at most when it is lower-cased
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64)))
+
+
 class Filter:
-    """A Bloom filter of forms."""
+    """A Bloom filter of forms, which is asked for the words of many texts at once.
+
+    A form is known by its level and by a polynomial of its characters. One running sum over the characters of many
+    words gives those of all of them, and of their beginnings.
+    """
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        self._bytes = words.astype("<u8").tobytes()
+        self._bytes = np.frombuffer(words.astype("<u8").tobytes(), np.uint8)
+
+    @staticmethod
+    def sums(codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(SLICE)[0][: len(codes)], dtype=np.uint64)])
+
+    @staticmethod
+    def keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+        """What the forms of a level are known by whose characters stand from start to end."""
+        return mix64((sums[end] - sums[start]) * _powers(SLICE)[1][start] + np.asarray(level, np.uint64) * np.uint64(BASE))
 
     @staticmethod
-    def probes(form: str) -> list[int]:
-        h = _hash(form)
-        step = (h >> 32) | 1
-        return [(h + k * step) % BITS for k in range(PROBES)]
-
-    def has(self, form: str) -> bool:
-        h, held = _hash(form), self._bytes
-        step = (h >> 32) | 1
-        for _ in range(PROBES):
-            p = h % BITS
-            if not held[p >> 3] >> (p & 7) & 1:
-                return False
-            h += step
-        return True
+    def probe(keys: np.ndarray, k: int) -> np.ndarray:
+        return ((keys + np.uint64(k) * ((keys >> np.uint64(32)) | np.uint64(1))) & np.uint64(BITS - 1)).astype(np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the forms may be in the filter."""
+        left = np.arange(len(keys))
+        for k in range(PROBES):
+            p = self.probe(keys[left], k)
+            left = left[(self._bytes[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
+        out = np.zeros(len(keys), bool)
+        out[left] = True
+        return out
 
     @classmethod
     def of(cls, forms: DataFrame) -> Filter | None:
@@ -174,11 +196,17 @@ class Filter:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.zeros(BITS >> 6, np.uint64)
+            some = False
             for b in batches:
-                for form in b.column("form").to_pylist():
-                    for p in cls.probes(form):
-                        words[p >> 6] |= np.uint64(1) << np.uint64(p & 63)
+                for _, codes, start, end in _joined(b.column("form")):
+                    some = True
+                    if codes is not None:
+                        keys = cls.keys(cls.sums(codes), start + 2, end, codes[start] - np.uint64(ord("0")))
+                        for p in (cls.probe(keys, k) for k in range(PROBES)):
+                            np.bitwise_or.at(words, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
             at = np.flatnonzero(words)
+            if some and not len(at):
+                at = np.zeros(1, np.int64)  # words that are too long for a slice need no bit
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at].view(np.int64))], names=["at", "bits"])
 
         got = forms.select("form").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
@@ -188,15 +216,48 @@ class Filter:
         words[[r["at"] for r in got]] = [r.bits for r in got]
         return cls(words.view(np.uint64))
 
-
-def _hits(words: Iterator[bytes], known: Filter) -> dict[bytes, tuple[str, ...]]:
-    """Of distinct words those with a form in the filter, and their forms."""
-    out = {}
-    for w in words:
-        forms = ladder(w.decode())
-        if any(known.has(f) for f in forms):
-            out[w] = forms
-    return out
+    def among(self, words: pa.Array) -> np.ndarray:
+        """Which of these words may have a form in the filter; those that have one are all told."""
+        out = np.ones(len(words), bool)
+        for part, codes, start, end in _joined(pc.utf8_trim(words, characters=_EDGES)):
+            if codes is None:
+                continue
+            digit = (codes >= ord("0")) & (codes <= ord("9"))
+            plain, masked = self.sums(codes), self.sums(np.where(digit, np.uint64(ord("#")), codes))
+            size = end - start
+            known = self.has(self.keys(plain, start, end, 0))
+            at = np.unique(np.searchsorted(end, np.flatnonzero(digit)))
+            known[at] |= self.has(self.keys(masked, start[at], end[at], 1))
+            at = np.flatnonzero(size > 6)
+            known[at] |= self.has(self.keys(masked, start[at], start[at] + 4, 2))
+            out[part] = known & (size >= 3)
+        return out
+
+
+def _joined(strings: pa.Array) -> Iterator[tuple[slice, np.ndarray | None, np.ndarray, np.ndarray]]:
+    """Slices of strings with the code points of all in lower case, and where each begins and ends; for one that is too long, None."""
+    ends = np.cumsum(pc.utf8_length(strings).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(strings):
+        to = int(np.searchsorted(ends, SLICE + (ends[at - 1] if at else 0), "right"))
+        if to <= at:
+            yield slice(at, at + 1), None, np.zeros(1, np.int64), np.zeros(1, np.int64)
+            at += 1
+            continue
+        part = strings.slice(at, to - at)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), "\n")[0].as_py().lower() + "\n"
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        end = np.flatnonzero(codes == 10)
+        yield slice(at, to), codes.astype(np.uint64), np.concatenate([[0], end[:-1] + 1]), end
+        at = to
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts, and the number of its text for each."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # at the six blanks of ASCII
+    flat, n = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(full), np.repeat(np.arange(len(n)), n)[full.to_numpy(zero_copy_only=False)]
 
 
 def occurrences(docs: DataFrame, known: Filter) -> DataFrame:
@@ -207,18 +268,15 @@ def occurrences(docs: DataFrame, known: Filter) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Filter(held.value)
         for b in batches:
-            words: Counter = Counter()
-            for text in b.column("text").to_pylist():
-                if text:
-                    words.update(text.encode().split())  # at the six blanks of ASCII
+            words, _ = _words(b.column("text"))
             n: Counter = Counter()
-            for w, forms in _hits(words, seen).items():
-                for f in forms:
-                    n[f] += words[w]
-            yield pa.RecordBatch.from_arrays([pa.array([None, *n], pa.string()), pa.array([words.total(), *n.values()], pa.int64())], names=["form", "n"])
+            for w, times in Counter(words.filter(pa.array(seen.among(words))).to_pylist()).items():
+                for f in ladder(w):
+                    n[f] += times
+            yield pa.RecordBatch.from_arrays([pa.array([None, *n], pa.string()), pa.array([len(words), *n.values()], pa.int64())], names=["form", "n"])
         relax()
 
-    return docs.select("text").mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
 
 def disclosing(docs: DataFrame, share: float = DISCLOSURE, contexts: float = CONTEXTS) -> DataFrame:
@@ -259,16 +317,22 @@ def _scan(docs: DataFrame, known: Filter | None, whole: bool) -> DataFrame:
         seen = Filter(held.value) if held else None
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            words = [set(t.encode().split()) for t in texts] if seen else []
-            hits = _hits(set().union(*words), seen) if seen else {}
+            hits: dict[int, dict[str, tuple[str, ...]]] = {}  # of each text, its words that may have such a form
+            if seen:
+                words, of = _words(b.column("text"))
+                at = np.flatnonzero(seen.among(words))
+                for k, w in zip(of[at].tolist(), words.take(pa.array(at)).to_pylist(), strict=True):
+                    own = hits.setdefault(k, {})
+                    if w not in own:
+                        own[w] = ladder(w)
             base, found = [], []
             for k, text in enumerate(texts):
                 spans = base_spans(text)
                 own = []
-                if hits and not hits.keys().isdisjoint(words[k]):
+                if k in hits:
                     taken = sorted((s, e) for _, s, e in spans)
                     for m in _WORD.finditer(text):
-                        if forms := hits.get(m[0].encode()):
+                        if forms := hits[k].get(m[0]):
                             core = m[0].strip(_EDGES)
                             s = m.start() + len(m[0]) - len(m[0].lstrip(_EDGES))
                             if not any(a < s + len(core) and s < z for a, z in taken):

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,6 +147,24 @@ def test_spans_and_texts(spark):
     assert clean[len(rows) - 4].terms[0]["start"] == 0  # a text that does not name the entity
 
 
+def test_only_words_that_may_tell_are_taken_apart(spark, monkeypatch):
+    """The filter is asked for all words of a batch at once: no word goes missing, and few others come along."""
+    monkeypatch.setattr(sanitise, "SLICE", 64)  # many slices, and words that are longer than one
+    r = random.Random(3)
+    odd = ["ΑΒΣ'", "ΣΑΣ.", "İİİİİİİ,", "«Eine»", "Ward12", "ward13", "WARD124", "x\x1cy\x85z", "...", "ab", "é" * 7, "zorvathian", "Z" * 70, "zz" * 70]
+    words = odd + ["".join(r.choices("abcdefgh", k=r.randint(1, 12))) for _ in range(5000)]
+    texts = [None, "", " \t\n", *(f" {' '.join(words[k : k + 40])}\r\v\f\n" for k in range(0, len(words), 40))]
+    forms = ["0:αβς", "0:" + "İİİİİİİ".lower(), "0:eine", "1:ward##", "2:zorv", "2:éééé", "0:" + "zz" * 70, "2:abca"]
+    known = sanitise.Filter.of(spark.createDataFrame([(f,) for f in forms], "form string"))
+    got, of = sanitise._words(pa.array(texts, pa.string()))
+    assert list(zip(of.tolist(), got.to_pylist(), strict=True)) == [(k, w) for k, t in enumerate(texts) for w in re.findall(r"[^\x20\t-\r]+", t or "")]
+    passed = {w for w, x in zip(got.to_pylist(), known.among(got), strict=True) if x}
+    need = {w for w in words if not set(forms).isdisjoint(sanitise.ladder(w))}
+    assert {"ΑΒΣ'", "İİİİİİİ,", "«Eine»", "Ward12", "ward13", "é" * 7, "zorvathian", "zz" * 70} <= need <= passed
+    assert len(passed - need) <= 3
+    assert sanitise.Filter.of(spark.createDataFrame([], "form string")) is None
+
+
 def test_odd_tables(spark):
     rows = [(None, "a@b.cd x"), (1, None), (1, None), (2, ""), (2, "plain words only"), (None, "a@b.cd x")]
     got = sanitise.spans(frame(spark, rows)).collect()
