@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     columns of any name are carried, an empty table stays empty. Without labels nothing goes.
     """
     prepare(spark)
-    model = toxicity.learn(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.learn(docs, labels=table(spark, sf_dir, "labels"))
     return toxicity.screen(docs, model)
 
 

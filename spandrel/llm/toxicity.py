@@ -128,14 +128,19 @@ def _decay(scores: np.ndarray, counts: np.ndarray, n_words: float, other: float)
     return low
 
 
-def _sample(labelled: DataFrame, most: int) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame | None, most: int) -> DataFrame:
     """Texts with their labels: of at most `most` distinct rows, those of the least hashed ids and texts.
 
-    A text that stands in several of them counts once, and is toxic if one row says so.
+    A text that stands in several of them counts once, and is toxic if one row says so. Rows are chosen by ids and
+    hashes, so that only the texts of the chosen ones are shuffled.
     """
-    usable = labelled.where("text is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h"))
-    chosen = usable.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "h").limit(most)
-    rows = usable.join(F.broadcast(chosen), [usable.doc_id.eqNullSafe(chosen.doc_id), usable.h == chosen.h], "left_semi")  # at most `most` keys
+    h = F.xxhash64("text").alias("h")
+    usable = docs.where("text is not null")
+    keys = usable.select("doc_id", h, "toxic") if labels is None else labelled_rows(usable.select("doc_id", h), labels, "h")
+    keys = keys.where("toxic is not null").groupBy("doc_id", "h").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = keys.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "h").limit(most)
+    texts = usable.select("doc_id", "text", h)
+    rows = texts.join(F.broadcast(chosen), [texts.doc_id.eqNullSafe(chosen.doc_id), texts.h == chosen.h]).select("text", "toxic")  # at most `most` keys
     return durable(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
 
 
@@ -203,14 +208,15 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
     model.rate = float(max((n_high + 0.5) / (max(n_words, 1.0) * np.exp(-model.decay) + 1e-9), 1e-6))
 
 
-def learn(labelled: DataFrame, most: int = TRAIN_DOCS) -> Model:
+def learn(docs: DataFrame, most: int = TRAIN_DOCS, labels: DataFrame | None = None) -> Model:
     """A model from rows (doc_id, text, toxic); at most `most` distinct ones, those of the least hashed ids.
 
+    With labels (doc_id, toxic) it is learned from labelled_rows() of both, whose texts are not joined whole.
     Words are counted where the rows are; only features that pass LEAST_Z and LEAST_DOCS, bins of scores and three
     numbers for each text come to the driver. Without toxic or clean rows nothing scores.
     """
-    prepare(labelled.sparkSession)
-    sample = _sample(labelled, most)
+    prepare(docs.sparkSession)
+    sample = _sample(docs, labels, most)
     model = Model(scores=_lexicon(sample), weights=(-3.0, 0.0, 0.0, 0.0))
     if not model.scores:
         return model
@@ -269,17 +275,17 @@ def held_out() -> F.Column:
     return id_crc() % 3 == 1
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with labels that may be learned from; a document with several labels is toxic if one says so."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, column: str = "text") -> DataFrame:
+    """Texts (or another column) with labels that may be learned from; a document with several labels is toxic if one says so."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(~held_out()).join(one.where(~held_out()), "doc_id")
+    return docs.select("doc_id", column).where(~held_out()).join(one.where(~held_out()), "doc_id")
 
 
 def op1_scoring_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, with the passages (words from 0) that made them."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
-    model = learn(labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = learn(docs, labels=table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "passages")
 

@@ -1,6 +1,9 @@
 """Operators 1 and 9: segments, the network's gradients, held-out accuracy, and odd texts."""
 
+import contextlib
+import io
 import random
+import re
 
 import numpy as np
 import pytest
@@ -101,6 +104,41 @@ def test_scores_by_definition(spark):
     assert toxicity.score_documents(docs.where("doc_id = 0"), model).first().score == pytest.approx(want)
 
 
+def test_only_chosen_texts_are_shuffled(spark, tmp_path, monkeypatch):
+    """Labels too many for a broadcast: what is shuffled to join them are ids and hashes, and the model is the same."""
+    rows = texts(300, 8)
+    odd = [(None, "nasty"), (5, None), (5, rows[5][1]), (5, "another nasty text"), (7_000, "no label")]
+    spark.createDataFrame([(i, t, "s") for i, t, _ in rows] + [(i, t, "s") for i, t in odd], "doc_id long, text string, h string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None), (6, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, labels = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    plans, durable = [], toxicity.durable
+
+    def kept(df, name="t"):
+        if name == "labelled":
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                df.explain("formatted")
+            plans.append(out.getvalue())
+        return durable(df, name)
+
+    monkeypatch.setattr(toxicity, "durable", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.op1_scoring_segments(spark, str(tmp_path))
+        models = [toxicity.learn(docs, most, labels) for most in (60, 20_000)]
+        assert len(plans) == 3 and "SortMergeJoin" in plans[0]
+        for plan in plans:
+            moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: (\w+\(\w*)", plan)
+            assert len(moved) >= 3
+            assert all(by == "hashpartitioning(text" for columns, by in moved if "text#" in columns)
+        for most, model in zip((60, 20_000), models, strict=True):
+            want = toxicity.learn(toxicity.labelled_rows(docs, labels), most)
+            assert model.scores == want.scores and model.weights == pytest.approx(want.weights)
+        assert models[1].scores
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_repeated_rows_teach_once(spark):
     rows = texts(300, 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
