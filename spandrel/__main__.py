@@ -106,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
             again = lambda rows, number: api.regenerate_readme(spark, args.root, args.target, args.name)
             # a watch begins anew each time; what is there at the start is no change, unless that is all that is asked for
             state = f"{shared.folder(spark)}/watch-{uuid.uuid4().hex}"
-            watch.watch(spark, args.root, again, state, once=args.once, existing=args.once, include=list(config.include), exclude=list(config.exclude)).awaitTermination()
+            watch.watch(spark, args.root, again, state, once=args.once, existing=args.once, include=list(config.include), exclude=list(config.exclude), attempts=watch.ATTEMPTS).awaitTermination()
         elif args.command == "annotate":
             lost = parse.undocumented_functions(api.analyze_folder(spark, args.root))
             config = api.Config.load(args.root)
