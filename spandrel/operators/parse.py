@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -158,9 +158,14 @@ def analyze(files: DataFrame) -> DataFrame:
     return parse_modules(files).where("error is null").drop("error")
 
 
+def _must(rows: DataFrame, good: Column, problem: Column) -> DataFrame:
+    """The same rows; the job fails on one that is not good. It is a filter, as a column that nothing reads is not made."""
+    return rows.where(F.when(good, F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
+
+
 def require_parsed(parsed: DataFrame) -> DataFrame:
     """The same rows; the job fails, naming the path, where one could not be parsed."""
-    return parsed.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("cannot parse "), "path"))).cast("string"))
+    return _must(parsed, F.col("error").isNull(), F.concat(F.lit("cannot parse "), "path"))
 
 
 def symbols(snapshots: DataFrame) -> DataFrame:
@@ -175,7 +180,7 @@ def check_snapshots(snapshots: DataFrame) -> DataFrame:
     keys = F.transform("symbols", lambda s: F.struct(s["kind"], s["qualified_name"]))
     n = F.greatest(F.size("symbols") - 1, F.lit(0))
     rising = F.forall(F.zip_with(F.slice(keys, F.lit(1), n), F.slice(keys, F.lit(2), n), lambda a, b: F.coalesce(a < b, F.lit(True))), lambda x: x)
-    return snapshots.withColumn("symbols", F.when(good & rising, F.col("symbols")).otherwise(F.raise_error(F.lit("a snapshot is malformed")).cast(snapshots.schema["symbols"].dataType)))
+    return _must(snapshots, good & rising, F.lit("a snapshot is malformed"))
 
 
 def undocumented_functions(modules: DataFrame) -> DataFrame:

@@ -341,3 +341,13 @@ def test_unreadable_pairs_fail_the_plan(spark):
     with pytest.raises(api.PlanError) as error:
         api.plan_tables(pairs, files.captured(spark, samples.DOCUMENTS))
     assert error.value.code == "PLAN_PARSE_FAILED"
+
+
+def test_a_failure_is_none_of_the_symbols(spark):
+    bad = spark.createDataFrame([("a.py", "def f(:"), ("d.py", "def f(): pass")], "path string, content string")
+    with pytest.raises(Exception, match="cannot parse a.py"):
+        parse.symbols(parse.check_snapshots(parse.require_parsed(parse.parse_snapshots(bad)))).select("path").collect()
+    twice = parse.parse_snapshots(bad.where("path = 'd.py'")).withColumn("symbols", F.concat("symbols", "symbols"))
+    with pytest.raises(Exception, match="a snapshot is malformed"):
+        parse.check_snapshots(twice).select("path").collect()
+    assert parse.symbols(parse.check_snapshots(parse.require_parsed(parse.parse_snapshots(bad.where("path = 'd.py'"))))).count() == 1
