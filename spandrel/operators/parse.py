@@ -15,9 +15,6 @@ from spandrel.functions import paths
 from spandrel.operators import python_source, typescript_source
 from spandrel.schemas import MODULE, SNAPSHOT
 
-#: A file of more bytes is not parsed; it gets an error like one that cannot be parsed.
-MOST_BYTES = 10 << 20
-
 #: Rows leave a task when their sources come to so many characters, where they are sent as pandas rows.
 BATCH_CHARS = 1 << 20
 
@@ -45,8 +42,6 @@ def _attempt(parse, source: str | None, language: str | None):
         return None, "unsupported"
     if source is None:
         return None, "unreadable"
-    if len(source) > MOST_BYTES:
-        return None, "too large"
     try:
         return parse[language](source), None
     except (SyntaxError, ValueError, RecursionError):

@@ -181,7 +181,7 @@ def member_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @twin(f"WITH {_MEMBERS} SELECT path, 'I' || k AS name, 'interface' AS kind, 'a:string' AS properties FROM p WHERE NOT py UNION ALL SELECT path, 'I' || k, 'interface', 'b?:number' FROM p WHERE NOT py UNION ALL SELECT path, 'A' || k, 'type', '' FROM p WHERE NOT py UNION ALL SELECT path, 'E' || k, 'enum', 'One:1,Two:' FROM p WHERE NOT py")
 def parsed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interfaces, aliases and enums of all files with their properties."""
-    types = parse.analyze(_member_files(spark, sf_dir, False)).select("path", F.explode("types").alias("t")).select("path", "t.name", "t.kind", "t.properties")
+    types = parse.require_parsed(parse.parse_modules(_member_files(spark, sf_dir, False))).select("path", F.explode("types").alias("t")).select("path", "t.name", "t.kind", "t.properties")
     one = lambda p: F.concat(p["name"], F.when(p["optional"], "?").otherwise(""), F.lit(":"), F.coalesce(p["type"], F.lit("")))
     return types.withColumn("properties", F.array_join(F.transform("properties", one), ","))
 

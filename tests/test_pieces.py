@@ -82,3 +82,23 @@ def test_memory_of_a_large_file_stays_near_that_of_its_rows(of, one):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(row["functions"][0]) == 5000 and most < 40 << 20
+
+
+def test_a_file_of_any_size_is_parsed(spark):
+    long = "x" * (11 << 20)
+    rows = [("a.py", f'X = "{long}"\ndef f(): pass\n'), ("b.ts", f"/* {long} */\nexport function f(): void {{}}\n")]
+    files = spark.createDataFrame(rows, "path string, content string")
+    parsed = shared.written(parse.parse_modules(files))
+    assert sorted((r.path, r.error, r.functions[0].name) for r in parsed.collect()) == [("a.py", None, "f"), ("b.ts", None, "f")]
+    assert sorted(r.path for r in parse.analyze(files).select("path").collect()) == ["a.py", "b.ts"]
+    assert sorted(r.qualified_name for r in parse.symbols(parse.require_parsed(parse.parse_snapshots(files))).collect()) == ["f", "f"]
+
+
+def test_modules_of_the_queries_fail_where_a_file_does(spark, monkeypatch):
+    from spandrel.plans import sourced
+
+    bad = spark.createDataFrame([("a.py", "def f(:"), ("b.py", "def g(): pass")], "path string, content string")
+    monkeypatch.setattr(sourced, "_files", lambda spark, sf_dir: bad)
+    for query in ("parsed_modules", "generated_comments", "coverage_report"):
+        with pytest.raises(Exception, match="cannot parse a.py"):
+            getattr(sourced, query)(spark, "").collect()
