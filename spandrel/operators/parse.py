@@ -22,6 +22,8 @@ _MODULE: dict[str, Callable[[str], dict]] = {"python": python_source.module, "ty
 #: The same, piece by piece, for languages whose files are read so.
 _PIECES: dict[str, Callable[[str], Iterator[dict]]] = {"python": python_source.module_pieces, "typescript": typescript_source.module_pieces}
 _SNAPSHOT: dict[str, Callable[[str], tuple[str, list[dict]]]] = {"python": python_source.snapshot, "typescript": typescript_source.snapshot}
+#: The same, piece by piece, as (symbols, imports).
+_SNAPSHOT_PIECES: dict[str, Callable[[str], Iterator[tuple[list[dict], list[str]]]]] = {"python": python_source.snapshot_pieces, "typescript": typescript_source.snapshot_pieces}
 
 
 def register_parser(language: str, suffixes: tuple[str, ...], module: Callable[[str], dict], snapshot: Callable | None = None) -> None:
@@ -31,12 +33,17 @@ def register_parser(language: str, suffixes: tuple[str, ...], module: Callable[[
     _PIECES[language] = lambda source: iter([module(source)])
     if snapshot:
         _SNAPSHOT[language] = snapshot
+        _SNAPSHOT_PIECES.pop(language, None)
 
 
 def supported_suffixes() -> list[str]:
     return sorted(f".{s}" for s in paths.LANGUAGES)
 
 
+#: What a parser raises on a text that is none of its language.
+_FAILURES = (SyntaxError, ValueError, RecursionError)
+
+
 def _attempt(parse, source: str | None, language: str | None):
     if language not in parse:
         return None, "unsupported"
@@ -44,7 +51,7 @@ def _attempt(parse, source: str | None, language: str | None):
         return None, "unreadable"
     try:
         return parse[language](source), None
-    except (SyntaxError, ValueError, RecursionError):
+    except _FAILURES:
         return None, "syntax"
 
 
@@ -114,10 +121,29 @@ def _module_row(pieces: Iterator[dict] | list[dict], schema: pa.Schema) -> dict[
     return out
 
 
-def _snapshot_row(found: tuple[str | None, list[dict]], schema: pa.Schema) -> dict[str, pa.Array]:
+def _symbols_of(symbols: list[dict], kind: pa.ListType) -> list[pa.Array]:
+    return _arrow([s | {"contract_facets": list(s["contract_facets"].items())} for s in symbols], kind.value_type)
+
+
+def _snapshot_row(found: tuple[str | None, list[dict]] | Iterator[tuple[list[dict], list[str]]], schema: pa.Schema) -> dict[str, pa.Array]:
+    """The row of a whole snapshot, or of its pieces; what a piece says is Arrow's before the next one is read."""
     kind = schema.field("symbols").type
-    entries = [s | {"contract_facets": list(s["contract_facets"].items())} for s in found[1]]
-    return {"dependency_fp": pa.array([found[0]], pa.string()), "symbols": _list(_arrow(entries, kind.value_type), kind)}
+    if isinstance(found, tuple):
+        return {"dependency_fp": pa.array([found[0]], pa.string()), "symbols": _list(_symbols_of(found[1], kind), kind)}
+    arrays, keys, imports = [], [], []
+    for symbols, names in found:
+        arrays += _symbols_of(symbols, kind)
+        keys += [(s["kind"], s["qualified_name"]) for s in symbols]
+        imports += names
+    order = pa.array(sorted(range(len(keys)), key=keys.__getitem__), pa.int64())
+    return {"dependency_fp": pa.array([python_source.digest(sorted(imports))], pa.string()), "symbols": _list([_list(arrays, kind).flatten().take(order)], kind)}
+
+
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str | None]]:
+    for b in batches:
+        at = [b.column(name) for name in ("path", "language", "content")]
+        for k in range(b.num_rows):
+            yield tuple(c[k].as_py() for c in at)
 
 
 def _file_by_file(parsers: dict[str, Callable], row: Callable, none, schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -126,13 +152,10 @@ def _file_by_file(parsers: dict[str, Callable], row: Callable, none, schema: T.S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = to_arrow_schema(schema)
         columns = {language: lambda source, parser=parser: row(parser(source), made) for language, parser in parsers.items()}
-        for b in batches:
-            at = {name: b.column(name) for name in ("path", "language", "content")}
-            for k in range(b.num_rows):
-                language = at["language"][k].as_py()
-                found, error = _attempt(columns, at["content"][k].as_py(), language)
-                out = (row(none, made) if found is None else found) | {"path": pa.array([at["path"][k].as_py()], pa.string()), "language": pa.array([language], pa.string()), "error": pa.array([error], pa.string())}
-                yield pa.RecordBatch.from_arrays([out[name] for name in made.names], schema=made)
+        for path, language, source in _sources(batches):
+            found, error = _attempt(columns, source, language)
+            out = (row(none, made) if found is None else found) | {"path": pa.array([path], pa.string()), "language": pa.array([language], pa.string()), "error": pa.array([error], pa.string())}
+            yield pa.RecordBatch.from_arrays([out[name] for name in made.names], schema=made)
 
     return run
 
@@ -145,7 +168,43 @@ def parse_modules(files: DataFrame) -> DataFrame:
 
 def parse_snapshots(files: DataFrame) -> DataFrame:
     """Rows of SNAPSHOT for the supported rows of files (path, content)."""
-    return _supported(files).mapInArrow(_file_by_file(dict(_SNAPSHOT), _snapshot_row, (None, []), SNAPSHOT), SNAPSHOT)
+    return _supported(files).mapInArrow(_file_by_file(_SNAPSHOT | _SNAPSHOT_PIECES, _snapshot_row, (None, []), SNAPSHOT), SNAPSHOT)
+
+
+#: So many symbols of a file, or a few more, leave a task in one row.
+_PART = 2000
+
+
+def parse_symbols(files: DataFrame) -> DataFrame:
+    """parse_snapshots() with the symbols of a file in rows of a bounded size, in no order; only the last row of a file has
+    its dependency_fp. A row with an error can follow others of its file, so these are not to be used alone."""
+    parsers = _SNAPSHOT | _SNAPSHOT_PIECES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = to_arrow_schema(SNAPSHOT)
+
+        def part(path: str, language: str, found: tuple[str | None, list[dict]], error: str | None = None) -> pa.RecordBatch:
+            out = _snapshot_row(found, made) | {"path": pa.array([path], pa.string()), "language": pa.array([language], pa.string()), "error": pa.array([error], pa.string())}
+            return pa.RecordBatch.from_arrays([out[name] for name in made.names], schema=made)
+
+        for path, language, source in _sources(batches):
+            found, error = _attempt(parsers, source, language)
+            if error or isinstance(found, tuple):
+                yield part(path, language, found or (None, []), error)
+                continue
+            held, imports = [], []
+            try:
+                for symbols, names in found:
+                    held += symbols
+                    imports += names
+                    if len(held) >= _PART:
+                        yield part(path, language, (None, held))
+                        held = []
+                yield part(path, language, (python_source.digest(sorted(imports)), held))
+            except _FAILURES:
+                yield part(path, language, (None, []), "syntax")
+
+    return _supported(files).mapInArrow(run, SNAPSHOT)
 
 
 def analyze(files: DataFrame) -> DataFrame:

@@ -145,10 +145,11 @@ def plan_tables(pairs: DataFrame, documentation_files: DataFrame, budget: int =
 
 
 def compare_versions(pairs: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
-    """Changes of symbols and modules between two sides of parsed snapshots."""
+    """Changes of symbols and modules between two sides of parsed snapshots, each file in one row or in those of
+    parse_symbols()."""
     keys = {side: pairs.select("file_id", F.col(f"{side}_path").alias("path")) for side in sides}
     rows = {side: keys[side].join(parse.symbols(df), "path").drop("path") for side, df in sides.items()}
-    modules = {side: keys[side].join(df, "path").select("file_id", F.col("language").alias(f"{side}_language"), F.col("dependency_fp").alias(f"{side}_dependency_fp")) for side, df in sides.items()}
+    modules = {side: keys[side].join(df.where("dependency_fp is not null"), "path").select("file_id", F.col("language").alias(f"{side}_language"), F.col("dependency_fp").alias(f"{side}_dependency_fp")) for side, df in sides.items()}
     status = pairs.select("file_id", "status", "before_path", "after_path").join(modules["before"], "file_id", "left").join(modules["after"], "file_id", "left")
     status = status.withColumn("language", F.coalesce("after_language", "before_language"))
     return diff.compare_symbols(pairs, rows["before"], rows["after"]).unionByName(diff.compare_modules(status))

@@ -161,8 +161,10 @@ def _member_files(spark: SparkSession, sf_dir: str, after: bool) -> DataFrame:
     own = k.cast("string")
     python = filled(_PYTHON, k=own, value=turned(k % 7 == 1, "str", "int"), sign=turned(k % 11 == 2, "-", "+"), receiver=turned(k % 5 == 0, "this", "self"), lost=turned(k % 3 == 0, "3", "1"), result=turned(k % 13 == 3, "bytes", "str"))
     script = filled(_SCRIPT, k=own, value=turned(k % 7 == 1, "bigint", "number"), merged=turned(k % 17 == 5, "boolean", "number"), sign=turned(k % 11 == 2, "string", "number"), result=turned(k % 13 == 3, "10", "1"), computed=turned(k % 19 == 4, "string", "void"))
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("lib/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/m"), (F.col("p_size") % 4).cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".py").otherwise(".ts")).alias("path"))
-    texts = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", F.when(k % 2 == 0, python).otherwise(script).alias("t")))).alias("xs"))  # of one file
+    # dealt out by file before they become text
+    texts = parts.repartition(dealt, "path").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", F.when(k % 2 == 0, python).otherwise(script).alias("t")))).alias("xs"))  # of one file
     return texts.select("path", F.array_join(F.transform("xs", lambda x: x["t"]), "").alias("content"))
 
 
@@ -170,10 +172,10 @@ def _member_files(spark: SparkSession, sf_dir: str, after: bool) -> DataFrame:
 def member_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of properties, overloads, merged interfaces, aliases, enums and computed methods; a receiver's name
     and a definition that is bound again change nothing."""
-    side = lambda n, after: _member_files(spark, sf_dir, after).select(F.col("path").alias("file_id"), F.col("path").alias(f"{n}_path"), F.col("content").alias(f"{n}_content"))
-    pairs = shared.written(side("before", False).join(side("after", True), "file_id").withColumn("status", F.lit("modified")), "pairs")
-    parsed = lambda n: shared.written(parse.require_parsed(parse.parse_snapshots(pairs.select(F.col(f"{n}_path").alias("path"), F.col(f"{n}_content").alias("content")))), n)
-    found = api.compare_versions(pairs, {n: parsed(n) for n in ("before", "after")})
+    parsed = lambda n: shared.written(parse.require_parsed(parse.parse_symbols(_member_files(spark, sf_dir, n == "after"))), n)
+    sides = {n: parsed(n) for n in ("before", "after")}
+    paths = {n: df.select(F.col("path").alias("file_id")).distinct().select("file_id", F.col("file_id").alias(f"{n}_path")) for n, df in sides.items()}
+    found = api.compare_versions(paths["before"].join(paths["after"], "file_id").withColumn("status", F.lit("modified")), sides)
     name = F.regexp_replace("qualified_name", r"\[computed:[0-9a-f]+\]", "[computed]")
     return found.select("path", "kind", name.alias("name"), "category", F.coalesce(F.array_join("changed_facets", ","), F.lit("")).alias("facets"))
 

@@ -102,3 +102,66 @@ def test_modules_of_the_queries_fail_where_a_file_does(spark, monkeypatch):
     for query in ("parsed_modules", "generated_comments", "coverage_report"):
         with pytest.raises(Exception, match="cannot parse a.py"):
             getattr(sourced, query)(spark, "").collect()
+
+
+AGAIN = '''from a import b
+@overload
+def f(a: int) -> int: ...
+class C:
+    def m(self): return 1
+def g(): pass
+@overload
+def f(a: str) -> str: ...
+class C(Base):
+    """Doc"""
+    def n(self): return 2
+def f(a): return a
+if b:
+    import c
+'''
+MERGED = """import { a } from './a';
+export interface I { a: string }
+class Late { m(): void {} }
+export function f(a: number): number;
+export interface I { b?: number; get(n: number): string }
+export function g() { return f(1) }
+export function f(a: any) { return a }
+function hidden() {}
+export class C { ["run" + 1](n: number): void {} }
+export { Late };
+"""
+
+
+@pytest.mark.parametrize("size", [1, 30, 90])
+@pytest.mark.parametrize(("of", "source", "names"), [(python_source, AGAIN, ["C", "f", "g", "C.n"]), (typescript_source, MERGED, ["C", "Late", "f", "g", "I", "C.[computed", "I.get", "Late.m"])])
+def test_snapshots_in_pieces_come_to_the_whole(of, source, names, size):
+    whole = [s for some, _ in of.snapshot_pieces(source, len(source)) for s in some]
+    pieces = list(of.snapshot_pieces(source, size))
+    key = lambda s: (s["kind"], s["qualified_name"])
+    assert sorted((s for some, _ in pieces for s in some), key=key) == sorted(whole, key=key) == of.snapshot(source)[1]
+    assert [s["qualified_name"].split(":")[0] for s in of.snapshot(source)[1]] == names
+    assert sorted(n for _, own in pieces for n in own) == sorted(n for _, own in of.snapshot_pieces(source) for n in own) != []
+
+
+@pytest.mark.parametrize(("of", "one"), [(python_source, "@overload\ndef f{0}(a: int) -> int: ...\ndef f{0}(a, b: float = 1.5):\n    return a * b + (a - b)\n"), (typescript_source, "export function f{0}(a: number, b: number = 1): number {{ return a * b + (a - b) }}\n")])
+def test_memory_of_a_snapshot_stays_near_that_of_its_symbols(of, one):
+    source, schema = "".join(one.format(k) for k in range(10000)), parse.to_arrow_schema(parse.SNAPSHOT)
+    tracemalloc.start()
+    row = parse._snapshot_row(of.snapshot_pieces(source), schema)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(row["symbols"][0]) == 10000 and most < 60 << 20
+
+
+def test_symbols_in_several_rows_are_those_of_the_snapshots(spark, monkeypatch):
+    rows = [("a.py", "".join(f"def f{k}(): return {k}\n" for k in range(9000))), ("b.ts", MERGED), ("c.py", "def f(): pass\n" * 9000 + "def (:\n"), ("d.py", ""), ("e.py", None)]
+    files = spark.createDataFrame(rows, "path string, content string")
+    parts = shared.written(parse.parse_symbols(files))
+    found = lambda df: sorted(map(str, parse.symbols(df).drop("ordinal").where("path <> 'c.py'").collect()))
+    assert found(parts) == found(parse.parse_snapshots(files)) and len(found(parts)) == 9008
+    sizes = [r.n for r in parts.where("path = 'a.py'").selectExpr("size(symbols) AS n").collect()]
+    assert len(sizes) > 2 and max(sizes) < 5000
+    whole = lambda df: sorted((r.path, r.dependency_fp, r.error) for r in df.where("dependency_fp is not null or error is not null").collect())
+    assert whole(parts) == whole(parse.parse_snapshots(files))
+    with pytest.raises(Exception, match="cannot parse"):
+        parse.symbols(parse.require_parsed(parts)).collect()
