@@ -264,8 +264,7 @@ def literals_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = docs.where("doc_id % 2 = 0").select("text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).where(F.char_length("text") >= 20 * F.col("i") + 9)
     words = pieces.select(F.substr("text", 20 * F.col("i") + 1, F.lit(9)).alias("literal"))
-    found = literals.counted(literals.occurrences(docs, words, "doc_id", "text"), "doc_id")
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_literals"), F.sum("n").alias("n"))
+    return literals.counts(docs, words, "doc_id", "text").groupBy("doc_id").agg(F.sum("n_literals").alias("n_literals"), F.sum("n").alias("n"))
 
 
 _TREE = """f AS (SELECT DISTINCT o_orderkey % 3 || '/' || o_orderkey % 7 || '/' || o_orderkey % 11 || '/' || o_orderkey % 13 AS folder, o_orderkey AS k FROM orders),

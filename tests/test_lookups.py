@@ -85,3 +85,29 @@ def test_repeated_ranges_come_to_one_row_of_a_prefix(spark):
     asked = spark.createDataFrame([("10.0.0.1",), ("10.0.0.200",), ("10.0.0.64",)], "address string")
     found = networks.locate(asked, spark.createDataFrame(ranges, "low string, high string, label string")).collect()
     assert {r.address: r.label for r in found} == {"10.0.0.1": "n00", "10.0.0.200": "wide", "10.0.0.64": None}
+
+
+def test_literals_are_counted_as_they_occur(spark):
+    texts = ["aaaaaaa", "abababa ab", "", None, "nothing", "Ünïcode ab \U0001f600ab", "abc" * 50, "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    for words in (["aa", "ab", "bab", "abc", "\U0001f600a", "Ünï", "", "none", "ab"], ["aaa"], ["x" * n for n in range(1, 30)] + ["ab", "a"], []):
+        found = spark.createDataFrame([(w,) for w in words], "literal string")
+        want = {k: (len(own), sum(t.count(w) for w in own)) for k, t in enumerate(texts) if t and (own := {w for w in words if w and w in t})}
+        for most in (3, 1 << 20):
+            rows = literals.counts(df, found, "k", "t", most).groupBy("k").agg(F.sum("n_literals").alias("a"), F.sum("n").alias("b")).collect()
+            assert {r.k: (r.a, r.b) for r in rows} == want
+    again = spark.createDataFrame([(1, "ab ab"), (1, "ab")], "k int, t string")  # each row of a key counts
+    rows = literals.counts(again, spark.createDataFrame([("ab",)], "literal string"), "k", "t").collect()
+    assert sorted((r.k, r.n_literals, r.n) for r in rows) == [(1, 1, 1), (1, 1, 2)]
+
+
+def test_a_table_of_literals_finds_them_all():
+    import numpy as np
+
+    text = "".join(chr(97 + (k * k // 7 + k) % 5) for k in range(5000))
+    own = sorted({text[k : k + 4] for k in range(0, 4997, 3)})
+    held = literals._OfOneLength(literals._codes("".join(own)).reshape(-1, 4))
+    start, which = held.find(literals._codes(text))
+    assert [(s, own[w]) for s, w in zip(start.tolist(), which.tolist(), strict=True)] == [(k, text[k : k + 4]) for k in range(4997) if text[k : k + 4] in set(own)]
+    same = literals._window_hashes(literals._codes("abcabc"), 3, 0)
+    assert same[0] == same[3] and len(np.unique(same)) == 3
