@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spandrel.llm import fragments
-from spandrel.llm.common import durable, table
+from spandrel.llm.common import durable, forget, table
 
 LENGTH, GRAM = 50, 20
 #: Suffixes are sorted by multikey quicksort to this depth, in keys of eight bytes; ties go to blind tries.
 SHALLOW = 24
 UNRANKED = np.iinfo(np.int64).max
+#: A table of some size is worked through in so many rounds.
+ROUNDS = 4
 #: Windows that are sorted at a time, at about 100 bytes of memory each.
 WINDOWS = 1 << 19
 
@@ -157,20 +161,30 @@ def _rank(t: pa.Table) -> np.ndarray:
     return np.array([UNRANKED if x is None else x for x in t.column("doc_id").to_pylist()], np.int64)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = fragments.HOT_CHUNKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = fragments.HOT_CHUNKS, least_buckets: int = fragments.LEAST_BUCKETS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256 of every row of docs (doc_id, text).
 
     A byte goes if a string of `length` bytes over it also starts in a document with a smaller doc_id; all is
     judged on the input. Texts are UTF-8, a null text is empty, matches never cross documents. A null doc_id is
     larger than any other; rows of the same doc_id are not smaller than each other. An empty table gives an
     empty result; other columns are not looked at.
+
+    Chunks send their entries, and buckets judge them, in rounds once there are more than least_buckets of them: what is shuffled is
+    on disk beside what is written, and of it only a round's part at a time.
     """
     units = fragments.Units(length, gram, words=False)
     chunks = fragments.to_chunks(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"))
     buckets = fragments.n_buckets(chunks)
-    found = fragments.find_repeated(chunks, units, buckets, "text", twice_within=False, hot=hot)
-    sent = fragments.entries(chunks, found, units, buckets, "text", _rank)
-    judged = durable(fragments.judge(sent, _LeastRank(length)), "judged")
+    rounds = ROUNDS if buckets > least_buckets else 1
+    turn = lambda column, r: F.pmod(F.xxhash64(column), F.lit(rounds)) == r
+    found = durable(fragments.find_repeated(chunks, units, buckets, "text", twice_within=False, hot=hot), "found")
+    parts = [fragments.entries(chunks.where(turn("chunk", r)), found.where(turn("chunk", r)), units, buckets, "text", _rank) for r in range(rounds)]
+    forget(found)
+    entries = reduce(DataFrame.union, parts)
+    judged = reduce(DataFrame.union, [durable(fragments.judge(entries.where(turn("bucket", r)), _LeastRank(length)), "judged") for r in range(rounds)])
+    sent = durable(entries.where("bucket = -1"), "kept")
+    for part in parts:
+        forget(part)
 
     def finish(t: pa.Table, own: list[bytes], masks: list[np.ndarray]):
         n, gone, spans, kept, sha = [], [], [], [], []

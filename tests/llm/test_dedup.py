@@ -1,11 +1,12 @@
 """Operators 4, 8 and 10 against plain versions, with the cases that break such things."""
 
+import glob
 import random
 
 import numpy as np
 import pytest
 
-from spandrel.llm import fingerprints, fragments, jaccard, suffixes
+from spandrel.llm import common, fingerprints, fragments, jaccard, suffixes
 from tests.llm import brute
 
 
@@ -43,6 +44,17 @@ def test_bytes_of_smaller_documents(spark, monkeypatch, hot, chunk):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=repr) == sorted(brute.removed_bytes(rows, 50), key=repr)
 
 
+def test_bytes_of_smaller_documents_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(fragments.to_chunks, "__defaults__", ("text", 3000, 0))
+    rows, names, made = corpus(4), [], suffixes.durable
+    monkeypatch.setattr(suffixes, "durable", lambda df, name: names.append(name) or made(df, name))
+    left = lambda: set(glob.glob(common.shared_dir(spark).removeprefix("file://") + "/entries-*"))
+    before = left()
+    got = suffixes.remove_repeats(frame(spark, rows), least_buckets=1).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=repr) == sorted(brute.removed_bytes(rows, 50), key=repr)
+    assert names == ["found", *["judged"] * suffixes.ROUNDS, "kept"] and left() == before
+
+
 @pytest.mark.parametrize(("hot", "chunk", "batches"), [(500, 4 << 20, 1), (500, 3000, 3), (0, 3000, 2), (500, 3000, 5)])
 def test_passages_that_repeat(spark, monkeypatch, hot, chunk, batches):
     monkeypatch.setattr(fragments.to_chunks, "__defaults__", ("text", chunk, 0))
